@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, dedup, langid, licenses, mixing, packing, sharding, toxicity
+from . import chat, dedup, knn, langid, licenses, mixing, packing, sharding, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -58,11 +58,15 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op8_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return knn.top_k(_read(spark, sf_dir, "embeddings"))
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_rows(_read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_language_id, op3_packing, op4_exact_dedup, op5_license_scan, op6_chat_formatting, op7_mixing, op9_sharding)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_language_id, op3_packing, op4_exact_dedup, op5_license_scan, op6_chat_formatting, op7_mixing, op8_top_k, op9_sharding)}
 
 ORACLE_SQL = {
     "op4_exact_dedup": r"""
@@ -82,4 +86,11 @@ ORACLE_SQL = {
             sum(length('<|turn|>') + length('<|text|>') + length('<|end|>') + 1
                 + length(regexp_replace(er, '(\[)(INST\]|/INST\])', '\1\\!\2', 'g')) + length(regexp_replace(et, '(\[)(INST\]|/INST\])', '\1\\!\2', 'g')))::BIGINT AS formatted_chars
         FROM e GROUP BY conv_id""",
+    "op8_top_k": r"""
+        WITH x AS (SELECT vec_id, list_transform(embedding, lambda c: floor(256 * c::DOUBLE)) AS v FROM embeddings
+            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+        s AS (SELECT q.vec_id AS query_id, x.vec_id, list_sum(list_transform(list_zip(q.v, x.v), lambda p: p[1] * p[2]))::BIGINT AS score
+            FROM x AS q JOIN x ON x.vec_id <> q.vec_id WHERE q.vec_id % 50 = 0),
+        r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s)
+        SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5""",
 }
