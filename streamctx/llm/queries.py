@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, dedup, knn, langid, licenses, mixing, packing, sharding, toxicity
+from . import chat, dedup, jaccard, knn, langid, licenses, mixing, packing, sharding, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -66,7 +66,11 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_rows(_read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_language_id, op3_packing, op4_exact_dedup, op5_license_scan, op6_chat_formatting, op7_mixing, op8_top_k, op9_sharding)}
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(_read(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_language_id, op3_packing, op4_exact_dedup, op5_license_scan, op6_chat_formatting, op7_mixing, op8_top_k, op9_sharding, op10_jaccard_join)}
 
 ORACLE_SQL = {
     "op4_exact_dedup": r"""
@@ -93,4 +97,14 @@ ORACLE_SQL = {
             FROM x AS q JOIN x ON x.vec_id <> q.vec_id WHERE q.vec_id % 50 = 0),
         r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s)
         SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5""",
+    "op10_jaccard_join": r"""
+        WITH RECURSIVE t AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+            ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS g FROM t),
+        u AS (SELECT doc_id, len(g) AS n, unnest(g) AS x FROM s),
+        p AS (SELECT a.doc_id AS a, b.doc_id AS b FROM u AS a JOIN u AS b ON a.x = b.x AND a.doc_id < b.doc_id
+            GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 75 * (a.n + b.n - count(*))),
+        e AS (SELECT a, b FROM p UNION ALL SELECT b, a FROM p),
+        r(doc_id, m) AS (SELECT doc_id, doc_id FROM s UNION SELECT r.doc_id, e.b FROM r JOIN e ON r.m = e.a)
+        SELECT doc_id, len(g)::BIGINT AS n_shingles, component_id FROM s JOIN (SELECT doc_id, min(m) AS component_id FROM r GROUP BY doc_id) USING (doc_id)""",
 }
