@@ -1,21 +1,60 @@
-"""The corpus pipeline: stages over documents, each written as Parquet and read again."""
+"""The corpus pipeline: stages over documents, each written as Parquet and read again.
+
+Toxic documents go; of equal texts, then of near-duplicate groups, the row with the smallest
+doc_id stays; sources are brought to their target weights by leaving out and
+repeating documents; the rest is packed into sequences.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from streamctx.llm import dedup, jaccard, mixing, packing, staging, toxicity
+
+
+def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return toxicity.reject(docs, toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
+def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return dedup.drop_copies(docs)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    found = jaccard.near_duplicates(docs)
+    gone = staging.stage(found.where("doc_id <> component_id").select("doc_id").distinct(), "pipeline-near-copies")
+    return docs.join(staging.small(gone), "doc_id", "left_anti").select(docs.columns)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    times = mixing.mix(docs).groupBy("doc_id").agg(F.max("repeats").alias("_times")).where("_times > 0")
+    times = staging.small(staging.stage(times, "pipeline-times"))
+    return docs.join(times, "doc_id").withColumn("_copy", F.explode(F.sequence(F.lit(1), "_times"))).select(docs.columns)
+
+
+def pack_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
-from streamctx.llm import staging
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = []
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("toxicity", reject_toxic),
+    ("exact dedup", drop_exact_copies),
+    ("n-gram Jaccard join", drop_near_copies),
+    ("mixing sources to target weights", mix_sources),
+    ("best-fit packing", pack_documents),
+]
 
-#: Scores of trained classifiers and packing can't be expressed in SQL; tests hold the stages against brute force.
+#: A trained classifier and packing can't be expressed in SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the last stage over documents."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = staging.stage(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        docs = staging.stage(stage(spark, docs, sf_dir), f"pipeline-{name.replace(' ', '-')}")
     return docs

@@ -13,10 +13,6 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-#: Where a row's text is: file and place in it.
-LOCATOR = F.concat_ws("#", F.col("_metadata.file_path"), F.col("_metadata.row_index"))
-
-
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
@@ -30,7 +26,7 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup.exact_dedup(_read(spark, sf_dir, "documents"), locator=LOCATOR)
+    return dedup.exact_dedup(_read(spark, sf_dir, "documents"), locator=dedup.place_in_file()).drop("locator")
 
 
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,6 +18,7 @@ Without positives every score is 0. Repeated labels of one doc_id count as toxic
 from __future__ import annotations
 
 import zlib
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -147,21 +148,45 @@ def score(docs: DataFrame, weights: np.ndarray | None, held_out: Column) -> Data
         return rows.select("doc_id", "held_out", F.lit(0.0).alias("score"), F.lit(0).alias("predicted"))
     table = docs.sparkSession.sparkContext.broadcast(weights)  # 4 MB, whatever the input
 
-    def scored(them):
-        w, mask = table.value, (1 << BITS) - 1
-        word = text.Memo(lambda x: float(w[zlib.crc32(x) & mask]))
-        start = text.Memo(lambda x: float(w[zlib.crc32(b"^" + x) & mask]))
+    def scored(them: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rate = scorer(table.value)
         for batch in them:
-            g = np.empty(batch.num_rows)
-            for i, raw in enumerate(text.as_bytes(batch.column("text"))):
-                words = lowered(raw)
-                g[i] = sum(map(word.__getitem__, words)) + sum(map(start.__getitem__, {x[:4] for x in words}))
-            s = 1 / (1 + np.exp(-np.clip(g + float(w[-1]), -40, 40)))
+            s = rate(batch.column("text"))
             yield pa.record_batch([batch.column("doc_id"), batch.column("held_out"), pa.array(s), pa.array((s >= 0.5).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
     return rows.mapInArrow(scored, SCORED)
 
 
+def scorer(weights: np.ndarray) -> Callable[[pa.Array], np.ndarray]:
+    """The scores of a column of texts; it remembers words."""
+    mask = (1 << BITS) - 1
+    word = text.Memo(lambda x: float(weights[zlib.crc32(x) & mask]))
+    start = text.Memo(lambda x: float(weights[zlib.crc32(b"^" + x) & mask]))
+
+    def rate(column: pa.Array) -> np.ndarray:
+        g = np.full(len(column), float(weights[-1]))
+        for i, raw in enumerate(text.as_bytes(column)):
+            words = lowered(raw)
+            g[i] += sum(map(word.__getitem__, words)) + sum(map(start.__getitem__, {x[:4] for x in words}))
+        return 1 / (1 + np.exp(-np.clip(g, -40, 40)))
+
+    return rate
+
+
+def reject(docs: DataFrame, weights: np.ndarray | None, threshold: float = 0.5) -> DataFrame:
+    """docs without the rows whose text scores `threshold` or more; all columns stay."""
+    if weights is None:
+        return docs
+    table = docs.sparkSession.sparkContext.broadcast(weights)
+
+    def run(them: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rate = scorer(table.value)
+        for batch in them:
+            yield batch.filter(pa.array(rate(batch.column("text")) < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def toxicity(docs: DataFrame, labels: DataFrame, *, modulus: int = 5, **how: object) -> DataFrame:
     """doc_id, held_out, score, predicted of each row of docs; rows with crc32(doc_id) mod `modulus` = 0 are held out from training."""
     rest = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(modulus))
