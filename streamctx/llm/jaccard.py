@@ -3,12 +3,12 @@
 A document's set is its distinct 5-word shingles as 64-bit hashes. Two sets link when
 100 * shared >= 75 * union. Equal sets are one node. Then
 
-1. Sets with an equal band of minima get the least set of that band as hub, and each is
-   compared in full with one hub. Most copies are linked by this, one pair each.
+1. The least set of those with an equal band of minima is a hub; each set is compared with the few
+   hubs that share the most bands with it. This joins most copies, with few pairs each.
 2. Every set sends the first n - ceil(0.75 n) + 1 of its shingles, in one order for all
    sets (often seen ones last), to those shingles' groups. Two linked sets meet in a group.
-   This is exact, whatever the order. Members already linked to one hub need not
-   be compared again; what is left in a small group are pairs, in a large one blocks.
+   This is exact, whatever the order. Members that are already in one component
+   need not be compared; what is left in a small group are pairs, in a large one blocks.
 3. The blocks' sets are compared by a dual walk over signature trees (sigtree), small
    groups' pairs by the same bound, and what the bounds leave by their full sets.
 4. Links give components.
@@ -28,14 +28,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from . import components as cc
 from . import sigtree, staging, text
 
-MINS, BAND, WORDS64 = 32, 4, 32
+MINS, BAND = 32, 4
 #: Buckets of the table of often-seen shingles: its size doesn't depend on the input.
 OFTEN = 1 << 20
 
@@ -82,7 +84,7 @@ def profile(docs: DataFrame, *, chunk: int = 2_000_000, often: float = 1 / 500)
             for i, raw in zip(batch.column(0).to_pylist(), text.as_bytes(batch.column(1)), strict=True):
                 tokens = text.shingles(text.spaced_words(raw), memo)
                 if len(tokens):
-                    row = (i, set_id(tokens), len(tokens), bands(tokens), sigtree.bitmap(tokens, WORDS64).tobytes())
+                    row = (i, set_id(tokens), len(tokens), bands(tokens), sigtree.bitmap(tokens).tobytes())
                     if row[1] not in held:
                         held[row[1]] = tokens
                         size += len(tokens)
@@ -145,7 +147,7 @@ MEET = "block long, side int, a long, b long, n int, comp long"
 
 
 def meetings(rows: DataFrame, *, few: int = 16, block: int = 512) -> DataFrame:
-    """What is to be compared in each key's group of rows(key, set_id, n, comp), which must be partitioned by key.
+    """What is to be compared in each key's group of rows(key, set_id, n, comp), which must be partitioned by key (comp: NULL for the set itself).
 
     Of a group of up to `few` members, pairs (a, b), with side -1; of a larger one, members (block, side, a): in a
     block with one side each with each, with two sides across.
@@ -179,8 +181,11 @@ def meetings(rows: DataFrame, *, few: int = 16, block: int = 512) -> DataFrame:
                     out.append(np.stack([full(number), full(side), part, full(0), sizes[s : s + block], comps[s : s + block]]))
 
     def run(them: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [[b.column(c).to_numpy() for c in range(4)] for b in them if b.num_rows]
-        if not parts:
+        parts = []
+        for b in them:
+            own = b.column(1)
+            parts.append([b.column(0).to_numpy(), own.to_numpy(), b.column(2).to_numpy(), pc.coalesce(b.column(3), own).to_numpy()])
+        if not sum(len(p[0]) for p in parts):
             return
         key, ids, sizes, comps = (np.concatenate([p[c] for p in parts]) for c in range(4))
         order = np.lexsort((ids, key))
@@ -213,23 +218,31 @@ def walk(members: DataFrame) -> DataFrame:
     """(a, b) that may link, of members(block, side, a, n, comp, bitmap), which must be partitioned by block."""
 
     def run(them: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(list(them)) if them else None
-        if table is None or not table.num_rows:
+        rows = list(them)
+        if not sum(b.num_rows for b in rows):
             return
+        table = pa.Table.from_batches(rows)
         block, side, a, n, comp = (table.column(c).to_numpy() for c in ("block", "side", "a", "n", "comp"))
-        maps = np.frombuffer(b"".join(table.column("bitmap").to_pylist()), np.uint64).reshape(-1, WORDS64)
+        n, raw = n.astype(np.int64), table.column("bitmap").to_pylist()
         order = np.lexsort((a, n, side, block))
         starts = np.flatnonzero(np.append(True, np.diff(block[order]) != 0))
         for lo, hi in zip(starts, np.append(starts[1:], len(order)), strict=True):
             own = order[lo:hi]
-            parts = [p for p in (own[side[own] == 0], own[side[own] == 1]) if len(p)]
-            trees = [sigtree.Tree(maps[p], n[p].astype(np.int64)) for p in parts]
-            i, j = sigtree.pairs(trees[0], trees[-1], same=len(trees) == 1)
-            x, y = parts[0][i], parts[-1][j]
-            ok = comp[x] != comp[y]
-            x, y = a[x[ok]], a[y[ok]]
-            if len(x):
-                yield pa.record_batch([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
+            sides = [p for p in (own[side[own] == 0], own[side[own] == 1]) if len(p)]
+            kinds = [[(w, p[at], maps) for w, at, maps in sigtree.alike([raw[r] for r in p])] for p in sides]
+            same = len(sides) == 1
+            for x, (wx, px, mx) in enumerate(kinds[0]):
+                for y, (wy, py, my) in enumerate(kinds[-1]):
+                    if same and y < x or max(wx, wy) > 2 * min(wx, wy):  # sizes too far apart
+                        continue
+                    w = min(wx, wy)
+                    trees = [sigtree.Tree(sigtree.folded(m, w), n[p]) for p, m in ((px, mx), (py, my))]
+                    i, j = sigtree.pairs(trees[0], trees[1], same=same and x == y)
+                    i, j = px[i], py[j]
+                    ok = comp[i] != comp[j]
+                    i, j = a[i[ok]], a[j[ok]]
+                    if len(i):
+                        yield pa.record_batch([pa.array(np.minimum(i, j)), pa.array(np.maximum(i, j))], ["a", "b"])
 
     return members.mapInArrow(run, "a long, b long")
 
@@ -238,9 +251,9 @@ def bounded(pairs: DataFrame) -> DataFrame:
     """Of pairs(a, b, n_a, map_a, n_b, map_b), (a, b) of those whose bitmaps don't rule out a link."""
 
     def test(batch: pa.RecordBatch) -> pa.RecordBatch:
-        maps = [np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(-1, WORDS64) for c in ("map_a", "map_b")]
+        maps = [batch.column(c).to_pylist() for c in ("map_a", "map_b")]
         sizes = [batch.column(c).to_numpy().astype(np.int64) for c in ("n_a", "n_b")]
-        fits = pa.array(sigtree.entries_may_link(*maps, *sizes))
+        fits = pa.array(sigtree.linkable(*maps, *sizes))
         return pa.record_batch([batch.column("a").filter(fits), batch.column("b").filter(fits)], ["a", "b"])
 
     return pairs.select("a", "b", "n_a", "map_a", "n_b", "map_b").mapInArrow(text.batches(test), "a long, b long")
@@ -276,7 +289,7 @@ def linked(pairs: DataFrame, sets: DataFrame, docs: DataFrame) -> DataFrame:
     return staging.stage(met.mapInArrow(text.batches(compare), "a long, b long"), "jaccard-links")
 
 
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", often: float = 1 / 500, few: int = 16, block: int = 512) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", often: float = 1 / 500, few: int = 16, block: int = 512, hubs_each: int = 3) -> DataFrame:
     """doc_id, n_shingles, component_id of each row of docs. component_id: the smallest doc_id reachable by links."""
     docs = _texts(docs, id_col, text_col)
     rows = staging.stage(profile(docs, often=often), "jaccard-profile")
@@ -286,24 +299,25 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     if not n_sets:
         return of_docs.select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
 
-    # 1. one hub for each set that shares a band
+    # 1. up to hubs_each hubs for each set that shares bands
     banded = sets.select("set_id", F.posexplode("bands").alias("band", "value"))
     hubs = staging.stage(banded.groupBy("band", "value").agg(F.min("set_id").alias("hub"), F.count(F.lit(1)).alias("c")).where("c > 1").select("band", "value", "hub"), "jaccard-hubs")
-    to_hub = banded.join(hubs, ["band", "value"]).where("set_id <> hub").groupBy("set_id").agg(F.min("hub").alias("hub"))
-    star = linked(staging.stage(to_hub.select(F.col("hub").alias("a"), F.col("set_id").alias("b")), "jaccard-star"), sets, docs)
-    # a set's hub may itself have a hub
-    up = star.select(F.col("a").alias("up"), F.col("b").alias("a"))
-    comp = staging.stage(star.join(up, "a", "left").select(F.col("b").alias("set_id"), F.coalesce("up", "a").alias("comp")), "jaccard-comp")
+    shared = banded.join(hubs, ["band", "value"]).where("set_id <> hub").groupBy("set_id", "hub").agg(F.count(F.lit(1)).alias("c"))
+    most = Window.partitionBy("set_id").orderBy(F.desc("c"), "hub")
+    to_hub = shared.withColumn("r", F.row_number().over(most)).where(F.col("r") <= hubs_each).select(F.least("hub", "set_id").alias("a"), F.greatest("hub", "set_id").alias("b")).distinct()
+    maps = sets.select("set_id", "n", "bitmap")
+    side = lambda own: maps.select(F.col("set_id").alias(own), F.col("n").alias(f"n_{own}"), F.col("bitmap").alias(f"map_{own}"))
+    with_maps = lambda pairs: pairs.join(side("a"), "a").join(side("b"), "b")
+    star = linked(staging.stage(bounded(with_maps(to_hub)), "jaccard-star"), sets, docs)
+    comp = staging.stage(cc.components(star).withColumnsRenamed({"node": "set_id", "component": "comp"}), "jaccard-comp")
 
     # 2. the groups of prefix shingles
     levels = often_seen(rows.where("bitmap IS NULL AND n > 0"), max(8, often * n_sets))
-    keyed = prefixes(docs, levels).join(staging.small(comp), "set_id", "left").select("key", "set_id", "n", F.coalesce("comp", "set_id").alias("comp"))
+    keyed = prefixes(docs, levels).join(staging.small(comp), "set_id", "left").select("key", "set_id", "n", F.when(F.col("comp") != F.col("set_id"), F.col("comp")).alias("comp"))
     met = staging.stage(meetings(keyed.repartition("key"), few=few, block=block), "jaccard-met")
 
     # 3. bounds, then full sets
-    maps = sets.select("set_id", "n", "bitmap")
-    side = lambda own: maps.select(F.col("set_id").alias(own), F.col("n").alias(f"n_{own}"), F.col("bitmap").alias(f"map_{own}"))
-    near = bounded(met.where("side < 0").select("a", "b").distinct().join(side("a"), "a").join(side("b"), "b"))
+    near = bounded(with_maps(met.where("side < 0").select("a", "b").distinct()))
     members = met.where("side >= 0").select("block", "side", "a", "n", "comp").join(maps.select(F.col("set_id").alias("a"), "bitmap"), "a")
     deep = walk(members.select("block", "side", "a", "n", "comp", "bitmap").repartition("block"))
     left = staging.stage(near.unionByName(deep).distinct(), "jaccard-left")

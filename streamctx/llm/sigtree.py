@@ -8,7 +8,8 @@ of sizes and their largest excess. Two sets share at most
 
 tokens; the same with a node's largest values bounds every pair below two nodes, and a pair of
 nodes is left out if that is less than the overlap their smallest sizes ask for.
-Two entries are also bounded by each set's tokens whose bits the other lacks.
+Two entries are also bounded by each set's tokens whose bits the other lacks. Bitmaps are as wide as
+their sets are large; a wider one is folded to the other's width.
 """
 
 from __future__ import annotations
@@ -20,13 +21,37 @@ PART, WHOLE = 7, 3
 FAN = 8
 
 
-def bitmap(tokens: np.ndarray, words: int) -> np.ndarray:
-    """words * 64 bits, one for each of the hashes' highest bits."""
-    bits = np.zeros(words * 64, np.uint8)
-    bits[(tokens >> np.uint64(64 - (words * 64).bit_length() + 1)).astype(np.int64)] = 1
+def bits_for(sizes: np.ndarray) -> np.ndarray:
+    """The number of bits of a set's bitmap: a power of two, four to eight times its size, 64 to 2**20."""
+    return 1 << np.clip(np.ceil(np.log2(4 * np.maximum(sizes, 1))), 6, 20).astype(np.int64)
+
+
+def bitmap(tokens: np.ndarray) -> np.ndarray:
+    """A bit for each value of the hashes' lowest bits."""
+    width = int(bits_for(np.array([len(tokens)]))[0])
+    bits = np.zeros(width, np.uint8)
+    bits[(tokens & np.uint64(width - 1)).astype(np.int64)] = 1
     return np.packbits(bits).view(np.uint64)
 
 
+def folded(bitmaps: np.ndarray, words: int) -> np.ndarray:
+    """Bitmaps (a row each) as they would be with `words` * 64 bits."""
+    while bitmaps.shape[1] > words:
+        half = bitmaps.shape[1] // 2
+        bitmaps = bitmaps[:, :half] | bitmaps[:, half:]
+    return bitmaps
+
+
+def alike(raw: list[bytes]) -> list[tuple[int, np.ndarray, np.ndarray]]:
+    """Bitmaps by width: (words, places, a row for each place)."""
+    words = np.array([len(x) // 8 for x in raw], np.int64)
+    out = []
+    for w in np.unique(words).tolist():
+        at = np.flatnonzero(words == w)
+        out.append((w, at, np.frombuffer(b"".join(raw[i] for i in at), np.uint64).reshape(len(at), w)))
+    return out
+
+
 class Tree:
     """levels: from the entries up to few nodes, each (bitmaps, least sizes, largest sizes, largest excess)."""
 
@@ -50,6 +75,18 @@ def may_link(a: tuple, b: tuple, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     return fits
 
 
+def linkable(raw_a: list[bytes], raw_b: list[bytes], n_a: np.ndarray, n_b: np.ndarray) -> np.ndarray:
+    """Which pairs (a row of either side each) may link by size and bitmaps."""
+    fits = PART * np.minimum(n_a, n_b) >= WHOLE * (n_a + n_b)  # leaves widths that differ twofold at most
+    wide = np.array([(len(x) << 32) | len(y) for x, y in zip(raw_a, raw_b, strict=True)], np.int64)
+    for kind in np.unique(wide[fits]).tolist():
+        at = np.flatnonzero(fits & (wide == kind))
+        w = min(kind >> 32, kind & 0xFFFFFFFF) // 8
+        a, b = (folded(np.frombuffer(b"".join(raw[i] for i in at), np.uint64).reshape(len(at), -1), w) for raw in (raw_a, raw_b))
+        fits[at] = entries_may_link(a, b, n_a[at], n_b[at])
+    return fits
+
+
 def entries_may_link(maps_i: np.ndarray, maps_j: np.ndarray, n_i: np.ndarray, n_j: np.ndarray) -> np.ndarray:
     """The bound for two sets: tokens whose bits the other lacks aren't shared."""
     lack_i = np.bitwise_count(maps_i & ~maps_j).sum(axis=1).astype(np.int64)
