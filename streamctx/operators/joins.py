@@ -49,16 +49,15 @@ def asof_enrich(fact: DataFrame, tables: Mapping[str, tuple[DataFrame, str]], *,
     known = _no_nulls(fact, [*keys, ts])
     every = rows(known, ts, 1, None, F.lit(None).cast("string"))
     for n, (df, version) in tables.items():
-        tie = F.concat_ws("\x1f", *([F.lpad(F.col(tiebreak).cast("string"), 40, "0")] if tiebreak and tiebreak in df.columns else []), F.to_json(F.struct("*")))
+        tie = F.lpad(F.col(tiebreak).cast("string"), 40, "0") if tiebreak and tiebreak in df.columns else F.lit(None).cast("string")
         every = every.unionByName(rows(_no_nulls(df, [*keys, version]), version, 0, n, tie))
     if time_slice:
-        at = F.struct("_t", "_tie")
-        last = [F.max_by(n, F.when(F.col(n).isNotNull(), at)).alias(n) for n in names]
+        last = [F.max(F.when(F.col(n).isNotNull(), F.struct("_t", "_tie", n)))[n].alias(n) for n in names]
         past = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
         ends = every.groupBy(*keys, "_slice").agg(*last).select(*keys, "_slice", *[F.last(n, ignorenulls=True).over(past).alias(n) for n in names])
         handed = ends.select(*keys, "_slice", F.lit(None).cast(every.schema["_t"].dataType).alias("_t"), F.lit(-1).alias("_side"), F.lit(None).cast("string").alias("_tie"), F.lit(None).cast(fact.schema).alias("_fact"), *names)
         every = every.unionByName(handed)
-    w = Window.partitionBy(*keys, *(["_slice"] if time_slice else [])).orderBy(F.asc_nulls_first("_t"), "_side", "_tie").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    w = Window.partitionBy(*keys, *(["_slice"] if time_slice else [])).orderBy(F.asc_nulls_first("_t"), "_side", "_tie", *names).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     out = every.select("_fact", *[F.last(n, ignorenulls=True).over(w).alias(n) for n in names]).where("_fact IS NOT NULL").select("_fact.*", *names)
     lost = fact.where(" OR ".join(f"`{c}` IS NULL" for c in [*keys, ts])).select("*", *none.values())
     return out.unionByName(lost)

@@ -107,12 +107,21 @@ def asof_inner(spark, d):
     ASOF LEFT JOIN (SELECT * FROM e WHERE event_type = 'error') r ON p.user_id = r.user_id AND p.ts >= r.ts
     ASOF LEFT JOIN (SELECT * FROM e WHERE event_type = 'click') c ON p.user_id = c.user_id AND p.ts >= c.ts""")
 def asof_enrich(spark, d):
+    return _asof_enrich(spark, d)
+
+
+def _asof_enrich(spark, d, **how):
     kinds = ("signup", "view", "error", "click")
     tables = {k: (ad.events(spark, d, k).select("user_id", "ts", "event_id"), "ts") for k in kinds}
-    out = joins.asof_enrich(ad.events(spark, d, "purchase").select("user_id", "ts", "event_id"), tables, on=["user_id"], ts="ts", tiebreak="event_id", time_slice="7 days")
+    out = joins.asof_enrich(ad.events(spark, d, "purchase").select("user_id", "ts", "event_id"), tables, on=["user_id"], ts="ts", tiebreak="event_id", **how)
     return out.select("event_id", *[F.col(f"{k}.event_id").alias(f"{k}_id") for k in kinds])
 
 
+@query(ORACLE_SQL["asof_enrich"])
+def asof_sliced(spark, d):
+    return _asof_enrich(spark, d, time_slice="7 days")
+
+
 @query("""WITH {E}, p AS (SELECT * FROM e WHERE event_type = 'purchase'), s AS (SELECT user_id, date_trunc('day', ts) + INTERVAL 1 DAY AS w, count(*) AS n FROM e GROUP BY ALL)
     SELECT p.event_id, s.n, epoch_ms(s.w) AS w FROM p ASOF LEFT JOIN s ON p.user_id = s.user_id AND p.ts >= s.w""")
 def asof_window_feature(spark, d):

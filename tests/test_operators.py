@@ -1,0 +1,157 @@
+"""Operators against plain versions, and the planted cases of the feeds."""
+
+import random
+from datetime import datetime, timedelta
+
+import pytest
+from pyspark.sql import functions as F
+
+from streamctx.functions import scalars
+from streamctx.functions.model import enrich_with_model, parse_model_reply
+from streamctx.operators import joins, patterns, windows
+
+T0 = datetime(2024, 1, 1)
+
+
+def at(seconds):
+    return None if seconds is None else T0 + timedelta(seconds=seconds)
+
+
+def frame(spark, rows, schema):
+    return spark.createDataFrame(rows, schema)
+
+
+def plain_asof(facts, versions):
+    out = []
+    for i, k, t in facts:
+        known = [(v[1], v[2]) for v in versions if k is not None and t is not None and v[0] == k and v[1] is not None and v[1] <= t]
+        out.append((i, max(known)[1] if known else None))
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("how", [{}, {"time_slice": "20 seconds"}, {"broadcast": True}])
+def test_asof(spark, how):
+    r = random.Random(1)
+    facts = [(1, 1, 5), (2, 1, 10), (3, 1, 19), (4, 1, 20), (5, 1, 25), (6, 2, 15), (7, None, 15), (8, 1, None)] + [(100 + i, r.randrange(8), r.randrange(200)) for i in range(200)]
+    versions = [(1, 10, "a"), (1, 20, "b"), (None, 1, "n"), (3, None, "t")] + [(r.randrange(3, 8), r.randrange(200), f"v{i:03}") for i in range(100)]
+    left = frame(spark, [(i, k, at(t)) for i, k, t in facts], "id long, k long, t timestamp")
+    right = frame(spark, [(k, at(t), v) for k, t, v in versions], "k long, vt timestamp, v string")
+    got = joins.asof_join(left, right, on=["k"], left_ts="t", right_ts="vt", tiebreak="v", **how).select("id", "v").collect()
+    assert sorted(map(tuple, got), key=str) == plain_asof(facts, versions)
+    inner = joins.asof_join(left, right, on=["k"], left_ts="t", right_ts="vt", how="inner", tiebreak="v", **how)
+    assert inner.count() == sum(v is not None for _, v in plain_asof(facts, versions))
+
+
+def test_asof_with_an_empty_side(spark):
+    left = frame(spark, [(1, 1, at(5))], "id long, k long, t timestamp")
+    none = frame(spark, [], "k long, vt timestamp, v string")
+    assert joins.asof_join(left, none, on=["k"], left_ts="t", right_ts="vt").collect()[0].v is None
+    assert joins.asof_join(left.where("false"), none, on=["k"], left_ts="t", right_ts="vt").count() == 0
+
+
+def test_fused_asof_has_one_exchange_for_the_facts(spark):
+    left = frame(spark, [(1, 1, at(5))], "id long, k long, t timestamp")
+    right = frame(spark, [(1, at(1), "a")], "k long, vt timestamp, v string")
+    out = joins.asof_enrich(left, {n: (right, "vt") for n in "abcd"}, on=["k"], ts="t")
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and plan.count("Window [") == 1
+
+
+@pytest.mark.parametrize("bucketed", [False, True])
+@pytest.mark.parametrize("how", ["inner", "left"])
+def test_interval(spark, bucketed, how):
+    r = random.Random(2)
+    left = [(0, 1, 0)] + [(i, r.randrange(4), r.randrange(600)) for i in range(1, 80)] + [(99, None, 5)]
+    right = [(0, 1, -30), (1, 1, 30), (2, 1, 31)] + [(i, r.randrange(4), r.randrange(600)) for i in range(3, 90)] + [(98, None, 5)]
+    a = frame(spark, [(i, k, at(t)) for i, k, t in left], "l long, k long, t timestamp")
+    b = frame(spark, [(i, k, at(t)) for i, k, t in right], "r long, k long, rt timestamp")
+    got = joins.interval_join(a, b, on=["k"], left_ts="t", right_ts="rt", within="30 seconds", how=how, bucketed=bucketed).select("l", "r").collect()
+    want = []
+    for i, k, t in left:
+        hits = [(i, j) for j, k2, t2 in right if k == k2 and k is not None and abs(t - t2) <= 30]
+        want += hits or ([(i, None)] if how == "left" else [])
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+    assert {x[1] for x in map(tuple, got) if x[0] == 0} >= {0, 1} and (0, 2) not in set(map(tuple, got))
+
+
+def test_band_join_has_no_cartesian_product(spark):
+    r = random.Random(3)
+    left, right = [(i, r.randrange(300)) for i in range(40)], [(i, r.randrange(300)) for i in range(40)]
+    a = frame(spark, [(i, at(t)) for i, t in left], "l long, t timestamp")
+    b = frame(spark, [(i, at(t)) for i, t in right], "r long, rt timestamp")
+    out = joins.band_join(a, b, left_ts="t", right_ts="rt", within="2 seconds")
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+    want = []
+    for i, t in left:
+        want += [(i, j) for j, t2 in right if abs(t - t2) <= 2] or [(i, None)]
+    assert sorted(map(tuple, out.select("l", "r").collect()), key=str) == sorted(want, key=str)
+
+
+def test_correlate_falls_back_to_the_second_key(spark):
+    audit = frame(spark, [("x", "t1", at(0), 1), (None, "t2", at(0), 2), ("y", "t3", at(9999), 3), (None, None, at(0), 4)], "opcrequestid string, besttraceid string, at timestamp, n long")
+    logs = frame(spark, [("x", "t2", at(1), 1), ("z", "t2", at(1), 2), (None, "t2", at(1), 3), ("y", None, at(1), 4), (None, None, at(1), 5)], "opcrequestid string, besttraceid string, lt timestamp, m long")
+    got = joins.correlate(audit, logs, audit_ts="at", log_ts="lt", within="1 minute").select("m", "audit_n", "matched_on").collect()
+    assert sorted(map(tuple, got)) == [(1, 1, "opcrequestid"), (2, 2, "besttraceid"), (3, 2, "besttraceid")]
+
+
+def test_lookup(spark):
+    assert [r.v for r in joins.lookup(frame(spark, [("a", 1), ("b' OR 1=1", 2)], "k string, v int"), k="b' OR 1=1").collect()] == [2]
+
+
+def test_panes_equal_the_direct_windows(spark):
+    r = random.Random(4)
+    df = frame(spark, [(r.randrange(3), at(r.randrange(3000)), r.randrange(9)) for _ in range(300)], "k long, t timestamp, v long")
+    parts = {"n": ("count", F.lit(1)), "s": ("sum", F.col("v")), "hi": ("max", F.col("v")), "lo": ("min", F.col("v"))}
+    a, b = (windows.hop_agg(df, ["k"], "5 minutes", "30 seconds", parts, ts="t", panes=p) for p in (False, True))
+    assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
+    with pytest.raises(ValueError):
+        windows.hop_agg(df, ["k"], "5 minutes", "40 seconds", parts, ts="t", panes=True)
+
+
+def test_latest_rows_and_lists(spark):
+    df = frame(spark, [("a", at(1), 1), ("a", at(3), 2), ("a", at(3), 3), ("b", at(2), None)], "k string, t timestamp, v int")
+    assert sorted((r.k, r.v) for r in windows.latest_per_key(df, ["k"], ["t"]).collect()) == [("a", 3), ("b", None)]
+    assert {r.k: r.vs for r in windows.ordered_lists(df, ["k"], ["t", "v"], {"vs": "v"}).collect()} == {"a": "1,2,3", "b": ""}
+    assert [r.v for r in windows.top_k(df, 1, F.desc("t"), F.desc("v")).collect()] == [3]
+    assert sorted(r.v for r in windows.latest_window(df, "t").collect()) == [2, 3]
+    assert sorted(r.v for r in windows.recent(df, "t", "1 second").collect()) == [2, 3]
+
+
+ALF = {"A": "AIM", "L": "LOCK", "F": "FIRE"}
+
+
+def run_patterns(spark, symbols):
+    df = frame(spark, [(1, i, s, i * 10) for i, s in enumerate(symbols)], "p long, seq long, s string, v long")
+    is_ = lambda c: F.col("s") == c
+    a = patterns.match_a_lplus_f(df, by=["p"], order=["seq"], a=is_("A"), l=is_("L"), f=is_("F"), measures={"seq": F.col("seq"), "v": ("last_l", F.col("v"))})
+    b = patterns.match_sequence(df, by=["p"], order=["seq"], defines={c: is_(c) for c in "ALF"}, pattern="A L+ F", measures=lambda rows, text: {"seq": rows["seq"].iloc[-1], "v": rows["v"].iloc[-2]}, out_schema="p long, seq long, v long")
+    return sorted(map(tuple, a.collect())), sorted(map(tuple, b.collect()))
+
+
+@pytest.mark.parametrize("symbols, ends", [("ALF", [2]), ("ALLF", [3]), ("AXLF", []), ("ALXF", []), ("AF", []), ("LF", []), ("ALALF", [4]), ("ALFALLF", [2, 6]), ("XALF", [3]), ("FALF", [3]), ("ALFLF", [2])])
+def test_patterns(spark, symbols, ends):
+    a, b = run_patterns(spark, symbols)
+    assert a == b and [x[1] for x in a] == ends and all(v == (seq - 1) * 10 for _, seq, v in a)
+
+
+def test_random_patterns_agree(spark):
+    r = random.Random(5)
+    a, b = run_patterns(spark, "".join(r.choice("ALLFX") for _ in range(400)))
+    assert a == b and a
+
+
+def test_scalars(spark):
+    df = frame(spark, [("a/b/c", '{"x": {"y": 7}}', "see ocid1.fn.oc1.iad.abc now", "2024-01-01T00:00:01.500Z", [1, 2]), ("a", "no json", "none", "2024-01-01T00:00:01Z", []), (None, None, None, None, None)], "s string, j string, m string, t string, xs array<int>")
+    c = F.col
+    got = df.select(scalars.split_index(c("s"), "/", 1), scalars.split_index(c("s"), "/", 3, base=1), scalars.json_value(c("j"), "$.x.y"), scalars.match_text(c("m"), r"ocid1\.[a-z]+\.[a-z0-9]+\.[a-z]+\.[a-zA-Z0-9]+"), scalars.epoch_ms(scalars.iso_timestamp(c("t"))), scalars.first_item(c("xs"))).collect()
+    assert [tuple(r) for r in got] == [("b", "c", "7", "ocid1.fn.oc1.iad.abc", 1704067201500, 1), (None,) * 6, (None,) * 6]
+
+
+def test_model_replies(spark):
+    df = frame(spark, [("```json\n{\"risk_score\":0.7,\"justification\":\"x\"}\n```",), ("no json",), (None,)], "r string")
+    assert [tuple(r) for r in parse_model_reply(df, "r", ["risk_score", "justification"]).select("risk_score", "justification").collect()] == [("0.7", "x"), (None, None), (None, None)]
+    asked = enrich_with_model(frame(spark, [("p",), ("p",), ("q",), (None,)], "prompt string"), "prompt", lambda ps: [p.upper() for p in ps], batch_size=1)
+    assert sorted(((r.prompt, r.model_reply) for r in asked.collect()), key=str) == sorted([("p", "P"), ("p", "P"), ("q", "Q"), (None, None)], key=str)
+    text = frame(spark, [(None,)], "x string").select(scalars.prompt("x is ", F.col("x"))).first()[0]
+    assert text == "x is unknown"
