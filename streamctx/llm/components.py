@@ -9,9 +9,8 @@ from . import staging
 
 
 def _least(edges: DataFrame, name: str) -> DataFrame:
-    """edges(a, b) with m, the least b of each a. The minima are written first, so that the join can split the rows of a hub."""
-    least = staging.stage(edges.groupBy("a").agg(F.min("b").alias("m")), name)
-    return edges.join(least, "a")
+    """(a, m): the least b of each a of edges(a, b). It is written before it is joined, so that the join can split the rows of a hub."""
+    return staging.stage(edges.groupBy("a").agg(F.min("b").alias("m")), name)
 
 
 def components(links: DataFrame, most_rounds: int = 50) -> DataFrame:
@@ -26,10 +25,14 @@ def components(links: DataFrame, most_rounds: int = 50) -> DataFrame:
         before = state
         # each node's larger neighbours go to its least one
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        large = _least(both, "cc-large").where("b > a").select(F.col("b").alias("a"), F.least("a", "m").alias("b"))
-        edges = staging.stage(large.distinct(), "cc-stars")
+        least = _least(both, "cc-large")
+        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.least("a", "m").alias("b"))
+        stars = staging.stage(large.distinct(), "cc-stars")
+        staging.drop(edges, least)
         # each node and its smaller neighbours go to the least of these
-        near = _least(edges, "cc-small")
+        least = _least(stars, "cc-small")
+        near = stars.join(least, "a")
         small = near.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(near.select("a", F.col("m").alias("b")))
         edges = staging.stage(small.distinct(), "cc-edges")
+        staging.drop(stars, least)
     return edges.groupBy("a").agg(F.min("b").alias("component")).withColumnRenamed("a", "node").unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

@@ -260,7 +260,7 @@ def bounded(pairs: DataFrame) -> DataFrame:
 
 
 def linked(pairs: DataFrame, sets: DataFrame, docs: DataFrame) -> DataFrame:
-    """The (a, b) of staged pairs(a, b) whose full sets link. sets: (set_id, doc_id) of every set."""
+    """The (a, b) of staged pairs(a, b), which are dropped, whose full sets link. sets: (set_id, doc_id) of every set."""
     ids = pairs.select(F.col("a").alias("set_id")).union(pairs.select("b")).distinct()
     rows = staging.stage(sets.select("set_id", "doc_id").join(ids, "set_id").select("doc_id"), "jaccard-rows")
 
@@ -286,7 +286,9 @@ def linked(pairs: DataFrame, sets: DataFrame, docs: DataFrame) -> DataFrame:
 
     side = lambda own, name: full.select(F.col("set_id").alias(own), F.col("tokens").alias(name))
     met = pairs.select("a", "b").join(side("a", "ta"), "a").join(side("b", "tb"), "b").select("a", "b", "ta", "tb")
-    return staging.stage(met.mapInArrow(text.batches(compare), "a long, b long"), "jaccard-links")
+    links = staging.stage(met.mapInArrow(text.batches(compare), "a long, b long"), "jaccard-links")
+    staging.drop(pairs, rows, full)
+    return links
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", often: float = 1 / 500, few: int = 16, block: int = 512, hubs_each: int = 3) -> DataFrame:
@@ -325,6 +327,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
     # 4. components of sets, and the smallest doc_id of each
     part = staging.stage(cc.components(links), "jaccard-parts")
+    staging.drop(met, comp, hubs)
     least = part.join(sets.select(F.col("set_id").alias("node"), "doc_id"), "node").groupBy("component").agg(F.min("doc_id").alias("least"))
     of_set = part.join(staging.stage(least, "jaccard-least"), "component").select(F.col("node").alias("set_id"), "least")
     of_set = sets.select("set_id", "doc_id").join(of_set, "set_id", "left").select("set_id", F.coalesce("least", "doc_id").alias("component"))

@@ -1,7 +1,7 @@
 """Tables written once into the folder that driver and executors share.
 
-Staged tables cut lineage and survive a lost executor. They stay until the
-folder is cleared, because the DataFrames returned by the operators read them.
+Staged tables cut lineage and survive a lost executor. Those that a returned
+DataFrame reads stay until the folder is cleared; others are dropped when they have been read.
 """
 
 from __future__ import annotations
@@ -40,7 +40,17 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._staged_at = path
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Deletes staged tables that nothing reads any more."""
+    for df in tables:
+        jvm = df.sparkSession.sparkContext._jvm
+        at = jvm.org.apache.hadoop.fs.Path(df._staged_at)
+        at.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:

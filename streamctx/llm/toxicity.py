@@ -112,7 +112,7 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float,
     return out
 
 
-def train(docs: DataFrame, labels: DataFrame, *, positives: int = 4000, unlabelled: int = 12000, fold: Column | None = None, seed: int = 7) -> np.ndarray | None:
+def train(docs: DataFrame, labels: DataFrame, *, positives: int = 3000, unlabelled: int = 9000, fold: Column | None = None, seed: int = 7) -> np.ndarray | None:
     """The weight table, from rows of docs (doc_id, text) and labels (doc_id, toxic) for whose doc_id `fold` holds; None without positives."""
     fold = F.lit(True) if fold is None else fold
     known = labels.where(fold & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
