@@ -114,17 +114,15 @@ def correlate(audit: DataFrame, logs: DataFrame, *, keys: Sequence[str] = ("opcr
 
     Rows with a NULL key don't take part in that key's join. `matched_on` names the key.
     """
-    names = [f"{prefix}{c}" for c in audit.columns]
-    audit = audit.select(*[F.col(c).alias(n) for c, n in zip(audit.columns, names, strict=True)])
-    found, rest = None, logs
-    near = F.abs(epoch_us(F.col(log_ts)) - epoch_us(F.col(f"{prefix}{audit_ts}"))) <= _micros(within)
+    out = logs.withColumn("_hit", F.lit(None).cast(audit.schema)).withColumn("matched_on", F.lit(None).cast("string"))
     for k in keys:
-        mine = audit.where(F.col(f"{prefix}{k}").isNotNull())
-        match = (F.col(k) == F.col(f"{prefix}{k}")) & near
-        hit = rest.where(F.col(k).isNotNull()).join(mine, match).withColumn("matched_on", F.lit(k))
-        found = hit if found is None else found.unionByName(hit)
-        rest = rest.join(mine, match, "left_anti")
-    return found
+        mine = audit.where(F.col(k).isNotNull()).select(F.col(k).alias("_key"), F.col(audit_ts).alias("_at"), F.struct(*audit.columns).alias("_new"))
+        near = F.abs(epoch_us(F.col(log_ts)) - epoch_us(F.col("_at"))) <= _micros(within)
+        # rows that are matched already take part with a NULL key
+        out = out.join(mine, (F.when(F.col("_hit").isNull(), F.col(k)) == F.col("_key")) & near, "left")
+        out = out.withColumn("matched_on", F.coalesce("matched_on", F.when(F.col("_new").isNotNull(), F.lit(k))))
+        out = out.withColumn("_hit", F.coalesce("_hit", "_new")).drop("_key", "_at", "_new")
+    return out.where("_hit IS NOT NULL").select(*logs.columns, "matched_on", *[F.col(f"_hit.`{c}`").alias(f"{prefix}{c}") for c in audit.columns])
 
 
 def lookup(view: DataFrame, **key_values: object) -> DataFrame:
