@@ -3,8 +3,8 @@
 A document's set is its distinct 5-word shingles as 64-bit hashes. Two sets link when
 100 * shared >= 75 * union. Equal sets are one node. Then
 
-1. The least set of those with an equal band of minima is a hub; each set is compared with the few
-   hubs that share the most bands with it. This joins most copies, with few pairs each.
+1. The least and the largest set of those with an equal band of minima are hubs; each set is compared
+   with the hubs of its bands (16 at most). This joins most copies, with few pairs each.
 2. Every set sends the first n - ceil(0.75 n) + 1 of its shingles, in one order for all
    sets (often seen ones last), to those shingles' groups. Two linked sets meet in a group.
    This is exact, whatever the order. Members that are already in one component
@@ -32,7 +32,6 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from . import components as cc
 from . import sigtree, staging, text
@@ -59,14 +58,14 @@ def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 
-def profile(docs: DataFrame, *, chunk: int = 2_000_000, often: float = 1 / 500) -> DataFrame:
+def profile(docs: DataFrame, *, chunk: int = 2_000_000, often: float = 1 / 2000) -> DataFrame:
     """Two kinds of rows: of each document (doc_id, set_id, n, bands, bitmap), and counts of often-seen shingles by bucket (set_id: bucket, n: count).
 
     A task counts shingles in chunks; those in `often` of a chunk's sets at least are reported.
     """
 
     def run(them: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = text.Memo(text.word_hash)
+        memo = text.Memo(text.word_hash, 300_000)
         held: dict[int, np.ndarray] = {}
         kinds = {"doc_id": pa.int64(), "set_id": pa.int64(), "n": pa.int64(), "bands": pa.list_(pa.int64()), "bitmap": pa.binary()}
 
@@ -124,7 +123,7 @@ def prefixes(docs: DataFrame, levels: np.ndarray) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(levels)  # 1 MB
 
     def run(them: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = text.Memo(text.word_hash)
+        memo = text.Memo(text.word_hash, 300_000)
         for batch in them:
             keys, ids, sizes, lengths = [], [], [], []
             done: set[int] = set()
@@ -265,7 +264,7 @@ def linked(pairs: DataFrame, sets: DataFrame, docs: DataFrame) -> DataFrame:
     rows = staging.stage(sets.select("set_id", "doc_id").join(ids, "set_id").select("doc_id"), "jaccard-rows")
 
     def whole(them: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = text.Memo(text.word_hash)
+        memo = text.Memo(text.word_hash, 300_000)
         for batch in them:
             found = [text.shingles(text.spaced_words(raw), memo) for raw in text.as_bytes(batch.column(1))]
             found = [t for t in found if len(t)]
@@ -291,7 +290,7 @@ def linked(pairs: DataFrame, sets: DataFrame, docs: DataFrame) -> DataFrame:
     return links
 
 
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", often: float = 1 / 500, few: int = 16, block: int = 512, hubs_each: int = 3) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", often: float = 1 / 2000, few: int = 16, block: int = 512) -> DataFrame:
     """doc_id, n_shingles, component_id of each row of docs. component_id: the smallest doc_id reachable by links."""
     docs = _texts(docs, id_col, text_col)
     rows = staging.stage(profile(docs, often=often), "jaccard-profile")
@@ -301,12 +300,11 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     if not n_sets:
         return of_docs.select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
 
-    # 1. up to hubs_each hubs for each set that shares bands
+    # 1. up to two hubs for each band of a set
     banded = sets.select("set_id", F.posexplode("bands").alias("band", "value"))
-    hubs = staging.stage(banded.groupBy("band", "value").agg(F.min("set_id").alias("hub"), F.count(F.lit(1)).alias("c")).where("c > 1").select("band", "value", "hub"), "jaccard-hubs")
-    shared = banded.join(hubs, ["band", "value"]).where("set_id <> hub").groupBy("set_id", "hub").agg(F.count(F.lit(1)).alias("c"))
-    most = Window.partitionBy("set_id").orderBy(F.desc("c"), "hub")
-    to_hub = shared.withColumn("r", F.row_number().over(most)).where(F.col("r") <= hubs_each).select(F.least("hub", "set_id").alias("a"), F.greatest("hub", "set_id").alias("b")).distinct()
+    ends = banded.groupBy("band", "value").agg(F.min("set_id").alias("low"), F.max("set_id").alias("high")).where("low < high")
+    hubs = staging.stage(ends.select("band", "value", F.explode(F.array("low", "high")).alias("hub")), "jaccard-hubs")
+    to_hub = banded.join(hubs, ["band", "value"]).where("set_id <> hub").select(F.least("hub", "set_id").alias("a"), F.greatest("hub", "set_id").alias("b")).distinct()
     maps = sets.select("set_id", "n", "bitmap")
     side = lambda own: maps.select(F.col("set_id").alias(own), F.col("n").alias(f"n_{own}"), F.col("bitmap").alias(f"map_{own}"))
     with_maps = lambda pairs: pairs.join(side("a"), "a").join(side("b"), "b")
