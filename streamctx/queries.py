@@ -12,6 +12,8 @@ from .functions.scalars import epoch_ms, json_value, match_text, split_index
 from .operators import joins, patterns, windows
 from .plans import adapters as ad
 from .plans import aml, bank, cloudlogs, incidents, signals, soc, viewer
+from .streaming import stateful
+from .streaming.replay import replay
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -502,3 +504,57 @@ def star_enrich(spark, d):
     of = t("customer").select("c_custkey", "c_nationkey").join(F.broadcast(t("nation").select("n_nationkey", "n_name")), F.col("c_nationkey") == F.col("n_nationkey"))  # 25 nations
     out = items.join(of, F.col("o_custkey") == F.col("c_custkey"))
     return out.groupBy(F.col("n_name").alias("nation"), F.col("o_orderpriority").alias("priority")).agg(F.count(F.lit(1)).alias("items"), F.sum((F.col("l_extendedprice") * (1 - F.col("l_discount"))).cast("decimal(18,4)")).cast("double").alias("revenue"))
+
+
+def _replayed(spark, d, build):
+    """A streaming query over events and one far later event of each type, of user -1, which moves the watermark past all others."""
+    e = ad.events(spark, d).select("event_id", "user_id", "ts", "event_type", "value", "k")
+    kinds = F.explode(F.array(*[F.lit(x) for x in ("signup", "error", "click", "view", "purchase")]))
+    last = e.agg((F.max("ts") + F.expr("INTERVAL 100 DAYS")).alias("ts")).where("ts IS NOT NULL")
+    closing = last.select(F.lit(-1).cast("bigint").alias("event_id"), F.lit(-1).cast("bigint").alias("user_id"), "ts", kinds.alias("event_type"), F.lit(0.0).alias("value"), F.lit(0).cast("bigint").alias("k"))
+    return replay(e.unionByName(closing), lambda s: build(s.withColumn("ts", F.col("ts").cast("timestamp")))).where("user_id <> -1")
+
+
+@query(ORACLE_SQL["tumble_stats"].replace(", round(sum(value), 4) AS total", "").replace("count(DISTINCT event_type) AS kinds, ", "count(DISTINCT event_type) AS kinds, "))
+def stream_tumble(spark, d):
+    aggs = [F.count(F.lit(1)).alias("n"), F.size(F.collect_set("event_type")).cast("long").alias("kinds"), F.sum(F.when(F.col("value") > 100, 1).otherwise(0)).alias("high"), F.max(epoch_ms(F.col("ts"))).alias("last_at")]
+    return _replayed(spark, d, lambda s: bounds_in_ms(windows.tumble_agg(s, ["user_id"], "1 hour", aggs, ts="ts", watermark="10 seconds")))
+
+
+@query(ORACLE_SQL["hop_risk"])
+def stream_hop(spark, d):
+    parts = {"errors": ("sum", F.when(F.col("event_type") == "error", 1).otherwise(0)), "n": ("count", F.lit(1)), "most": ("max", F.col("value"))}
+    risk = 10 * F.col("errors") + F.when(F.col("most") > 100, 20).otherwise(0)
+    return _replayed(spark, d, lambda s: bounds_in_ms(windows.hop_agg(s, ["user_id"], "6 hours", "1 hour", parts, ts="ts", watermark="10 seconds").withColumn("risk", risk)))
+
+
+@query(ORACLE_SQL["asof_left"])
+def stream_asof(spark, d):
+    def build(s):
+        facts = s.where("event_type = 'purchase'").select("event_id", "user_id", "ts", "value")
+        versions = s.where("event_type = 'signup'").select("user_id", "ts", "event_id", "value")
+        out = stateful.asof_stream(facts, versions, on=["user_id"], left_ts="ts", right_ts="ts", prefix="v_")
+        return out.select("event_id", "user_id", "value", "v_event_id", "v_value", ms("v_ts", "v_ms"))
+
+    return _replayed(spark, d, build)
+
+
+@query(ORACLE_SQL["pattern_alf"])
+def stream_pattern(spark, d):
+    kind = F.col("event_type")
+
+    def build(s):
+        measures = lambda last, f: [f["user_id"].alias("user_id"), f["event_id"].alias("event_id"), epoch_ms(f["ts"]).alias("match_ms"), last["value"].alias("last_value")]
+        return stateful.match_stream(s, by=["user_id"], ts="ts", tiebreak="event_id", a=kind == "view", l=kind == "click", f=kind == "purchase", measures=measures)
+
+    return _replayed(spark, d, build)
+
+
+@query(ORACLE_SQL["interval_left"])
+def stream_interval_left(spark, d):
+    def build(s):
+        left = s.where("event_type = 'error'").select("user_id", "ts", "event_id").withWatermark("ts", "10 seconds")
+        right = s.where("event_type = 'click'").select("user_id", F.col("ts").alias("r_ts"), F.col("event_id").alias("r_event_id")).withWatermark("r_ts", "10 seconds")
+        return joins.interval_join(left, right, on=["user_id"], left_ts="ts", right_ts="r_ts", within="6 hours", how="left").select("user_id", "event_id", "r_event_id")
+
+    return _replayed(spark, d, build)
