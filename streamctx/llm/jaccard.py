@@ -38,7 +38,7 @@ from . import sigtree, staging, text
 
 MINS, BAND = 32, 4
 #: Buckets of the table of often-seen shingles: its size doesn't depend on the input.
-OFTEN = 1 << 20
+OFTEN = 1 << 22
 
 
 def set_id(tokens: np.ndarray) -> int:
@@ -58,10 +58,10 @@ def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 
-def profile(docs: DataFrame, *, chunk: int = 2_000_000, often: float = 1 / 2000) -> DataFrame:
+def profile(docs: DataFrame, *, chunk: int = 4_000_000, often: int = 3) -> DataFrame:
     """Two kinds of rows: of each document (doc_id, set_id, n, bands, bitmap), and counts of often-seen shingles by bucket (set_id: bucket, n: count).
 
-    A task counts shingles in chunks; those in `often` of a chunk's sets at least are reported.
+    A task counts shingles in chunks of about `chunk`; those in `often` of a chunk's sets at least are reported.
     """
 
     def run(them: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -71,7 +71,7 @@ def profile(docs: DataFrame, *, chunk: int = 2_000_000, often: float = 1 / 2000)
 
         def flush() -> pa.RecordBatch | None:
             values, counts = np.unique(np.concatenate(list(held.values())), return_counts=True)
-            many = counts >= max(3, often * len(held))
+            many = counts >= often
             held.clear()
             where = (values[many] % np.uint64(OFTEN)).astype(np.int64)
             n, none = len(where), [None] * int(many.sum())
@@ -102,10 +102,10 @@ def profile(docs: DataFrame, *, chunk: int = 2_000_000, often: float = 1 / 2000)
     return docs.mapInArrow(run, "doc_id long, set_id long, n long, bands array<long>, bitmap binary")
 
 
-def often_seen(counts: DataFrame, least: float) -> np.ndarray:
-    """OFTEN levels: the logarithm of a bucket's count, 0 below `least`."""
+def often_seen(counts: DataFrame) -> np.ndarray:
+    """OFTEN levels: the logarithm of a bucket's reported count, 0 without one."""
     levels = np.zeros(OFTEN, np.uint8)
-    rows = counts.groupBy("set_id").agg(F.sum("n").alias("n")).where(F.col("n") >= least).toPandas()  # OFTEN rows at most
+    rows = counts.groupBy("set_id").agg(F.sum("n").alias("n")).toPandas()  # OFTEN rows at most
     levels[rows["set_id"].to_numpy(np.int64)] = 1 + np.log2(rows["n"].to_numpy(np.float64)).astype(np.uint8)
     return levels
 
@@ -120,7 +120,7 @@ def prefix(tokens: np.ndarray, levels: np.ndarray) -> np.ndarray:
 
 def prefixes(docs: DataFrame, levels: np.ndarray) -> DataFrame:
     """(key, set_id, n) for each shingle of each set's prefix; a batch has each set once."""
-    shared = docs.sparkSession.sparkContext.broadcast(levels)  # 1 MB
+    shared = docs.sparkSession.sparkContext.broadcast(levels)  # 4 MB, whatever the input
 
     def run(them: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = text.Memo(text.word_hash, 300_000)
@@ -290,14 +290,13 @@ def linked(pairs: DataFrame, sets: DataFrame, docs: DataFrame) -> DataFrame:
     return links
 
 
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", often: float = 1 / 2000, few: int = 16, block: int = 512) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", often: int = 3, few: int = 16, block: int = 512) -> DataFrame:
     """doc_id, n_shingles, component_id of each row of docs. component_id: the smallest doc_id reachable by links."""
     docs = _texts(docs, id_col, text_col)
     rows = staging.stage(profile(docs, often=often), "jaccard-profile")
     of_docs = rows.where("bitmap IS NOT NULL OR n = 0")
     sets = staging.stage(of_docs.where("n > 0").groupBy("set_id").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("bitmap").alias("bitmap")), "jaccard-nodes")
-    n_sets = sets.count()
-    if not n_sets:
+    if sets.isEmpty():
         return of_docs.select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
 
     # 1. up to two hubs for each band of a set
@@ -312,7 +311,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     comp = staging.stage(cc.components(star).withColumnsRenamed({"node": "set_id", "component": "comp"}), "jaccard-comp")
 
     # 2. the groups of prefix shingles
-    levels = often_seen(rows.where("bitmap IS NULL AND n > 0"), max(8, often * n_sets))
+    levels = often_seen(rows.where("bitmap IS NULL AND n > 0"))
     keyed = prefixes(docs, levels).join(staging.small(comp), "set_id", "left").select("key", "set_id", "n", F.when(F.col("comp") != F.col("set_id"), F.col("comp")).alias("comp"))
     met = staging.stage(meetings(keyed.repartition("key"), few=few, block=block), "jaccard-met")
 
