@@ -8,7 +8,9 @@ A document's set is its distinct 5-word shingles as 64-bit hashes. Two sets link
 2. Every set sends the first n - ceil(0.75 n) + 1 of its shingles, in one order for all
    sets (often seen ones last), to those shingles' groups. Two linked sets meet in a group.
    This is exact, whatever the order. Members that are already in one component
-   need not be compared; what is left in a small group are pairs, in a large one blocks.
+   need not be compared. In a large group of several components, each member of the others is first
+   compared with one member of the largest, another one in each group, which joins most of what the bands
+   missed. What is left in a small group are pairs, in a large one blocks.
 3. The blocks' sets are compared by a dual walk over signature trees (sigtree), small
    groups' pairs by the same bound, and what the bounds leave by their full sets.
 4. Links give components.
@@ -142,6 +144,52 @@ def prefixes(docs: DataFrame, levels: np.ndarray) -> DataFrame:
     return docs.mapInArrow(run, "key long, set_id long, n int")
 
 
+CONTESTED = "key long, set_id long, n int, comp long, hub long, hub_comp long"
+
+
+def contested(rows: DataFrame, few: int) -> DataFrame:
+    """CONTESTED: the groups of rows(key, set_id, n, comp), partitioned by key, whose members are of several components.
+
+    A group of over `few` members has a hub, a member of its largest component which the key's hash picks.
+    """
+
+    def run(them: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if (found := grouped(them)) is None:
+            return
+        key, ids, sizes, comps, starts, ends = found
+        several = np.minimum.reduceat(comps, starts) != np.maximum.reduceat(comps, starts)
+        keep = np.repeat(several, ends - starts)
+        hub, hub_comp = np.zeros(len(key), np.int64), np.zeros(len(key), np.int64)
+        for g in np.flatnonzero(several & (ends - starts > few)).tolist():
+            own = slice(starts[g], ends[g])
+            values, counts = np.unique(comps[own], return_counts=True)
+            members = np.flatnonzero(comps[own] == values[np.argmax(counts)]) + starts[g]
+            at = members[xxhash.xxh3_64_intdigest(key[starts[g] : starts[g] + 1].tobytes()) % len(members)]
+            hub[own], hub_comp[own] = ids[at], comps[at]
+        large = np.repeat(ends - starts > few, ends - starts)[keep]
+        columns = [key[keep], ids[keep], sizes[keep].astype(np.int32), comps[keep]]
+        yield pa.record_batch([*map(pa.array, columns), *(pa.array(x[keep], mask=~large) for x in (hub, hub_comp))], [c.split()[0] for c in CONTESTED.split(", ")])
+
+    return rows.mapInArrow(run, CONTESTED)
+
+
+def grouped(them: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, ...] | None:
+    """key, set_id, n, comp in order of keys, each set once in a group, and the groups' starts and ends."""
+    parts = []
+    for b in them:
+        own = b.column(1)
+        parts.append([b.column(0).to_numpy(), own.to_numpy(), b.column(2).to_numpy(), pc.coalesce(b.column(3), own).to_numpy()])
+    if not sum(len(p[0]) for p in parts):
+        return None
+    key, ids, sizes, comps = (np.concatenate([p[c] for p in parts]) for c in range(4))
+    order = np.lexsort((ids, key))
+    key, ids, sizes, comps = key[order], ids[order], sizes[order].astype(np.int64), comps[order]
+    first = np.append(True, (key[1:] != key[:-1]) | (ids[1:] != ids[:-1]))
+    key, ids, sizes, comps = key[first], ids[first], sizes[first], comps[first]
+    starts = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+    return key, ids, sizes, comps, starts, np.append(starts[1:], len(key))
+
+
 MEET = "block long, side int, a long, b long, n int, comp long"
 
 
@@ -180,19 +228,9 @@ def meetings(rows: DataFrame, *, few: int = 16, block: int = 512) -> DataFrame:
                     out.append(np.stack([full(number), full(side), part, full(0), sizes[s : s + block], comps[s : s + block]]))
 
     def run(them: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = []
-        for b in them:
-            own = b.column(1)
-            parts.append([b.column(0).to_numpy(), own.to_numpy(), b.column(2).to_numpy(), pc.coalesce(b.column(3), own).to_numpy()])
-        if not sum(len(p[0]) for p in parts):
+        if (found := grouped(them)) is None:
             return
-        key, ids, sizes, comps = (np.concatenate([p[c] for p in parts]) for c in range(4))
-        order = np.lexsort((ids, key))
-        key, ids, sizes, comps = key[order], ids[order], sizes[order].astype(np.int64), comps[order]
-        first = np.append(True, (key[1:] != key[:-1]) | (ids[1:] != ids[:-1]))  # each set once in a group
-        key, ids, sizes, comps = key[first], ids[first], sizes[first], comps[first]
-        starts = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-        ends = np.append(starts[1:], len(key))
+        key, ids, sizes, comps, starts, ends = found
         several = np.flatnonzero(np.minimum.reduceat(comps, starts) != np.maximum.reduceat(comps, starts))
         out: list[np.ndarray] = []
         made = 0
@@ -313,7 +351,13 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     # 2. the groups of prefix shingles
     levels = often_seen(rows.where("bitmap IS NULL AND n > 0"))
     keyed = prefixes(docs, levels).join(staging.small(comp), "set_id", "left").select("key", "set_id", "n", F.when(F.col("comp") != F.col("set_id"), F.col("comp")).alias("comp"))
-    met = staging.stage(meetings(keyed.repartition("key"), few=few, block=block), "jaccard-met")
+    groups = staging.stage(contested(keyed.repartition("key"), few), "jaccard-contested")
+    to_hub = groups.where("comp <> hub_comp").select(F.least("hub", "set_id").alias("a"), F.greatest("hub", "set_id").alias("b")).distinct()
+    star = star.unionByName(linked(staging.stage(bounded(with_maps(to_hub)), "jaccard-star"), sets, docs))
+    staging.drop(comp)
+    comp = staging.stage(cc.components(star).withColumnsRenamed({"node": "set_id", "component": "comp"}), "jaccard-comp")
+    again = groups.select("key", "set_id", "n").join(staging.small(comp), "set_id", "left").select("key", "set_id", "n", F.when(F.col("comp") != F.col("set_id"), F.col("comp")).alias("comp"))
+    met = staging.stage(meetings(again.repartition("key"), few=few, block=block), "jaccard-met")
 
     # 3. bounds, then full sets
     near = bounded(with_maps(met.where("side < 0").select("a", "b").distinct()))
@@ -324,7 +368,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
     # 4. components of sets, and the smallest doc_id of each
     part = staging.stage(cc.components(links), "jaccard-parts")
-    staging.drop(met, comp, hubs)
+    staging.drop(met, groups, comp, hubs)
     least = part.join(sets.select(F.col("set_id").alias("node"), "doc_id"), "node").groupBy("component").agg(F.min("doc_id").alias("least"))
     of_set = part.join(staging.stage(least, "jaccard-least"), "component").select(F.col("node").alias("set_id"), "least")
     of_set = sets.select("set_id", "doc_id").join(of_set, "set_id", "left").select("set_id", F.coalesce("least", "doc_id").alias("component"))
