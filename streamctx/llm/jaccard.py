@@ -196,8 +196,8 @@ MEET = "block long, side int, a long, b long, n int, comp long"
 def meetings(rows: DataFrame, *, few: int = 16, block: int = 512) -> DataFrame:
     """What is to be compared in each key's group of rows(key, set_id, n, comp), which must be partitioned by key (comp: NULL for the set itself).
 
-    Of a group of up to `few` members, pairs (a, b), with side -1; of a larger one, members (block, side, a): in a
-    block with one side each with each, with two sides across.
+    Of a group of up to `few` members, pairs (a, b), with side -1; of a larger one, members (block, side, a, and the key as b):
+    in a block with one side each with each, with two sides across.
     """
 
     def group_rows(key: int, ids: np.ndarray, sizes: np.ndarray, comps: np.ndarray, out: list[np.ndarray]) -> None:
@@ -225,7 +225,7 @@ def meetings(rows: DataFrame, *, few: int = 16, block: int = 512) -> DataFrame:
                 for side, s in sides:
                     part = ids[s : s + block]
                     full = lambda v, n=len(part): np.full(n, v, np.int64)
-                    out.append(np.stack([full(number), full(side), part, full(0), sizes[s : s + block], comps[s : s + block]]))
+                    out.append(np.stack([full(number), full(side), part, full(key), sizes[s : s + block], comps[s : s + block]]))
 
     def run(them: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if (found := grouped(them)) is None:
@@ -252,15 +252,19 @@ def meetings(rows: DataFrame, *, few: int = 16, block: int = 512) -> DataFrame:
 
 
 def walk(members: DataFrame) -> DataFrame:
-    """(a, b) that may link, of members(block, side, a, n, comp, bitmap), which must be partitioned by block."""
+    """(a, b) that may link, of members(block, side, a, b, n, comp, bitmap, keys), which must be partitioned by block.
+
+    keys: all large groups' keys that the set is a member of. A pair is looked at in the least key that both have.
+    """
 
     def run(them: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = list(them)
         if not sum(b.num_rows for b in rows):
             return
         table = pa.Table.from_batches(rows)
-        block, side, a, n, comp = (table.column(c).to_numpy() for c in ("block", "side", "a", "n", "comp"))
+        block, side, a, key, n, comp = (table.column(c).to_numpy() for c in ("block", "side", "a", "b", "n", "comp"))
         n, raw = n.astype(np.int64), table.column("bitmap").to_pylist()
+        keys = [frozenset(x) for x in table.column("keys").to_pylist()]
         order = np.lexsort((a, n, side, block))
         starts = np.flatnonzero(np.append(True, np.diff(block[order]) != 0))
         for lo, hi in zip(starts, np.append(starts[1:], len(order)), strict=True):
@@ -277,6 +281,8 @@ def walk(members: DataFrame) -> DataFrame:
                     i, j = sigtree.pairs(trees[0], trees[1], same=same and x == y)
                     i, j = px[i], py[j]
                     ok = comp[i] != comp[j]
+                    i, j, own_key = i[ok], j[ok], key[own[0]]
+                    ok = np.array([min(keys[v] & keys[w]) == own_key for v, w in zip(i.tolist(), j.tolist(), strict=True)], bool)
                     i, j = a[i[ok]], a[j[ok]]
                     if len(i):
                         yield pa.record_batch([pa.array(np.minimum(i, j)), pa.array(np.maximum(i, j))], ["a", "b"])
@@ -361,8 +367,10 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
     # 3. bounds, then full sets
     near = bounded(with_maps(met.where("side < 0").select("a", "b").distinct()))
-    members = met.where("side >= 0").select("block", "side", "a", "n", "comp").join(maps.select(F.col("set_id").alias("a"), "bitmap"), "a")
-    deep = walk(members.select("block", "side", "a", "n", "comp", "bitmap").repartition("block"))
+    large = met.where("side >= 0")
+    keys = large.groupBy("a").agg(F.collect_set("b").alias("keys"))
+    members = large.join(maps.select(F.col("set_id").alias("a"), "bitmap"), "a").join(keys, "a")
+    deep = walk(members.select("block", "side", "a", "b", "n", "comp", "bitmap", "keys").repartition("block"))
     left = staging.stage(near.unionByName(deep).distinct(), "jaccard-left")
     links = star.unionByName(linked(left, sets, docs))
 
