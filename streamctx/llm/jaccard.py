@@ -60,14 +60,14 @@ def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 
-def profile(docs: DataFrame, *, chunk: int = 4_000_000, often: int = 3) -> DataFrame:
+def profile(docs: DataFrame, *, chunk: int = 1_000_000, often: int = 3) -> DataFrame:
     """Two kinds of rows: of each document (doc_id, set_id, n, bands, bitmap), and counts of often-seen shingles by bucket (set_id: bucket, n: count).
 
     A task counts shingles in chunks of about `chunk`; those in `often` of a chunk's sets at least are reported.
     """
 
     def run(them: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = text.Memo(text.word_hash, 300_000)
+        memo = text.Memo(text.word_hash, 100_000)
         held: dict[int, np.ndarray] = {}
         kinds = {"doc_id": pa.int64(), "set_id": pa.int64(), "n": pa.int64(), "bands": pa.list_(pa.int64()), "bitmap": pa.binary()}
 
@@ -125,7 +125,7 @@ def prefixes(docs: DataFrame, levels: np.ndarray) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(levels)  # 4 MB, whatever the input
 
     def run(them: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = text.Memo(text.word_hash, 300_000)
+        memo = text.Memo(text.word_hash, 100_000)
         for batch in them:
             keys, ids, sizes, lengths = [], [], [], []
             done: set[int] = set()
@@ -308,7 +308,7 @@ def linked(pairs: DataFrame, sets: DataFrame, docs: DataFrame) -> DataFrame:
     rows = staging.stage(sets.select("set_id", "doc_id").join(ids, "set_id").select("doc_id"), "jaccard-rows")
 
     def whole(them: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = text.Memo(text.word_hash, 300_000)
+        memo = text.Memo(text.word_hash, 100_000)
         for batch in them:
             found = [text.shingles(text.spaced_words(raw), memo) for raw in text.as_bytes(batch.column(1))]
             found = [t for t in found if len(t)]

@@ -25,7 +25,7 @@ def spaced_words(text: bytes) -> list[bytes]:
 class Memo(dict):
     """What `make` gives for a word, remembered for up to `most` words."""
 
-    def __init__(self, make: Callable[[bytes], object], most: int = 1_000_000):
+    def __init__(self, make: Callable[[bytes], object], most: int = 200_000):
         super().__init__()
         self.make, self.most = make, most
 
