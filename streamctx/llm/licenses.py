@@ -1,9 +1,11 @@
 """Licence scans by a positional index of rare words.
 
 Of the templates' words, the document frequency over the whole corpus is counted
-first. Then each file's licence words, rarest first, look up postings (template,
-position); places where several of them agree on a template's start are candidates,
-and a candidate is verified by the template's mandatory key phrases near its place.
+first. Then the rarest words of each template whose key phrases' words are all in a file
+look up postings (template, position), at all their places; so many of a template's words are looked
+up that a place where `needed` of its words stand has one of them at least, whatever else the file
+holds. A start where that many words stand is a candidate, and a candidate is verified by the
+template's mandatory key phrases near its place.
 Short phrases (PHRASES) are found the same way through their rarest word, at
 every place where their words stand consecutively.
 
@@ -57,15 +59,20 @@ class Index:
 
     def __init__(self, df: dict[bytes, int], n_docs: int, *, rare: int = 12, agree: float = 0.5, slack: int = 3):
         self.idf = {w: math.log((n_docs + 1) / (df.get(w, 0) + 1)) for w in vocabulary()}
-        self.rare, self.slack = rare, slack
+        self.slack = slack
         self.templates = [(t.label, t.words.encode().split(), [k.encode().split() for k in t.keys]) for t in TEMPLATES]
-        self.postings: dict[bytes, list[tuple[int, int]]] = defaultdict(list)
+        self.of_keys = [frozenset(w for k in keys for w in k) for _, _, keys in self.templates]
+        #: of each template: the places of its words by word, for as many rare words as leave fewer than `needed`
+        self.postings: list[dict[bytes, list[int]]] = []
         self.needed = []
-        for t, (_, words, _) in enumerate(self.templates):
-            for at, w in enumerate(words):
-                self.postings[w].append((t, at))
-            # votes that a candidate needs: this part of the template's rarest words
+        for _, words, _ in self.templates:
+            # words that must stand in place at a candidate: this part of the template, or of `rare` words of a long one
             self.needed.append(max(2, math.ceil(agree * min(rare, len(words)))))
+            rarest = sorted(range(len(words)), key=lambda i: (-self.idf[words[i]], words[i], i))
+            own: dict[bytes, list[int]] = defaultdict(list)
+            for at in rarest[: len(words) - self.needed[-1] + 1]:
+                own[words[at]].append(at)
+            self.postings.append(dict(own))
         self.phrases = []
         for phrase, label in PHRASES:
             words = phrase.encode().split()
@@ -89,19 +96,17 @@ class Index:
                 starts += found
                 base.add(label)
         score, own = 0.5 if base else 0.0, set()
-        votes: Counter[tuple[int, int]] = Counter()
-        for w in sorted(here, key=lambda w: (-self.idf[w], w))[: self.rare]:
-            for t, at in self.postings[w]:
-                votes.update((t, p - at) for p in places[w])
-        for (t, start), n in votes.items():
-            label, template, keys = self.templates[t]
-            if n < self.needed[t]:
+        for (label, template, keys), of_keys, postings, needed in zip(self.templates, self.of_keys, self.postings, self.needed, strict=True):
+            if not of_keys <= here:
                 continue
-            span = words[max(0, start - self.slack) : max(0, start + len(template) + self.slack)]
-            if all(any(span[i : i + len(k)] == k for i in range(len(span) - len(k) + 1)) for k in keys):
-                own.add(label)
+            for start in {p - at for w, ats in postings.items() if w in here for at in ats for p in places[w]}:
                 same = sum(1 for i, w in enumerate(template) if 0 <= start + i < len(words) and words[start + i] == w)
-                score = max(score, same / len(template))
+                if same < needed:
+                    continue
+                span = words[max(0, start - self.slack) : max(0, start + len(template) + self.slack)]
+                if all(any(span[i : i + len(k)] == k for i in range(len(span) - len(k) + 1)) for k in keys):
+                    own.add(label)
+                    score = max(score, same / len(template))
         return starts, sorted(base), sorted(base | own), score
 
 

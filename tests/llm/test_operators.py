@@ -261,6 +261,20 @@ def test_licenses(documents):
     assert licenses.scan_licenses(documents([])).count() == 0
 
 
+def test_licenses_in_one_very_long_text(documents):
+    passages = {t.label: t.words for t in licenses.TEMPLATES if t.label in ("bsd", "isc", "mpl-2.0", "unlicense", "cc-by")}
+    passages["mit"] = licenses.TEMPLATES[1].words
+    rare = " ".join(sorted(w.decode() for w in licenses.vocabulary()))
+    long = " ".join([words(20000, 1), rare, *(f"{words(3000, n)} {t}" for n, t in enumerate(passages.values())), words(9000, 2)])
+    rows = [(0, long), *[(1 + n, f"{words(30, n)} {t} {rare}") for n, t in enumerate(passages.values())], (90, " ".join(passages.values())), (91, f"{rare} {words(500, 3)}")]
+    got = {r.doc_id: r for r in licenses.scan_licenses(documents(rows)).collect()}
+    for i in (0, 90):
+        assert got[i].labels == ",".join(sorted(passages)) and got[i].score == 1
+    for n, label in enumerate(passages):
+        assert got[1 + n].labels == label and got[1 + n].score == 1
+    assert got[91].labels == ""
+
+
 # --- top k
 
 
