@@ -7,7 +7,9 @@ A document's set is its distinct 5-word shingles as 64-bit hashes. Two sets link
    with the hubs of its bands (16 at most). This joins most copies, with few pairs each.
 2. Every set sends the first n - ceil(0.75 n) + 1 of its shingles, in one order for all
    sets (often seen ones last), to those shingles' groups. Two linked sets meet in a group.
-   This is exact, whatever the order. Members that are already in one component
+   This is exact, whatever the order. Of two linked sets the smaller one has at least 6/7 of its shingles
+   from their first shared one on: there it leads, and members that don't lead need not be compared with
+   one another, nor with smaller ones. Members that are already in one component
    need not be compared. In a large group of several components, each member of the others is first
    compared with one member of the largest, another one in each group, which joins most of what the bands
    missed. What is left in a small group are pairs, in a large one blocks.
@@ -16,7 +18,8 @@ A document's set is its distinct 5-word shingles as 64-bit hashes. Two sets link
 4. Links give components.
 
 A group's blocks have at most 2 * `block` members, and members of a group are cut into
-blocks by size, so that block pairs whose sizes cannot link are never made. Nothing is dropped.
+blocks by size, so that block pairs whose sizes cannot link are never made. Groups of over `hot` members are counted
+first and dealt to blocks by hash, by Spark, so that their blocks are made in many tasks. Nothing is dropped.
 
 Null texts and texts without words have an empty set, no links, and their own
 doc_id as component. A text of fewer than 5 words is one shingle. Rows that repeat a
@@ -112,6 +115,11 @@ def often_seen(counts: DataFrame) -> np.ndarray:
     return levels
 
 
+def leading(n: int) -> int:
+    """How many of a prefix's first tokens have at least 6/7 of the set's n tokens from them on."""
+    return n - (6 * n + 6) // 7 + 1
+
+
 def prefix(tokens: np.ndarray, levels: np.ndarray) -> np.ndarray:
     """The first n - ceil(0.75 n) + 1 tokens in the order of (level, hash)."""
     n = len(tokens)
@@ -121,7 +129,7 @@ def prefix(tokens: np.ndarray, levels: np.ndarray) -> np.ndarray:
 
 
 def prefixes(docs: DataFrame, levels: np.ndarray) -> DataFrame:
-    """(key, set_id, n) for each shingle of each set's prefix; a batch has each set once."""
+    """(key, set_id, n, lead) for each shingle of each set's prefix; a batch has each set once."""
     shared = docs.sparkSession.sparkContext.broadcast(levels)  # 4 MB, whatever the input
 
     def run(them: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -139,16 +147,16 @@ def prefixes(docs: DataFrame, levels: np.ndarray) -> DataFrame:
                 sizes.append(len(tokens))
                 lengths.append(len(keys[-1]))
             if keys:
-                yield pa.record_batch([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.repeat(np.array(ids, np.int64), lengths)), pa.array(np.repeat(np.array(sizes, np.int32), lengths))], ["key", "set_id", "n"])
+                yield pa.record_batch([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.repeat(np.array(ids, np.int64), lengths)), pa.array(np.repeat(np.array(sizes, np.int32), lengths)), pa.array(np.concatenate([np.arange(m) < leading(n) for m, n in zip(lengths, sizes, strict=True)]))], ["key", "set_id", "n", "lead"])
 
-    return docs.mapInArrow(run, "key long, set_id long, n int")
+    return docs.mapInArrow(run, "key long, set_id long, n int, lead boolean")
 
 
-CONTESTED = "key long, set_id long, n int, comp long, hub long, hub_comp long"
+CONTESTED = "key long, set_id long, n int, lead boolean, comp long, hub long, hub_comp long"
 
 
 def contested(rows: DataFrame, few: int) -> DataFrame:
-    """CONTESTED: the groups of rows(key, set_id, n, comp), partitioned by key, whose members are of several components.
+    """CONTESTED: the groups of rows(key, set_id, n, lead, comp), partitioned by key, that have a leading member and members of several components.
 
     A group of over `few` members has a hub, a member of its largest component which the key's hash picks.
     """
@@ -156,8 +164,8 @@ def contested(rows: DataFrame, few: int) -> DataFrame:
     def run(them: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if (found := grouped(them)) is None:
             return
-        key, ids, sizes, comps, starts, ends = found
-        several = np.minimum.reduceat(comps, starts) != np.maximum.reduceat(comps, starts)
+        key, ids, sizes, lead, comps, starts, ends = found
+        several = (np.minimum.reduceat(comps, starts) != np.maximum.reduceat(comps, starts)) & np.logical_or.reduceat(lead, starts)
         keep = np.repeat(several, ends - starts)
         hub, hub_comp = np.zeros(len(key), np.int64), np.zeros(len(key), np.int64)
         for g in np.flatnonzero(several & (ends - starts > few)).tolist():
@@ -167,104 +175,154 @@ def contested(rows: DataFrame, few: int) -> DataFrame:
             at = members[xxhash.xxh3_64_intdigest(key[starts[g] : starts[g] + 1].tobytes()) % len(members)]
             hub[own], hub_comp[own] = ids[at], comps[at]
         large = np.repeat(ends - starts > few, ends - starts)[keep]
-        columns = [key[keep], ids[keep], sizes[keep].astype(np.int32), comps[keep]]
+        columns = [key[keep], ids[keep], sizes[keep].astype(np.int32), lead[keep], comps[keep]]
         yield pa.record_batch([*map(pa.array, columns), *(pa.array(x[keep], mask=~large) for x in (hub, hub_comp))], [c.split()[0] for c in CONTESTED.split(", ")])
 
     return rows.mapInArrow(run, CONTESTED)
 
 
 def grouped(them: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, ...] | None:
-    """key, set_id, n, comp in order of keys, each set once in a group, and the groups' starts and ends."""
+    """key, set_id, n, lead, comp in order of keys, each set once in a group, and the groups' starts and ends."""
     parts = []
     for b in them:
         own = b.column(1)
-        parts.append([b.column(0).to_numpy(), own.to_numpy(), b.column(2).to_numpy(), pc.coalesce(b.column(3), own).to_numpy()])
+        parts.append([b.column(0).to_numpy(), own.to_numpy(), b.column(2).to_numpy(), b.column(3).to_numpy(zero_copy_only=False), pc.coalesce(b.column(4), own).to_numpy()])
     if not sum(len(p[0]) for p in parts):
         return None
-    key, ids, sizes, comps = (np.concatenate([p[c] for p in parts]) for c in range(4))
+    key, ids, sizes, lead, comps = (np.concatenate([p[c] for p in parts]) for c in range(5))
     order = np.lexsort((ids, key))
-    key, ids, sizes, comps = key[order], ids[order], sizes[order].astype(np.int64), comps[order]
+    key, ids, sizes, lead, comps = key[order], ids[order], sizes[order].astype(np.int64), lead[order], comps[order]
     first = np.append(True, (key[1:] != key[:-1]) | (ids[1:] != ids[:-1]))
-    key, ids, sizes, comps = key[first], ids[first], sizes[first], comps[first]
+    key, ids, sizes, lead, comps = key[first], ids[first], sizes[first], lead[first], comps[first]
     starts = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-    return key, ids, sizes, comps, starts, np.append(starts[1:], len(key))
+    return key, ids, sizes, lead, comps, starts, np.append(starts[1:], len(key))
 
 
-MEET = "block long, side int, a long, b long, n int, comp long"
+MEET = "block long, side int, a long, b long, n int, lead boolean, comp long"
 
 
 def meetings(rows: DataFrame, *, few: int = 16, block: int = 512) -> DataFrame:
-    """What is to be compared in each key's group of rows(key, set_id, n, comp), which must be partitioned by key (comp: NULL for the set itself).
+    """What is to be compared in each key's group of rows(key, set_id, n, lead, comp), which must be partitioned by key (comp: NULL for the set itself).
 
     Of a group of up to `few` members, pairs (a, b), with side -1; of a larger one, members (block, side, a, and the key as b):
     in a block with one side each with each, with two sides across.
     """
 
-    def group_rows(key: int, ids: np.ndarray, sizes: np.ndarray, comps: np.ndarray, out: list[np.ndarray]) -> None:
+    def group_rows(key: int, ids: np.ndarray, sizes: np.ndarray, lead: np.ndarray, comps: np.ndarray) -> Iterator[np.ndarray]:
         if len(ids) <= few:
             i, j = np.triu_indices(len(ids), 1)
             ok = (comps[i] != comps[j]) & (4 * np.minimum(sizes[i], sizes[j]) >= 3 * np.maximum(sizes[i], sizes[j]))
+            ok &= (lead[i] | (sizes[i] > sizes[j])) & (lead[j] | (sizes[j] > sizes[i]))
             i, j = i[ok], j[ok]
             if len(i):
                 zero = np.zeros(len(i), np.int64)
-                out.append(np.stack([zero, zero - 1, np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j]), zero, zero]))
+                yield np.stack([zero, zero - 1, np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j]), zero, zero, zero])
             return
         order = np.argsort(sizes, kind="stable")
-        ids, sizes, comps = ids[order], sizes[order], comps[order]
-        starts = list(range(0, len(ids), block))
-        for x, lo in enumerate(starts):
-            for y in range(x, len(starts)):
-                hi = starts[y]
-                if y > x and 4 * sizes[min(lo + block, len(ids)) - 1] < 3 * sizes[hi]:
-                    break  # from here on all are too large
-                sides = [(0, lo)] if x == y else [(0, lo), (1, hi)]
-                members = np.concatenate([comps[s : s + block] for _, s in sides])
-                if (members == members[0]).all():
-                    continue
-                number = int(np.uint64(xxhash.xxh3_64_intdigest(np.array([key, x, y], np.int64).tobytes())).view(np.int64))
-                for side, s in sides:
-                    part = ids[s : s + block]
-                    full = lambda v, n=len(part): np.full(n, v, np.int64)
-                    out.append(np.stack([full(number), full(side), part, full(key), sizes[s : s + block], comps[s : s + block]]))
+        ids, sizes, lead, comps = ids[order], sizes[order], lead[order], comps[order]
+        cut = [[at[lo : lo + block] for lo in range(0, len(at), block)] for at in (np.flatnonzero(lead), np.flatnonzero(~lead))]
+        for x, one in enumerate(cut[0]):
+            for kind, others in enumerate(cut):
+                for y in range(x if kind == 0 else 0, len(others)):
+                    other = others[y]
+                    if 4 * sizes[one[-1]] < 3 * sizes[other[0]]:
+                        break  # from here on all are too large
+                    if sizes[other[-1]] < sizes[one[0]]:
+                        continue  # too small for members that don't lead
+                    sides = [one] if kind == 0 and x == y else [one, other]
+                    members = np.concatenate([comps[at] for at in sides])
+                    if (members == members[0]).all():
+                        continue
+                    number = int(np.uint64(xxhash.xxh3_64_intdigest(np.array([key, x, y, kind], np.int64).tobytes())).view(np.int64))
+                    for side, at in enumerate(sides):
+                        full = lambda v, n=len(at): np.full(n, v, np.int64)
+                        yield np.stack([full(number), full(side), ids[at], full(key), sizes[at], lead[at].astype(np.int64), comps[at]])
 
     def run(them: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if (found := grouped(them)) is None:
             return
-        key, ids, sizes, comps, starts, ends = found
+        key, ids, sizes, lead, comps, starts, ends = found
         several = np.flatnonzero(np.minimum.reduceat(comps, starts) != np.maximum.reduceat(comps, starts))
         out: list[np.ndarray] = []
         made = 0
         for g in several.tolist():
-            lo, hi = starts[g], ends[g]
-            group_rows(int(key[lo]), ids[lo:hi], sizes[lo:hi], comps[lo:hi], out)
-            made += out[-1].shape[1] if out else 0
-            if made > 100_000:
-                yield meet(out)
-                out, made = [], 0
+            own = slice(starts[g], ends[g])
+            for part in group_rows(int(key[starts[g]]), ids[own], sizes[own], lead[own], comps[own]):
+                out.append(part)
+                made += part.shape[1]
+                if made > 100_000:
+                    yield meet(out)
+                    out, made = [], 0
         if out:
             yield meet(out)
 
     def meet(out: list[np.ndarray]) -> pa.RecordBatch:
-        block_, side, a, b, n, comp = np.concatenate(out, axis=1)
-        return pa.record_batch([pa.array(block_), pa.array(side.astype(np.int32)), pa.array(a), pa.array(b), pa.array(n.astype(np.int32)), pa.array(comp)], MEET.replace(" long", "").replace(" int", "").split(", "))
+        block_, side, a, b, n, lead, comp = np.concatenate(out, axis=1)
+        return pa.record_batch([pa.array(block_), pa.array(side.astype(np.int32)), pa.array(a), pa.array(b), pa.array(n.astype(np.int32)), pa.array(lead.astype(bool)), pa.array(comp)], [c.split()[0] for c in MEET.split(", ")])
 
     return rows.mapInArrow(run, MEET)
 
 
+#: What members of one class have in common, and bands of sizes: linked sets are in one, or in neighbouring ones.
+CLASS = ["band", "lead", "major"]
+BAND_OF_SIZES = 1.34
+
+
+def dealt(rows: DataFrame, block: int) -> DataFrame:
+    """MEET: members of blocks of the groups of rows(key, set_id, n, lead, comp), staged, whose keys' groups are too large for one task.
+
+    A group's members are dealt by hash to blocks within a class (band of sizes, leading, in the group's largest component),
+    and each goes to all blocks of the classes that its own can link with.
+    """
+    rows = rows.withColumn("comp", F.coalesce("comp", "set_id"))
+    most = rows.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("m")).groupBy("key").agg(F.max_by("comp", F.struct("m", "comp")).alias("most"))
+    rows = rows.join(F.broadcast(staging.stage(most, "jaccard-most")), "key").withColumn("major", F.col("comp") == F.col("most"))  # a row for each hot key
+    rows = staging.stage(rows.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / math.log(BAND_OF_SIZES))).drop("most"), "jaccard-classes")
+    sizes = staging.stage(rows.groupBy("key", *CLASS).agg(F.ceil(F.count(F.lit(1)) / block).alias("blocks")), "jaccard-class-sizes")
+    theirs = sizes.select("key", *(F.col(c).alias(f"{c}_") for c in CLASS), F.col("blocks").alias("blocks_"))
+    leads = (F.col("lead") & (F.col("band") <= F.col("band_"))) | (F.col("lead_") & (F.col("band_") <= F.col("band")))
+    partners = sizes.join(theirs, "key").where(leads & (F.abs(F.col("band") - F.col("band_")) <= 1) & ~(F.col("major") & F.col("major_")))
+    own, other = F.struct(*CLASS), F.struct(*(F.col(f"{c}_").alias(c) for c in CLASS))
+    met = rows.join(staging.small(staging.stage(partners, "jaccard-partners")), ["key", *CLASS])
+    met = met.withColumn("i", F.pmod(F.xxhash64("set_id"), "blocks")).withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks_") - 1)))
+    first = (own < other) | ((own == other) & (F.col("i") <= F.col("j")))
+    here, there = F.struct(own.alias("c"), "i"), F.struct(other.alias("c"), F.col("j").alias("i"))
+    number = F.xxhash64("key", F.when(first, here).otherwise(there), F.when(first, there).otherwise(here))
+    return met.select(number.alias("block"), F.when(first, 0).otherwise(1).alias("side"), F.col("set_id").alias("a"), F.col("key").alias("b"), "n", "lead", "comp")
+
+
+def whole_blocks(them: Iterator[pa.RecordBatch], rows: int = 20_000) -> Iterator[pa.Table]:
+    """The rows of batches in order of blocks, some whole blocks at a time."""
+    held: list[pa.RecordBatch] = []
+    for batch in them:
+        if batch.num_rows:
+            held.append(batch)
+        if sum(b.num_rows for b in held) >= rows:
+            table = pa.Table.from_batches(held)
+            block = table.column("block").to_numpy()
+            cut = int(np.flatnonzero(block == block[-1])[0])
+            if cut:
+                yield table.slice(0, cut)
+                held = table.slice(cut).combine_chunks().to_batches()
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def walk(members: DataFrame) -> DataFrame:
-    """(a, b) that may link, of members(block, side, a, b, n, comp, bitmap, keys), which must be partitioned by block.
+    """(a, b) that may link, of members(block, side, a, b, n, comp, bitmap, keys, leads), which must be partitioned by block, and in its order.
 
-    keys: all large groups' keys that the set is a member of. A pair is looked at in the least key that both have.
+    keys: all large groups' keys that the set is a member of; leads: those in which it leads. A pair is looked at in the least key in
+    which its smaller set leads, of those that both have.
     """
 
     def run(them: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = list(them)
-        if not sum(b.num_rows for b in rows):
-            return
-        table = pa.Table.from_batches(rows)
+        for table in whole_blocks(them):
+            yield from walked(table)
+
+    def walked(table: pa.Table) -> Iterator[pa.RecordBatch]:
         block, side, a, key, n, comp = (table.column(c).to_numpy() for c in ("block", "side", "a", "b", "n", "comp"))
         n, raw = n.astype(np.int64), table.column("bitmap").to_pylist()
-        keys = [frozenset(x) for x in table.column("keys").to_pylist()]
+        keys, leads = ([frozenset(x) for x in table.column(c).to_pylist()] for c in ("keys", "leads"))
         order = np.lexsort((a, n, side, block))
         starts = np.flatnonzero(np.append(True, np.diff(block[order]) != 0))
         for lo, hi in zip(starts, np.append(starts[1:], len(order)), strict=True):
@@ -282,7 +340,9 @@ def walk(members: DataFrame) -> DataFrame:
                     i, j = px[i], py[j]
                     ok = comp[i] != comp[j]
                     i, j, own_key = i[ok], j[ok], key[own[0]]
-                    ok = np.array([min(keys[v] & keys[w]) == own_key for v, w in zip(i.tolist(), j.tolist(), strict=True)], bool)
+                    up = (n[i] < n[j]) | ((n[i] == n[j]) & (a[i] < a[j]))
+                    less, more = np.where(up, i, j), np.where(up, j, i)
+                    ok = np.array([min(leads[v] & keys[w], default=None) == own_key for v, w in zip(less.tolist(), more.tolist(), strict=True)], bool)
                     i, j = a[i[ok]], a[j[ok]]
                     if len(i):
                         yield pa.record_batch([pa.array(np.minimum(i, j)), pa.array(np.maximum(i, j))], ["a", "b"])
@@ -334,7 +394,7 @@ def linked(pairs: DataFrame, sets: DataFrame, docs: DataFrame) -> DataFrame:
     return links
 
 
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", often: int = 3, few: int = 16, block: int = 512) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", often: int = 3, few: int = 16, block: int = 512, hot: int = 8192) -> DataFrame:
     """doc_id, n_shingles, component_id of each row of docs. component_id: the smallest doc_id reachable by links."""
     docs = _texts(docs, id_col, text_col)
     rows = staging.stage(profile(docs, often=often), "jaccard-profile")
@@ -356,21 +416,28 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
     # 2. the groups of prefix shingles
     levels = often_seen(rows.where("bitmap IS NULL AND n > 0"))
-    keyed = prefixes(docs, levels).join(staging.small(comp), "set_id", "left").select("key", "set_id", "n", F.when(F.col("comp") != F.col("set_id"), F.col("comp")).alias("comp"))
+    keyed = prefixes(docs, levels).join(staging.small(comp), "set_id", "left").select("key", "set_id", "n", "lead", F.when(F.col("comp") != F.col("set_id"), F.col("comp")).alias("comp"))
     groups = staging.stage(contested(keyed.repartition("key"), few), "jaccard-contested")
     to_hub = groups.where("comp <> hub_comp").select(F.least("hub", "set_id").alias("a"), F.greatest("hub", "set_id").alias("b")).distinct()
     star = star.unionByName(linked(staging.stage(bounded(with_maps(to_hub)), "jaccard-star"), sets, docs))
     staging.drop(comp)
     comp = staging.stage(cc.components(star).withColumnsRenamed({"node": "set_id", "component": "comp"}), "jaccard-comp")
-    again = groups.select("key", "set_id", "n").join(staging.small(comp), "set_id", "left").select("key", "set_id", "n", F.when(F.col("comp") != F.col("set_id"), F.col("comp")).alias("comp"))
-    met = staging.stage(meetings(again.repartition("key"), few=few, block=block), "jaccard-met")
+    again = groups.select("key", "set_id", "n", "lead").join(staging.small(comp), "set_id", "left").select("key", "set_id", "n", "lead", F.when(F.col("comp") != F.col("set_id"), F.col("comp")).alias("comp"))
+    large = staging.stage(groups.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > hot).select("key"), "jaccard-hot")
+    if large.isEmpty():
+        met = meetings(again.repartition("key"), few=few, block=block)
+    else:
+        met = meetings(again.join(staging.small(large), "key", "left_anti").repartition("key"), few=few, block=block)
+        many = staging.stage(again.join(staging.small(large), "key").repartition("set_id"), "jaccard-many")
+        met = met.unionByName(dealt(many, block))
+    met = staging.stage(met, "jaccard-met")
 
     # 3. bounds, then full sets
     near = bounded(with_maps(met.where("side < 0").select("a", "b").distinct()))
     large = met.where("side >= 0")
-    keys = large.groupBy("a").agg(F.collect_set("b").alias("keys"))
+    keys = large.groupBy("a").agg(F.collect_set("b").alias("keys"), F.collect_set(F.when(F.col("lead"), F.col("b"))).alias("leads"))
     members = large.join(maps.select(F.col("set_id").alias("a"), "bitmap"), "a").join(keys, "a")
-    deep = walk(members.select("block", "side", "a", "b", "n", "comp", "bitmap", "keys").repartition("block"))
+    deep = walk(members.select("block", "side", "a", "b", "n", "comp", "bitmap", "keys", "leads").repartition("block").sortWithinPartitions("block"))
     left = staging.stage(near.unionByName(deep).distinct(), "jaccard-left")
     links = star.unionByName(linked(left, sets, docs))
 

@@ -360,6 +360,33 @@ def test_jaccard(documents, few, block):
     assert sorted(map(tuple, got.collect())) == plain_components(rows)
 
 
+def test_jaccard_template_with_one_word_varied(documents, monkeypatch):
+    rows = [(i, f"{'fixed ' if i % 2 else 'other '}words of one long template here x{i}") for i in range(600)]
+    rows += [(1000 + i, f"fixed words of one long template here {words(12, 5)} {words(i % 4, i)}") for i in range(12)]
+    made, stage = {}, jaccard.staging.stage
+
+    def counting(df, name):
+        out = stage(df, name)
+        made[name] = made.get(name, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(jaccard.staging, "stage", counting)
+    got = jaccard.near_duplicates(documents(rows), few=2, block=4)
+    assert sorted(map(tuple, got.collect())) == plain_components(rows)
+    assert made["jaccard-met"] < 2 * len(rows)
+
+
+@pytest.mark.parametrize("hot", [3, 12])
+def test_jaccard_hot_groups(documents, hot):
+    passage = words(40, 99)
+    rows = [(i, f"{edited(passage, i % 8, i)} {words(i % 11, i)}") for i in range(150)]
+    sentences = [words(6, 500 + k, 10**6) for k in range(9)]
+    rows += [(1000 + i, " ".join(random.Random(i).sample(sentences, 5 + i % 4))) for i in range(150)]
+    rows += [(2000 + i, " ".join(sorted(random.Random(i).sample(sentences, 3 + i % 6)))) for i in range(100)]
+    got = jaccard.near_duplicates(documents(rows), few=2, block=4, hot=hot)
+    assert sorted(map(tuple, got.collect())) == plain_components(rows)
+
+
 def test_jaccard_empty(documents):
     assert jaccard.near_duplicates(documents([])).count() == 0
     assert [tuple(r) for r in jaccard.near_duplicates(documents([(4, None), (3, " ")])).orderBy("doc_id").collect()] == [(3, 0, 3), (4, 0, 4)]
