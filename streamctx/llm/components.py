@@ -13,16 +13,23 @@ def _least(edges: DataFrame, name: str) -> DataFrame:
     return staging.stage(edges.groupBy("a").agg(F.min("b").alias("m")), name)
 
 
+def state(edges: DataFrame) -> tuple[int, int | None]:
+    """What edges(a, b), which are distinct, are told from others by: their number, and all bits of their hashes; neither can overflow."""
+    return tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first())
+
+
 def components(links: DataFrame, most_rounds: int = 50) -> DataFrame:
-    """(node, component) of every node in links(a, b); component is the least node reachable."""
+    """(node, component) of every node in links(a, b); component is the least node reachable. An error if the stars still change after most_rounds."""
     pair = lambda x, y: (F.greatest(x, y).alias("a"), F.least(x, y).alias("b"))
     edges = staging.stage(links.where("a <> b").select(*pair("a", "b")).distinct(), "cc-links")
     before = None
-    for _ in range(most_rounds):
-        state = edges.agg(F.count(F.lit(1)), F.sum(F.pmod(F.xxhash64("a", "b"), F.lit(1 << 40)))).first()
-        if state == before or not state[0]:
+    for done in range(most_rounds + 1):
+        now = state(edges)
+        if now == before or not now[0]:
             break
-        before = state
+        if done == most_rounds:
+            raise RuntimeError(f"components still change after {most_rounds} rounds")
+        before = now
         # each node's larger neighbours go to its least one
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = _least(both, "cc-large")

@@ -430,6 +430,16 @@ def test_components(spark):
     assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_of_many_edges_and_rounds(spark):
+    many = spark.range(20_000_000).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+    assert components.state(many)[0] == 20_000_000
+    assert components.state(many) == components.state(many.repartition(3)) != components.state(many.withColumn("b", F.col("b") + (F.col("a") == 7).cast("long")))
+    path = spark.createDataFrame([(i, i + 1) for i in range(60)], "a long, b long")
+    with pytest.raises(RuntimeError):
+        components.components(path, most_rounds=2)
+    assert {r.component for r in components.components(path, most_rounds=20).collect()} == {0}
+
+
 # --- toxicity and language
 
 
