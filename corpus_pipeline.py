@@ -25,15 +25,15 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = jaccard.near_duplicates(docs)
-    gone = staging.stage(found.where("doc_id <> component_id").select("doc_id").distinct(), "pipeline-near-copies")
-    return docs.join(staging.small(gone), "doc_id", "left_anti").select(docs.columns)
+    found = jaccard.near_duplicates(docs, locator=dedup.place_in_file())
+    gone = staging.stage(found.where("NOT kept").select(F.col("locator").alias("_locator")), "pipeline-near-copies")
+    return docs.withColumn("_locator", dedup.place_in_file()).join(staging.small(gone), "_locator", "left_anti").select(docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    times = mixing.mix(docs).groupBy("doc_id").agg(F.max("repeats").alias("_times")).where("_times > 0")
+    times = mixing.mix(docs, locator=dedup.place_in_file()).where("repeats > 0").select(F.col("locator").alias("_locator"), F.col("repeats").alias("_times"))
     times = staging.small(staging.stage(times, "pipeline-times"))
-    return docs.join(times, "doc_id").withColumn("_copy", F.explode(F.sequence(F.lit(1), "_times"))).select(docs.columns)
+    return docs.withColumn("_locator", dedup.place_in_file()).join(times, "_locator").withColumn("_copy", F.explode(F.sequence(F.lit(1), "_times"))).select(docs.columns)
 
 
 def pack_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

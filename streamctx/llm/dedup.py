@@ -8,7 +8,7 @@ rows costs its key's task one row for each task. Digests that were hit more than
 once are then checked by full bytes: their texts are read again and grouped by
 digest and whole text; a digest with two texts is split by text.
 
-Null texts count as empty, and empty texts are equal to each other. Rows that
+Null texts count as empty, and empty texts are equal to each other. Null ids come after all others. Rows that
 repeat a doc_id are rows of their own, told apart by their locators.
 An empty table gives an empty result.
 """
@@ -34,6 +34,11 @@ def sha256(text: Column) -> Column:
     return F.sha2(text, 256)
 
 
+def least_row() -> Column:
+    """The struct of the row with the least doc_id, then locator; null ids come last."""
+    return F.min(F.struct(F.col("doc_id").isNull().alias("unset"), "doc_id", "locator"))
+
+
 def fold_stream(log: DataFrame, into: str) -> None:
     """Runs the stream log(digest, doc_id, locator) to its present end.
 
@@ -41,7 +46,7 @@ def fold_stream(log: DataFrame, into: str) -> None:
     into/updates/batch_id=N, over what an earlier try of that batch wrote. Run again
     with the same `into`, it goes on where it stopped.
     """
-    state = log.groupBy("digest").agg(F.min(F.struct("doc_id", "locator")).alias("first"), F.count(F.lit(1)).alias("group_size"))
+    state = log.groupBy("digest").agg(least_row().alias("first"), F.count(F.lit(1)).alias("group_size"))
 
     def save(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{into}/updates/batch_id={batch_id}")
@@ -70,7 +75,7 @@ def states(log: DataFrame, files_per_batch: int = 1000) -> DataFrame:
     spark, into = log.sparkSession, staging.new_path(log.sparkSession, "dedup-state")
     stream = stream_session(spark).readStream.schema(log.schema).option("maxFilesPerTrigger", files_per_batch)
     fold_stream(stream.parquet(*{f.rpartition("/")[0] for f in log.inputFiles()} or [into]), into)
-    updates = spark.read.schema("digest string, first struct<doc_id: bigint, locator: string>, group_size bigint, batch_id bigint").parquet(f"{into}/updates")
+    updates = spark.read.schema("digest string, first struct<unset: boolean, doc_id: bigint, locator: string>, group_size bigint, batch_id bigint").parquet(f"{into}/updates")
     last = updates.groupBy("digest").agg(F.max_by(F.struct("first", "group_size"), "batch_id").alias("s"))
     return staging.stage(last.select("digest", "s.*"), "dedup-groups")
 
@@ -90,7 +95,7 @@ def exact_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     # full bytes of every digest that was hit again
     hits = staging.stage(groups.where("group_size > 1").select("digest"), "dedup-hits")
     texts = docs.select(digest(text).alias("digest"), text.alias("whole"), F.col(id_col).cast("long").alias("doc_id"), at.alias("locator"))
-    by_text = lambda of: texts.join(staging.small(of), "digest", "left_semi").groupBy("digest", "whole").agg(F.min(F.struct("doc_id", "locator")).alias("first"), F.count(F.lit(1)).alias("group_size"))
+    by_text = lambda of: texts.join(staging.small(of), "digest", "left_semi").groupBy("digest", "whole").agg(least_row().alias("first"), F.count(F.lit(1)).alias("group_size"))
     collided = staging.stage(by_text(hits).groupBy("digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("digest"), "dedup-collided")
     rows = log.select("doc_id", "locator", "digest", "text_sha256")
     if not collided.isEmpty():  # two texts of one digest: by text
@@ -99,7 +104,7 @@ def exact_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
         found = rows.join(collided, "digest", "left_anti").join(groups, "digest").select(*apart.columns).unionByName(apart)
     else:
         found = rows.join(groups, "digest")
-    kept = (F.col("doc_id") == F.col("first.doc_id")) & (F.col("locator") == F.col("first.locator"))
+    kept = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & F.col("locator").eqNullSafe(F.col("first.locator"))
     return found.select("doc_id", F.col("first.doc_id").alias("keep_id"), "group_size", kept.alias("kept"), "text_sha256", "locator")
 
 

@@ -23,7 +23,7 @@ first and dealt to blocks by hash, by Spark, so that their blocks are made in ma
 
 Null texts and texts without words have an empty set, no links, and their own
 doc_id as component. A text of fewer than 5 words is one shingle. Rows that repeat a
-doc_id are rows of their own. An empty table gives an empty result.
+doc_id are rows of their own, told apart by their locators; null ids come after all others. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -35,11 +35,11 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import components as cc
-from . import sigtree, staging, text
+from . import dedup, sigtree, staging, text
 
 MINS, BAND = 32, 4
 #: Buckets of the table of often-seen shingles: its size doesn't depend on the input.
@@ -59,12 +59,14 @@ def bands(tokens: np.ndarray) -> np.ndarray:
     return np.array([xxhash.xxh3_64_intdigest(least[b : b + BAND].tobytes(), seed=b) for b in range(0, MINS, BAND)], np.uint64).view(np.int64)
 
 
-def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+def _texts(docs: DataFrame, id_col: str, text_col: str, locator: Column | None) -> DataFrame:
+    """doc_id, text, at (where the row is: a hash), locator."""
+    place = F.col(id_col).cast("string") if locator is None else locator
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.xxhash64(place).alias("at"), place.alias("locator"))
 
 
 def profile(docs: DataFrame, *, chunk: int = 1_000_000, often: int = 3) -> DataFrame:
-    """Two kinds of rows: of each document (doc_id, set_id, n, bands, bitmap), and counts of often-seen shingles by bucket (set_id: bucket, n: count).
+    """Two kinds of rows: of each document (doc_id, set_id, n, bands, bitmap, locator), and counts of often-seen shingles by bucket (set_id: bucket, n: count).
 
     A task counts shingles in chunks of about `chunk`; those in `often` of a chunk's sets at least are reported.
     """
@@ -72,7 +74,7 @@ def profile(docs: DataFrame, *, chunk: int = 1_000_000, often: int = 3) -> DataF
     def run(them: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = text.Memo(text.word_hash, 100_000)
         held: dict[int, np.ndarray] = {}
-        kinds = {"doc_id": pa.int64(), "set_id": pa.int64(), "n": pa.int64(), "bands": pa.list_(pa.int64()), "bitmap": pa.binary()}
+        kinds = {"doc_id": pa.int64(), "set_id": pa.int64(), "n": pa.int64(), "bands": pa.list_(pa.int64()), "bitmap": pa.binary(), "locator": pa.string()}
 
         def flush() -> pa.RecordBatch | None:
             values, counts = np.unique(np.concatenate(list(held.values())), return_counts=True)
@@ -80,20 +82,20 @@ def profile(docs: DataFrame, *, chunk: int = 1_000_000, often: int = 3) -> DataF
             held.clear()
             where = (values[many] % np.uint64(OFTEN)).astype(np.int64)
             n, none = len(where), [None] * int(many.sum())
-            return pa.record_batch([pa.array(none, pa.int64()), pa.array(where), pa.array(counts[many].astype(np.int64)), pa.array(none, kinds["bands"]), pa.array(none, pa.binary())], list(kinds)) if n else None
+            return pa.record_batch([pa.array(none, pa.int64()), pa.array(where), pa.array(counts[many].astype(np.int64)), pa.array(none, kinds["bands"]), pa.array(none, pa.binary()), pa.array(none, pa.string())], list(kinds)) if n else None
 
         size = 0
         for batch in them:
-            rows: tuple[list, ...] = ([], [], [], [], [])
-            for i, raw in zip(batch.column(0).to_pylist(), text.as_bytes(batch.column(1)), strict=True):
+            rows: tuple[list, ...] = ([], [], [], [], [], [])
+            for i, raw, place in zip(batch.column(0).to_pylist(), text.as_bytes(batch.column(1)), batch.column("locator").to_pylist(), strict=True):
                 tokens = text.shingles(text.spaced_words(raw), memo)
                 if len(tokens):
-                    row = (i, set_id(tokens), len(tokens), bands(tokens), sigtree.bitmap(tokens).tobytes())
+                    row = (i, set_id(tokens), len(tokens), bands(tokens), sigtree.bitmap(tokens).tobytes(), place)
                     if row[1] not in held:
                         held[row[1]] = tokens
                         size += len(tokens)
                 else:
-                    row = (i, None, 0, None, None)
+                    row = (i, None, 0, None, None, place)
                 for column, value in zip(rows, row, strict=True):
                     column.append(value)
                 if size >= chunk:
@@ -104,7 +106,7 @@ def profile(docs: DataFrame, *, chunk: int = 1_000_000, often: int = 3) -> DataF
         if held and (out := flush()) is not None:
             yield out
 
-    return docs.mapInArrow(run, "doc_id long, set_id long, n long, bands array<long>, bitmap binary")
+    return docs.mapInArrow(run, "doc_id long, set_id long, n long, bands array<long>, bitmap binary, locator string")
 
 
 def often_seen(counts: DataFrame) -> np.ndarray:
@@ -363,18 +365,20 @@ def bounded(pairs: DataFrame) -> DataFrame:
 
 
 def linked(pairs: DataFrame, sets: DataFrame, docs: DataFrame) -> DataFrame:
-    """The (a, b) of staged pairs(a, b), which are dropped, whose full sets link. sets: (set_id, doc_id) of every set."""
+    """The (a, b) of staged pairs(a, b), which are dropped, whose full sets link. sets: (set_id, at) of every set, at being a row's with that set.
+
+    Rows are found by the hash of their locators; what else has that hash is read for nothing.
+    """
     ids = pairs.select(F.col("a").alias("set_id")).union(pairs.select("b")).distinct()
-    rows = staging.stage(sets.select("set_id", "doc_id").join(ids, "set_id").select("doc_id"), "jaccard-rows")
+    rows = staging.stage(sets.select("set_id", "at").join(ids, "set_id").select("at").distinct(), "jaccard-rows")
 
     def whole(them: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = text.Memo(text.word_hash, 100_000)
         for batch in them:
-            found = [text.shingles(text.spaced_words(raw), memo) for raw in text.as_bytes(batch.column(1))]
-            found = [t for t in found if len(t)]
-            yield pa.record_batch([pa.array([set_id(t) for t in found], pa.int64()), pa.array([t.tobytes() for t in found], pa.binary())], ["set_id", "tokens"])
+            found = {set_id(t): t for t in (text.shingles(text.spaced_words(raw), memo) for raw in text.as_bytes(batch.column("text"))) if len(t)}
+            yield pa.record_batch([pa.array(list(found), pa.int64()), pa.array([t.tobytes() for t in found.values()], pa.binary())], ["set_id", "tokens"])
 
-    full = docs.join(staging.small(rows), "doc_id", "left_semi").mapInArrow(whole, "set_id long, tokens binary")
+    full = docs.select("text", "at").join(staging.small(rows), "at", "left_semi").select("text").mapInArrow(whole, "set_id long, tokens binary")
     full = staging.stage(full, "jaccard-sets")
 
     def compare(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -394,14 +398,18 @@ def linked(pairs: DataFrame, sets: DataFrame, docs: DataFrame) -> DataFrame:
     return links
 
 
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", often: int = 3, few: int = 16, block: int = 512, hot: int = 8192) -> DataFrame:
-    """doc_id, n_shingles, component_id of each row of docs. component_id: the smallest doc_id reachable by links."""
-    docs = _texts(docs, id_col, text_col)
-    rows = staging.stage(profile(docs, often=often), "jaccard-profile")
+def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", often: int = 3, few: int = 16, block: int = 512, hot: int = 8192, locator: Column | None = None) -> DataFrame:
+    """doc_id, n_shingles, component_id of each row of docs. component_id: the smallest doc_id reachable by links.
+
+    locator: says where a row is, as a string; by default its id. If given, kept and locator are columns of the result. kept: of the rows reachable by links, the one with the smallest
+    doc_id, then locator; and every row without words.
+    """
+    docs = _texts(docs, id_col, text_col, locator)
+    rows = staging.stage(profile(docs.select("doc_id", "text", "locator"), often=often), "jaccard-profile")
     of_docs = rows.where("bitmap IS NOT NULL OR n = 0")
-    sets = staging.stage(of_docs.where("n > 0").groupBy("set_id").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("bitmap").alias("bitmap")), "jaccard-nodes")
+    sets = staging.stage(of_docs.where("n > 0").groupBy("set_id").agg(dedup.least_row().alias("first"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("bitmap").alias("bitmap")).withColumn("at", F.xxhash64("first.locator")), "jaccard-nodes")
     if sets.isEmpty():
-        return of_docs.select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+        return of_docs.select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), *([] if locator is None else [F.lit(True).alias("kept"), "locator"]))
 
     # 1. up to two hubs for each band of a set
     banded = sets.select("set_id", F.posexplode("bands").alias("band", "value"))
@@ -416,7 +424,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
     # 2. the groups of prefix shingles
     levels = often_seen(rows.where("bitmap IS NULL AND n > 0"))
-    keyed = prefixes(docs, levels).join(staging.small(comp), "set_id", "left").select("key", "set_id", "n", "lead", F.when(F.col("comp") != F.col("set_id"), F.col("comp")).alias("comp"))
+    keyed = prefixes(docs.select("doc_id", "text"), levels).join(staging.small(comp), "set_id", "left").select("key", "set_id", "n", "lead", F.when(F.col("comp") != F.col("set_id"), F.col("comp")).alias("comp"))
     groups = staging.stage(contested(keyed.repartition("key"), few), "jaccard-contested")
     to_hub = groups.where("comp <> hub_comp").select(F.least("hub", "set_id").alias("a"), F.greatest("hub", "set_id").alias("b")).distinct()
     star = star.unionByName(linked(staging.stage(bounded(with_maps(to_hub)), "jaccard-star"), sets, docs))
@@ -444,8 +452,10 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     # 4. components of sets, and the smallest doc_id of each
     part = staging.stage(cc.components(links), "jaccard-parts")
     staging.drop(met, groups, comp, hubs)
-    least = part.join(sets.select(F.col("set_id").alias("node"), "doc_id"), "node").groupBy("component").agg(F.min("doc_id").alias("least"))
+    least = part.join(sets.select(F.col("set_id").alias("node"), "first"), "node").groupBy("component").agg(F.min("first").alias("least"))
     of_set = part.join(staging.stage(least, "jaccard-least"), "component").select(F.col("node").alias("set_id"), "least")
-    of_set = sets.select("set_id", "doc_id").join(of_set, "set_id", "left").select("set_id", F.coalesce("least", "doc_id").alias("component"))
+    of_set = sets.select("set_id", "first").join(of_set, "set_id", "left").select("set_id", F.coalesce("least", "first").alias("least"))
     of_set = staging.stage(of_set, "jaccard-of-set")
-    return of_docs.select("doc_id", "set_id", "n").join(of_set, "set_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+    kept = F.col("n").eqNullSafe(0) | (F.col("doc_id").eqNullSafe(F.col("least.doc_id")) & F.col("locator").eqNullSafe(F.col("least.locator")))
+    own = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("least.doc_id"))
+    return of_docs.select("doc_id", "set_id", "n", "locator").join(of_set, "set_id", "left").select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"), *([] if locator is None else [kept.alias("kept"), "locator"]))

@@ -20,7 +20,7 @@ import math
 from collections.abc import Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -94,14 +94,18 @@ def fit(lengths: list[int], counts: list[int], budget: int, dp_words: int = 1 <<
     return taken
 
 
-def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), *, share: float = 1.0, most: int = 3, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", cells: int = 256, dp_words: int = 1 << 16) -> DataFrame:
+def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), *, share: float = 1.0, most: int = 3, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", cells: int = 256, dp_words: int = 1 << 16, locator: Column | None = None) -> DataFrame:
     """doc_id, size, source_size, target, taken, source, repeats of each row of docs.
 
     Sources in order of code points, null last, get the weights in turn. repeats: how often the mix has the row; taken: repeats * size.
+    locator: says where a row is, as a string; if given, it is a column of the result, and tells apart rows of one id, or of none.
     """
     spark = docs.sparkSession
     id_, seeded = F.col(id_col).cast("long"), F.xxhash64(F.lit(seed), F.col(id_col).cast("long"))
-    rows = staging.stage(docs.select(id_.alias("doc_id"), F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.col(source_col).alias("source"), seeded.alias("h")), "mix-rows")
+    place = [] if locator is None else ["locator"]
+    if place:
+        seeded = F.when(id_.isNull(), F.xxhash64(F.lit(seed), locator)).otherwise(seeded)
+    rows = staging.stage(docs.select(id_.alias("doc_id"), F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.col(source_col).alias("source"), seeded.alias("h"), *([] if locator is None else [locator.alias("locator")])), "mix-rows")
     sizes = sorted(((r["source"], r["s"]) for r in rows.groupBy("source").agg(F.sum("size").alias("s")).collect()), key=lambda x: (x[0] is None, x[0] or ""))
     wanted = targets([s for _, s in sizes], [weights[i % len(weights)] for i in range(len(sizes))], share, most)
     plan = {}
@@ -121,10 +125,10 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), *, share: float =
     before = Window.partitionBy("sid", "size").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
     in_cell = rows.groupBy("sid", "size", "cell").agg(F.count(F.lit(1)).alias("n")).join(chosen, ["sid", "size"])
     in_cell = in_cell.withColumn("cell_take", F.col("take") - F.coalesce(F.sum("n").over(before), F.lit(0))).where("cell_take > 0").select("sid", "size", "cell", "cell_take")
-    rank = F.row_number().over(Window.partitionBy("sid", "size", "cell").orderBy("h", "doc_id"))
+    rank = F.row_number().over(Window.partitionBy("sid", "size", "cell").orderBy("h", "doc_id", *place))
     repeats = (F.col("epochs") + F.when(F.col("rank") <= F.coalesce("cell_take", F.lit(0)), 1).otherwise(0)).cast("int")
     return (
         rows.join(in_cell, ["sid", "size", "cell"], "left")
         .withColumn("rank", rank)
-        .select("doc_id", "size", "source_size", "target", (repeats * F.col("size")).cast("long").alias("taken"), "source", repeats.alias("repeats"))
+        .select("doc_id", "size", "source_size", "target", (repeats * F.col("size")).cast("long").alias("taken"), "source", repeats.alias("repeats"), *place)
     )

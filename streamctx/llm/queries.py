@@ -63,7 +63,7 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.near_duplicates(_read(spark, sf_dir, "documents"))
+    return jaccard.near_duplicates(_read(spark, sf_dir, "documents"), locator=dedup.place_in_file()).drop("kept", "locator")
 
 
 QUERIES = {f.__name__: f for f in (op1_toxicity, op2_language_id, op3_packing, op4_exact_dedup, op5_license_scan, op6_chat_formatting, op7_mixing, op8_top_k, op9_sharding, op10_jaccard_join)}

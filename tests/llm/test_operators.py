@@ -61,6 +61,16 @@ def test_drop_copies_keeps_one_of_repeated_rows(spark, documents):
     assert sorted(r.doc_id for r in got.collect()) == [5, 7]
 
 
+def test_dedup_orders_null_ids_last(spark, documents):
+    from streamctx.llm import staging
+
+    rows = [(None, "a b"), (7, "a  b"), (8, "a b"), (None, "c"), (None, "c"), (9, "d")]
+    got = dedup.exact_dedup(staging.stage(documents(rows), "test"), locator=dedup.place_in_file()).collect()
+    assert sorted(((r.doc_id or 0, r.keep_id, r.kept) for r in got), key=str) == sorted([(0, 7, False), (7, 7, True), (8, 7, False), (0, None, True), (0, None, False), (9, 9, True)], key=str)
+    left = dedup.drop_copies(staging.stage(documents(rows), "test")).collect()
+    assert sorted((r.doc_id or 0, r.text) for r in left) == [(0, "c"), (7, "a  b"), (9, "d")]
+
+
 # --- sharding
 
 
@@ -387,6 +397,20 @@ def test_jaccard_hot_groups(documents, hot):
     assert sorted(map(tuple, got.collect())) == plain_components(rows)
 
 
+def test_jaccard_links_through_null_and_shared_ids(documents):
+    from streamctx.llm import staging
+
+    t = words(80, 1, 10**6).split()
+    step = lambda n: " ".join(["z"] * n + t[n:])
+    rows = [(4, step(0)), (None, step(7)), (3, step(14)), (5, step(1)), (5, words(50, 2)), (5, words(50, 2) + " x"), (None, words(50, 3)), (None, None)]
+    got = jaccard.near_duplicates(staging.stage(documents(rows), "test"), locator=dedup.place_in_file()).collect()
+    assert sorted((r.doc_id or 0, r.n_shingles, r.component_id or 0) for r in got)
+    by = {(r.doc_id, r.n_shingles): r for r in got}
+    assert by[4, 76].component_id == 3 and by[5, 76].component_id == 3 and not by[4, 76].kept and not by[5, 76].kept
+    assert sorted(r.n_shingles for r in got if r.kept and r.doc_id is None) == [0, 46]
+    assert sum(r.kept for r in got if r.doc_id == 5) == 1 and sum(r.kept for r in got) == 4
+
+
 def test_jaccard_empty(documents):
     assert jaccard.near_duplicates(documents([])).count() == 0
     assert [tuple(r) for r in jaccard.near_duplicates(documents([(4, None), (3, " ")])).orderBy("doc_id").collect()] == [(3, 0, 3), (4, 0, 4)]

@@ -7,7 +7,7 @@ import pytest
 
 pytest.importorskip("public_tokenizers")
 import corpus_pipeline
-from streamctx.llm import staging
+from streamctx.llm import dedup, mixing, staging
 from tests.llm.test_operators import edited, plain_components, plain_dedup, words
 
 
@@ -56,3 +56,15 @@ def test_run(spark, sf_dir):
     for r in rows:
         filled[r.sequence_id] += r.length
     assert rows and max(filled.values()) <= 2048
+
+
+def test_null_and_shared_ids(spark, documents):
+    base, other = words(80, 1, 10**6), words(80, 2, 10**6)
+    rows = [(3, base, "en", "s0"), (5, base + " y", "en", "s0"), (5, other, "en", "s1"), (None, words(70, 3), "en", "s0"), (None, words(70, 4), "en", "s1"), (8, words(5, 5), "en", "s0"), (8, words(6, 6), "en", "s0")]
+    docs = staging.stage(documents(rows), "test")
+    left = staging.stage(corpus_pipeline.drop_near_copies(spark, docs, ""), "test")
+    assert Counter((r.doc_id, r.text) for r in left.collect()) == Counter((i, t) for i, t, *_ in rows if t != base + " y")
+    plan = mixing.mix(left, locator=dedup.place_in_file()).collect()
+    mixed = corpus_pipeline.mix_sources(spark, left, "").collect()
+    assert Counter((r.doc_id, len(r.text.split())) for r in mixed) == sum((Counter({(r.doc_id, r["size"]): r.repeats}) for r in plan), Counter())
+    assert any(r.doc_id is None for r in mixed)
