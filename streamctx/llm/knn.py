@@ -2,12 +2,12 @@
 
 Vectors are quantised to integers, and each belongs to the cell of its nearest pivot
 (pivots: rows picked by hash, a bounded number). A cell's summary is its k + 1
-smallest distances to the pivot and its counts. For a query q and a vector v of the
+smallest distances to the pivot, with one row for each vec_id in all cells together, and its counts. For a query q and a vector v of the
 cell of pivot p at distance r, q.p - |q| r <= q.v <= q.p + |q| r, so from the
 summaries alone
 
-* the (k + 1)-th largest of q.p - |q| r over summarised distances is a score that the
-  query's k-th best is not below, and
+* the (k + 1)-th largest of q.p - |q| r over summarised distances, of which one at most is of
+  the query's own id, is a score that the query's k-th best is not below, and
 * v can only matter to q if r is at least (bound - q.p) / |q|.
 
 Cells are gathered into groups of queries; a group needs of each cell the vectors from the
@@ -152,8 +152,9 @@ def top_k(rows: DataFrame, k: int = 5, *, every: int = 50, id_col: str = "vec_id
             yield pa.record_batch([*batch.columns, pa.array(cell), pa.array(far)], ["vec_id", "v", "cell", "far"])
 
     placed = staging.stage(plain.mapInArrow(assign, "vec_id long, v binary, cell int, far double"), "knn-cells")
-    # summaries: k + 1 distances and two counts for each cell
-    ranked = placed.select("cell", "far").withColumn("i", F.row_number().over(Window.partitionBy("cell").orderBy("far"))).where(F.col("i") <= k + 1)
+    # summaries: k + 1 distances, of different vec_ids, and two counts for each cell
+    nearest_rows = placed.groupBy("vec_id").agg(F.min(F.struct("far", "cell")).alias("s")).select("s.*")
+    ranked = nearest_rows.withColumn("i", F.row_number().over(Window.partitionBy("cell").orderBy("far"))).where(F.col("i") <= k + 1)
     nearest = np.full((len(pivots), k + 1), np.inf)
     for r in ranked.collect():
         nearest[r["cell"], r["i"] - 1] = r["far"]

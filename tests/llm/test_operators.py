@@ -318,6 +318,17 @@ def test_top_k_few(spark):
     assert [tuple(r) for r in got] == [(0, 1, 1, 256 * 512)]
 
 
+def test_top_k_of_repeated_query_ids(spark):
+    r = np.random.default_rng(6)
+    rows = [(0, [10.0, 0.0, 0.0])] * 8 + [(1 + i, [9.9, 0.1 * i, 0.0]) for i in range(2)]
+    rows += [(100 + i, (np.array([3.0, 8.0, 1.0]) + r.normal(size=3) * 0.2).tolist()) for i in range(60)]
+    rows += [(200 + i, (np.array([-6.0, 1.0, 7.0]) + r.normal(size=3) * 0.2).tolist()) for i in range(60)]
+    got = knn.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), 5, every=1000, n_pivots=200, queries_per_group=2, block=50)
+    plain = [(i, np.float32(v).tolist()) for i, v in rows]
+    want = [x for x in plain_top([plain[0], *(x for x in plain if x[0])], 5, 1000)]
+    assert sorted(map(tuple, got.collect())) == want
+
+
 # --- n-gram Jaccard join
 
 
