@@ -3,27 +3,25 @@
 A document's set is its distinct 5-word shingles as 64-bit hashes. Two sets link when
 100 * shared >= 75 * union. Equal sets are one node. Then
 
-1. The least and the largest set of those with an equal band of minima are hubs; each set is compared
-   with the hubs of its bands (16 at most). This joins most copies, with few pairs each.
-2. Every set sends the first n - ceil(0.75 n) + 1 of its shingles, in one order for all
+1. Every set sends the first n - ceil(0.75 n) + 1 of its shingles, in one order for all
    sets (often seen ones last), to those shingles' groups. Two linked sets meet in a group.
    This is exact, whatever the order. Of two linked sets the smaller one has at least 6/7 of its shingles
-   from their first shared one on: there it leads, and members that don't lead need not be compared with
-   one another, nor with smaller ones. Members that are already in one component
-   need not be compared. In a large group of several components, each member of the others is first
-   compared with one member of the largest, another one in each group, which joins most of what the bands
-   missed. What is left in a small group are pairs, in a large one blocks.
-3. The blocks' sets are compared by a dual walk over signature trees (sigtree), small
-   groups' pairs by the same bound, and what the bounds leave by their full sets.
-4. Links give components.
-
-A group's blocks have at most 2 * `block` members, and members of a group are cut into
-blocks by size, so that block pairs whose sizes cannot link are never made. Groups of over `hot` members are counted
-first and dealt to blocks by hash, by Spark, so that their blocks are made in many tasks. Nothing is dropped.
+   from their first shared one on: there it leads, and a group without a leading member is left out. Of
+   groups with the same members one is kept (near copies share hundreds).
+2. Signature trees (sigtree) are built over the groups' sets, and a dual walk gives the candidate pairs; these are
+   verified by their full sets. Groups of up to `few` members are walked whole. In larger ones each set is first walked
+   against one representative of those with the same least shingle, then against one of the group's largest class
+   (sets known to be connected), and then the whole group is walked, where nodes of one class aren't compared.
+3. Links give components.
+
+A group of over `block` members is dealt by hash to blocks by Spark, and its block pairs are cells of their own.
+Shingles that are seen far more often than others are not even gathered by key: their groups
+are dealt unseen. Nothing is dropped.
 
 Null texts and texts without words have an empty set, no links, and their own
 doc_id as component. A text of fewer than 5 words is one shingle. Rows that repeat a
-doc_id are rows of their own, told apart by their locators; null ids come after all others. An empty table gives an empty result.
+doc_id are rows of their own, told apart by their locators; null ids come after all others. Other columns
+of the input aren't read. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -33,7 +31,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -41,24 +38,16 @@ from pyspark.sql import functions as F
 from . import components as cc
 from . import dedup, sigtree, staging, text
 
-MINS, BAND = 32, 4
 #: Buckets of the table of often-seen shingles: its size doesn't depend on the input.
 OFTEN = 1 << 22
+#: Added to a bucket's level if it is seen far more often than the mean one.
+HOT = 128
 
 
 def set_id(tokens: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh3_64_intdigest(tokens.tobytes())).view(np.int64))
 
 
-def bands(tokens: np.ndarray) -> np.ndarray:
-    """Hashes of MINS / BAND runs of minima; the minima are those of MINS equal ranges of the hash."""
-    edges = (np.arange(MINS, dtype=np.uint64) << np.uint64(59)).astype(np.uint64)
-    at = np.searchsorted(tokens, edges)
-    ends = np.append(at[1:], len(tokens))
-    least = np.where(at < ends, tokens[np.minimum(at, len(tokens) - 1)], edges)
-    return np.array([xxhash.xxh3_64_intdigest(least[b : b + BAND].tobytes(), seed=b) for b in range(0, MINS, BAND)], np.uint64).view(np.int64)
-
-
 def _texts(docs: DataFrame, id_col: str, text_col: str, locator: Column | None) -> DataFrame:
     """doc_id, text, at (where the row is: a hash), locator."""
     place = F.col(id_col).cast("string") if locator is None else locator
@@ -66,55 +55,59 @@ def _texts(docs: DataFrame, id_col: str, text_col: str, locator: Column | None)
 
 
 def profile(docs: DataFrame, *, chunk: int = 1_000_000, often: int = 3) -> DataFrame:
-    """Two kinds of rows: of each document (doc_id, set_id, n, bands, bitmap, locator), and counts of often-seen shingles by bucket (set_id: bucket, n: count).
+    """Two kinds of rows: of each document (kind 0, doc_id, set_id, n, least, bitmap, locator), and counts of often-seen shingles by bucket (kind 1, set_id: bucket, n: count).
 
-    A task counts shingles in chunks of about `chunk`; those in `often` of a chunk's sets at least are reported.
+    least: the least shingle. A task counts shingles in chunks of about `chunk`; those in `often` of a chunk's sets at least are reported.
     """
+    kinds = {"kind": pa.int32(), "doc_id": pa.int64(), "set_id": pa.int64(), "n": pa.int64(), "least": pa.int64(), "bitmap": pa.binary(), "locator": pa.string()}
 
     def run(them: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = text.Memo(text.word_hash, 100_000)
         held: dict[int, np.ndarray] = {}
-        kinds = {"doc_id": pa.int64(), "set_id": pa.int64(), "n": pa.int64(), "bands": pa.list_(pa.int64()), "bitmap": pa.binary(), "locator": pa.string()}
+        size = 0
 
-        def flush() -> pa.RecordBatch | None:
+        def flush() -> pa.RecordBatch:
             values, counts = np.unique(np.concatenate(list(held.values())), return_counts=True)
             many = counts >= often
             held.clear()
-            where = (values[many] % np.uint64(OFTEN)).astype(np.int64)
-            n, none = len(where), [None] * int(many.sum())
-            return pa.record_batch([pa.array(none, pa.int64()), pa.array(where), pa.array(counts[many].astype(np.int64)), pa.array(none, kinds["bands"]), pa.array(none, pa.binary()), pa.array(none, pa.string())], list(kinds)) if n else None
+            none = lambda kind, n=int(many.sum()): pa.nulls(n, kind)
+            columns = [pa.array(np.ones(int(many.sum()), np.int32)), none(pa.int64()), pa.array((values[many] % np.uint64(OFTEN)).astype(np.int64)), pa.array(counts[many].astype(np.int64)), none(pa.int64()), none(pa.binary()), none(pa.string())]
+            return pa.record_batch(columns, list(kinds))
 
-        size = 0
         for batch in them:
-            rows: tuple[list, ...] = ([], [], [], [], [], [])
-            for i, raw, place in zip(batch.column(0).to_pylist(), text.as_bytes(batch.column(1)), batch.column("locator").to_pylist(), strict=True):
-                tokens = text.shingles(text.spaced_words(raw), memo)
-                if len(tokens):
-                    row = (i, set_id(tokens), len(tokens), bands(tokens), sigtree.bitmap(tokens).tobytes(), place)
-                    if row[1] not in held:
-                        held[row[1]] = tokens
-                        size += len(tokens)
-                else:
-                    row = (i, None, 0, None, None, place)
-                for column, value in zip(rows, row, strict=True):
-                    column.append(value)
+            ids, sizes, least, maps = [], [], [], []
+            for tokens in text.shingle_sets(batch.column("text")):
+                own = set_id(tokens) if len(tokens) else None
+                ids.append(own)
+                sizes.append(len(tokens))
+                least.append(int(tokens[:1].view(np.int64)[0]) if len(tokens) else None)
+                maps.append(sigtree.bitmap(tokens).tobytes() if len(tokens) else None)
+                if own is not None and own not in held:
+                    held[own] = tokens
+                    size += len(tokens)
                 if size >= chunk:
                     size = 0
-                    if (out := flush()) is not None:
-                        yield out
-            yield pa.record_batch([pa.array(c, t) for c, t in zip(rows, kinds.values(), strict=True)], list(kinds))
-        if held and (out := flush()) is not None:
-            yield out
+                    yield flush()
+            columns = [pa.array(np.zeros(len(ids), np.int32)), batch.column("doc_id"), pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(least, pa.int64()), pa.array(maps, pa.binary()), batch.column("locator")]
+            yield pa.record_batch(columns, list(kinds))
+        if held:
+            yield flush()
 
-    return docs.mapInArrow(run, "doc_id long, set_id long, n long, bands array<long>, bitmap binary, locator string")
+    return docs.select("doc_id", "text", "locator").mapInArrow(run, "kind int, doc_id long, set_id long, n long, least long, bitmap binary, locator string")
 
 
-def often_seen(counts: DataFrame) -> np.ndarray:
-    """OFTEN levels: the logarithm of a bucket's reported count, 0 without one."""
-    levels = np.zeros(OFTEN, np.uint8)
-    rows = counts.groupBy("set_id").agg(F.sum("n").alias("n")).toPandas()  # OFTEN rows at most
-    levels[rows["set_id"].to_numpy(np.int64)] = 1 + np.log2(rows["n"].to_numpy(np.float64)).astype(np.uint8)
-    return levels
+def often_seen(counts: DataFrame, hot: int) -> np.ndarray:
+    """OFTEN levels: the logarithm of a bucket's reported count, 0 without one; over `hot` and 16 times the mean, with HOT added."""
+    counts = counts.groupBy("set_id").agg(F.sum("n").alias("n"))
+
+    def packed(batch: pa.RecordBatch) -> pa.RecordBatch:
+        at, n = (batch.column(c).to_numpy() for c in ("set_id", "n"))
+        return pa.record_batch([pa.array([x.tobytes()], pa.binary()) for x in (at.astype("<u4"), n.astype("<u8"))], ["at", "n"])
+
+    totals = np.zeros(OFTEN, np.float64)
+    for row in counts.mapInArrow(text.batches(packed), "at binary, n binary").toLocalIterator():  # 12 bytes for each of OFTEN buckets at most
+        totals[np.frombuffer(row["at"], "<u4")] = np.frombuffer(row["n"], "<u8")
+    levels = np.where(totals > 0, 1 + np.log2(np.maximum(totals, 1)), 0).astype(np.uint8)
+    return levels + (totals > hot + 16 * totals.mean()).astype(np.uint8) * np.uint8(HOT)
 
 
 def leading(n: int) -> int:
@@ -122,187 +115,149 @@ def leading(n: int) -> int:
     return n - (6 * n + 6) // 7 + 1
 
 
-def prefix(tokens: np.ndarray, levels: np.ndarray) -> np.ndarray:
-    """The first n - ceil(0.75 n) + 1 tokens in the order of (level, hash)."""
+def prefix(tokens: np.ndarray, levels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first n - ceil(0.75 n) + 1 tokens in the order of (level, hash), and which are hot."""
     n = len(tokens)
     length = n - (3 * n + 3) // 4 + 1
-    level = levels[(tokens % np.uint64(OFTEN)).astype(np.int64)]
-    return tokens[np.argsort(level, kind="stable")[:length]] if level.any() else tokens[:length]
+    level = levels[(tokens & np.uint64(OFTEN - 1)).astype(np.int64)]
+    at = np.argsort(level, kind="stable")[:length] if level.any() else slice(0, length)
+    return tokens[at], level[at] >= HOT
+
 
+PREFIX = "key long, salt int, set_id long, n int, lead boolean"
 
-def prefixes(docs: DataFrame, levels: np.ndarray) -> DataFrame:
-    """(key, set_id, n, lead) for each shingle of each set's prefix; a batch has each set once."""
+
+def prefixes(docs: DataFrame, levels: np.ndarray, salts: int = 1024) -> DataFrame:
+    """PREFIX rows for each shingle of each set's prefix; a batch has each set once. salt: -1, or of a hot shingle one of `salts` by the set."""
     shared = docs.sparkSession.sparkContext.broadcast(levels)  # 4 MB, whatever the input
 
     def run(them: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = text.Memo(text.word_hash, 100_000)
         for batch in them:
-            keys, ids, sizes, lengths = [], [], [], []
+            keys, hots, ids, sizes = [], [], [], []
             done: set[int] = set()
-            for raw in text.as_bytes(batch.column(1)):
-                tokens = text.shingles(text.spaced_words(raw), memo)
+            for tokens in text.shingle_sets(batch.column("text")):
                 if not len(tokens) or (own := set_id(tokens)) in done:
                     continue
                 done.add(own)
-                keys.append(prefix(tokens, shared.value))
+                key, hot = prefix(tokens, shared.value)
+                keys.append(key)
+                hots.append(hot)
                 ids.append(own)
                 sizes.append(len(tokens))
-                lengths.append(len(keys[-1]))
+                if sum(map(len, keys)) > 200_000:
+                    yield out(keys, hots, ids, sizes)
+                    keys, hots, ids, sizes = [], [], [], []
             if keys:
-                yield pa.record_batch([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.repeat(np.array(ids, np.int64), lengths)), pa.array(np.repeat(np.array(sizes, np.int32), lengths)), pa.array(np.concatenate([np.arange(m) < leading(n) for m, n in zip(lengths, sizes, strict=True)]))], ["key", "set_id", "n", "lead"])
+                yield out(keys, hots, ids, sizes)
 
-    return docs.mapInArrow(run, "key long, set_id long, n int, lead boolean")
+    def out(keys: list, hots: list, ids: list, sizes: list) -> pa.RecordBatch:
+        lengths = [len(k) for k in keys]
+        own, n, hot = np.repeat(np.array(ids, np.int64), lengths), np.repeat(np.array(sizes, np.int32), lengths), np.concatenate(hots)
+        salt = np.where(hot, own % salts, -1).astype(np.int32)
+        lead = np.concatenate([np.arange(m) < leading(n) for m, n in zip(lengths, sizes, strict=True)])
+        columns = [np.concatenate(keys).view(np.int64), salt, own, n, lead]
+        return pa.record_batch([pa.array(x) for x in columns], [c.split()[0] for c in PREFIX.split(", ")])
 
+    return docs.select("text").mapInArrow(run, PREFIX)
 
-CONTESTED = "key long, set_id long, n int, lead boolean, comp long, hub long, hub_comp long"
 
+MEMBERS = "list long, set_id long, n int, m long"
 
-def contested(rows: DataFrame, few: int) -> DataFrame:
-    """CONTESTED: the groups of rows(key, set_id, n, lead, comp), partitioned by key, that have a leading member and members of several components.
 
-    A group of over `few` members has a hub, a member of its largest component which the key's hash picks.
-    """
+def groups(rows: DataFrame) -> DataFrame:
+    """MEMBERS of the groups of PREFIX rows, in order of (salt, key, set_id) and with each key in one partition, that have two members and a leading one.
 
-    def run(them: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if (found := grouped(them)) is None:
-            return
-        key, ids, sizes, lead, comps, starts, ends = found
-        several = (np.minimum.reduceat(comps, starts) != np.maximum.reduceat(comps, starts)) & np.logical_or.reduceat(lead, starts)
-        keep = np.repeat(several, ends - starts)
-        hub, hub_comp = np.zeros(len(key), np.int64), np.zeros(len(key), np.int64)
-        for g in np.flatnonzero(several & (ends - starts > few)).tolist():
-            own = slice(starts[g], ends[g])
-            values, counts = np.unique(comps[own], return_counts=True)
-            members = np.flatnonzero(comps[own] == values[np.argmax(counts)]) + starts[g]
-            at = members[xxhash.xxh3_64_intdigest(key[starts[g] : starts[g] + 1].tobytes()) % len(members)]
-            hub[own], hub_comp[own] = ids[at], comps[at]
-        large = np.repeat(ends - starts > few, ends - starts)[keep]
-        columns = [key[keep], ids[keep], sizes[keep].astype(np.int32), lead[keep], comps[keep]]
-        yield pa.record_batch([*map(pa.array, columns), *(pa.array(x[keep], mask=~large) for x in (hub, hub_comp))], [c.split()[0] for c in CONTESTED.split(", ")])
-
-    return rows.mapInArrow(run, CONTESTED)
-
-
-def grouped(them: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, ...] | None:
-    """key, set_id, n, lead, comp in order of keys, each set once in a group, and the groups' starts and ends."""
-    parts = []
-    for b in them:
-        own = b.column(1)
-        parts.append([b.column(0).to_numpy(), own.to_numpy(), b.column(2).to_numpy(), b.column(3).to_numpy(zero_copy_only=False), pc.coalesce(b.column(4), own).to_numpy()])
-    if not sum(len(p[0]) for p in parts):
-        return None
-    key, ids, sizes, lead, comps = (np.concatenate([p[c] for p in parts]) for c in range(5))
-    order = np.lexsort((ids, key))
-    key, ids, sizes, lead, comps = key[order], ids[order], sizes[order].astype(np.int64), lead[order], comps[order]
-    first = np.append(True, (key[1:] != key[:-1]) | (ids[1:] != ids[:-1]))
-    key, ids, sizes, lead, comps = key[first], ids[first], sizes[first], lead[first], comps[first]
-    starts = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-    return key, ids, sizes, lead, comps, starts, np.append(starts[1:], len(key))
-
-
-MEET = "block long, side int, a long, b long, n int, lead boolean, comp long"
-
-
-def meetings(rows: DataFrame, *, few: int = 16, block: int = 512) -> DataFrame:
-    """What is to be compared in each key's group of rows(key, set_id, n, lead, comp), which must be partitioned by key (comp: NULL for the set itself).
-
-    Of a group of up to `few` members, pairs (a, b), with side -1; of a larger one, members (block, side, a, and the key as b):
-    in a block with one side each with each, with two sides across.
+    list: of the members, the same for groups with the same ones; m: how many. Of a hot shingle: one for the shingle, with m = -1, as its rows come from several tasks.
     """
 
-    def group_rows(key: int, ids: np.ndarray, sizes: np.ndarray, lead: np.ndarray, comps: np.ndarray) -> Iterator[np.ndarray]:
-        if len(ids) <= few:
-            i, j = np.triu_indices(len(ids), 1)
-            ok = (comps[i] != comps[j]) & (4 * np.minimum(sizes[i], sizes[j]) >= 3 * np.maximum(sizes[i], sizes[j]))
-            ok &= (lead[i] | (sizes[i] > sizes[j])) & (lead[j] | (sizes[j] > sizes[i]))
-            i, j = i[ok], j[ok]
-            if len(i):
-                zero = np.zeros(len(i), np.int64)
-                yield np.stack([zero, zero - 1, np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j]), zero, zero, zero])
-            return
-        order = np.argsort(sizes, kind="stable")
-        ids, sizes, lead, comps = ids[order], sizes[order], lead[order], comps[order]
-        cut = [[at[lo : lo + block] for lo in range(0, len(at), block)] for at in (np.flatnonzero(lead), np.flatnonzero(~lead))]
-        for x, one in enumerate(cut[0]):
-            for kind, others in enumerate(cut):
-                for y in range(x if kind == 0 else 0, len(others)):
-                    other = others[y]
-                    if 4 * sizes[one[-1]] < 3 * sizes[other[0]]:
-                        break  # from here on all are too large
-                    if sizes[other[-1]] < sizes[one[0]]:
-                        continue  # too small for members that don't lead
-                    sides = [one] if kind == 0 and x == y else [one, other]
-                    members = np.concatenate([comps[at] for at in sides])
-                    if (members == members[0]).all():
-                        continue
-                    number = int(np.uint64(xxhash.xxh3_64_intdigest(np.array([key, x, y, kind], np.int64).tobytes())).view(np.int64))
-                    for side, at in enumerate(sides):
-                        full = lambda v, n=len(at): np.full(n, v, np.int64)
-                        yield np.stack([full(number), full(side), ids[at], full(key), sizes[at], lead[at].astype(np.int64), comps[at]])
-
     def run(them: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if (found := grouped(them)) is None:
-            return
-        key, ids, sizes, lead, comps, starts, ends = found
-        several = np.flatnonzero(np.minimum.reduceat(comps, starts) != np.maximum.reduceat(comps, starts))
-        out: list[np.ndarray] = []
-        made = 0
-        for g in several.tolist():
-            own = slice(starts[g], ends[g])
-            for part in group_rows(int(key[starts[g]]), ids[own], sizes[own], lead[own], comps[own]):
-                out.append(part)
-                made += part.shape[1]
-                if made > 100_000:
-                    yield meet(out)
-                    out, made = [], 0
-        if out:
-            yield meet(out)
-
-    def meet(out: list[np.ndarray]) -> pa.RecordBatch:
-        block_, side, a, b, n, lead, comp = np.concatenate(out, axis=1)
-        return pa.record_batch([pa.array(block_), pa.array(side.astype(np.int32)), pa.array(a), pa.array(b), pa.array(n.astype(np.int32)), pa.array(lead.astype(bool)), pa.array(comp)], [c.split()[0] for c in MEET.split(", ")])
-
-    return rows.mapInArrow(run, MEET)
+        rest: list[np.ndarray] = []
+        for batch in them:
+            if not batch.num_rows:
+                continue
+            got = [batch.column(c).to_numpy(zero_copy_only=False) for c in range(5)]
+            rest = [np.concatenate(x) for x in zip(rest, got, strict=True)] if rest else got
+            # the last group may go on in the next batch
+            last = (rest[0] == rest[0][-1]) & (rest[1] == rest[1][-1])
+            cut = len(last) - int(last[::-1].argmin()) if not last.all() else 0
+            if cut:
+                yield from whole([x[:cut] for x in rest])
+                rest = [x[cut:] for x in rest]
+        if rest:
+            yield from whole(rest)
+
+    def whole(rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        key, salt, ids, n, lead = rows
+        other = np.append(True, (key[1:] != key[:-1]) | (salt[1:] != salt[:-1]))
+        starts = np.flatnonzero(other)
+        leads = np.logical_or.reduceat(lead, starts)
+        first = other | np.append(True, ids[1:] != ids[:-1])  # each set once
+        m = np.add.reduceat(first.astype(np.int64), starts)
+        lists = np.add.reduceat(text._mixed(ids.view(np.uint64)) * first, starts)
+        hot = salt[starts] >= 0
+        lists, m = np.where(hot, text._mixed(key[starts].view(np.uint64)), lists), np.where(hot, -1, m)
+        kept = hot | ((m > 1) & leads)
+        # a list only once here
+        again = np.zeros(len(starts), bool)
+        at = np.flatnonzero(kept & ~hot)
+        again[at] = True
+        again[at[np.unique(lists[at], return_index=True)[1]]] = False
+        size = np.diff(np.append(starts, len(key)))
+        chosen = np.repeat(kept & ~again, size) & first
+        if chosen.any():
+            columns = [np.repeat(lists.view(np.int64), size), ids, n, np.repeat(m, size)]
+            yield pa.record_batch([pa.array(x[chosen]) for x in columns], [c.split()[0] for c in MEMBERS.split(", ")])
+
+    return rows.mapInArrow(run, MEMBERS)
+
+
+CELLS = ["cell", "side", "set_id", "n", "comp"]
+
+
+def stars(rows: DataFrame, of: str, rep: DataFrame, block: int) -> DataFrame:
+    """CELLS that pair the rows(of, set_id, n, comp) of each group with the group's representative, of rep(of, rep, rep_n, rep_comp, m), which is staged: m members, one cell for each `block` of them."""
+    parts = F.ceil(F.col("m") / block).cast("long")
+    met = rows.join(staging.small(rep), of)
+    cell = lambda part: F.xxhash64(of, part).alias("cell")
+    members = met.where("comp <> rep_comp").select(cell(F.pmod(F.xxhash64("set_id"), parts)), F.lit(1).alias("side"), "set_id", "n", "comp")
+    reps = rep.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
+    return members.unionByName(reps.select(cell(F.col("part")), F.lit(0).alias("side"), F.col("rep").alias("set_id"), F.col("rep_n").alias("n"), F.col("rep_comp").alias("comp")))
 
 
 #: What members of one class have in common, and bands of sizes: linked sets are in one, or in neighbouring ones.
-CLASS = ["band", "lead", "major"]
+CLASS = ["band", "major"]
 BAND_OF_SIZES = 1.34
 
 
 def dealt(rows: DataFrame, block: int) -> DataFrame:
-    """MEET: members of blocks of the groups of rows(key, set_id, n, lead, comp), staged, whose keys' groups are too large for one task.
+    """CELLS of the block pairs of the groups of rows(list, set_id, n, comp, major), staged, that are too large for one task.
 
-    A group's members are dealt by hash to blocks within a class (band of sizes, leading, in the group's largest component),
+    A group's members are dealt by hash to blocks within a class (band of sizes, in the group's largest component),
     and each goes to all blocks of the classes that its own can link with.
     """
-    rows = rows.withColumn("comp", F.coalesce("comp", "set_id"))
-    most = rows.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("m")).groupBy("key").agg(F.max_by("comp", F.struct("m", "comp")).alias("most"))
-    rows = rows.join(F.broadcast(staging.stage(most, "jaccard-most")), "key").withColumn("major", F.col("comp") == F.col("most"))  # a row for each hot key
-    rows = staging.stage(rows.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / math.log(BAND_OF_SIZES))).drop("most"), "jaccard-classes")
-    sizes = staging.stage(rows.groupBy("key", *CLASS).agg(F.ceil(F.count(F.lit(1)) / block).alias("blocks")), "jaccard-class-sizes")
-    theirs = sizes.select("key", *(F.col(c).alias(f"{c}_") for c in CLASS), F.col("blocks").alias("blocks_"))
-    leads = (F.col("lead") & (F.col("band") <= F.col("band_"))) | (F.col("lead_") & (F.col("band_") <= F.col("band")))
-    partners = sizes.join(theirs, "key").where(leads & (F.abs(F.col("band") - F.col("band_")) <= 1) & ~(F.col("major") & F.col("major_")))
+    rows = staging.stage(rows.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / math.log(BAND_OF_SIZES))), "jaccard-classes")
+    sizes = staging.stage(rows.groupBy("list", *CLASS).agg(F.ceil(F.count(F.lit(1)) / block).alias("blocks")), "jaccard-class-sizes")
+    theirs = sizes.select("list", *(F.col(c).alias(f"{c}_") for c in CLASS), F.col("blocks").alias("blocks_"))
+    partners = sizes.join(theirs, "list").where((F.abs(F.col("band") - F.col("band_")) <= 1) & ~(F.col("major") & F.col("major_")))
     own, other = F.struct(*CLASS), F.struct(*(F.col(f"{c}_").alias(c) for c in CLASS))
-    met = rows.join(staging.small(staging.stage(partners, "jaccard-partners")), ["key", *CLASS])
+    met = rows.join(staging.small(staging.stage(partners, "jaccard-partners")), ["list", *CLASS])
     met = met.withColumn("i", F.pmod(F.xxhash64("set_id"), "blocks")).withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks_") - 1)))
     first = (own < other) | ((own == other) & (F.col("i") <= F.col("j")))
+    one = (own == other) & (F.col("i") == F.col("j"))
     here, there = F.struct(own.alias("c"), "i"), F.struct(other.alias("c"), F.col("j").alias("i"))
-    number = F.xxhash64("key", F.when(first, here).otherwise(there), F.when(first, there).otherwise(here))
-    return met.select(number.alias("block"), F.when(first, 0).otherwise(1).alias("side"), F.col("set_id").alias("a"), F.col("key").alias("b"), "n", "lead", "comp")
+    number = F.xxhash64("list", F.when(first, here).otherwise(there), F.when(first, there).otherwise(here))
+    return met.select(number.alias("cell"), F.when(one, -1).when(first, 0).otherwise(1).alias("side"), "set_id", "n", "comp")
 
 
-def whole_blocks(them: Iterator[pa.RecordBatch], rows: int = 20_000) -> Iterator[pa.Table]:
-    """The rows of batches in order of blocks, some whole blocks at a time."""
+def whole_cells(them: Iterator[pa.RecordBatch], rows: int = 20_000, size: int = 1 << 24) -> Iterator[pa.Table]:
+    """The rows of batches in order of cells, some whole cells at a time."""
     held: list[pa.RecordBatch] = []
-    for batch in them:
-        if batch.num_rows:
-            held.append(batch)
-        if sum(b.num_rows for b in held) >= rows:
+    for batch in (part for b in them for part in (b.slice(k, 2000) for k in range(0, b.num_rows, 2000))):
+        held.append(batch)
+        if sum(b.num_rows for b in held) >= rows or sum(b.nbytes for b in held) >= size:
             table = pa.Table.from_batches(held)
-            block = table.column("block").to_numpy()
-            cut = int(np.flatnonzero(block == block[-1])[0])
+            cell = table.column("cell").to_numpy()
+            cut = int(np.searchsorted(cell, cell[-1]))
             if cut:
                 yield table.slice(0, cut)
                 held = table.slice(cut).combine_chunks().to_batches()
@@ -310,82 +265,50 @@ def whole_blocks(them: Iterator[pa.RecordBatch], rows: int = 20_000) -> Iterator
         yield pa.Table.from_batches(held)
 
 
-def walk(members: DataFrame) -> DataFrame:
-    """(a, b) that may link, of members(block, side, a, b, n, comp, bitmap, keys, leads), which must be partitioned by block, and in its order.
-
-    keys: all large groups' keys that the set is a member of; leads: those in which it leads. A pair is looked at in the least key in
-    which its smaller set leads, of those that both have.
-    """
+def walk(cells: DataFrame, maps: DataFrame) -> DataFrame:
+    """(a, b) that may link, of CELLS and the bitmaps (set_id, bitmap) of their sets."""
 
     def run(them: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in whole_blocks(them):
-            yield from walked(table)
-
-    def walked(table: pa.Table) -> Iterator[pa.RecordBatch]:
-        block, side, a, key, n, comp = (table.column(c).to_numpy() for c in ("block", "side", "a", "b", "n", "comp"))
-        n, raw = n.astype(np.int64), table.column("bitmap").to_pylist()
-        keys, leads = ([frozenset(x) for x in table.column(c).to_pylist()] for c in ("keys", "leads"))
-        order = np.lexsort((a, n, side, block))
-        starts = np.flatnonzero(np.append(True, np.diff(block[order]) != 0))
-        for lo, hi in zip(starts, np.append(starts[1:], len(order)), strict=True):
-            own = order[lo:hi]
-            sides = [p for p in (own[side[own] == 0], own[side[own] == 1]) if len(p)]
-            kinds = [[(w, p[at], maps) for w, at, maps in sigtree.alike([raw[r] for r in p])] for p in sides]
-            same = len(sides) == 1
-            for x, (wx, px, mx) in enumerate(kinds[0]):
-                for y, (wy, py, my) in enumerate(kinds[-1]):
-                    if same and y < x or max(wx, wy) > 2 * min(wx, wy):  # sizes too far apart
-                        continue
-                    w = min(wx, wy)
-                    trees = [sigtree.Tree(sigtree.folded(m, w), n[p]) for p, m in ((px, mx), (py, my))]
-                    i, j = sigtree.pairs(trees[0], trees[1], same=same and x == y)
-                    i, j = px[i], py[j]
-                    ok = comp[i] != comp[j]
-                    i, j, own_key = i[ok], j[ok], key[own[0]]
-                    up = (n[i] < n[j]) | ((n[i] == n[j]) & (a[i] < a[j]))
-                    less, more = np.where(up, i, j), np.where(up, j, i)
-                    ok = np.array([min(leads[v] & keys[w], default=None) == own_key for v, w in zip(less.tolist(), more.tolist(), strict=True)], bool)
-                    i, j = a[i[ok]], a[j[ok]]
-                    if len(i):
-                        yield pa.record_batch([pa.array(np.minimum(i, j)), pa.array(np.maximum(i, j))], ["a", "b"])
-
-    return members.mapInArrow(run, "a long, b long")
-
-
-def bounded(pairs: DataFrame) -> DataFrame:
-    """Of pairs(a, b, n_a, map_a, n_b, map_b), (a, b) of those whose bitmaps don't rule out a link."""
-
-    def test(batch: pa.RecordBatch) -> pa.RecordBatch:
-        maps = [batch.column(c).to_pylist() for c in ("map_a", "map_b")]
-        sizes = [batch.column(c).to_numpy().astype(np.int64) for c in ("n_a", "n_b")]
-        fits = pa.array(sigtree.linkable(*maps, *sizes))
-        return pa.record_batch([batch.column("a").filter(fits), batch.column("b").filter(fits)], ["a", "b"])
-
-    return pairs.select("a", "b", "n_a", "map_a", "n_b", "map_b").mapInArrow(text.batches(test), "a long, b long")
-
-
-def linked(pairs: DataFrame, sets: DataFrame, docs: DataFrame) -> DataFrame:
-    """The (a, b) of staged pairs(a, b), which are dropped, whose full sets link. sets: (set_id, at) of every set, at being a row's with that set.
+        for table in whole_cells(them):
+            cell, side, ids, n, comp = (table.column(c).to_numpy() for c in CELLS)
+            entries = sigtree.Entries(cell, side, n.astype(np.int64), comp)
+            found = sigtree.forest(table.column("bitmap").to_pylist(), entries)
+            i, j = (np.concatenate([f[k] for f in found]) for k in (0, 1))
+            both = np.unique(np.stack([np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])]), axis=1)
+            if both.shape[1]:
+                yield pa.record_batch([pa.array(both[0]), pa.array(both[1])], ["a", "b"])
+
+    rows = cells.join(maps, "set_id").select(*CELLS, "bitmap").repartition("cell").sortWithinPartitions("cell")
+    return rows.mapInArrow(run, "a long, b long").distinct()
+
+
+def tokens_of(ids: DataFrame, sets: DataFrame, docs: DataFrame) -> DataFrame:
+    """(set_id, tokens) of the staged ids(set_id), which are dropped, staged. sets: (set_id, at) of every set, at being a row's with that set.
 
     Rows are found by the hash of their locators; what else has that hash is read for nothing.
     """
-    ids = pairs.select(F.col("a").alias("set_id")).union(pairs.select("b")).distinct()
-    rows = staging.stage(sets.select("set_id", "at").join(ids, "set_id").select("at").distinct(), "jaccard-rows")
+    rows = staging.stage(sets.join(staging.small(ids), "set_id", "left_semi").select("at").distinct(), "jaccard-rows")
 
     def whole(them: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = text.Memo(text.word_hash, 100_000)
         for batch in them:
-            found = {set_id(t): t for t in (text.shingles(text.spaced_words(raw), memo) for raw in text.as_bytes(batch.column("text"))) if len(t)}
-            yield pa.record_batch([pa.array(list(found), pa.int64()), pa.array([t.tobytes() for t in found.values()], pa.binary())], ["set_id", "tokens"])
+            for lo in range(0, batch.num_rows, 256):
+                found = {set_id(t): t.tobytes() for t in text.shingle_sets(batch.column("text").slice(lo, 256)) if len(t)}
+                yield pa.record_batch([pa.array(list(found), pa.int64()), pa.array(found.values(), pa.binary())], ["set_id", "tokens"])
 
     full = docs.select("text", "at").join(staging.small(rows), "at", "left_semi").select("text").mapInArrow(whole, "set_id long, tokens binary")
-    full = staging.stage(full, "jaccard-sets")
+    full = staging.stage(full, "jaccard-tokens")
+    staging.drop(ids, rows)
+    return full
+
+
+def linked(pairs: DataFrame, full: DataFrame) -> DataFrame:
+    """The (a, b) of pairs(a, b) whose full sets (set_id, tokens) link, staged."""
 
     def compare(batch: pa.RecordBatch) -> pa.RecordBatch:
         ok = []
-        for x, y in zip(batch.column("ta").to_pylist(), batch.column("tb").to_pylist(), strict=True):
-            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-            both = np.sort(np.concatenate([x, y]))
+        for x, y in zip(batch.column("ta"), batch.column("tb"), strict=True):
+            x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+            both = np.sort(np.concatenate([x, y]), kind="stable")
             shared = int((both[1:] == both[:-1]).sum())
             ok.append(100 * shared >= 75 * (len(x) + len(y) - shared))
         keep = pa.array(ok, pa.bool_())
@@ -393,69 +316,77 @@ def linked(pairs: DataFrame, sets: DataFrame, docs: DataFrame) -> DataFrame:
 
     side = lambda own, name: full.select(F.col("set_id").alias(own), F.col("tokens").alias(name))
     met = pairs.select("a", "b").join(side("a", "ta"), "a").join(side("b", "tb"), "b").select("a", "b", "ta", "tb")
-    links = staging.stage(met.mapInArrow(text.batches(compare), "a long, b long"), "jaccard-links")
-    staging.drop(pairs, rows, full)
-    return links
+    return staging.stage(met.mapInArrow(text.batches(compare), "a long, b long"), "jaccard-links")
+
+
+def classes(links: DataFrame) -> DataFrame:
+    """(set_id, comp) of the ends of links(a, b), staged: sets of one comp are connected; connected sets may be of several."""
+    both = links.select(F.col("a").alias("set_id"), F.col("b").alias("other")).unionByName(links.select(F.col("b").alias("set_id"), F.col("a").alias("other")))
+    near = staging.stage(both.groupBy("set_id").agg(F.least(F.min("other"), F.col("set_id")).alias("comp")), "jaccard-near")
+    further = staging.small(near.select(F.col("set_id").alias("comp"), F.col("comp").alias("further")))
+    out = near.join(further, "comp", "left").select("set_id", F.coalesce("further", "comp").alias("comp"))
+    out = staging.stage(out, "jaccard-comp")
+    staging.drop(near)
+    return out
 
 
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", often: int = 3, few: int = 16, block: int = 512, hot: int = 8192, locator: Column | None = None) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", often: int = 3, few: int = 16, block: int = 2048, hot: int = 8192, locator: Column | None = None) -> DataFrame:
     """doc_id, n_shingles, component_id of each row of docs. component_id: the smallest doc_id reachable by links.
 
     locator: says where a row is, as a string; by default its id. If given, kept and locator are columns of the result. kept: of the rows reachable by links, the one with the smallest
     doc_id, then locator; and every row without words.
     """
     docs = _texts(docs, id_col, text_col, locator)
-    rows = staging.stage(profile(docs.select("doc_id", "text", "locator"), often=often), "jaccard-profile")
-    of_docs = rows.where("bitmap IS NOT NULL OR n = 0")
-    sets = staging.stage(of_docs.where("n > 0").groupBy("set_id").agg(dedup.least_row().alias("first"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("bitmap").alias("bitmap")).withColumn("at", F.xxhash64("first.locator")), "jaccard-nodes")
+    rows = staging.stage(profile(docs, often=often), "jaccard-profile")
+    of_docs = rows.where("kind = 0").drop("kind")
+    sets = staging.stage(of_docs.where("n > 0").groupBy("set_id").agg(dedup.least_row().alias("first"), F.first("n").cast("int").alias("n"), F.first("least").alias("least"), F.first("bitmap").alias("bitmap")).withColumn("at", F.xxhash64("first.locator")), "jaccard-nodes")
     if sets.isEmpty():
         return of_docs.select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), *([] if locator is None else [F.lit(True).alias("kept"), "locator"]))
 
-    # 1. up to two hubs for each band of a set
-    banded = sets.select("set_id", F.posexplode("bands").alias("band", "value"))
-    ends = banded.groupBy("band", "value").agg(F.min("set_id").alias("low"), F.max("set_id").alias("high")).where("low < high")
-    hubs = staging.stage(ends.select("band", "value", F.explode(F.array("low", "high")).alias("hub")), "jaccard-hubs")
-    to_hub = banded.join(hubs, ["band", "value"]).where("set_id <> hub").select(F.least("hub", "set_id").alias("a"), F.greatest("hub", "set_id").alias("b")).distinct()
-    maps = sets.select("set_id", "n", "bitmap")
-    side = lambda own: maps.select(F.col("set_id").alias(own), F.col("n").alias(f"n_{own}"), F.col("bitmap").alias(f"map_{own}"))
-    with_maps = lambda pairs: pairs.join(side("a"), "a").join(side("b"), "b")
-    star = linked(staging.stage(bounded(with_maps(to_hub)), "jaccard-star"), sets, docs)
-    comp = staging.stage(cc.components(star).withColumnsRenamed({"node": "set_id", "component": "comp"}), "jaccard-comp")
-
-    # 2. the groups of prefix shingles
-    levels = often_seen(rows.where("bitmap IS NULL AND n > 0"))
-    keyed = prefixes(docs.select("doc_id", "text"), levels).join(staging.small(comp), "set_id", "left").select("key", "set_id", "n", "lead", F.when(F.col("comp") != F.col("set_id"), F.col("comp")).alias("comp"))
-    groups = staging.stage(contested(keyed.repartition("key"), few), "jaccard-contested")
-    to_hub = groups.where("comp <> hub_comp").select(F.least("hub", "set_id").alias("a"), F.greatest("hub", "set_id").alias("b")).distinct()
-    star = star.unionByName(linked(staging.stage(bounded(with_maps(to_hub)), "jaccard-star"), sets, docs))
-    staging.drop(comp)
-    comp = staging.stage(cc.components(star).withColumnsRenamed({"node": "set_id", "component": "comp"}), "jaccard-comp")
-    again = groups.select("key", "set_id", "n", "lead").join(staging.small(comp), "set_id", "left").select("key", "set_id", "n", "lead", F.when(F.col("comp") != F.col("set_id"), F.col("comp")).alias("comp"))
-    large = staging.stage(groups.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > hot).select("key"), "jaccard-hot")
-    if large.isEmpty():
-        met = meetings(again.repartition("key"), few=few, block=block)
-    else:
-        met = meetings(again.join(staging.small(large), "key", "left_anti").repartition("key"), few=few, block=block)
-        many = staging.stage(again.join(staging.small(large), "key").repartition("set_id"), "jaccard-many")
-        met = met.unionByName(dealt(many, block))
-    met = staging.stage(met, "jaccard-met")
-
-    # 3. bounds, then full sets
-    near = bounded(with_maps(met.where("side < 0").select("a", "b").distinct()))
-    large = met.where("side >= 0")
-    keys = large.groupBy("a").agg(F.collect_set("b").alias("keys"), F.collect_set(F.when(F.col("lead"), F.col("b"))).alias("leads"))
-    members = large.join(maps.select(F.col("set_id").alias("a"), "bitmap"), "a").join(keys, "a")
-    deep = walk(members.select("block", "side", "a", "b", "n", "comp", "bitmap", "keys", "leads").repartition("block").sortWithinPartitions("block"))
-    left = staging.stage(near.unionByName(deep).distinct(), "jaccard-left")
-    links = star.unionByName(linked(left, sets, docs))
-
-    # 4. components of sets, and the smallest doc_id of each
+    # 1. groups of prefix shingles, one for each list of members
+    keyed = prefixes(docs, often_seen(rows.where("kind = 1"), hot)).repartition("key", "salt").sortWithinPartitions("salt", "key", "set_id")
+    found = staging.stage(groups(keyed), "jaccard-groups")
+    members = staging.stage(found.dropDuplicates(["list", "set_id"]).join(sets.select("set_id", "least"), "set_id").withColumn("comp", F.col("set_id")), "jaccard-members")
+    staging.drop(found)
+    own = staging.stage(members.select("set_id").distinct(), "jaccard-ids")
+    maps = staging.stage(sets.select("set_id", "bitmap").join(staging.small(own), "set_id", "left_semi"), "jaccard-maps")
+
+    # 2. small groups whole, large ones against those that share their least shingle
+    small, large = members.where(F.col("m").between(2, few)), members.where((F.col("m") < 0) | (F.col("m") > few))
+    cells = small.select(F.col("list").alias("cell"), F.lit(-1).alias("side"), "set_id", "n", "comp")
+    alike = large.select(F.xxhash64("list", "least").alias("own"), "set_id", "n", "comp")
+    reps = alike.groupBy("own").agg(F.min(F.struct("set_id", "n", "comp")).alias("r"), F.count(F.lit(1)).alias("m")).where("m > 1")
+    reps = staging.stage(reps.select("own", F.col("r.set_id").alias("rep"), F.col("r.n").alias("rep_n"), F.col("r.comp").alias("rep_comp"), "m"), "jaccard-reps")
+    left = staging.stage(walk(cells.unionByName(stars(alike, "own", reps, block)), maps), "jaccard-left")
+    ids = left.select(F.col("a").alias("set_id")).union(left.select("b")).union(large.select("set_id")).distinct()
+    full = tokens_of(staging.stage(ids, "jaccard-ids"), sets, docs)
+    links = linked(left, full)
+    staging.drop(left, reps)
+    for last in (False, True):
+        comp = classes(links)
+        several = large.drop("comp").join(staging.small(comp), "set_id", "left").withColumn("comp", F.coalesce("comp", "set_id"))
+        several = staging.stage(several.select("list", "set_id", "n", "comp"), "jaccard-several")
+        by_comp = several.groupBy("list", "comp").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("set_id", "n")).alias("r"))
+        most = by_comp.groupBy("list").agg(F.max(F.struct("c", "comp", "r")).alias("most"), F.sum("c").alias("m")).where("m > most.c")
+        most = staging.stage(most.select("list", F.col("most.comp").alias("rep_comp"), F.col("most.r.set_id").alias("rep"), F.col("most.r.n").alias("rep_n"), "m"), "jaccard-most")
+        if last:  # whole groups
+            met = several.join(staging.small(most), "list").withColumn("major", F.col("comp") == F.col("rep_comp"))
+            cells = met.where(F.col("m") <= block).select(F.col("list").alias("cell"), F.lit(-1).alias("side"), "set_id", "n", "comp")
+            cells = cells.unionByName(dealt(met.where(F.col("m") > block).select("list", "set_id", "n", "comp", "major"), block))
+        else:  # against the largest class
+            cells = stars(several, "list", most, block)
+        left = staging.stage(walk(cells, maps), "jaccard-left")
+        more = linked(left, full)
+        staging.drop(comp, several, most, left)
+        links = links.unionByName(more)
+
+    # 3. components of sets, and the smallest doc_id of each
     part = staging.stage(cc.components(links), "jaccard-parts")
-    staging.drop(met, groups, comp, hubs)
+    staging.drop(members, own, maps, full)
     least = part.join(sets.select(F.col("set_id").alias("node"), "first"), "node").groupBy("component").agg(F.min("first").alias("least"))
     of_set = part.join(staging.stage(least, "jaccard-least"), "component").select(F.col("node").alias("set_id"), "least")
     of_set = sets.select("set_id", "first").join(of_set, "set_id", "left").select("set_id", F.coalesce("least", "first").alias("least"))
     of_set = staging.stage(of_set, "jaccard-of-set")
     kept = F.col("n").eqNullSafe(0) | (F.col("doc_id").eqNullSafe(F.col("least.doc_id")) & F.col("locator").eqNullSafe(F.col("least.locator")))
-    own = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("least.doc_id"))
-    return of_docs.select("doc_id", "set_id", "n", "locator").join(of_set, "set_id", "left").select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"), *([] if locator is None else [kept.alias("kept"), "locator"]))
+    own_id = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("least.doc_id"))
+    return of_docs.select("doc_id", "set_id", "n", "locator").join(of_set, "set_id", "left").select("doc_id", F.col("n").alias("n_shingles"), own_id.alias("component_id"), *([] if locator is None else [kept.alias("kept"), "locator"]))

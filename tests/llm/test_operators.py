@@ -7,6 +7,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -394,7 +395,7 @@ def test_jaccard_template_with_one_word_varied(documents, monkeypatch):
     monkeypatch.setattr(jaccard.staging, "stage", counting)
     got = jaccard.near_duplicates(documents(rows), few=2, block=4)
     assert sorted(map(tuple, got.collect())) == plain_components(rows)
-    assert made["jaccard-met"] < 2 * len(rows)
+    assert made["jaccard-members"] < 2 * len(rows) and made["jaccard-left"] < len(rows)
 
 
 @pytest.mark.parametrize("hot", [3, 12])
@@ -427,26 +428,28 @@ def test_jaccard_empty(documents):
     assert [tuple(r) for r in jaccard.near_duplicates(documents([(4, None), (3, " ")])).orderBy("doc_id").collect()] == [(3, 0, 3), (4, 0, 4)]
 
 
-def test_tree_loses_no_link():
+@pytest.mark.parametrize("sides, kinds", [(False, False), (True, False), (False, True), (True, True)])
+def test_tree_loses_no_link(sides, kinds):
     r = np.random.default_rng(0)
     sets = []
     for _ in range(30):
-        base = r.integers(0, 2**64, 60, dtype=np.uint64)
-        for keep in (60, 56, 52, 48, 30):
-            sets.append(np.unique(np.concatenate([base[:keep], r.integers(0, 2**64, 62 - keep, dtype=np.uint64)])))
-    sizes = np.array([len(s) for s in sets])
-    maps = sigtree.folded(np.array([sigtree.bitmap(s) for s in sets]), 4)
-    order = np.argsort(sizes, kind="stable")
-    tree = sigtree.Tree(maps[order], sizes[order])
-    i, j = sigtree.pairs(tree, tree, same=True)
-    found = {frozenset((order[x], order[y])) for x, y in zip(i, j, strict=True)}
-    assert len(found) == len(i)
-    for x in range(len(sets)):
+        base = r.integers(0, 2**64, int(r.integers(5, 300)), dtype=np.uint64)
+        for keep in (1, 0.95, 0.9, 0.85, 0.5):
+            sets.append(np.unique(np.concatenate([base[: int(keep * len(base))], r.integers(0, 2**64, int(r.integers(0, 9)), dtype=np.uint64)])))
+    n = len(sets)
+    entries = sigtree.Entries(np.arange(n) // 100, r.integers(0, 2, n) if sides else np.full(n, -1), np.array([len(s) for s in sets]), r.integers(0, 4, n) if kinds else np.arange(n))
+    out = sigtree.forest([sigtree.bitmap(s).tobytes() for s in sets], entries)
+    found = [frozenset((x, y)) for i, j in out for x, y in zip(i.tolist(), j.tolist(), strict=True)]
+    assert len(set(found)) == len(found)
+    found, wanted = set(found), set()
+    for x in range(n):
         for y in range(x):
+            meet = x // 100 == y // 100 and (not sides or entries.side[x] != entries.side[y]) and entries.kind[x] != entries.kind[y]
             both = len(np.intersect1d(sets[x], sets[y]))
-            if 100 * both >= 75 * (len(sets[x]) + len(sets[y]) - both):
-                assert frozenset((x, y)) in found
-    assert len(found) < 0.2 * len(sets) ** 2 / 2
+            if meet and 100 * both >= 75 * (len(sets[x]) + len(sets[y]) - both):
+                wanted.add(frozenset((x, y)))
+            assert meet or frozenset((x, y)) not in found
+    assert wanted <= found and len(found) < 2 * len(wanted) + 20
 
 
 def test_components(spark):
@@ -528,8 +531,16 @@ def test_languages(documents):
     assert langid.identify(documents([(1, "abc", None)])).collect()[0].lang_pred == "und"
 
 
-def test_shingles_of_few_words():
-    memo = text.Memo(text.word_hash)
-    assert len(text.shingles([], memo)) == 0
-    assert len(text.shingles([b"a", b"b"], memo)) == 1 and len(text.shingles([b"a"] * 20, memo)) == 1
-    assert text.shingles([b"a"] * 4, memo)[0] != text.shingles([b"a"] * 5, memo)[0]
+def test_shingles_of_odd_texts():
+    pieces = ["", "a b", "a " * 20, "A " * 4, "x" * 200000 + " b c d e f", " " * 300000, "w1 w2\tw3 w4 w5 w6\n" * 9000, "é É straße b c", None, "a b c d e", "b", "a\x00b c\x1fd"]
+    r = random.Random(3)
+    pieces += ["".join(r.choice("ab A\t\n\x0b é") for _ in range(r.randrange(60))) for _ in range(300)]
+    want = [s for _, s in plain_sets(list(enumerate(pieces)))]
+    for slab in (16, 1000, 1 << 20):
+        got = list(text.shingle_sets(pa.array([None, *pieces], pa.string()).slice(1), slab=slab))
+        assert [len(s) for s in got] == [len(s) for s in want]
+        of = {}
+        for mine, theirs in zip(got, want, strict=True):
+            assert (np.diff(mine.view(np.uint64)) > 0).all() if len(mine) > 1 else True
+            assert of.setdefault(frozenset(theirs), mine.tobytes()) == mine.tobytes()
+        assert len(set(of.values())) == len(of)
