@@ -83,11 +83,11 @@ def states(log: DataFrame, files_per_batch: int = 1000) -> DataFrame:
 def exact_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", locator: Column | None = None, digest: Callable[[Column], Column] = sha256) -> DataFrame:
     """One row for each row of docs: doc_id, keep_id, group_size, kept, text_sha256, locator.
 
-    locator: says where a row's text is, as a string; by default its id. Of rows that share the smallest doc_id
+    locator: says where a row's text is, as a string; by default its id and a number of the row. Of rows that share the smallest doc_id
     of their group, the one with the smallest locator is kept. digest: of a normalised text.
     """
     text, spark = normalised(F.col(text_col)), docs.sparkSession
-    at = F.col(id_col).cast("string") if locator is None else locator
+    at = F.concat_ws("#", F.col(id_col).cast("string"), F.monotonically_increasing_id()) if locator is None else locator
     log = staging.stage(docs.select(F.col(id_col).cast("long").alias("doc_id"), digest(text).alias("digest"), at.alias("locator"), sha256(text).alias("text_sha256")), "dedup-log")
     if log.isEmpty():
         return spark.createDataFrame([], "doc_id long, keep_id long, group_size long, kept boolean, text_sha256 string, locator string")
@@ -95,12 +95,13 @@ def exact_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     # full bytes of every digest that was hit again
     hits = staging.stage(groups.where("group_size > 1").select("digest"), "dedup-hits")
     texts = docs.select(digest(text).alias("digest"), text.alias("whole"), F.col(id_col).cast("long").alias("doc_id"), at.alias("locator"))
-    by_text = lambda of: texts.join(staging.small(of), "digest", "left_semi").groupBy("digest", "whole").agg(least_row().alias("first"), F.count(F.lit(1)).alias("group_size"))
-    collided = staging.stage(by_text(hits).groupBy("digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("digest"), "dedup-collided")
+    hit_again = lambda of: texts.join(staging.small(of), "digest", "left_semi")
+    collided = staging.stage(hit_again(hits).groupBy("digest", "whole").agg(F.lit(1).alias("one")).groupBy("digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("digest"), "dedup-collided")
     rows = log.select("doc_id", "locator", "digest", "text_sha256")
     if not collided.isEmpty():  # two texts of one digest: by text
-        several = texts.join(staging.small(collided), "digest", "left_semi")
-        apart = several.join(by_text(collided), ["digest", "whole"]).select("doc_id", "locator", "digest", sha256(F.col("whole")).alias("text_sha256"), "first", "group_size")
+        several = staging.stage(hit_again(collided), "dedup-several")
+        by_text = several.groupBy("digest", "whole").agg(least_row().alias("first"), F.count(F.lit(1)).alias("group_size"))
+        apart = several.join(by_text, ["digest", "whole"]).select("doc_id", "locator", "digest", sha256(F.col("whole")).alias("text_sha256"), "first", "group_size")
         found = rows.join(collided, "digest", "left_anti").join(groups, "digest").select(*apart.columns).unionByName(apart)
     else:
         found = rows.join(groups, "digest")
@@ -108,12 +109,18 @@ def exact_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     return found.select("doc_id", F.col("first.doc_id").alias("keep_id"), "group_size", kept.alias("kept"), "text_sha256", "locator")
 
 
-def place_in_file() -> Column:
-    """The locator of a row that is read from files: the file and the row's number in it."""
-    return F.concat_ws("#", F.col("_metadata.file_path"), F.col("_metadata.row_index"))
+def place_in_file(docs: DataFrame) -> Column:
+    """The locator of a row of docs, which are read from files: the file and the row's number in it."""
+    meta = docs.metadataColumn("_metadata")  # whatever docs' own columns are called
+    return F.concat_ws("#", meta["file_path"], meta["row_index"])
+
+
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """docs, as read from files, without the rows whose places are in gone(locator), which is staged."""
+    name = staging.free_name(docs, "locator")
+    return docs.withColumn(name, place_in_file(docs)).join(staging.small(gone.withColumnRenamed("locator", name)), name, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:
     """docs, as read from files, without the rows that exact_dedup does not keep."""
-    gone = staging.stage(exact_dedup(docs, locator=place_in_file()).where("NOT kept").select("locator"), "dedup-gone")
-    return docs.withColumn("_locator", place_in_file()).join(staging.small(gone.withColumnRenamed("locator", "_locator")), "_locator", "left_anti").select(docs.columns)
+    return without(docs, staging.stage(exact_dedup(docs, locator=place_in_file(docs)).where("NOT kept").select("locator"), "dedup-gone"))

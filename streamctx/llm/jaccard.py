@@ -10,7 +10,7 @@ A document's set is its distinct 5-word shingles as 64-bit hashes. Two sets link
    groups with the same members one is kept (near copies share hundreds).
 2. Signature trees (sigtree) are built over the groups' sets, and a dual walk gives the candidate pairs; these are
    verified by their full sets. Groups of up to `few` members are walked whole. In larger ones each set is first walked
-   against one representative of those with the same least shingle, then against one of the group's largest class
+   against one representative of those with the same least shingle, then against `hubs` of the group's largest class
    (sets known to be connected), and then the whole group is walked, where nodes of one class aren't compared.
 3. Links give components.
 
@@ -55,11 +55,11 @@ def _texts(docs: DataFrame, id_col: str, text_col: str, locator: Column | None)
 
 
 def profile(docs: DataFrame, *, chunk: int = 1_000_000, often: int = 3) -> DataFrame:
-    """Two kinds of rows: of each document (kind 0, doc_id, set_id, n, least, bitmap, locator), and counts of often-seen shingles by bucket (kind 1, set_id: bucket, n: count).
+    """Two kinds of rows: of each document (kind 0, doc_id, set_id, n, least, bitmap, wide (a bitmap of more bits), locator), and counts of often-seen shingles by bucket (kind 1, set_id: bucket, n: count).
 
     least: the least shingle. A task counts shingles in chunks of about `chunk`; those in `often` of a chunk's sets at least are reported.
     """
-    kinds = {"kind": pa.int32(), "doc_id": pa.int64(), "set_id": pa.int64(), "n": pa.int64(), "least": pa.int64(), "bitmap": pa.binary(), "locator": pa.string()}
+    kinds = {"kind": pa.int32(), "doc_id": pa.int64(), "set_id": pa.int64(), "n": pa.int64(), "least": pa.int64(), "bitmap": pa.binary(), "wide": pa.binary(), "locator": pa.string()}
 
     def run(them: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, np.ndarray] = {}
@@ -70,29 +70,30 @@ def profile(docs: DataFrame, *, chunk: int = 1_000_000, often: int = 3) -> DataF
             many = counts >= often
             held.clear()
             none = lambda kind, n=int(many.sum()): pa.nulls(n, kind)
-            columns = [pa.array(np.ones(int(many.sum()), np.int32)), none(pa.int64()), pa.array((values[many] % np.uint64(OFTEN)).astype(np.int64)), pa.array(counts[many].astype(np.int64)), none(pa.int64()), none(pa.binary()), none(pa.string())]
+            columns = [pa.array(np.ones(int(many.sum()), np.int32)), none(pa.int64()), pa.array((values[many] % np.uint64(OFTEN)).astype(np.int64)), pa.array(counts[many].astype(np.int64)), none(pa.int64()), none(pa.binary()), none(pa.binary()), none(pa.string())]
             return pa.record_batch(columns, list(kinds))
 
         for batch in them:
-            ids, sizes, least, maps = [], [], [], []
+            ids, sizes, least, maps, wide = [], [], [], [], []
             for tokens in text.shingle_sets(batch.column("text")):
                 own = set_id(tokens) if len(tokens) else None
                 ids.append(own)
                 sizes.append(len(tokens))
                 least.append(int(tokens[:1].view(np.int64)[0]) if len(tokens) else None)
                 maps.append(sigtree.bitmap(tokens).tobytes() if len(tokens) else None)
+                wide.append(sigtree.bitmap(tokens, 4).tobytes() if len(tokens) else None)
                 if own is not None and own not in held:
                     held[own] = tokens
                     size += len(tokens)
                 if size >= chunk:
                     size = 0
                     yield flush()
-            columns = [pa.array(np.zeros(len(ids), np.int32)), batch.column("doc_id"), pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(least, pa.int64()), pa.array(maps, pa.binary()), batch.column("locator")]
+            columns = [pa.array(np.zeros(len(ids), np.int32)), batch.column("doc_id"), pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(least, pa.int64()), pa.array(maps, pa.binary()), pa.array(wide, pa.binary()), batch.column("locator")]
             yield pa.record_batch(columns, list(kinds))
         if held:
             yield flush()
 
-    return docs.select("doc_id", "text", "locator").mapInArrow(run, "kind int, doc_id long, set_id long, n long, least long, bitmap binary, locator string")
+    return docs.select("doc_id", "text", "locator").mapInArrow(run, "kind int, doc_id long, set_id long, n long, least long, bitmap binary, wide binary, locator string")
 
 
 def often_seen(counts: DataFrame, hot: int) -> np.ndarray:
@@ -214,14 +215,20 @@ def groups(rows: DataFrame) -> DataFrame:
 CELLS = ["cell", "side", "set_id", "n", "comp"]
 
 
-def stars(rows: DataFrame, of: str, rep: DataFrame, block: int) -> DataFrame:
-    """CELLS that pair the rows(of, set_id, n, comp) of each group with the group's representative, of rep(of, rep, rep_n, rep_comp, m), which is staged: m members, one cell for each `block` of them."""
+def stars(rows: DataFrame, of: str, reps: DataFrame, block: int) -> DataFrame:
+    """CELLS that pair the rows(of, set_id, n, comp) of each group with the group's representatives, of the staged reps(of, r, m): r an array of (set_id, n, comp) of one class; m members, with one cell for each `block` of them."""
     parts = F.ceil(F.col("m") / block).cast("long")
-    met = rows.join(staging.small(rep), of)
     cell = lambda part: F.xxhash64(of, part).alias("cell")
-    members = met.where("comp <> rep_comp").select(cell(F.pmod(F.xxhash64("set_id"), parts)), F.lit(1).alias("side"), "set_id", "n", "comp")
-    reps = rep.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
-    return members.unionByName(reps.select(cell(F.col("part")), F.lit(0).alias("side"), F.col("rep").alias("set_id"), F.col("rep_n").alias("n"), F.col("rep_comp").alias("comp")))
+    met = rows.join(staging.small(reps.select(of, "m", F.col("r")[0]["comp"].alias("rep_comp"))), of).where("comp <> rep_comp")
+    members = met.select(cell(F.pmod(F.xxhash64("set_id"), parts)), F.lit(1).alias("side"), "set_id", "n", "comp")
+    each = reps.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
+    return members.unionByName(each.select(cell(F.col("part")), F.lit(0).alias("side"), F.inline("r")))
+
+
+def picked(n: int = 1) -> list[Column]:
+    """Aggregates: n rows (set_id, n, comp), each of the least hash with another seed, so that overlapping groups pick the same, and the number of rows."""
+    one = lambda i: F.min(F.struct(F.xxhash64(F.lit(i), "set_id").alias("h"), F.struct("set_id", "n", "comp").alias("v")))["v"]
+    return [F.array_distinct(F.array(*[one(i) for i in range(n)])).alias("r"), F.count(F.lit(1)).alias("m")]
 
 
 #: What members of one class have in common, and bands of sizes: linked sets are in one, or in neighbouring ones.
@@ -265,8 +272,8 @@ def whole_cells(them: Iterator[pa.RecordBatch], rows: int = 20_000, size: int =
         yield pa.Table.from_batches(held)
 
 
-def walk(cells: DataFrame, maps: DataFrame) -> DataFrame:
-    """(a, b) that may link, of CELLS and the bitmaps (set_id, bitmap) of their sets."""
+def walk(cells: DataFrame, maps: DataFrame, width: str) -> DataFrame:
+    """(a, b) that may link, of CELLS and the bitmaps, in maps' column `width`, of their sets."""
 
     def run(them: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_cells(them):
@@ -278,7 +285,7 @@ def walk(cells: DataFrame, maps: DataFrame) -> DataFrame:
             if both.shape[1]:
                 yield pa.record_batch([pa.array(both[0]), pa.array(both[1])], ["a", "b"])
 
-    rows = cells.join(maps, "set_id").select(*CELLS, "bitmap").repartition("cell").sortWithinPartitions("cell")
+    rows = cells.join(maps.select("set_id", F.col(width).alias("bitmap")), "set_id").select(*CELLS, "bitmap").repartition("cell").sortWithinPartitions("cell")
     return rows.mapInArrow(run, "a long, b long").distinct()
 
 
@@ -319,18 +326,7 @@ def linked(pairs: DataFrame, full: DataFrame) -> DataFrame:
     return staging.stage(met.mapInArrow(text.batches(compare), "a long, b long"), "jaccard-links")
 
 
-def classes(links: DataFrame) -> DataFrame:
-    """(set_id, comp) of the ends of links(a, b), staged: sets of one comp are connected; connected sets may be of several."""
-    both = links.select(F.col("a").alias("set_id"), F.col("b").alias("other")).unionByName(links.select(F.col("b").alias("set_id"), F.col("a").alias("other")))
-    near = staging.stage(both.groupBy("set_id").agg(F.least(F.min("other"), F.col("set_id")).alias("comp")), "jaccard-near")
-    further = staging.small(near.select(F.col("set_id").alias("comp"), F.col("comp").alias("further")))
-    out = near.join(further, "comp", "left").select("set_id", F.coalesce("further", "comp").alias("comp"))
-    out = staging.stage(out, "jaccard-comp")
-    staging.drop(near)
-    return out
-
-
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", often: int = 3, few: int = 16, block: int = 2048, hot: int = 8192, locator: Column | None = None) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", often: int = 3, few: int = 16, block: int = 512, hubs: int = 16, hot: int = 8192, locator: Column | None = None) -> DataFrame:
     """doc_id, n_shingles, component_id of each row of docs. component_id: the smallest doc_id reachable by links.
 
     locator: says where a row is, as a string; by default its id. If given, kept and locator are columns of the result. kept: of the rows reachable by links, the one with the smallest
@@ -339,7 +335,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     docs = _texts(docs, id_col, text_col, locator)
     rows = staging.stage(profile(docs, often=often), "jaccard-profile")
     of_docs = rows.where("kind = 0").drop("kind")
-    sets = staging.stage(of_docs.where("n > 0").groupBy("set_id").agg(dedup.least_row().alias("first"), F.first("n").cast("int").alias("n"), F.first("least").alias("least"), F.first("bitmap").alias("bitmap")).withColumn("at", F.xxhash64("first.locator")), "jaccard-nodes")
+    sets = staging.stage(of_docs.where("n > 0").groupBy("set_id").agg(dedup.least_row().alias("first"), F.first("n").cast("int").alias("n"), F.first("least").alias("least"), F.first("bitmap").alias("bitmap"), F.first("wide").alias("wide")).withColumn("at", F.xxhash64("first.locator")), "jaccard-nodes")
     if sets.isEmpty():
         return of_docs.select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), *([] if locator is None else [F.lit(True).alias("kept"), "locator"]))
 
@@ -349,35 +345,36 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     members = staging.stage(found.dropDuplicates(["list", "set_id"]).join(sets.select("set_id", "least"), "set_id").withColumn("comp", F.col("set_id")), "jaccard-members")
     staging.drop(found)
     own = staging.stage(members.select("set_id").distinct(), "jaccard-ids")
-    maps = staging.stage(sets.select("set_id", "bitmap").join(staging.small(own), "set_id", "left_semi"), "jaccard-maps")
+    maps = staging.stage(sets.select("set_id", "bitmap", "wide").join(staging.small(own), "set_id", "left_semi"), "jaccard-maps")
 
     # 2. small groups whole, large ones against those that share their least shingle
     small, large = members.where(F.col("m").between(2, few)), members.where((F.col("m") < 0) | (F.col("m") > few))
     cells = small.select(F.col("list").alias("cell"), F.lit(-1).alias("side"), "set_id", "n", "comp")
     alike = large.select(F.xxhash64("list", "least").alias("own"), "set_id", "n", "comp")
-    reps = alike.groupBy("own").agg(F.min(F.struct("set_id", "n", "comp")).alias("r"), F.count(F.lit(1)).alias("m")).where("m > 1")
-    reps = staging.stage(reps.select("own", F.col("r.set_id").alias("rep"), F.col("r.n").alias("rep_n"), F.col("r.comp").alias("rep_comp"), "m"), "jaccard-reps")
-    left = staging.stage(walk(cells.unionByName(stars(alike, "own", reps, block)), maps), "jaccard-left")
+    reps = staging.stage(alike.groupBy("own").agg(*picked()).where("m > 1"), "jaccard-reps")
+    near = walk(cells, maps, "bitmap").unionByName(walk(stars(alike, "own", reps, block), maps, "wide"))
+    left = staging.stage(near.distinct(), "jaccard-left")
     ids = left.select(F.col("a").alias("set_id")).union(left.select("b")).union(large.select("set_id")).distinct()
     full = tokens_of(staging.stage(ids, "jaccard-ids"), sets, docs)
     links = linked(left, full)
     staging.drop(left, reps)
     for last in (False, True):
-        comp = classes(links)
+        comp = staging.stage(cc.components(links).withColumnsRenamed({"node": "set_id", "component": "comp"}), "jaccard-comp")
         several = large.drop("comp").join(staging.small(comp), "set_id", "left").withColumn("comp", F.coalesce("comp", "set_id"))
         several = staging.stage(several.select("list", "set_id", "n", "comp"), "jaccard-several")
-        by_comp = several.groupBy("list", "comp").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("set_id", "n")).alias("r"))
-        most = by_comp.groupBy("list").agg(F.max(F.struct("c", "comp", "r")).alias("most"), F.sum("c").alias("m")).where("m > most.c")
-        most = staging.stage(most.select("list", F.col("most.comp").alias("rep_comp"), F.col("most.r.set_id").alias("rep"), F.col("most.r.n").alias("rep_n"), "m"), "jaccard-most")
+        by_comp = staging.stage(several.groupBy("list", "comp").agg(*picked(hubs)), "jaccard-by-comp")
+        most = by_comp.groupBy("list").agg(F.max(F.struct("m", "comp")).alias("most"), F.sum("m").alias("of_all")).where("of_all > most.m")
+        most = staging.stage(most.select("list", F.col("most.comp").alias("comp"), F.col("of_all").alias("m")), "jaccard-most")
         if last:  # whole groups
-            met = several.join(staging.small(most), "list").withColumn("major", F.col("comp") == F.col("rep_comp"))
+            met = several.join(staging.small(most.withColumnRenamed("comp", "most")), "list").withColumn("major", F.col("comp") == F.col("most"))
             cells = met.where(F.col("m") <= block).select(F.col("list").alias("cell"), F.lit(-1).alias("side"), "set_id", "n", "comp")
             cells = cells.unionByName(dealt(met.where(F.col("m") > block).select("list", "set_id", "n", "comp", "major"), block))
-        else:  # against the largest class
-            cells = stars(several, "list", most, block)
-        left = staging.stage(walk(cells, maps), "jaccard-left")
+        else:  # against some of the largest class
+            reps = staging.stage(by_comp.select("list", "comp", "r").join(staging.small(most), ["list", "comp"]).select("list", "r", F.col("m")), "jaccard-reps")
+            cells = stars(several, "list", reps, block)
+        left = staging.stage(walk(cells, maps, "wide"), "jaccard-left")
         more = linked(left, full)
-        staging.drop(comp, several, most, left)
+        staging.drop(comp, several, by_comp, most, left)
         links = links.unionByName(more)
 
     # 3. components of sets, and the smallest doc_id of each

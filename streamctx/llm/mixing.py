@@ -132,3 +132,13 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), *, share: float =
         .withColumn("rank", rank)
         .select("doc_id", "size", "source_size", "target", (repeats * F.col("size")).cast("long").alias("taken"), "source", repeats.alias("repeats"), *place)
     )
+
+
+def apply(docs: DataFrame, mixed: DataFrame, locator: Column) -> DataFrame:
+    """docs, each row as often as mixed, of mix with that locator, says."""
+    name = "mix_locator"
+    while any(c.lower().startswith(name) for c in docs.columns):
+        name = f"_{name}"
+    times = mixed.where("repeats > 0").select(F.col("locator").alias(name), F.col("repeats").alias(f"{name}_repeats"))
+    met = docs.withColumn(name, locator).join(staging.small(staging.stage(times, "mix-times")), name)
+    return met.select(*[F.col(f"`{c}`") for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col(f"{name}_repeats"))).alias(f"{name}_copy")).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -26,7 +26,8 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup.exact_dedup(_read(spark, sf_dir, "documents"), locator=dedup.place_in_file()).drop("locator")
+    docs = _read(spark, sf_dir, "documents")
+    return dedup.exact_dedup(docs, locator=dedup.place_in_file(docs)).drop("locator")
 
 
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,7 +64,8 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.near_duplicates(_read(spark, sf_dir, "documents"), locator=dedup.place_in_file()).drop("kept", "locator")
+    docs = _read(spark, sf_dir, "documents")
+    return jaccard.near_duplicates(docs, locator=dedup.place_in_file(docs)).drop("kept", "locator")
 
 
 QUERIES = {f.__name__: f for f in (op1_toxicity, op2_language_id, op3_packing, op4_exact_dedup, op5_license_scan, op6_chat_formatting, op7_mixing, op8_top_k, op9_sharding, op10_jaccard_join)}

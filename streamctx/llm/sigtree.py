@@ -25,14 +25,9 @@ PART, WHOLE = 7, 3
 FAN = 8
 
 
-def bits_for(size: int) -> int:
-    """The number of bits of a set's bitmap: a power of two, one to two times its size, 64 to 2**15."""
-    return 1 << min(15, max(6, (size - 1).bit_length()))
-
-
-def bitmap(tokens: np.ndarray) -> np.ndarray:
-    """A bit for each value of the hashes' lowest bits."""
-    width = bits_for(len(tokens))
+def bitmap(tokens: np.ndarray, times: int = 1) -> np.ndarray:
+    """A bit for each value of the hashes' lowest bits: `times` to 2 * `times` bits a token, as a power of two, 64 to 2**15."""
+    width = 1 << min(15, max(6, (times * len(tokens) - 1).bit_length()))
     bits = np.zeros(width, np.uint8)
     bits[(tokens & np.uint64(width - 1)).astype(np.int64)] = 1
     return np.packbits(bits).view(np.uint64)

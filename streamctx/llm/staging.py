@@ -56,3 +56,11 @@ def drop(*tables: DataFrame) -> None:
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """df with a broadcast hint if it has few rows (df should be staged: it is counted); else df as it is."""
     return F.broadcast(df) if df.count() <= rows else df
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """name, or the first of it with underscores before it that is no column of df."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name

@@ -1,18 +1,19 @@
 """Toxicity by non-negative positive-unlabelled learning.
 
 Confirmed toxic documents are the positives; any documents are the unlabelled ones,
-whatever their labels say. Linear classifiers over the distinct words of a text
-and their four-byte beginnings (those that positives have far more often) are fitted in numpy to the class-prior-corrected risk
+whatever their labels say. A linear classifier over the distinct words of a text
+and their four-byte beginnings is fitted in numpy to the class-prior-corrected risk
 
     prior * E_P[l(g)] + max(0, E_U[l(-g)] - prior * E_P[l(-g)])      (l: logistic loss)
 
-where a step goes back up while the second term is negative. Several are fitted on
-halves of the sample and averaged; being linear they are one weight table.
+where a step goes back up while the second term is negative. Features that three documents of the sample have
+take part; a penalty that follows from the sample's size keeps those at 0 that chance explains.
 
 The fit uses at most `positives` and `unlabelled` documents (picked by hash, from
-the training fold only); the prior is counted over all labelled rows of the fold.
-Texts are scored whole. Null and empty texts get the score of no words.
-Without positives every score is 0. Repeated labels of one doc_id count as toxic if one is.
+the training fold only, without near copies); the prior is counted over all labelled rows of the fold.
+Texts are scored whole. Null and empty texts get the score of no words; other columns are not read, and may have any names.
+Without positives every score is 0. Repeated labels of one doc_id count as toxic if one is. Repeated rows are scored
+each, and get equal scores; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -41,74 +42,73 @@ def lowered(raw: bytes) -> set[bytes]:
     return set(raw.decode("utf-8", "replace").lower().encode().translate(text.PLAIN).split())
 
 
-def apart(rows: list[np.ndarray], *, common: int = 200, share: float = 0.5) -> list[np.ndarray]:
+def apart(rows: list[np.ndarray], *, common: float = 0.05, share: float = 0.5) -> list[np.ndarray]:
     """rows without copies and near copies of earlier ones, whose words would count as often as they were copied.
 
-    Each feature that at most `common` rows have belongs to the first row kept that has it; a row goes if more than `share` of its features belong to one other.
+    Each feature that at most `common` of the rows have (two, if that is more) belongs to the first row kept that has it. A row goes if more than `share` of its
+    features belong to one other that is not over twice as long.
     """
     seen, index = np.unique(np.concatenate(rows), return_inverse=True)
-    rare, owner = np.bincount(index) <= common, np.full(len(seen), -1)
+    rare, owner = np.bincount(index) <= max(2, common * len(rows)), np.full(len(seen), -1)
     kept, at = [], 0
     for row in rows:
         own = index[at : at + len(row)]
         own, at = own[rare[own]], at + len(row)
         known = owner[own]
-        if len(own) and (known >= 0).any() and np.unique(known[known >= 0], return_counts=True)[1].max() > share * len(own):
-            continue
-        owner[own[known < 0]] = len(kept)
+        known = known[known >= 0]
+        if len(known):
+            whose, times = np.unique(known, return_counts=True)
+            first = int(whose[times.argmax()])
+            if times.max() > share * len(own) and len(kept[first]) <= 2 * len(row):
+                continue
+        owner[own[owner[own] < 0]] = len(kept)
         kept.append(row)
     return kept
 
 
-def telling(in_p: np.ndarray, in_u: np.ndarray, n_p: int, n_u: int, prior: float, posterior: float = 0.5) -> np.ndarray:
-    """Which features make a document likelier toxic than not, by more than chance over all features explains.
-
-    Passages that several documents share make counts more uneven than chance; the more documents, the more it shows.
+class Sample:
+    """Positive and unlabelled rows of feature numbers; of the features, those that `least` rows have."""
+
+    def __init__(self, positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, *, least: int = 3):
+        rows = positive + unlabelled
+        self.prior, self.is_p = prior, np.arange(len(rows)) < len(positive)
+        self.n_p, self.n_u = len(positive), len(unlabelled)
+        seen, index, count = np.unique(np.concatenate(rows), return_inverse=True, return_counts=True)
+        often = count >= least
+        number = np.where(often, np.cumsum(often) - 1, -1)[index]
+        doc = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+        self.doc, self.number = doc[number >= 0], number[number >= 0]
+        self.seen, self.share = seen[often], count[often] / len(rows)
+
+    def risk(self, w: np.ndarray) -> tuple[float, float, np.ndarray]:
+        """For weights w (the bias last): the two terms of the risk, the second as it is, and the direction to go back from: down the risk, or, where the second term is negative, up that term."""
+        g = np.bincount(self.doc, w[self.number], len(self.is_p)) + w[-1]
+        s, is_p, prior = 1 / (1 + np.exp(-np.clip(g, -40, 40))), self.is_p, self.prior
+        found, missed = np.logaddexp(0, g), np.logaddexp(0, -g)
+        first, second = prior * missed[is_p].mean(), found[~is_p].mean() - prior * found[is_p].mean()
+        slope = np.where(is_p, -prior * s / self.n_p, s / self.n_u)  # of the second term
+        slope = slope + np.where(is_p, prior * (s - 1) / self.n_p, 0) if second >= 0 else -slope
+        return float(first), float(second), np.append(np.bincount(self.number, slope[self.doc], len(self.seen)), slope.sum())
+
+
+def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, *, steps: int = 100, rate: float = 0.1, penalty: float = 3.0) -> np.ndarray:
+    """The weights of all hashed features, the bias last.
+
+    A weight's absolute value is penalised by `penalty` times the standard deviation that its slope has where the
+    feature says nothing, so that features stay at 0 if they go with either side by chance only.
     """
-    deviations = min(15.0, 4 + n_p / 150)
-    u = (in_u + 3) / (n_u + 6)
-    return (in_p >= 3) & (prior * in_p / n_p >= posterior * u) & (in_p / n_p - u >= deviations * np.sqrt(u * (1 - u) / n_p))
-
-
-def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, *, members: int = 3, steps: int = 200, rate: float = 0.1, decay: float = 1e-4, seed: int = 7) -> np.ndarray:
-    """The mean weights (the bias last) of `members` classifiers."""
-    positive, unlabelled = apart(positive), apart(unlabelled)
-    rows = positive + unlabelled
-    sizes = np.array([len(r) for r in rows])
-    seen, index = np.unique(np.concatenate(rows), return_inverse=True)
-    doc, n_p, n_u = np.repeat(np.arange(len(rows)), sizes), len(positive), len(unlabelled)
-    often = telling(np.bincount(index[doc < n_p], minlength=len(seen)), np.bincount(index[doc >= n_p], minlength=len(seen)), n_p, n_u, prior)
-    number = np.where(often, np.cumsum(often) - 1, -1)[index]
-    doc = doc[number >= 0]
-    number, width = number[number >= 0], int(often.sum())
-    is_p = np.arange(len(rows)) < len(positive)
-    total = np.zeros(width + 1)
-    rng = np.random.default_rng(seed)
-    for _ in range(members):
-        chosen = rng.random(len(rows)) < (0.5 if members > 1 else 1.0)
-        chosen[[0, len(positive)]] = True
-        n_p, n_u = (chosen & is_p).sum(), (chosen & ~is_p).sum()
-        inside = chosen[doc]
-        d, f = doc[inside], number[inside]
-        w, m1, m2 = np.zeros(width + 1), np.zeros(width + 1), np.zeros(width + 1)
-        w[-1] = np.log(prior / (1 - prior))
-        for step in range(1, steps + 1):
-            g = np.bincount(d, w[f], len(rows)) + w[-1]
-            s = 1 / (1 + np.exp(-np.clip(g, -40, 40)))
-            loss_neg = np.logaddexp(0, g)
-            part = loss_neg[chosen & ~is_p].mean() - prior * loss_neg[chosen & is_p].mean()
-            if part >= 0:
-                slope = np.where(is_p, prior * (s - 1) / n_p - prior * s / n_p, s / n_u)
-            else:  # back up: the unlabelled part has been fitted too far
-                slope = np.where(is_p, prior * s / n_p, -s / n_u)
-            slope = np.where(chosen, slope, 0)
-            grad = np.append(np.bincount(f, slope[d], width), slope.sum()) + decay * np.append(w[:-1], 0) / len(rows)
-            m1, m2 = 0.9 * m1 + 0.1 * grad, 0.99 * m2 + 0.01 * grad * grad
-            w -= rate * (m1 / (1 - 0.9**step)) / (np.sqrt(m2 / (1 - 0.99**step)) + 1e-8)
-        total += w / members
+    sample = Sample(apart(positive), apart(unlabelled), prior)
+    shrink = penalty * prior * np.sqrt(sample.share * (1 - sample.share) / sample.n_p)
+    w, m1, m2 = (np.zeros(len(sample.seen) + 1) for _ in range(3))
+    w[-1] = np.log(prior / (1 - prior))
+    for step in range(1, steps + 1):
+        slope = sample.risk(w)[2]
+        m1, m2 = 0.9 * m1 + 0.1 * slope, 0.99 * m2 + 0.01 * slope * slope
+        pace = rate / np.sqrt(step) / (np.sqrt(m2 / (1 - 0.99**step)) + 1e-6)
+        w -= pace * m1 / (1 - 0.9**step)
+        w[:-1] = np.sign(w[:-1]) * np.maximum(0, np.abs(w[:-1]) - pace[:-1] * shrink)
     out = np.zeros((1 << BITS) + 1, np.float32)
-    out[seen[often]] = total[:-1]
-    out[-1] = total[-1]
+    out[sample.seen], out[-1] = w[:-1], w[-1]
     return out
 
 
@@ -119,7 +119,7 @@ def train(docs: DataFrame, labels: DataFrame, *, positives: int = 3000, unlabell
     counts = known.agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("toxic") == 1).cast("long")).alias("p")).first()
     if not counts["p"]:
         return None
-    prior = min(0.9, max(0.005, counts["p"] / counts["n"]))
+    prior = (counts["p"] + 0.5) / (counts["n"] + 1)
     by_hash = F.xxhash64(F.lit(seed), F.col("doc_id"))
     some = docs.where(fold & F.col("doc_id").isNotNull()).select("doc_id")
     picked = known.where("toxic = 1").select("doc_id").orderBy(by_hash).limit(positives).withColumn("positive", F.lit(True))
@@ -138,7 +138,7 @@ def train(docs: DataFrame, labels: DataFrame, *, positives: int = 3000, unlabell
     if not pos or not rest:
         return None
     by_content = lambda a: a.tobytes()  # noqa: E731  the order of rows must not matter
-    return fit(sorted(pos, key=by_content), sorted(rest, key=by_content), prior, seed=seed)
+    return fit(sorted(pos, key=by_content), sorted(rest, key=by_content), prior)
 
 
 def score(docs: DataFrame, weights: np.ndarray | None, held_out: Column) -> DataFrame:
@@ -160,31 +160,33 @@ def score(docs: DataFrame, weights: np.ndarray | None, held_out: Column) -> Data
 def scorer(weights: np.ndarray) -> Callable[[pa.Array], np.ndarray]:
     """The scores of a column of texts; it remembers words."""
     mask = (1 << BITS) - 1
-    word = text.Memo(lambda x: float(weights[zlib.crc32(x) & mask]))
-    start = text.Memo(lambda x: float(weights[zlib.crc32(b"^" + x) & mask]))
+    word = text.Memo(lambda x: float(weights[zlib.crc32(x) & mask]), 100_000)
+    start = text.Memo(lambda x: float(weights[zlib.crc32(b"^" + x) & mask]), 100_000)
 
     def rate(column: pa.Array) -> np.ndarray:
         g = np.full(len(column), float(weights[-1]))
-        for i, raw in enumerate(text.as_bytes(column)):
-            words = lowered(raw)
-            g[i] += sum(map(word.__getitem__, words)) + sum(map(start.__getitem__, {x[:4] for x in words}))
+        for lo in range(0, len(column), 256):
+            for i, raw in enumerate(text.as_bytes(column.slice(lo, 256)), lo):
+                words = lowered(raw)
+                g[i] += sum(map(word.__getitem__, words)) + sum(map(start.__getitem__, {x[:4] for x in words}))
         return 1 / (1 + np.exp(-np.clip(g, -40, 40)))
 
     return rate
 
 
 def reject(docs: DataFrame, weights: np.ndarray | None, threshold: float = 0.5) -> DataFrame:
-    """docs without the rows whose text scores `threshold` or more; all columns stay."""
+    """docs without the rows whose text scores `threshold` or more; all columns stay. Only texts go to Python workers, and only scores come back."""
     if weights is None:
         return docs
     table = docs.sparkSession.sparkContext.broadcast(weights)
 
-    def run(them: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.arrow_udf("double")
+    def scores(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         rate = scorer(table.value)
-        for batch in them:
-            yield batch.filter(pa.array(rate(batch.column("text")) < threshold))
+        for column in columns:
+            yield pa.array(rate(column))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.where(scores(F.col("text").cast("string")) < threshold)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, *, modulus: int = 5, **how: object) -> DataFrame:
