@@ -3,6 +3,12 @@
 Toxic documents go; of equal texts, then of near-duplicate groups, the row with the smallest
 doc_id stays; sources are brought to their target weights by leaving out and
 repeating documents; the rest is packed into sequences.
+
+Decisions on rows are by their places in files, so rows that share a doc_id, or have none, are told apart; null ids
+come after all others. A null text counts as empty: it scores as a text without words, equals other empty texts, has no near copies, is
+mixed as a document of size 0 and packed as one end token. Texts are read whole, however long. Of repeated rows one stays; ties
+go to the smaller doc_id, then place. Further columns are kept up to the last stage, whatever they are called. An empty table
+gives empty results.
 """
 
 from __future__ import annotations
@@ -11,7 +17,6 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from streamctx.llm import dedup, jaccard, mixing, packing, staging, toxicity
 
@@ -25,15 +30,12 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = jaccard.near_duplicates(docs, locator=dedup.place_in_file())
-    gone = staging.stage(found.where("NOT kept").select(F.col("locator").alias("_locator")), "pipeline-near-copies")
-    return docs.withColumn("_locator", dedup.place_in_file()).join(staging.small(gone), "_locator", "left_anti").select(docs.columns)
+    found = jaccard.near_duplicates(docs, locator=dedup.place_in_file(docs))
+    return dedup.without(docs, staging.stage(found.where("NOT kept").select("locator"), "pipeline-near-copies"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    times = mixing.mix(docs, locator=dedup.place_in_file()).where("repeats > 0").select(F.col("locator").alias("_locator"), F.col("repeats").alias("_times"))
-    times = staging.small(staging.stage(times, "pipeline-times"))
-    return docs.withColumn("_locator", dedup.place_in_file()).join(times, "_locator").withColumn("_copy", F.explode(F.sequence(F.lit(1), "_times"))).select(docs.columns)
+    return mixing.apply(docs, mixing.mix(docs, locator=dedup.place_in_file(docs)), dedup.place_in_file(docs))
 
 
 def pack_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
