@@ -6,10 +6,14 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, MapType, StructType, VariantType
 from pyspark.sql.window import Window
 
 from ..functions.scalars import epoch_us
 
+#: A side is joined by broadcast only if it has no more rows than this.
+BROADCAST_ROWS = 1_000_000
+
 
 def _no_nulls(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return df.where(" AND ".join(f"`{c}` IS NOT NULL" for c in cols))
@@ -19,6 +23,23 @@ def _interval(within: str) -> Column:
     return F.expr(f"INTERVAL {within}")
 
 
+def _ordered_type(kind: DataType) -> bool:
+    """Whether values of a type can be sorted."""
+    if isinstance(kind, StructType):
+        return all(_ordered_type(f.dataType) for f in kind.fields)
+    return _ordered_type(kind.elementType) if isinstance(kind, ArrayType) else not isinstance(kind, MapType | VariantType)
+
+
+def bucket_of(ts: Column, size: str) -> Column:
+    """The number of the time bucket of a timestamp."""
+    return F.floor(epoch_us(ts) / _micros(size))
+
+
+def _near(ts: Column, size: str) -> Column:
+    """The numbers of a timestamp's bucket and of those beside it."""
+    return F.array(*[bucket_of(ts, size) + i for i in (-1, 0, 1)])
+
+
 def _micros(within: str) -> int:
     """A duration such as "30 seconds" in microseconds."""
     unit = {"microsecond": 1, "millisecond": 1000, "second": 10**6, "minute": 60 * 10**6, "hour": 3600 * 10**6, "day": 86400 * 10**6}
@@ -31,7 +52,7 @@ def asof_enrich(fact: DataFrame, tables: Mapping[str, tuple[DataFrame, str]], *,
 
     All tables are joined by one shuffle and one sort: facts and versions are put in one order by key
     and time, versions first at equal times, and each fact takes the last version before it.
-    Facts with a NULL key or time match nothing. Equal versions of a key are ordered by `tiebreak`, then by all columns.
+    Facts with a NULL key or time match nothing. Equal versions of a key are ordered by `tiebreak`, then by all columns that can be ordered (maps can't).
     time_slice (such as "1 day"): sorts each key's rows by slices of time, and hands the last versions on
     from slice to slice, so that one hot key is many tasks.
     """
@@ -51,13 +72,15 @@ def asof_enrich(fact: DataFrame, tables: Mapping[str, tuple[DataFrame, str]], *,
     for n, (df, version) in tables.items():
         tie = F.lpad(F.col(tiebreak).cast("string"), 40, "0") if tiebreak and tiebreak in df.columns else F.lit(None).cast("string")
         every = every.unionByName(rows(_no_nulls(df, [*keys, version]), version, 0, n, tie))
+    # a table whose columns all sort is sorted by its struct, as it is in the row already
+    orders = [F.col(n) if _ordered_type(kinds[n]) else F.struct(F.col(n).isNotNull(), *[F.col(f"{n}.`{f.name}`").alias(f.name) for f in kinds[n].fields if _ordered_type(f.dataType)]) for n in names]
     if time_slice:
-        last = [F.max(F.when(F.col(n).isNotNull(), F.struct("_t", "_tie", n)))[n].alias(n) for n in names]
+        last = [F.max_by(F.col(n), F.when(F.col(n).isNotNull(), F.struct("_t", "_tie", o))).alias(n) for n, o in zip(names, orders, strict=True)]
         past = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
         ends = every.groupBy(*keys, "_slice").agg(*last).select(*keys, "_slice", *[F.last(n, ignorenulls=True).over(past).alias(n) for n in names])
         handed = ends.select(*keys, "_slice", F.lit(None).cast(every.schema["_t"].dataType).alias("_t"), F.lit(-1).alias("_side"), F.lit(None).cast("string").alias("_tie"), F.lit(None).cast(fact.schema).alias("_fact"), *names)
         every = every.unionByName(handed)
-    w = Window.partitionBy(*keys, *(["_slice"] if time_slice else [])).orderBy(F.asc_nulls_first("_t"), "_side", "_tie", *names).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    w = Window.partitionBy(*keys, *(["_slice"] if time_slice else [])).orderBy(F.asc_nulls_first("_t"), "_side", "_tie", *orders).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     out = every.select("_fact", *[F.last(n, ignorenulls=True).over(w).alias(n) for n in names]).where("_fact IS NOT NULL").select("_fact.*", *names)
     lost = fact.where(" OR ".join(f"`{c}` IS NULL" for c in [*keys, ts])).select("*", *none.values())
     return out.unionByName(lost)
@@ -66,11 +89,11 @@ def asof_enrich(fact: DataFrame, tables: Mapping[str, tuple[DataFrame, str]], *,
 def asof_join(left: DataFrame, right: DataFrame, *, on: Sequence[str], left_ts: str, right_ts: str, how: str = "left", tiebreak: str | None = None, prefix: str = "", broadcast: bool = False, time_slice: str | None = None) -> DataFrame:
     """left with the columns of right's version that was current at left_ts (right's keys left out, its other names prefixed).
 
-    how: left, or inner to drop rows without a version. broadcast: right is known to be small, and is joined as
+    how: left, or inner to drop rows without a version. broadcast: right is thought to be small; if it has at most BROADCAST_ROWS rows (they are counted), it is joined as
     version ranges without shuffling left.
     """
     others = [c for c in right.columns if c not in on]
-    if broadcast:
+    if broadcast and right.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         order = Window.partitionBy(*on).orderBy(right_ts, *([tiebreak] if tiebreak else []), *[c for c in others if c not in (right_ts, tiebreak)])
         ranges = _no_nulls(right, [*on, right_ts]).withColumn("_to", F.lead(right_ts).over(order))
         ranges = ranges.select(*[F.col(k).alias(f"_k_{k}") for k in on], F.col(right_ts).alias("_from"), "_to", *[F.col(c).alias(f"{prefix}{c}") for c in others])
@@ -84,12 +107,14 @@ def asof_join(left: DataFrame, right: DataFrame, *, on: Sequence[str], left_ts:
     return out.select(*left.columns, *[F.col(f"_version.`{c}`").alias(f"{prefix}{c}") for c in others])
 
 
-def interval_join(left: DataFrame, right: DataFrame, *, on: Sequence[str], left_ts: str, right_ts: str, within: str, how: str = "inner", extra: Column | None = None, bucketed: bool = False, prefix: str = "") -> DataFrame:
+def interval_join(left: DataFrame, right: DataFrame, *, on: Sequence[str], left_ts: str, right_ts: str, within: str, how: str = "inner", extra: Column | None = None, bucketed: bool | None = None, prefix: str = "") -> DataFrame:
     """Pairs of equal key whose times differ by `within` at most (both ends count). Works on streams with watermarks too.
 
-    extra: a further condition over left's names and right's prefixed names. bucketed (batch): time buckets join the
-    key, so that a busy key is many small groups; right's rows go to three buckets.
+    extra: a further condition over left's names and right's prefixed names. bucketed: time buckets join the
+    key, so that a busy key is many small groups, and right's rows go to three buckets; by default in batches, but not on streams.
     """
+    if bucketed is None:
+        bucketed = not (left.isStreaming or right.isStreaming)
     right = right.select(*[F.col(f"`{c}`").alias(f"_k_{c}" if c in on else f"{prefix}{c}") for c in right.columns])
     right_ts = f"_k_{right_ts}" if right_ts in on else f"{prefix}{right_ts}"
     match = (F.col(right_ts) >= F.col(left_ts) - _interval(within)) & (F.col(right_ts) <= F.col(left_ts) + _interval(within))
@@ -98,10 +123,10 @@ def interval_join(left: DataFrame, right: DataFrame, *, on: Sequence[str], left_
     if extra is not None:
         match &= extra
     if bucketed:
-        left = left.withColumn("_bucket", F.floor(epoch_us(F.col(left_ts)) / _micros(within)))
-        right = right.withColumn("_b", F.floor(epoch_us(F.col(right_ts)) / _micros(within))).withColumn("_near", F.explode(F.array(*[F.col("_b") + i for i in (-1, 0, 1)])))
+        left = left.withColumn("_bucket", bucket_of(F.col(left_ts), within))
+        right = right.withColumn("_near", F.explode(_near(F.col(right_ts), within)))
         match &= F.col("_bucket") == F.col("_near")
-    return left.join(right, match, how).drop("_bucket", "_near", "_b", *[f"_k_{k}" for k in on])
+    return left.join(right, match, how).drop("_bucket", "_near", *[f"_k_{k}" for k in on])
 
 
 def band_join(left: DataFrame, right: DataFrame, *, left_ts: str, right_ts: str, within: str, how: str = "left", prefix: str = "") -> DataFrame:
@@ -112,16 +137,16 @@ def band_join(left: DataFrame, right: DataFrame, *, left_ts: str, right_ts: str,
 def correlate(audit: DataFrame, logs: DataFrame, *, keys: Sequence[str] = ("opcrequestid", "besttraceid"), audit_ts: str, log_ts: str, within: str, prefix: str = "audit_") -> DataFrame:
     """Each log row with the audit rows that share its first key; log rows that match none by it are matched by the next key.
 
-    Rows with a NULL key don't take part in that key's join. `matched_on` names the key.
+    Rows with a NULL key don't take part in that key's join. `matched_on` names the key. Time buckets join the keys, so that a busy key is many small groups.
     """
     out = logs.withColumn("_hit", F.lit(None).cast(audit.schema)).withColumn("matched_on", F.lit(None).cast("string"))
     for k in keys:
-        mine = audit.where(F.col(k).isNotNull()).select(F.col(k).alias("_key"), F.col(audit_ts).alias("_at"), F.struct(*audit.columns).alias("_new"))
+        mine = audit.where(F.col(k).isNotNull()).select(F.col(k).alias("_key"), F.col(audit_ts).alias("_at"), F.struct(*audit.columns).alias("_new"), F.explode(_near(F.col(audit_ts), within)).alias("_near"))
         near = F.abs(epoch_us(F.col(log_ts)) - epoch_us(F.col("_at"))) <= _micros(within)
         # rows that are matched already take part with a NULL key
-        out = out.join(mine, (F.when(F.col("_hit").isNull(), F.col(k)) == F.col("_key")) & near, "left")
+        out = out.join(mine, (F.when(F.col("_hit").isNull(), F.col(k)) == F.col("_key")) & (bucket_of(F.col(log_ts), within) == F.col("_near")) & near, "left")
         out = out.withColumn("matched_on", F.coalesce("matched_on", F.when(F.col("_new").isNotNull(), F.lit(k))))
-        out = out.withColumn("_hit", F.coalesce("_hit", "_new")).drop("_key", "_at", "_new")
+        out = out.withColumn("_hit", F.coalesce("_hit", "_new")).drop("_key", "_at", "_new", "_near")
     return out.where("_hit IS NOT NULL").select(*logs.columns, "matched_on", *[F.col(f"_hit.`{c}`").alias(f"{prefix}{c}") for c in audit.columns])
 
 

@@ -7,7 +7,6 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalars import epoch_us
 from .joins import _micros
 
 #: An aggregate that can be summed over panes: its kind (sum, count, max, min) and its column.
@@ -72,15 +71,10 @@ def top_k(df: DataFrame, k: int, *order: Column) -> DataFrame:
     return df.orderBy(*order).limit(k)
 
 
-def ordered_lists(df: DataFrame, keys: Sequence[str], order_cols: Sequence[str], lists: Mapping[str, str], sep: str = ",", extra: Sequence[Column] = ()) -> DataFrame:
-    """keys and, for each name, its column's values joined by sep; all lists of a group are in the same order. NULL values are left out of their list."""
+def ordered_lists(df: DataFrame, keys: Sequence[str], order_cols: Sequence[str], lists: Mapping[str, str], sep: str = ",", extra: Sequence[Column] = (), null_text: str | None = None) -> DataFrame:
+    """keys and, for each name, its column's values joined by sep; all lists of a group are in the same order. NULL values are left out of their list, or stand in it as null_text, so that lists stay in step."""
     row = F.struct(*[F.col(c).alias(f"o{i}") for i, c in enumerate(order_cols)], *[F.col(c).cast("string").alias(f"v{i}") for i, c in enumerate(lists.values())])
     out = df.groupBy(*keys).agg(F.array_sort(F.collect_list(row)).alias("_rows"), *extra)
     values = lambda field: F.transform("_rows", lambda r: r[field])
-    joined = [F.array_join(values(f"v{i}"), sep).alias(name) for i, name in enumerate(lists)]
+    joined = [F.array_join(values(f"v{i}"), sep, null_text).alias(name) for i, name in enumerate(lists)]
     return out.select(*joined, *[c for c in out.columns if c != "_rows"])
-
-
-def bucket_of(ts: Column, size: str) -> Column:
-    """The number of the time bucket of a timestamp."""
-    return F.floor(epoch_us(ts) / _micros(size))

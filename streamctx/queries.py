@@ -12,6 +12,7 @@ from .functions.scalars import epoch_ms, json_value, match_text, split_index
 from .operators import joins, patterns, windows
 from .plans import adapters as ad
 from .plans import aml, bank, cloudlogs, incidents, signals, soc, viewer
+from .sources import io, schemas
 from .streaming import stateful
 from .streaming.replay import replay
 
@@ -251,6 +252,15 @@ def band_join(spark, d):
     return joins.band_join(left, r, left_ts="ts", right_ts="r_ts", within="10 minutes").select("event_id", "r_event_id")
 
 
+@query("""WITH {E} SELECT user_id, epoch_ms(date_trunc('day', ts)) AS day, string_agg(event_type, ',' ORDER BY ts, event_id) AS kinds, string_agg(CASE WHEN k % 3 = 0 THEN '-' ELSE k::VARCHAR END, ',' ORDER BY ts, event_id) AS ks,
+    coalesce(string_agg(CASE WHEN k % 3 <> 0 THEN k::VARCHAR END, ',' ORDER BY ts, event_id), '') AS known FROM e GROUP BY user_id, date_trunc('day', ts)""")
+def ordered_lists_with_nulls(spark, d):
+    e = ad.events(spark, d).withColumn("day", F.date_trunc("day", F.col("ts").cast("timestamp_ntz")).cast("timestamp_ntz")).withColumn("k", F.when(F.col("k") % 3 != 0, F.col("k")))
+    lists = lambda names, **how: windows.ordered_lists(e, ["user_id", "day"], ["ts", "event_id"], names, **how)
+    out = lists({"kinds": "event_type", "ks": "k"}, null_text="-").join(lists({"known": "k"}), ["user_id", "day"])
+    return out.withColumn("day", epoch_ms(F.col("day")))
+
+
 @query("WITH {E} SELECT user_id, event_type, max(ms) AS latest_ms, count(*) AS n FROM e GROUP BY ALL")
 def latest_per_key(spark, d):
     return ad.events(spark, d).groupBy("user_id", "event_type").agg(F.max(epoch_ms(F.col("ts"))).alias("latest_ms"), F.count(F.lit(1)).alias("n"))
@@ -361,6 +371,21 @@ def recent_correlated_events(spark, d):
     return soc.recent_correlated_events(events, "5 days").select("user_id", "src_ip", "ids_signature", "bytes_sent")
 
 
+RISKS = f"{SOC}, r AS (SELECT *, 'ip' || ip AS src_ip, 10 * failed_logins_5m + 5 * high_critical_alerts_5m + CASE WHEN total_bytes_sent_5m > 50000000 THEN 20 ELSE 0 END AS risk_score_5m FROM m)"
+
+
+@query(f"WITH {{E}}, {RISKS} SELECT src_ip, max(risk_score_5m) AS risk_score_5m FROM r WHERE ws = (SELECT max(ws) FROM r) GROUP BY src_ip ORDER BY risk_score_5m DESC, src_ip LIMIT 5")
+def soc_top_risk(spark, d):
+    return soc.top_risk_entities(soc.security_risk_context(*_soc_feeds(spark, d), within="2 hours", size="6 hours", slide="1 hour", panes=True))
+
+
+@query(f"""WITH {{E}}, {RISKS} SELECT epoch_ms(ws) AS window_start, user_id::VARCHAR AS user_id, src_ip, risk_score_5m, risk_score_5m - lag(risk_score_5m) OVER w AS risk_score_5m_change, failed_logins_5m - lag(failed_logins_5m) OVER w AS failed_logins_5m_change,
+    high_critical_alerts_5m - lag(high_critical_alerts_5m) OVER w AS high_critical_alerts_5m_change, total_bytes_sent_5m - lag(total_bytes_sent_5m) OVER w AS total_bytes_sent_5m_change, risk_score_5m > 30 AS is_high FROM r WINDOW w AS (PARTITION BY ip, user_id ORDER BY ws)""")
+def soc_explain_risk(spark, d):
+    out = soc.explain_risk(soc.security_risk_context(*_soc_feeds(spark, d), within="2 hours", size="6 hours", slide="1 hour", panes=True))
+    return out.select(ms("window_start"), "user_id", "src_ip", "risk_score_5m", "risk_score_5m_change", "failed_logins_5m_change", "high_critical_alerts_5m_change", "total_bytes_sent_5m_change", "is_high")
+
+
 @query("""WITH {E} SELECT o.o_orderkey, t.event_id AS transfer_id, a.event_id AS auth_id, h.event_id AS hold_id, d.event_id AS dispute_id, n.event_type AS last_message_type FROM (SELECT o_orderkey, o_custkey % 150 AS u, TIMESTAMP '2024-01-01' + to_hours(o_orderkey % 720) AS t FROM orders) o
     ASOF LEFT JOIN (SELECT * FROM e WHERE event_type = 'purchase') t ON o.u = t.user_id AND o.t >= t.ts ASOF LEFT JOIN (SELECT * FROM e WHERE event_type = 'click') a ON o.u = a.user_id AND o.t >= a.ts
     ASOF LEFT JOIN (SELECT * FROM e WHERE event_type = 'error') h ON o.u = h.user_id AND o.t >= h.ts ASOF LEFT JOIN (SELECT * FROM e WHERE event_type = 'signup') d ON o.u = d.user_id AND o.t >= d.ts
@@ -384,6 +409,25 @@ def transfer_stats(spark, d):
     return bounds_in_ms(out).drop("window_end").withColumn("transfer_amount_30m", F.round("transfer_amount_30m", 4))
 
 
+@query("""WITH {E} SELECT epoch_ms(time_bucket(INTERVAL 30 MINUTE, ts)) AS window_start, user_id AS customer_id, count(*) AS auth_events_30m, round(sum(value), 4) AS auth_amount_30m, max(ms) AS last_auth_at FROM e WHERE event_type = 'click' GROUP BY time_bucket(INTERVAL 30 MINUTE, ts), user_id""")
+def auth_stats(spark, d):
+    auths = ad.feed(ad.events(spark, d, "click"), customer_id=F.col("user_id"), amount=F.col("value"), created_at=epoch_ms(F.col("ts")))
+    out = bank.activity_stats(auths, "auth", "created_at", "last_auth_at")
+    return out.select(ms("window_start"), "customer_id", "auth_events_30m", F.round("auth_amount_30m", 4).alias("auth_amount_30m"), "last_auth_at")
+
+
+@query("WITH {E} SELECT user_id AS customer_id, max(ms) FILTER (event_type = 'purchase') AS last_transfer_at, max(ms) FILTER (event_type = 'click') AS last_auth_at, max(ms) FILTER (event_type = 'view') AS last_notification_at FROM e GROUP BY user_id HAVING count(*) FILTER (event_type IN ('purchase', 'click', 'view')) > 0")
+def latest_times(spark, d):
+    """The latest transfer, authorisation and notification of each customer."""
+    of = lambda kind, name: bank.latest_time_per_customer(ad.feed(ad.events(spark, d, kind), customer_id=F.col("user_id"), at=epoch_ms(F.col("ts"))), "at", name)
+    return of("purchase", "last_transfer_at").join(of("click", "last_auth_at"), "customer_id", "full").join(of("view", "last_notification_at"), "customer_id", "full")
+
+
+@query("WITH {E} SELECT event_id, event_type, k FROM e WHERE user_id = 7 AND event_type = 'error'")
+def lookup(spark, d):
+    return joins.lookup(ad.events(spark, d), user_id=7, event_type="error").select("event_id", "event_type", "k")
+
+
 @query(r"SELECT page_id, string_split(url, '/')[3] AS host, CASE WHEN len(string_split(url, '/')) >= 5 THEN string_split(url, '/')[5] END AS page FROM pages")
 def split_trace(spark, d):
     url = F.col("url")
@@ -419,6 +463,14 @@ def audit_normalized(spark, d):
     return _audit(spark, d).select(ms("audittime", "audit_ms"), "audittype", "resourceid", "responsestatus", "opcrequestid", "traceid", "spanid", "eventtraceid", "best_request_correlation", "besttraceid")
 
 
+@query(ORACLE_SQL["audit_normalized"])
+def audit_from_text(spark, d):
+    """audit_normalized from broker records whose values are JSON text."""
+    records = io.to_broker(ad.audit_raw(ad.events(spark, d, "signup", "error", "click", "purchase")).withColumn("unknown", F.lit(1)))
+    raw = records.select(F.from_json("value", schemas.AUDIT_RAW).alias("v")).select("v.*")
+    return cloudlogs.normalize_audit(raw).select(ms("audittime", "audit_ms"), "audittype", "resourceid", "responsestatus", "opcrequestid", "traceid", "spanid", "eventtraceid", "best_request_correlation", "besttraceid")
+
+
 @query(f"WITH {{E}}, {AUDIT} SELECT epoch_ms(t) AS log_ms, event_id::VARCHAR AS functionid, opc AS opcrequestid, trace AS besttraceid, message, CASE WHEN message LIKE 'P%' THEN 'ocid1.fn.oc1.iad.a' || event_id END AS containerinstance_ocid, CASE WHEN message LIKE 'P%' THEN 'Processing' END AS lifecycle_phase FROM l WHERE message IS NOT NULL")
 def function_logs_normalized(spark, d):
     return _logs(spark, d).select(ms("logtime", "log_ms"), "functionid", "opcrequestid", "besttraceid", "message", "containerinstance_ocid", "lifecycle_phase")
@@ -506,13 +558,13 @@ def star_enrich(spark, d):
     return out.groupBy(F.col("n_name").alias("nation"), F.col("o_orderpriority").alias("priority")).agg(F.count(F.lit(1)).alias("items"), F.sum((F.col("l_extendedprice") * (1 - F.col("l_discount"))).cast("decimal(18,4)")).cast("double").alias("revenue"))
 
 
-def _replayed(spark, d, build):
+def _replayed(spark, d, build, **how):
     """A streaming query over events and one far later event of each type, of user -1, which moves the watermark past all others."""
     e = ad.events(spark, d).select("event_id", "user_id", "ts", "event_type", "value", "k")
     kinds = F.explode(F.array(*[F.lit(x) for x in ("signup", "error", "click", "view", "purchase")]))
     last = e.agg((F.max("ts") + F.expr("INTERVAL 100 DAYS")).alias("ts")).where("ts IS NOT NULL")
     closing = last.select(F.lit(-1).cast("bigint").alias("event_id"), F.lit(-1).cast("bigint").alias("user_id"), "ts", kinds.alias("event_type"), F.lit(0.0).alias("value"), F.lit(0).cast("bigint").alias("k"))
-    return replay(e.unionByName(closing), lambda s: build(s.withColumn("ts", F.col("ts").cast("timestamp")))).where("user_id <> -1")
+    return replay(e.unionByName(closing), lambda s: build(s.withColumn("ts", F.col("ts").cast("timestamp"))), **how).where("user_id <> -1")
 
 
 @query(ORACLE_SQL["tumble_stats"].replace(", round(sum(value), 4) AS total", "").replace("count(DISTINCT event_type) AS kinds, ", "count(DISTINCT event_type) AS kinds, "))
@@ -558,3 +610,40 @@ def stream_interval_left(spark, d):
         return joins.interval_join(left, right, on=["user_id"], left_ts="ts", right_ts="r_ts", within="6 hours", how="left").select("user_id", "event_id", "r_event_id")
 
     return _replayed(spark, d, build)
+
+
+@query("""WITH {E}, p AS (SELECT *, date_trunc('day', ts) AS t FROM e WHERE event_type = 'purchase'), s AS (SELECT *, date_trunc('day', ts) AS t FROM e WHERE event_type <> 'purchase'),
+    v AS (SELECT user_id, t, max(k) AS k FROM s WHERE user_id IS NOT NULL GROUP BY user_id, t)
+    SELECT p.event_id, p.user_id, v.k AS v_k FROM (SELECT event_id, user_id, CASE WHEN k % 7 = 0 THEN NULL ELSE user_id END AS own, t FROM p) p ASOF LEFT JOIN v ON p.own = v.user_id AND p.t >= v.t""")
+def stream_asof_ties(spark, d):
+    """Versions of equal time, ordered by number; every seventh fact has no key."""
+
+    def build(s):
+        s = s.withColumn("t", F.date_trunc("day", "ts"))
+        facts = s.where("event_type = 'purchase'").select(F.when((F.col("k") % 7 != 0) | (F.col("user_id") < 0), F.col("user_id")).alias("own"), "t", "event_id", "user_id")
+        versions = s.where("event_type <> 'purchase'").select(F.col("user_id").alias("own"), F.col("t").alias("vt"), "k")
+        return stateful.asof_stream(facts, versions, on=["own"], left_ts="t", right_ts="vt", tiebreak="k", prefix="v_").select("event_id", "user_id", "v_k")
+
+    return _replayed(spark, d, build)
+
+
+@query(ORACLE_SQL["security_risk_context"])
+def stream_security_risk(spark, d):
+    """The security job as one stream: two interval joins and a hopping window, each with state."""
+
+    def build(s):
+        s = s.withColumn("ip", F.when(F.col("user_id") < 0, "closing").otherwise(F.concat(F.lit("ip"), F.col("k") % 40)))
+        of = lambda kind, **cols: s.where(F.col("event_type") == kind).select(F.col("ts").alias("event_time"), F.col("ip").alias("src_ip"), *[c.alias(n) for n, c in cols.items()])
+        auth = of("error", user_id=ad.s("user_id"), location=F.lit("x"), device_id=F.lit("x"), outcome=F.when(F.col("value") > 20, "FAIL").otherwise("SUCCESS"), mfa_used=F.col("k") % 2 == 0)
+        flows = of("click", dest_ip=F.lit("x"), dest_port=F.lit(1), protocol=F.lit("x"), bytes_sent=F.round(F.col("value") * 1000000).cast("bigint"))
+        alerts = of("view", signature=ad.s("event_id"), severity=F.when(F.col("value") > 10, "HIGH").otherwise("LOW"))
+        out = soc.security_risk_context(auth, flows, alerts, within="2 hours", size="6 hours", slide="1 hour", watermark="10 seconds")
+        return bounds_in_ms(out)
+
+    return _replayed(spark, d, build)
+
+
+@query(ORACLE_SQL["latest_row"])
+def stream_latest(spark, d):
+    """The latest row of each user, in update mode."""
+    return _replayed(spark, d, lambda s: stateful.latest_stream(s, ["user_id"], ["ts", "event_id"]).drop("ts"), keys=["user_id"])

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .stateful import ROCKSDB
 
@@ -26,27 +27,37 @@ def shared_dir(spark: SparkSession) -> str:
     return _own[app]
 
 
-def stream_session(spark: SparkSession) -> SparkSession:
-    """A session of the same application in UTC, with state in RocksDB."""
+def stream_session(spark: SparkSession, policy: str = "min") -> SparkSession:
+    """A session of the same application in UTC, with state in RocksDB.
+
+    policy: with several inputs, `min` waits for the slowest one; with `max` an idle input holds nothing back, and its late rows are dropped.
+    """
     own = spark.newSession()
     for key, value in {
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.shuffle.partitions": spark.conf.get("spark.sql.shuffle.partitions"),
         "spark.sql.streaming.stateStore.providerClass": ROCKSDB,
         "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+        "spark.sql.streaming.multipleWatermarkPolicy": policy,
     }.items():
         own.conf.set(key, value)
     return own
 
 
-def replay(table: DataFrame, build: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def replay(table: DataFrame, build: Callable[[DataFrame], DataFrame], *, policy: str = "min", keys: Sequence[str] = ()) -> DataFrame:
     """The result of a streaming query over a table's rows. build: from the stream of the rows, the query.
 
-    The result should hold no timestamps, which sessions show by their zones.
+    The result should hold no timestamps, which sessions show by their zones. keys: of a query in update mode, whose
+    result is the last row of each key.
     """
     spark, at = table.sparkSession, f"{shared_dir(table.sparkSession)}/replay-{uuid.uuid4().hex}"
     table.write.parquet(f"{at}/in")
-    out = build(stream_session(spark).readStream.schema(table.schema).parquet(f"{at}/in"))
+    out = build(stream_session(spark, policy).readStream.schema(table.schema).parquet(f"{at}/in"))
+    if keys:
+        save = lambda batch, n: batch.write.mode("overwrite").parquet(f"{at}/out/batch={n}")
+        out.writeStream.foreachBatch(save).outputMode("update").option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+        rows = spark.read.parquet(f"{at}/out")
+        return rows.groupBy(*keys).agg(F.max_by(F.struct(*out.columns), "batch").alias("_row")).select(*[F.col(f"_row.`{c}`") for c in out.columns])
     query = out.writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start(f"{at}/out")
     query.awaitTermination()
     return spark.read.schema(out.schema).parquet(f"{at}/out")

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import StructType
 
 from ..functions.scalars import epoch_us
 
@@ -16,31 +16,49 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 _ROW = "t long, side int, tie string, row string"
 
 
+def _in_order(row: tuple) -> tuple:
+    """Sort key of a _ROW tuple: by time and side, then by the values of its tie, a JSON object, NULL first."""
+    values = json.loads(row[2]).values() if row[2] else ()
+    return row[0], row[1], [(v is not None, json.dumps(v) if isinstance(v, dict | list) else v) for v in values]
+
+
 class _Ordered(StatefulProcessor):
-    """Holds a key's rows until the watermark has passed them, and hands them on in order."""
+    """Holds a key's rows until the watermark has passed them, and hands them on in order. One timer a key: for its earliest waiting row."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.waiting = handle.getListState("waiting", _ROW)
         self.past = handle.getListState("past", _ROW)
+        self.due = handle.getValueState("due", "ms long")
+
+    def wake(self, us: int) -> None:
+        """Sets the key's timer to when the watermark passes a row of that time, unless it is set to an earlier one."""
+        ms, before = us // 1000 + 1, self.due.get() if self.due.exists() else None
+        if before is not None and before[0] <= ms:
+            return
+        if before is not None:
+            self.handle.deleteTimer(before[0])
+        self.handle.registerTimer(ms)
+        self.due.update((ms,))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         for frame in rows:
-            new = list(frame[["t", "side", "tie", "row"]].itertuples(index=False, name=None))
-            self.waiting.appendList([tuple(r) for r in new])
-            for t in {r[0] // 1000 + 1 for r in new}:
-                self.handle.registerTimer(int(t))
+            self.waiting.appendList(list(frame[["t", "side", "tie", "row"]].itertuples(index=False, name=None)))
+            self.wake(int(frame["t"].min()))
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.due.clear()
         until = timerValues.getCurrentWatermarkInMs() * 1000
-        waiting = sorted(map(tuple, self.waiting.get()), key=lambda r: (r[0], r[1], r[2] or ""))
-        ready = [r for r in waiting if r[0] < until]
-        if not ready:
-            return
-        rest = [r for r in waiting if r[0] >= until]
-        self.waiting.put(rest) if rest else self.waiting.clear()
-        out, keep = self.step(key, list(map(tuple, self.past.get())), ready)
+        ready, rest = [], []
+        for r in map(tuple, self.waiting.get()):
+            (ready if r[0] < until else rest).append(r)
+        if rest:
+            self.waiting.put(rest)
+            self.wake(min(r[0] for r in rest))
+        else:
+            self.waiting.clear()
+        out, keep = self.step(key, list(map(tuple, self.past.get())), sorted(ready, key=_in_order))
         self.past.put(keep) if keep else self.past.clear()
         if out:
             yield pd.DataFrame({"out": out})
@@ -64,31 +82,36 @@ class _AsOf(_Ordered):
         return [f"{f}\x1e{'' if v is None else v}" for f, v in out], [current] if current else []
 
 
-def _ordered(df: DataFrame, keys: Sequence[str], ts: str, side: int, tie: Column, cols: Sequence[str], watermark: str) -> DataFrame:
-    row = F.to_json(F.struct(*[F.col(f"`{c}`") for c in cols]), {"ignoreNullFields": "false", "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"})
-    return df.where(F.col(ts).isNotNull()).withWatermark(ts, watermark).select(F.to_json(F.struct(*keys)).alias("_key"), F.col(ts).alias("_time"), epoch_us(F.col(ts)).alias("t"), F.lit(side).alias("side"), tie.cast("string").alias("tie"), row.alias("row"))
+_TIME = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
 
 
-_TIME = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
+def _json(*cols: Column) -> Column:
+    return F.to_json(F.struct(*cols), {"ignoreNullFields": "false", **_TIME})
 
 
-def asof_stream(left: DataFrame, right: DataFrame, *, on: Sequence[str], left_ts: str, right_ts: str, watermark: str = "10 seconds", prefix: str = "") -> DataFrame:
+def _ordered(df: DataFrame, keys: Sequence[str], ts: str, side: int, tie: Column, watermark: str) -> DataFrame:
+    """The rows of df that have a key and a time, for _Ordered."""
+    whole = df.where(" AND ".join(f"`{c}` IS NOT NULL" for c in [*keys, ts])).withWatermark(ts, watermark)
+    return whole.select(_json(*keys).alias("_key"), F.col(ts).alias("_time"), epoch_us(F.col(ts)).alias("t"), F.lit(side).alias("side"), tie.alias("tie"), _json(*[F.col(f"`{c}`") for c in df.columns]).alias("row"))
+
+
+def asof_stream(left: DataFrame, right: DataFrame, *, on: Sequence[str], left_ts: str, right_ts: str, tiebreak: str | None = None, watermark: str = "10 seconds", prefix: str = "") -> DataFrame:
     """The as-of left join of two streams, exact in event time: a fact waits until the watermark has passed it.
 
-    Both time columns are TIMESTAMP. State per key: facts and versions after the watermark, and the one version
+    Both time columns are TIMESTAMP. Versions of equal time are ordered as in asof_join: by `tiebreak`, then by all columns. Facts with a NULL key or time come through at
+    once, without a version. State per key: facts and versions after the watermark, and the one version
     before it. Sessions need the RocksDB state store (ROCKSDB). Rows later than the watermark may be lost or out of order.
     """
-    facts = _ordered(left, on, left_ts, 1, F.lit(""), left.columns, watermark)
-    versions = _ordered(right, on, right_ts, 0, F.to_json(F.struct(*right.columns)), right.columns, watermark)
+    facts = _ordered(left, on, left_ts, 1, F.lit(""), watermark)
+    ties = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate([*([tiebreak] if tiebreak else []), *right.columns])]
+    versions = _ordered(right, on, right_ts, 0, _json(*ties), watermark)
     joined = facts.unionByName(versions).groupBy("_key").transformWithStateInPandas(_AsOf(), "out string", "append", "eventtime")
     others = [c for c in right.columns if c not in on]
     parts = F.split("out", "\x1e")
-    rows = joined.select(F.from_json(parts[0], _ddl(left.schema), _TIME).alias("l"), F.from_json(F.nullif(parts[1], F.lit("")), _ddl(right.schema), _TIME).alias("r"))
-    return rows.select("l.*", *[F.col(f"r.`{c}`").alias(f"{prefix}{c}") for c in others])
-
-
-def _ddl(schema: StructType) -> StructType:
-    return StructType([*schema.fields])
+    rows = joined.select(F.from_json(parts[0], left.schema, _TIME).alias("l"), F.from_json(F.nullif(parts[1], F.lit("")), right.schema, _TIME).alias("r"))
+    found = rows.select("l.*", *[F.col(f"r.`{c}`").alias(f"{prefix}{c}") for c in others])
+    lost = left.where(" OR ".join(f"`{c}` IS NULL" for c in [*on, left_ts]))
+    return found.union(lost.select(*left.columns, *[F.lit(None).cast(right.schema[c].dataType) for c in others]))
 
 
 class _Pattern(_Ordered):
@@ -97,7 +120,7 @@ class _Pattern(_Ordered):
     def step(self, key, past, ready):
         run, out = past, []
         for r in ready:
-            symbol = r[2].rpartition("\x1f")[2]
+            symbol = json.loads(r[2])["symbol"]
             if symbol == "A" or symbol == "L" and run:
                 run = [r] if symbol == "A" else [run[0], r]
             else:
@@ -114,8 +137,7 @@ def match_stream(df: DataFrame, *, by: Sequence[str], ts: str, tiebreak: str, a:
     watermark, and the open run's first and last row.
     """
     symbol = F.when(a, "A").when(l, "L").when(f, "F").otherwise("X")
-    tie = F.concat_ws("\x1f", F.lpad(F.col(tiebreak).cast("string"), 20, "0"), symbol)
-    rows = _ordered(df, by, ts, 0, tie, df.columns, watermark)
+    rows = _ordered(df, by, ts, 0, _json(F.col(tiebreak).alias("tie"), symbol.alias("symbol")), watermark)
     found = rows.groupBy("_key").transformWithStateInPandas(_Pattern(), "out string", "append", "eventtime")
     parts = F.split("out", "\x1e")
     both = found.select(F.from_json(parts[0], df.schema, _TIME).alias("l"), F.from_json(parts[1], df.schema, _TIME).alias("f"))
