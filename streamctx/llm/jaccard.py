@@ -309,7 +309,7 @@ def tokens_of(ids: DataFrame, sets: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def linked(pairs: DataFrame, full: DataFrame) -> DataFrame:
-    """The (a, b) of pairs(a, b) whose full sets (set_id, tokens) link, staged."""
+    """The (a, b) of the staged pairs(a, b) whose full sets (set_id, tokens) link, staged. Few pairs are broadcast, so that only their sets' tokens are shuffled."""
 
     def compare(batch: pa.RecordBatch) -> pa.RecordBatch:
         ok = []
@@ -322,10 +322,27 @@ def linked(pairs: DataFrame, full: DataFrame) -> DataFrame:
         return pa.record_batch([batch.column("a").filter(keep), batch.column("b").filter(keep)], ["a", "b"])
 
     side = lambda own, name: full.select(F.col("set_id").alias(own), F.col("tokens").alias(name))
-    met = pairs.select("a", "b").join(side("a", "ta"), "a").join(side("b", "tb"), "b").select("a", "b", "ta", "tb")
+    few = pairs.count() <= staging.BROADCAST_ROWS
+    own, theirs = (F.broadcast(pairs), F.broadcast(pairs.select("b"))) if few else (pairs, pairs.select("b"))
+    met = side("a", "ta").join(own, "a").join(side("b", "tb").join(theirs, "b", "left_semi"), "b").select("a", "b", "ta", "tb")
     return staging.stage(met.mapInArrow(text.batches(compare), "a long, b long"), "jaccard-links")
 
 
+def classes(links: DataFrame, rounds: int = 2) -> DataFrame:
+    """(set_id, comp) of the ends of links(a, b), staged: sets of one comp are connected; after so few rounds connected sets may be of several."""
+    both = links.select(F.col("a").alias("set_id"), F.col("b").alias("other")).unionByName(links.select(F.col("b").alias("set_id"), F.col("a").alias("other")))
+    comp = staging.stage(both.groupBy("set_id").agg(F.least(F.min("other"), F.col("set_id")).alias("comp")), "jaccard-comp")
+    for _ in range(rounds):
+        # the least class of a set's neighbours, and that class's own
+        theirs = staging.small(comp.select(F.col("set_id").alias("other"), F.col("comp").alias("near")))
+        further = staging.small(comp.select(F.col("set_id").alias("near"), F.col("comp").alias("further")))
+        least = both.join(theirs, "other").groupBy("set_id").agg(F.min("near").alias("near")).join(further, "near", "left")
+        least = staging.stage(least.select("set_id", F.least("near", "further").alias("comp")), "jaccard-comp")
+        staging.drop(comp)
+        comp = least
+    return comp
+
+
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", often: int = 3, few: int = 16, block: int = 512, hubs: int = 16, hot: int = 8192, locator: Column | None = None) -> DataFrame:
     """doc_id, n_shingles, component_id of each row of docs. component_id: the smallest doc_id reachable by links.
 
@@ -359,7 +376,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     links = linked(left, full)
     staging.drop(left, reps)
     for last in (False, True):
-        comp = staging.stage(cc.components(links).withColumnsRenamed({"node": "set_id", "component": "comp"}), "jaccard-comp")
+        comp = classes(links)
         several = large.drop("comp").join(staging.small(comp), "set_id", "left").withColumn("comp", F.coalesce("comp", "set_id"))
         several = staging.stage(several.select("list", "set_id", "n", "comp"), "jaccard-several")
         by_comp = staging.stage(several.groupBy("list", "comp").agg(*picked(hubs)), "jaccard-by-comp")

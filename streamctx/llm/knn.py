@@ -1,8 +1,8 @@
 """Exact top-k by inner product, as a Voronoi kNN join.
 
 Vectors are quantised to integers, and each belongs to the cell of its nearest pivot
-(pivots: rows picked by hash, a bounded number). A cell's summary is its k + 1
-smallest distances to the pivot, with one row for each vec_id in all cells together, and its counts. For a query q and a vector v of the
+(pivots: rows picked by hash, about the root of the number of queries). A cell's summary is its k + 1
+smallest distances to the pivot, with one row for each vec_id in all cells together, its counts, and quantiles of its distances. For a query q and a vector v of the
 cell of pivot p at distance r, q.p - |q| r <= q.v <= q.p + |q| r, so from the
 summaries alone
 
@@ -11,15 +11,17 @@ summaries alone
 * v can only matter to q if r is at least (bound - q.p) / |q|.
 
 Cells are gathered into groups of queries; a group needs of each cell the vectors from the
-smallest such r of its queries on, and only those are sent to it. Each (group,
+smallest such r of its queries on, and only those are sent to it. The number of groups is the one with the least
+work by the summaries: many where the bounds prune, one where they don't, so that then each vector is sent once, and only the queries, a small
+part of the rows, go to every block of vectors. Each (group,
 block of its queries, block of its vectors) is solved by itself, so that a cell which
 holds a third of all rows is many tasks; the blocks' top k are then merged.
 
-Rows whose vector is null, has null, NaN or infinite components, or components of
-2**28 and more after quantising (their scores would not fit a long) take no part.
+Rows whose vector is null, or has null, NaN or infinite components, take no part.
+Vectors of any finite components do: products are exact whatever their size, and a score beyond a long's range counts as its end.
 Shorter vectors count as filled up with zeros. Rows that share the query's id
-are not its candidates; identical query rows are answered once; repeated
-candidates count each. An empty table gives an empty result.
+are not its candidates. Rows of one query id are one query: its answer is the best of the candidates by any of its vectors, identical ones counted once; repeated
+candidates count each. Ties go to the smaller vec_id. Other columns are not read. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -36,11 +38,13 @@ from pyspark.sql.window import Window
 
 from . import staging
 
-LARGEST = 1 << 28
+#: Values of this size and more are kept as 64-bit floats, which hold floor(scale * x) exactly.
+LARGE = 1 << 31
+LAST = (1 << 63) - 1
 
 
 def quantised(rows: DataFrame, scale: float) -> DataFrame:
-    """vec_id, v (floor(scale * x) as 32-bit integers, in bytes) of the rows that take part."""
+    """vec_id, v of the rows that take part: floor(scale * x) in bytes, 32-bit integers after a 4, or 64-bit floats after an 8."""
 
     def convert(them: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in them:
@@ -49,9 +53,9 @@ def quantised(rows: DataFrame, scale: float) -> DataFrame:
                 if i is None or x is None or x.dtype == object and any(c is None for c in x):
                     continue
                 v = np.floor(scale * np.asarray(x, np.float64))  # a null within numbers is NaN here
-                if np.isfinite(v).all() and (np.abs(v) < LARGEST).all():
+                if np.isfinite(v).all():
                     ids.append(i)
-                    out.append(v.astype("<i4").tobytes())
+                    out.append(b"\4" + v.astype("<i4").tobytes() if (np.abs(v) < LARGE).all() else b"\x08" + v.astype("<f8").tobytes())
             yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(out, pa.binary())], ["vec_id", "v"])
 
     return rows.mapInArrow(convert, "vec_id long, v binary")
@@ -59,16 +63,25 @@ def quantised(rows: DataFrame, scale: float) -> DataFrame:
 
 def matrix(values: list[bytes], width: int) -> np.ndarray:
     """The vectors as rows of width columns."""
-    if all(len(v) == 4 * width for v in values):
-        return np.frombuffer(b"".join(values), "<i4").reshape(len(values), width).astype(np.float64)
-    return np.frombuffer(b"".join(v.ljust(4 * width, b"\0") for v in values), "<i4").reshape(len(values), width).astype(np.float64)
+    if all(v[0] == 4 and len(v) == 4 * width + 1 for v in values):
+        return np.frombuffer(b"".join(values), np.uint8).reshape(len(values), 4 * width + 1)[:, 1:].copy().view("<i4").astype(np.float64)
+    out = np.zeros((len(values), width))
+    for row, v in zip(out, values, strict=True):
+        own = np.frombuffer(v, "<i4" if v[0] == 4 else "<f8", offset=1)
+        row[: len(own)] = own
+    return out
 
 
 def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Exact inner products: in floating point only while every sum is below 2**53."""
-    if a.size and b.size and np.abs(a).max() * np.abs(b).max() * a.shape[1] >= 2**53:
+    """Exact inner products: in floating point only while every sum is below 2**53; those beyond a long as its ends."""
+    most = float(np.abs(a).max(initial=0)) * float(np.abs(b).max(initial=0)) * a.shape[1]
+    if most < 2**53:
+        return (a @ b.T).astype(np.int64)
+    if most < 2**62 and max(np.abs(a).max(), np.abs(b).max()) < 2**62:
         return a.astype(np.int64) @ b.astype(np.int64).T
-    return (a @ b.T).astype(np.int64)
+    whole = [[[int(x) for x in row] for row in side] for side in (a, b)]
+    sums = [[sum(x * y for x, y in zip(r, c, strict=True)) for c in whole[1]] for r in whole[0]]
+    return np.array([[max(-LAST - 1, min(LAST, x)) for x in row] for row in sums], np.int64).reshape(len(a), len(b))
 
 
 def bounds(q: np.ndarray, pivots: np.ndarray, nearest: np.ndarray, k: int) -> np.ndarray:
@@ -80,7 +93,8 @@ def bounds(q: np.ndarray, pivots: np.ndarray, nearest: np.ndarray, k: int) -> np
     bound = np.partition(lower, at, axis=1)[:, at][:, None] if lower.shape[1] > k else np.full((len(q), 1), -np.inf)
     with np.errstate(divide="ignore", invalid="ignore"):
         need = np.where(norm > 0, (bound - dot) / norm, -np.inf)
-    return need - 1e-6 * (1 + np.abs(np.where(np.isfinite(need), need, 0)))  # rounding must not lose a tie
+    size = np.abs(np.where(np.isfinite(need), need, 0)) + np.linalg.norm(pivots, axis=1)[None]
+    return need - 1e-6 * (1 + np.abs(np.where(np.isfinite(need), need, 0))) - 1e-12 * size  # rounding must not lose a tie
 
 
 def gather(pivots: np.ndarray, counts: np.ndarray, groups: int) -> np.ndarray:
@@ -97,6 +111,20 @@ def gather(pivots: np.ndarray, counts: np.ndarray, groups: int) -> np.ndarray:
     return out
 
 
+def grouping(pivots: np.ndarray, counts: np.ndarray, far: np.ndarray, vectors: np.ndarray, need: np.ndarray, send: float = 100.0) -> np.ndarray:
+    """The groups of cells with the least work, in products: a vector that is sent counts as `send`.
+
+    counts, vectors: queries and vectors of each cell. far: quantiles of a cell's distances, a row each. need: from which distance on queries of a cell (row) need another's vectors.
+    """
+    tried, n = [], 1
+    while n <= len(pivots):
+        group = gather(pivots, counts, n)
+        sent = np.array([((far >= need[group == g].min(axis=0)[:, None]).mean(axis=1) * vectors).sum() if (group == g).any() else 0.0 for g in range(n)])
+        tried.append(((sent * (np.bincount(group, counts, n) + send)).sum(), n, group))
+        n *= 2
+    return min(tried, key=lambda t: t[:2])[2]
+
+
 def best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     """Places of the k best scores, ties to the smaller id. ids ascend."""
     if len(scores) <= k:
@@ -108,6 +136,12 @@ def best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return found[np.lexsort((ids[found], -scores[found]))]
 
 
+def split(ids: np.ndarray, data: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Vectors of small components, then the others; neither if there are none."""
+    large = np.abs(data).max(axis=1, initial=0) >= 1 << 22
+    return [(ids[of], data[of]) for of in (~large, large) if of.any()]
+
+
 def solver(k: int, width: int) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]:
     """The k best vectors of a block for each query of a block."""
 
@@ -115,31 +149,33 @@ def solver(k: int, width: int) -> Callable[[pd.DataFrame, pd.DataFrame], pd.Data
         out: list[tuple[int, int, int]] = []
         if len(queries) and len(vectors):
             vectors = vectors.sort_values("vec_id", kind="stable")
-            ids, data = vectors["vec_id"].to_numpy(), matrix(vectors["v"].tolist(), width)
-            for lo in range(0, len(queries), 64):
-                part = queries.iloc[lo : lo + 64]
-                for q, row in zip(part["vec_id"], products(matrix(part["v"].tolist(), width), data), strict=True):
-                    other = ids != q
-                    own, row = (ids[other], row[other]) if not other.all() else (ids, row)
-                    out += [(q, int(own[i]), int(row[i])) for i in best(row, own, k)]
+            # the few large ones, whose products are costly, apart from the others
+            sides = [split(x["vec_id"].to_numpy(), matrix(x["v"].tolist(), width)) for x in (queries, vectors)]
+            for (qs, q_data), (ids, data) in ((q, v) for q in sides[0] for v in sides[1]):
+                for lo in range(0, len(qs), 64):
+                    for q, row in zip(qs[lo : lo + 64], products(q_data[lo : lo + 64], data), strict=True):
+                        other = ids != q
+                        own, row = (ids[other], row[other]) if not other.all() else (ids, row)
+                        out += [(int(q), int(own[i]), int(row[i])) for i in best(row, own, k)]
         return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype("int64")
 
     return solve
 
 
-def top_k(rows: DataFrame, k: int = 5, *, every: int = 50, id_col: str = "vec_id", vector_col: str = "embedding", scale: float = 256.0, n_pivots: int = 64, queries_per_group: int = 512, block: int = 16384) -> DataFrame:
+def top_k(rows: DataFrame, k: int = 5, *, every: int = 50, id_col: str = "vec_id", vector_col: str = "embedding", scale: float = 256.0, n_pivots: int | None = None, queries_per_group: int = 16384, block: int = 32768) -> DataFrame:
     """query_id, rank, vec_id, score: the k best candidates of each row whose id is divisible by `every`.
 
-    block: vectors in one task at a time; a task also holds at most about 2 * queries_per_group queries.
+    block: vectors in one task at a time; a task also holds at most about 2 * queries_per_group queries. n_pivots: by default the root of the number of queries, from 16 to 256.
     """
     spark = rows.sparkSession
     out = "query_id long, rank int, vec_id long, score long"
     plain = staging.stage(quantised(rows.select(F.col(id_col).cast("long"), F.col(vector_col)), scale), "knn-vectors")
     at = (F.col("vec_id") % every) == 0
-    size = plain.agg(F.count(F.lit(1)).alias("n"), F.max(F.octet_length("v")).alias("bytes"), F.count(F.when(at, 1)).alias("q")).first()
+    size = plain.agg(F.count(F.lit(1)).alias("n"), F.count(F.when(at, 1)).alias("q")).first()
     if not size["q"]:
         return spark.createDataFrame([], out)
-    width = size["bytes"] // 4
+    width = plain.agg(F.max(F.expr("(octet_length(v) - 1) / IF(hex(substring(v, 1, 1)) = '04', 4, 8)"))).first()[0]
+    width, n_pivots = int(width), n_pivots or min(256, max(16, math.isqrt(size["q"])))
     picked = plain.orderBy(F.xxhash64("vec_id"), "vec_id").select("v").limit(n_pivots).collect()  # n_pivots rows
     pivots = np.unique(matrix([bytes(r["v"]) for r in picked], width), axis=0) if width else np.zeros((1, 0))
 
@@ -161,21 +197,25 @@ def top_k(rows: DataFrame, k: int = 5, *, every: int = 50, id_col: str = "vec_id
     counts = np.zeros(len(pivots), int)
     for r in placed.where(at).groupBy("cell").agg(F.count(F.lit(1)).alias("q")).collect():
         counts[r["cell"]] = r["q"]
-    n_groups = min(len(pivots), math.ceil(size["q"] / queries_per_group))
-    group_of = gather(pivots, counts, n_groups)
+    far, vectors = np.full((len(pivots), 17), -np.inf), np.zeros(len(pivots))
+    for r in placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.percentile_approx("far", [i / 16 for i in range(17)], 200).alias("far")).collect():
+        far[r["cell"]], vectors[r["cell"]] = r["far"], r["n"]
 
     def needs(them: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        least = np.full((n_groups, len(pivots)), np.inf)
+        least = np.full((len(pivots), len(pivots)), np.inf)
         for batch in them:
-            if batch.num_rows:
-                need = bounds(matrix(batch.column("v").to_pylist(), width), pivots, nearest, k)
-                np.minimum.at(least, group_of[batch.column("cell").to_numpy()], need)
+            for lo in range(0, batch.num_rows, 256):
+                part = batch.slice(lo, 256)
+                np.minimum.at(least, part.column("cell").to_numpy(), bounds(matrix(part.column("v").to_pylist(), width), pivots, nearest, k))
         g, c = np.nonzero(least < np.inf)
-        yield pa.record_batch([pa.array(g, pa.int32()), pa.array(c, pa.int32()), pa.array(least[g, c])], ["g", "cell", "need"])
-
-    need = np.full((n_groups, len(pivots)), np.inf)
-    for r in placed.where(at).mapInArrow(needs, "g int, cell int, need double").groupBy("g", "cell").agg(F.min("need").alias("need")).collect():
-        need[r["g"], r["cell"]] = r["need"]  # n_pivots squared at most
+        yield pa.record_batch([pa.array(g, pa.int32()), pa.array(c, pa.int32()), pa.array(least[g, c])], ["own", "cell", "need"])
+
+    by_cell = np.full((len(pivots), len(pivots)), np.inf)
+    for r in placed.where(at).mapInArrow(needs, "own int, cell int, need double").groupBy("own", "cell").agg(F.min("need").alias("need")).collect():
+        by_cell[r["own"], r["cell"]] = r["need"]  # n_pivots squared at most
+    group_of = grouping(pivots, counts, far, vectors, by_cell)
+    n_groups = int(group_of.max()) + 1
+    need = np.array([by_cell[group_of == g].min(axis=0, initial=np.inf) for g in range(n_groups)])
 
     def send(them: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in them:

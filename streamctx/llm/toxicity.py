@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Callable, Iterator
+from copy import copy
 
 import numpy as np
 import pyarrow as pa
@@ -91,22 +92,38 @@ class Sample:
         return float(first), float(second), np.append(np.bincount(self.number, slope[self.doc], len(self.seen)), slope.sum())
 
 
-def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, *, steps: int = 100, rate: float = 0.1, penalty: float = 3.0) -> np.ndarray:
+    def descend(self, w: np.ndarray, *, steps: int, rate: float, shrink: np.ndarray | float = 0.0, ridge: float = 0.0) -> np.ndarray:
+        """w after steps down the risk. shrink: what each weight's absolute value costs; ridge: what squares cost."""
+        m1, m2 = np.zeros_like(w), np.zeros_like(w)
+        for step in range(1, steps + 1):
+            slope = self.risk(w)[2] + ridge * np.append(w[:-1], 0)
+            m1, m2 = 0.9 * m1 + 0.1 * slope, 0.99 * m2 + 0.01 * slope * slope
+            pace = rate / np.sqrt(step) / (np.sqrt(m2 / (1 - 0.99**step)) + 1e-6)
+            w = w - pace * m1 / (1 - 0.9**step)
+            w[:-1] = np.sign(w[:-1]) * np.maximum(0, np.abs(w[:-1]) - pace[:-1] * shrink)
+        return w
+
+    def only(self, features: np.ndarray) -> Sample:
+        """The sample with some of its features."""
+        number = np.where(features, np.cumsum(features) - 1, -1)[self.number]
+        out = copy(self)
+        out.doc, out.number, out.seen, out.share = self.doc[number >= 0], number[number >= 0], self.seen[features], self.share[features]
+        return out
+
+
+def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, *, steps: int = 60, rate: float = 0.1, penalty: float = 3.0, ridge: float = 1e-4) -> np.ndarray:
     """The weights of all hashed features, the bias last.
 
-    A weight's absolute value is penalised by `penalty` times the standard deviation that its slope has where the
-    feature says nothing, so that features stay at 0 if they go with either side by chance only.
+    First a weight's absolute value is penalised by `penalty` times the standard deviation that its slope has where the
+    feature says nothing, so that features stay at 0 if they go with either side by chance only. Then the others
+    are fitted without that penalty, which makes scores too small.
     """
     sample = Sample(apart(positive), apart(unlabelled), prior)
     shrink = penalty * prior * np.sqrt(sample.share * (1 - sample.share) / sample.n_p)
-    w, m1, m2 = (np.zeros(len(sample.seen) + 1) for _ in range(3))
-    w[-1] = np.log(prior / (1 - prior))
-    for step in range(1, steps + 1):
-        slope = sample.risk(w)[2]
-        m1, m2 = 0.9 * m1 + 0.1 * slope, 0.99 * m2 + 0.01 * slope * slope
-        pace = rate / np.sqrt(step) / (np.sqrt(m2 / (1 - 0.99**step)) + 1e-6)
-        w -= pace * m1 / (1 - 0.9**step)
-        w[:-1] = np.sign(w[:-1]) * np.maximum(0, np.abs(w[:-1]) - pace[:-1] * shrink)
+    w = sample.descend(np.append(np.zeros(len(sample.seen)), np.log(prior / (1 - prior))), steps=steps, rate=rate, shrink=shrink)
+    some = w[:-1] != 0
+    sample = sample.only(some)
+    w = sample.descend(w[np.append(some, True)], steps=steps, rate=rate, ridge=ridge)
     out = np.zeros((1 << BITS) + 1, np.float32)
     out[sample.seen], out[-1] = w[:-1], w[-1]
     return out

@@ -312,6 +312,32 @@ def test_top_k(spark, clustered):
     assert sorted(map(tuple, got.collect())) == plain_top(rows, 5, 10)
 
 
+def test_top_k_of_very_large_components(spark):
+    big = [0.0, 2.0**20, -(2.0**20), 2.0**40, 3e38, -3e38, 1.5, 2.0**22 + 0.5]
+    r = random.Random(9)
+    rows = [(i, [r.choice(big), r.choice(big) if i % 3 else 1.0, float(r.randrange(9))]) for i in range(60)]
+    got = knn.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), 5, every=10, n_pivots=8, block=20)
+    ends = lambda x: max(-(2**63), min(2**63 - 1, x))
+    vs = [(i, [int(np.floor(256 * float(np.float32(c)))) for c in v]) for i, v in rows]
+    want = []
+    for q, v in vs[::10]:
+        best = sorted((-ends(sum(a * b for a, b in zip(v, w, strict=True))), i) for i, w in vs if i != q)[:5]
+        want += [(q, n + 1, i, -s) for n, (s, i) in enumerate(best)]
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
+def test_top_k_sends_what_the_bounds_leave():
+    r = np.random.default_rng(3)
+    pivots = np.repeat(np.eye(16) * 1000, 2, axis=0) + r.normal(size=(32, 16))
+    counts, vectors = np.full(32, 50), np.full(32, 2500.0)
+    far = np.linspace(0, 10, 17)[None].repeat(32, axis=0)
+    near = knn.bounds(pivots, pivots, np.sort(r.random((32, 6)), axis=1), 5)
+    group = knn.grouping(pivots, counts, far, vectors, near)
+    share = np.mean([(far >= near[group == g].min(axis=0)[:, None]).mean() for g in range(group.max() + 1)])
+    assert group.max() + 1 >= 8 and share < 0.3  # clustered: each group needs few vectors
+    assert knn.grouping(pivots, counts, far, vectors, np.full((32, 32), -1.0)).max() == 0  # nothing pruned: each vector is sent once
+
+
 def test_top_k_few(spark):
     schema = "vec_id long, embedding array<float>"
     assert knn.top_k(spark.createDataFrame([], schema)).count() == 0
@@ -506,6 +532,23 @@ def test_toxicity(spark, documents):
     assert toxicity.toxicity(documents([]), frame).count() == 0
 
 
+def test_the_risk_and_its_slope():
+    r = np.random.default_rng(1)
+    rows = [np.unique(r.integers(0, 12, 5)).astype(np.int32) for _ in range(30)]
+    sample = toxicity.Sample(rows[:10], rows[10:], 0.2, least=1)
+    for scale in (0.3, 3.0, -3.0):
+        w = r.normal(size=len(sample.seen) + 1) * scale
+        g = np.array([sum(w[np.searchsorted(sample.seen, f)] for f in row) + w[-1] for row in rows])
+        pos = lambda x: np.log1p(np.exp(-x)).mean()
+        first, second = 0.2 * pos(g[:10]), pos(-g[10:]) - 0.2 * pos(-g[:10])
+        got = sample.risk(w)
+        assert np.allclose(got[:2], (first, second))
+        whole = lambda v: sum(sample.risk(v)[:2]) if second >= 0 else -sample.risk(v)[1]
+        for k in range(len(w)):
+            step = np.eye(len(w))[k] * 1e-5
+            assert abs((whole(w + step) - whole(w - step)) / 2e-5 - got[2][k]) < 1e-6
+
+
 def test_the_risk_is_corrected_by_the_prior():
     r = np.random.default_rng(1)
     sample = lambda toxic: np.unique(np.concatenate([r.integers(100, 400, 20), [1, 2] if toxic else []])).astype(np.int32)
@@ -514,6 +557,27 @@ def test_the_risk_is_corrected_by_the_prior():
     assert w[1] + w[2] + w[-1] > 0 > w[-1]
 
 
+def test_toxicity_of_the_given_tables(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    fold = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) != 0
+    w = toxicity.train(docs, labels, fold=fold)
+    assert (w[:-1] < 0).any() and (w[:-1] > 0).sum() > 50
+    got = toxicity.score(docs, w, ~fold).where("held_out").join(labels, "doc_id").collect()
+    bad, clean = [r.score for r in got if r.toxic == 1], [r.score for r in got if r.toxic == 0]
+    assert np.mean(np.array(bad) >= 0.5) >= 0.9 and np.mean(np.array(clean) >= 0.5) <= 0.01
+    assert len({round(x, 9) for x in bad + clean}) > 100
+
+
+def test_reject_keeps_columns_and_order_of_types(spark, documents):
+    rows = [(i, t) for i, t in enumerate([None, "", "fine words", "slur slur"])]
+    w = np.zeros((1 << toxicity.BITS) + 1, np.float32)
+    w[-1], w[next(iter(toxicity.features({b"slur"})))] = -1, 5
+    docs = documents(rows)
+    left = toxicity.reject(docs, w)
+    assert left.schema == docs.schema and sorted(r.doc_id for r in left.collect()) == [0, 1, 2]
+    assert "BatchEvalPython" not in (plan := left._jdf.queryExecution().executedPlan().toString()) and "ArrowEvalPython" in plan
+
+
 def test_languages(documents):
     letters = {"en": "th wh ing ed er", "de": "sch ung ein ch pf", "fr": "eau oi ent que ou", "es": "cion ado ll rr ez"}
     rows = []
