@@ -49,6 +49,38 @@ def test_asof_with_an_empty_side(spark):
     assert joins.asof_join(left.where("false"), none, on=["k"], left_ts="t", right_ts="vt").count() == 0
 
 
+def test_asof_of_versions_with_maps_and_a_large_broadcast_side(spark, monkeypatch):
+    left = frame(spark, [(1, 1, at(5)), (2, 1, at(25))], "id long, k long, t timestamp")
+    right = frame(spark, [(1, at(1), {"a": 1}, 7), (1, at(1), {"a": 2}, 8), (1, at(20), {"b": 3}, None)], "k long, vt timestamp, m map<string, int>, n int")
+    for how in ({}, {"time_slice": "10 seconds"}):
+        got = joins.asof_join(left, right, on=["k"], left_ts="t", right_ts="vt", **how).collect()
+        assert sorted((r.id, r.m, r.n) for r in got) == [(1, {"a": 2}, 8), (2, {"b": 3}, None)]
+    plan = lambda: joins.asof_join(left, right.drop("m"), on=["k"], left_ts="t", right_ts="vt", broadcast=True)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan() or "BroadcastNestedLoopJoin" in plan()
+    monkeypatch.setattr(joins, "BROADCAST_ROWS", 2)
+    assert "Broadcast" not in plan()
+
+
+def test_busy_keys_are_joined_by_time_buckets(spark):
+    a = frame(spark, [(1, 1, at(5))], "l long, k long, t timestamp")
+    b = frame(spark, [(1, 1, at(5))], "r long, k long, rt timestamp")
+    plan = joins.interval_join(a, b, on=["k"], left_ts="t", right_ts="rt", within="30 seconds")._jdf.queryExecution().analyzed().toString()
+    assert "_near" in plan
+    rows = [(i, "q", at(i * 100)) for i in range(50)]
+    logs = frame(spark, rows, "id long, opcrequestid string, t timestamp").withColumn("besttraceid", F.col("id").cast("string"))
+    audit = frame(spark, [(f"a{i}", "q" if i % 2 else None, str(i), at(i * 100 + 3)) for i in range(50)], "a string, opcrequestid string, besttraceid string, at timestamp")
+    got = joins.correlate(audit, logs, audit_ts="at", log_ts="t", within="5 seconds").collect()
+    assert sorted((r.id, r.matched_on, r.audit_a) for r in got) == [(i, "opcrequestid" if i % 2 else "besttraceid", f"a{i}") for i in range(50)]
+
+
+def test_lists_keep_step_where_a_value_is_null(spark):
+    df = frame(spark, [(1, 1, "a", None), (1, 2, None, "y"), (1, 3, "c", "z")], "k long, o long, x string, y string")
+    (r,) = windows.ordered_lists(df, ["k"], ["o"], {"xs": "x", "ys": "y"}, null_text="").collect()
+    assert (r.xs, r.ys) == ("a,,c", ",y,z")
+    (r,) = windows.ordered_lists(df, ["k"], ["o"], {"xs": "x", "ys": "y"}).collect()
+    assert (r.xs, r.ys) == ("a,c", "y,z")
+
+
 def test_fused_asof_has_one_exchange_for_the_facts(spark):
     left = frame(spark, [(1, 1, at(5))], "id long, k long, t timestamp")
     right = frame(spark, [(1, at(1), "a")], "k long, vt timestamp, v string")

@@ -53,6 +53,39 @@ def test_asof_stream_equals_batch(replay):
     assert rows(got) == rows(want) and len(rows(got)) == 6
 
 
+def test_asof_stream_with_ties_null_keys_and_null_times(replay):
+    day = at(10).date()
+    facts = [[(1, None, at(15)), (2, 1, at(15)), (3, 1, None)], [(4, 1, at(30)), (5, 2, at(30))], [(99, 9, at(FAR))], [(98, 9, at(2 * FAR))]]
+    versions = [[(None, at(10), 5, b"x", day), (1, at(10), 9, b"y", day), (1, at(10), 10, b"z", None)], [(1, at(20), -3, None, day), (1, at(20), None, b"w", day), (1, None, 4, b"n", day), (2, at(20), None, b"a", None), (2, at(20), None, b"b", None)], [(9, at(FAR), 1, b"e", day)], [(9, at(2 * FAR), 1, b"e", day)]]
+    fs, fb = replay.feed("f", facts, "id long, k long, t timestamp")
+    vs, vb = replay.feed("v", versions, "k long, vt timestamp, v long, b binary, d date")
+    got = replay.result(stateful.asof_stream(fs, vs, on=["k"], left_ts="t", right_ts="vt", tiebreak="v", watermark="60 seconds"))
+    want = joins.asof_join(fb, vb, on=["k"], left_ts="t", right_ts="vt", tiebreak="v")
+    rows = lambda df: sorted(((r.id, r.k, r.t, r.vt, r.v, r.b and bytes(r.b), r.d) for r in df.where("id < 90").collect()), key=str)
+    assert rows(got) == rows(want)
+    assert [(r[0], r[4]) for r in rows(got)] == [(1, None), (2, 10), (3, None), (4, -3), (5, None)]
+
+
+def test_changelog_stream_equals_batch(replay):
+    files = [[("a", 1000, 1), ("a", 1000, 2), (None, 1000, 3)], [("a", 2000, 4), ("b", 1000, 5)], [("z", FAR * 1000, 0)], [("z", 2 * FAR * 1000, 0)]]
+    s, b = replay.feed("c", files, "k string, ts long, v int")
+    feed = lambda df: io.versions(io.with_event_time(df, "ts"), ["k"], "ts", watermark="10 seconds")
+    rows = lambda df: sorted(map(tuple, df.where("k <> 'z'").collect()))
+    assert rows(replay.result(feed(s))) == rows(feed(b)) and len(rows(feed(b))) == 3
+
+
+def test_view_of_changes_is_made_whole_from_time_to_time(spark, tmp_path):
+    path, schema, want = str(tmp_path / "view"), "k string, t long, v int", {}
+    for n in range(9):
+        rows = [(f"k{(n * 7 + i) % 5}", n - i % 3, n * 10 + i) for i in range(4)]
+        for k, t, v in rows:
+            want[k] = max(want.get(k, (t, v)), (t, v))
+        io.materialize(spark.createDataFrame(rows, schema), path, keys=["k"], version_col="t", changes=2)
+        assert {r.k: (r.t, r.v) for r in io.read_view(spark, path).collect()} == want
+        assert len(io._parts(spark, path)) <= 3
+    assert len(io._view_folders(spark, path)) <= 7
+
+
 def test_match_stream_equals_batch(replay):
     files = [[(1, at(1), 1, "A", 1)], [(1, at(1), 2, "L", 7), (1, at(2), 3, "L", 5), (2, at(1), 1, "L", 1)], [(1, at(3), 4, "F", 0), (2, at(2), 2, "F", 0), (1, at(4), 5, "A", 0), (1, at(5), 6, "X", 0), (1, at(6), 7, "F", 0)], [(9, at(FAR), 1, "X", 0)], [(9, at(2 * FAR), 1, "X", 0)]]
     s, b = replay.feed("a", files, "p long, t timestamp, seq long, s string, v long")
