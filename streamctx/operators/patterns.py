@@ -30,7 +30,8 @@ def match_sequence(df: DataFrame, *, by: Sequence[str], order: Sequence[str], de
     """One row for each start from which a pattern of one-letter symbols (`A`, `L+`, `F`, `*`, `?`) matches unbroken rows, longest first.
 
     defines: the condition of each symbol, the first that holds counts. measures: from a match's rows and their
-    symbols, the values of the row besides `by`. A partition's rows must fit in one task's memory.
+    symbols, the values of the row besides `by`. Rows without a symbol end every match, so Spark cuts a partition's order there, and only runs of rows that
+    have symbols go to Python; one such run must fit in one task's memory.
     """
     symbol = F.lit("_")
     for name, condition in reversed(defines.items()):
@@ -47,4 +48,6 @@ def match_sequence(df: DataFrame, *, by: Sequence[str], order: Sequence[str], de
                 out.append({**{k: part[k].iloc[0] for k in by}, **measures(part, m.group())})
         return pd.DataFrame(out, columns=[c.split()[0] for c in out_schema.split(",")])
 
-    return df.withColumn("_s", symbol).groupBy(*by).applyInPandas(scan, out_schema)
+    in_order = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = df.withColumn("_s", symbol).withColumn("_run", F.count(F.when(F.col("_s") == "_", 1)).over(in_order)).where("_s <> '_'")
+    return rows.groupBy(*by, "_run").applyInPandas(scan, out_schema)
