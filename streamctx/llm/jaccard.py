@@ -28,6 +28,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -236,8 +237,8 @@ CLASS = ["band", "major"]
 BAND_OF_SIZES = 1.34
 
 
-def dealt(rows: DataFrame, block: int) -> DataFrame:
-    """CELLS of the block pairs of the groups of rows(list, set_id, n, comp, major), staged, that are too large for one task.
+def dealt(rows: DataFrame, block: int) -> tuple[DataFrame, list[DataFrame]]:
+    """CELLS of the block pairs of the groups of rows(list, set_id, n, comp, major), staged, that are too large for one task; and the staged tables that they are read from.
 
     A group's members are dealt by hash to blocks within a class (band of sizes, in the group's largest component),
     and each goes to all blocks of the classes that its own can link with.
@@ -247,13 +248,14 @@ def dealt(rows: DataFrame, block: int) -> DataFrame:
     theirs = sizes.select("list", *(F.col(c).alias(f"{c}_") for c in CLASS), F.col("blocks").alias("blocks_"))
     partners = sizes.join(theirs, "list").where((F.abs(F.col("band") - F.col("band_")) <= 1) & ~(F.col("major") & F.col("major_")))
     own, other = F.struct(*CLASS), F.struct(*(F.col(f"{c}_").alias(c) for c in CLASS))
-    met = rows.join(staging.small(staging.stage(partners, "jaccard-partners")), ["list", *CLASS])
+    partners = staging.stage(partners, "jaccard-partners")
+    met = rows.join(staging.small(partners), ["list", *CLASS])
     met = met.withColumn("i", F.pmod(F.xxhash64("set_id"), "blocks")).withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks_") - 1)))
     first = (own < other) | ((own == other) & (F.col("i") <= F.col("j")))
     one = (own == other) & (F.col("i") == F.col("j"))
     here, there = F.struct(own.alias("c"), "i"), F.struct(other.alias("c"), F.col("j").alias("i"))
     number = F.xxhash64("list", F.when(first, here).otherwise(there), F.when(first, there).otherwise(here))
-    return met.select(number.alias("cell"), F.when(one, -1).when(first, 0).otherwise(1).alias("side"), "set_id", "n", "comp")
+    return met.select(number.alias("cell"), F.when(one, -1).when(first, 0).otherwise(1).alias("side"), "set_id", "n", "comp"), [rows, sizes, partners]
 
 
 def whole_cells(them: Iterator[pa.RecordBatch], rows: int = 20_000, size: int = 1 << 24) -> Iterator[pa.Table]:
@@ -322,7 +324,7 @@ def linked(pairs: DataFrame, full: DataFrame) -> DataFrame:
         return pa.record_batch([batch.column("a").filter(keep), batch.column("b").filter(keep)], ["a", "b"])
 
     side = lambda own, name: full.select(F.col("set_id").alias(own), F.col("tokens").alias(name))
-    few = pairs.count() <= staging.BROADCAST_ROWS
+    few = staging.fits(pairs)
     own, theirs = (F.broadcast(pairs), F.broadcast(pairs.select("b"))) if few else (pairs, pairs.select("b"))
     met = side("a", "ta").join(own, "a").join(side("b", "tb").join(theirs, "b", "left_semi"), "b").select("a", "b", "ta", "tb")
     return staging.stage(met.mapInArrow(text.batches(compare), "a long, b long"), "jaccard-links")
@@ -373,10 +375,10 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     left = staging.stage(near.distinct(), "jaccard-left")
     ids = left.select(F.col("a").alias("set_id")).union(left.select("b")).union(large.select("set_id")).distinct()
     full = tokens_of(staging.stage(ids, "jaccard-ids"), sets, docs)
-    links = linked(left, full)
+    found = [linked(left, full)]
     staging.drop(left, reps)
     for last in (False, True):
-        comp = classes(links)
+        comp = classes(reduce(DataFrame.unionByName, found))
         several = large.drop("comp").join(staging.small(comp), "set_id", "left").withColumn("comp", F.coalesce("comp", "set_id"))
         several = staging.stage(several.select("list", "set_id", "n", "comp"), "jaccard-several")
         by_comp = staging.stage(several.groupBy("list", "comp").agg(*picked(hubs)), "jaccard-by-comp")
@@ -385,22 +387,24 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         if last:  # whole groups
             met = several.join(staging.small(most.withColumnRenamed("comp", "most")), "list").withColumn("major", F.col("comp") == F.col("most"))
             cells = met.where(F.col("m") <= block).select(F.col("list").alias("cell"), F.lit(-1).alias("side"), "set_id", "n", "comp")
-            cells = cells.unionByName(dealt(met.where(F.col("m") > block).select("list", "set_id", "n", "comp", "major"), block))
+            deal, read = dealt(met.where(F.col("m") > block).select("list", "set_id", "n", "comp", "major"), block)
+            cells = cells.unionByName(deal)
         else:  # against some of the largest class
             reps = staging.stage(by_comp.select("list", "comp", "r").join(staging.small(most), ["list", "comp"]).select("list", "r", F.col("m")), "jaccard-reps")
-            cells = stars(several, "list", reps, block)
+            cells, read = stars(several, "list", reps, block), [reps]
         left = staging.stage(walk(cells, maps, "wide"), "jaccard-left")
-        more = linked(left, full)
-        staging.drop(comp, several, by_comp, most, left)
-        links = links.unionByName(more)
+        found.append(linked(left, full))
+        staging.drop(comp, several, by_comp, most, left, *read)
 
     # 3. components of sets, and the smallest doc_id of each
-    part = staging.stage(cc.components(links), "jaccard-parts")
-    staging.drop(members, own, maps, full)
+    part = staging.stage(cc.components(reduce(DataFrame.unionByName, found)), "jaccard-parts")
+    staging.drop(members, own, maps, full, *found)
     least = part.join(sets.select(F.col("set_id").alias("node"), "first"), "node").groupBy("component").agg(F.min("first").alias("least"))
-    of_set = part.join(staging.stage(least, "jaccard-least"), "component").select(F.col("node").alias("set_id"), "least")
+    least = staging.stage(least, "jaccard-least")
+    of_set = part.join(least, "component").select(F.col("node").alias("set_id"), "least")
     of_set = sets.select("set_id", "first").join(of_set, "set_id", "left").select("set_id", F.coalesce("least", "first").alias("least"))
     of_set = staging.stage(of_set, "jaccard-of-set")
+    staging.drop(part, least)
     kept = F.col("n").eqNullSafe(0) | (F.col("doc_id").eqNullSafe(F.col("least.doc_id")) & F.col("locator").eqNullSafe(F.col("least.locator")))
     own_id = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("least.doc_id"))
     return of_docs.select("doc_id", "set_id", "n", "locator").join(of_set, "set_id", "left").select("doc_id", F.col("n").alias("n_shingles"), own_id.alias("component_id"), *([] if locator is None else [kept.alias("kept"), "locator"]))

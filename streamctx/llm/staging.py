@@ -12,8 +12,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A side is broadcast only if it has no more rows than this (of a few bytes each).
-BROADCAST_ROWS = 1_000_000
+#: A side is broadcast only if it has no more bytes than this.
+BROADCAST_BYTES = 32 << 20
 
 _own: dict[str, str] = {}
 
@@ -53,9 +53,19 @@ def drop(*tables: DataFrame) -> None:
         at.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if it has few rows (df should be staged: it is counted); else df as it is."""
-    return F.broadcast(df) if df.count() <= rows else df
+def fits(df: DataFrame, most: int = BROADCAST_BYTES) -> bool:
+    """Whether df, which should be staged as it is summed up, has at most so many bytes: 16 a value, and those of strings."""
+    text = [F.coalesce(F.octet_length(f"`{f.name}`"), F.lit(0)) for f in df.schema if f.dataType.typeName() in ("string", "binary")]
+    nested = [48 * F.coalesce(F.size(f"`{f.name}`"), F.lit(0)) for f in df.schema if f.dataType.typeName() == "array"]
+    size = F.lit(16 * len(df.columns)).cast("long")
+    for part in [*text, *nested]:
+        size = size + part
+    return (df.agg(F.sum(size)).first()[0] or 0) <= most
+
+
+def small(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
+    """df with a broadcast hint if it fits; else df as it is."""
+    return F.broadcast(df) if fits(df, most) else df
 
 
 def free_name(df: DataFrame, name: str) -> str:

@@ -1,6 +1,7 @@
 """Each operator against a plain version, and over nulls, empty and long texts, ties, repeated rows, empty tables and extra columns."""
 
 import hashlib
+import itertools
 import random
 import re
 import zlib
@@ -53,6 +54,13 @@ def test_dedup_over_several_batches(spark, documents):
     assert sorted((r["first"].doc_id, r.group_size) for r in got) == [(i, 10) for i in range(5)]
 
 
+def test_dedup_of_repeated_ids_keeps_one(documents):
+    rows = [(5, "a b"), (5, "a b"), (5, "a  b"), (6, "a b"), (None, "c"), (None, "c")]
+    for digest in (dedup.sha256, lambda t: F.lit("0")):
+        got = dedup.exact_dedup(documents(rows), digest=digest).collect()
+        assert len(got) == 6 and sorted((r.keep_id or 0, r.group_size) for r in got if r.kept) == [(0, 2), (5, 4)]
+
+
 def test_drop_copies_keeps_one_of_repeated_rows(spark, documents):
     from streamctx.llm import staging
 
@@ -104,6 +112,18 @@ def test_differencing_is_tight_and_whole():
     assert sorted(sharding.difference([8, 7, 6, 5, 4], 2)) in ([0, 0, 0, 1, 1], [0, 0, 1, 1, 1])
 
 
+def test_differencing_against_all_partitions():
+    r, hits = random.Random(4), 0
+    for _ in range(60):
+        w, k = [r.randrange(1, 60) for _ in range(r.randrange(2, 8))], r.choice([2, 3])
+        sums = lambda part, w=w, k=k: [sum(x for x, p in zip(w, part, strict=True) if p == s) for s in range(k)]
+        best = min(max(sums(part)) for part in itertools.product(range(k), repeat=len(w)))
+        got = max(sums(sharding.difference(w, k)))
+        assert best <= got <= best * (4 / 3) + 1e-9
+        hits += got == best
+    assert hits > 40
+
+
 def test_shards_of_few_parcels(documents):
     rows = [(i, words(10 + i % 30, i)) for i in range(400)] + [(1000 + i, "same text") for i in range(200)]
     sums = Counter()
@@ -272,6 +292,39 @@ def test_licenses(documents):
     assert licenses.scan_licenses(documents([])).count() == 0
 
 
+def test_licenses_against_every_start():
+    """Template labels and scores against a look at each template at each start."""
+    index, r = licenses.Index({b"the": 90, b"license": 40, b"under": 30}, 100), random.Random(6)
+    pieces = [t.words for t in licenses.TEMPLATES] + [k for t in licenses.TEMPLATES for k in t.keys] + [p for p, _ in licenses.PHRASES]
+    found = set()
+    for n in range(300):
+        chosen = [r.choice(pieces).split() for _ in range(r.randrange(4))]
+        for c in chosen:
+            for _ in range(r.randrange(4)):
+                c[r.randrange(len(c))] = r.choice(["x", "the", "license"])
+        ws = [w.encode() for c in chosen for w in [*c, *(["filler"] * r.randrange(3))]]
+        labels, score, base = set(), 0.0, set()
+        for phrase, label in licenses.PHRASES:
+            p = phrase.encode().split()
+            if any(ws[k : k + len(p)] == p for k in range(len(ws))):
+                base.add(label)
+                score = 0.5
+        for t, needed in zip(licenses.TEMPLATES, index.needed, strict=True):
+            words_, keys = t.words.encode().split(), [k.encode().split() for k in t.keys]
+            for start in range(-len(words_), len(ws)):
+                same = sum(0 <= start + i < len(ws) and ws[start + i] == w for i, w in enumerate(words_))
+                span = ws[max(0, start - index.slack) : max(0, start + len(words_) + index.slack)]
+                if same >= needed and all(any(span[i : i + len(k)] == k for i in range(len(span))) for k in keys):
+                    labels.add(t.label)
+                    score = max(score, same / len(words_))
+        got = index.scan(ws)
+        assert (set(got[1]), set(got[2]), got[3]) == (base, base | labels, score), n
+        found |= labels
+    assert len(found) > 8
+    both = itertools.combinations(licenses.TEMPLATES, 2)
+    assert all({a.label, b.label} <= set(index.scan(f"{a.words} word {b.words}".encode().split())[2]) for a, b in both)
+
+
 def test_licenses_in_one_very_long_text(documents):
     passages = {t.label: t.words for t in licenses.TEMPLATES if t.label in ("bsd", "isc", "mpl-2.0", "unlicense", "cc-by")}
     passages["mit"] = licenses.TEMPLATES[1].words
@@ -578,6 +631,40 @@ def test_reject_keeps_columns_and_order_of_types(spark, documents):
     assert "BatchEvalPython" not in (plan := left._jdf.queryExecution().executedPlan().toString()) and "ArrowEvalPython" in plan
 
 
+def plain_ngrams(raw):
+    """The n-grams of 1 to 4 characters of each lower-cased word of letters, with a space at its ends."""
+    out = []
+    for word in "".join(c if c.isalpha() else " " for c in raw.lower()).split(" "):
+        w = f" {word} " if word else ""
+        out += [w[i : i + n] for n in range(1, 5) for i in range(len(w) - n + 1) if w[i : i + n].strip() and (n > 1 or w[i] != " ")]
+    return [g for g in out if " " not in g[1:-1]]
+
+
+def test_ngrams():
+    r = random.Random(2)
+    texts = ["", "½ ² ①", "a", "ab c", "Été 漢字", "don't", "x1y_z", "\U0001f469 q"] + ["".join(r.choice("abcé 1-") for _ in range(r.randrange(30))) for _ in range(200)]
+    for t in texts:
+        assert langid.ngrams(t).sum() == len(plain_ngrams(t)), t
+        assert (langid.ngrams(t) == sum((langid.ngrams(w) for w in re.split(r"[^a-zA-Zéàèùç漢字É]", t)), np.zeros(langid.WIDTH, np.int64))).all() or not t.isascii()
+    assert (langid.ngrams("aB") == langid.ngrams("AB")).all() and (langid.ngrams("ab") != langid.ngrams("ba")).any()
+
+
+def test_families_then_machines_of_pairs():
+    r = np.random.default_rng(5)
+    centre = {lang: r.random(langid.WIDTH) * (r.random(langid.WIDTH) < 0.02) for lang in ("en", "de", "fr", "es", "xx")}
+    y = np.array([*centre] * 40)
+    x = np.array([centre[lang] + r.random(langid.WIDTH) * 0.05 for lang in y], np.float32)
+    x /= x.sum(axis=1, keepdims=True)
+    model = langid.Model(x, y)
+    assert model.families == ["germanic", "romance", "xx"] and model.pairs == [("germanic", "de", "en"), ("romance", "es", "fr")]
+    for v, lang in zip(x, y, strict=True):
+        margins = model.weights[:, :-1] @ v + model.weights[:, -1]
+        of = model.families[int(np.argmax(margins[:3]))]
+        want = {"germanic": "de" if margins[3] >= 0 else "en", "romance": "es" if margins[4] >= 0 else "fr", "xx": "xx"}[of]
+        got, sure = model.decide(margins)
+        assert got == want == lang and 0.5 < sure <= 1
+
+
 def test_languages(documents):
     letters = {"en": "th wh ing ed er", "de": "sch ung ein ch pf", "fr": "eau oi ent que ou", "es": "cion ado ll rr ez"}
     rows = []

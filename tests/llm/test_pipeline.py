@@ -4,6 +4,7 @@ import random
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 pytest.importorskip("public_tokenizers")
 import corpus_pipeline
@@ -24,7 +25,8 @@ def sf_dir(spark, documents, tmp_path_factory):
     rows += [(1000 + i, rows[i][1].replace(" ", "  "), "en", "s1") for i in range(1, 60, 3)]
     rows += [(2000 + i, edited(rows[i][1], 1, i), "en", "s2") for i in range(1, 40, 3)]
     rows += [(3000, None, "en", None), (3001, "", "en", "s0")]
-    documents(rows).drop(*"size rank cell digest set_id a b score predicted turns _locator2 n".split()).write.parquet(f"{d}/documents.parquet")
+    clashing = {c: F.lit(f"own {c}") for c in "_metadata locator _locator mix_locator mix_locator_copy _times _copy repeats kept at _key".split()}
+    documents(rows).withColumns(clashing).write.parquet(f"{d}/documents.parquet")
     spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
     return d
 
@@ -37,7 +39,7 @@ def test_stages(spark, sf_dir):
         docs = staging.stage(stage(spark, docs, sf_dir), "test")
         kept[name] = docs.collect()
         if name != "best-fit packing":
-            assert docs.columns == columns
+            assert docs.columns == columns and all(r["_locator"] == "own _locator" and r["_metadata"] == "own _metadata" and r["_copy"] == "own _copy" for r in kept[name])
     ids = {name: {r.doc_id for r in rows} for name, rows in kept.items()}
     clean = {r.doc_id for r in before if "slur" not in (r.text or "")}
     assert len(clean - ids["toxicity"]) <= 3 and len(ids["toxicity"] - clean) <= 3
@@ -68,3 +70,9 @@ def test_null_and_shared_ids(spark, documents):
     mixed = corpus_pipeline.mix_sources(spark, left, "").collect()
     assert Counter((r.doc_id, len(r.text.split())) for r in mixed) == sum((Counter({(r.doc_id, r["size"]): r.repeats}) for r in plan), Counter())
     assert any(r.doc_id is None for r in mixed)
+
+
+def test_empty_corpus(spark, sf_dir, tmp_path):
+    for table in ("documents", "labels"):
+        spark.read.parquet(f"{sf_dir}/{table}.parquet").where("false").write.parquet(f"{tmp_path}/{table}.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
