@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +17,8 @@ from pyspark.sql import functions as F
 #: A side is broadcast only if it has no more bytes than this.
 BROADCAST_BYTES = 32 << 20
 
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
 _own: dict[str, str] = {}
 
 
@@ -35,11 +39,23 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def narrow_batches(spark: SparkSession, size: int = 8 << 20) -> Iterator[None]:
+    """Within it, plans give Python workers Arrow batches of at most `size` bytes (and a row), so that long texts don't fill executors' memory."""
+    before = spark.conf.get(BATCH_BYTES)
+    spark.conf.set(BATCH_BYTES, str(size))
+    try:
+        yield
+    finally:
+        spark.conf.set(BATCH_BYTES, before)
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """df, written to the shared folder and read again."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
+    with narrow_batches(spark):
+        df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._staged_at = path
     return out

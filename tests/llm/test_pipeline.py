@@ -66,7 +66,7 @@ def test_null_and_shared_ids(spark, documents):
     docs = staging.stage(documents(rows), "test")
     left = staging.stage(corpus_pipeline.drop_near_copies(spark, docs, ""), "test")
     assert Counter((r.doc_id, r.text) for r in left.collect()) == Counter((i, t) for i, t, *_ in rows if t != base + " y")
-    plan = mixing.mix(left, locator=dedup.place_in_file()).collect()
+    plan = mixing.mix(left, locator=dedup.place_in_file(left)).collect()
     mixed = corpus_pipeline.mix_sources(spark, left, "").collect()
     assert Counter((r.doc_id, len(r.text.split())) for r in mixed) == sum((Counter({(r.doc_id, r["size"]): r.repeats}) for r in plan), Counter())
     assert any(r.doc_id is None for r in mixed)
