@@ -82,7 +82,7 @@ def profile(docs: DataFrame, *, chunk: int = 1_000_000, often: int = 3) -> DataF
                 sizes.append(len(tokens))
                 least.append(int(tokens[:1].view(np.int64)[0]) if len(tokens) else None)
                 maps.append(sigtree.bitmap(tokens).tobytes() if len(tokens) else None)
-                wide.append(sigtree.bitmap(tokens, 4).tobytes() if len(tokens) else None)
+                wide.append(sigtree.bitmap(tokens, 8).tobytes() if len(tokens) else None)
                 if own is not None and own not in held:
                     held[own] = tokens
                     size += len(tokens)
@@ -126,7 +126,7 @@ def prefix(tokens: np.ndarray, levels: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return tokens[at], level[at] >= HOT
 
 
-PREFIX = "key long, salt int, set_id long, n int, lead boolean"
+PREFIX = "key long, salt int, set_id long, lead boolean"
 
 
 def prefixes(docs: DataFrame, levels: np.ndarray, salts: int = 1024) -> DataFrame:
@@ -154,16 +154,16 @@ def prefixes(docs: DataFrame, levels: np.ndarray, salts: int = 1024) -> DataFram
 
     def out(keys: list, hots: list, ids: list, sizes: list) -> pa.RecordBatch:
         lengths = [len(k) for k in keys]
-        own, n, hot = np.repeat(np.array(ids, np.int64), lengths), np.repeat(np.array(sizes, np.int32), lengths), np.concatenate(hots)
+        own, hot = np.repeat(np.array(ids, np.int64), lengths), np.concatenate(hots)
         salt = np.where(hot, own % salts, -1).astype(np.int32)
         lead = np.concatenate([np.arange(m) < leading(n) for m, n in zip(lengths, sizes, strict=True)])
-        columns = [np.concatenate(keys).view(np.int64), salt, own, n, lead]
+        columns = [np.concatenate(keys).view(np.int64), salt, own, lead]
         return pa.record_batch([pa.array(x) for x in columns], [c.split()[0] for c in PREFIX.split(", ")])
 
     return docs.select("text").mapInArrow(run, PREFIX)
 
 
-MEMBERS = "list long, set_id long, n int, m long"
+MEMBERS = "list long, set_id long, m long"
 
 
 def groups(rows: DataFrame) -> DataFrame:
@@ -177,7 +177,7 @@ def groups(rows: DataFrame) -> DataFrame:
         for batch in them:
             if not batch.num_rows:
                 continue
-            got = [batch.column(c).to_numpy(zero_copy_only=False) for c in range(5)]
+            got = [batch.column(c).to_numpy(zero_copy_only=False) for c in range(4)]
             rest = [np.concatenate(x) for x in zip(rest, got, strict=True)] if rest else got
             # the last group may go on in the next batch
             last = (rest[0] == rest[0][-1]) & (rest[1] == rest[1][-1])
@@ -189,7 +189,7 @@ def groups(rows: DataFrame) -> DataFrame:
             yield from whole(rest)
 
     def whole(rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        key, salt, ids, n, lead = rows
+        key, salt, ids, lead = rows
         other = np.append(True, (key[1:] != key[:-1]) | (salt[1:] != salt[:-1]))
         starts = np.flatnonzero(other)
         leads = np.logical_or.reduceat(lead, starts)
@@ -207,7 +207,7 @@ def groups(rows: DataFrame) -> DataFrame:
         size = np.diff(np.append(starts, len(key)))
         chosen = np.repeat(kept & ~again, size) & first
         if chosen.any():
-            columns = [np.repeat(lists.view(np.int64), size), ids, n, np.repeat(m, size)]
+            columns = [np.repeat(lists.view(np.int64), size), ids, np.repeat(m, size)]
             yield pa.record_batch([pa.array(x[chosen]) for x in columns], [c.split()[0] for c in MEMBERS.split(", ")])
 
     return rows.mapInArrow(run, MEMBERS)
@@ -354,17 +354,17 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     docs = _texts(docs, id_col, text_col, locator)
     rows = staging.stage(profile(docs, often=often), "jaccard-profile")
     of_docs = rows.where("kind = 0").drop("kind")
-    sets = staging.stage(of_docs.where("n > 0").groupBy("set_id").agg(dedup.least_row().alias("first"), F.first("n").cast("int").alias("n"), F.first("least").alias("least"), F.first("bitmap").alias("bitmap"), F.first("wide").alias("wide")).withColumn("at", F.xxhash64("first.locator")), "jaccard-nodes")
+    sets = staging.stage(of_docs.where("n > 0").groupBy("set_id").agg(dedup.least_row().alias("first"), F.first("n").cast("int").alias("n"), F.first("least").alias("least")).withColumn("at", F.xxhash64("first.locator")), "jaccard-nodes")
     if sets.isEmpty():
         return of_docs.select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), *([] if locator is None else [F.lit(True).alias("kept"), "locator"]))
 
     # 1. groups of prefix shingles, one for each list of members
     keyed = prefixes(docs, often_seen(rows.where("kind = 1"), hot)).repartition("key", "salt").sortWithinPartitions("salt", "key", "set_id")
     found = staging.stage(groups(keyed), "jaccard-groups")
-    members = staging.stage(found.dropDuplicates(["list", "set_id"]).join(sets.select("set_id", "least"), "set_id").withColumn("comp", F.col("set_id")), "jaccard-members")
+    members = staging.stage(found.dropDuplicates(["list", "set_id"]).join(sets.select("set_id", "n", "least"), "set_id").withColumn("comp", F.col("set_id")), "jaccard-members")
     staging.drop(found)
     own = staging.stage(members.select("set_id").distinct(), "jaccard-ids")
-    maps = staging.stage(sets.select("set_id", "bitmap", "wide").join(staging.small(own), "set_id", "left_semi"), "jaccard-maps")
+    maps = staging.stage(of_docs.select("set_id", "bitmap", "wide").join(staging.small(own), "set_id", "left_semi").groupBy("set_id").agg(F.first("bitmap").alias("bitmap"), F.first("wide").alias("wide")), "jaccard-maps")
 
     # 2. small groups whole, large ones against those that share their least shingle
     small, large = members.where(F.col("m").between(2, few)), members.where((F.col("m") < 0) | (F.col("m") > few))
