@@ -371,8 +371,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     cells = small.select(F.col("list").alias("cell"), F.lit(-1).alias("side"), "set_id", "n", "comp")
     alike = large.select(F.xxhash64("list", "least").alias("own"), "set_id", "n", "comp")
     reps = staging.stage(alike.groupBy("own").agg(*picked()).where("m > 1"), "jaccard-reps")
-    near = walk(cells, maps, "bitmap").unionByName(walk(stars(alike, "own", reps, block), maps, "wide"))
-    left = staging.stage(near.distinct(), "jaccard-left")
+    left = staging.stage(walk(cells.unionByName(stars(alike, "own", reps, block)), maps, "bitmap"), "jaccard-left")
     ids = left.select(F.col("a").alias("set_id")).union(left.select("b")).union(large.select("set_id")).distinct()
     full = tokens_of(staging.stage(ids, "jaccard-ids"), sets, docs)
     found = [linked(left, full)]
