@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, dedup, divergence, jaccard, knn, langid, licenses, mixing, packing, sharding, toxicity
+from . import chat, dedup, divergence, jaccard, knn, langid, lexical, licenses, mixing, packing, sharding, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -72,7 +72,12 @@ def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.divergence(_read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_language_id, op3_packing, op4_exact_dedup, op5_license_scan, op6_chat_formatting, op7_mixing, op8_top_k, op9_sharding, op10_jaccard_join, op11_source_divergence)}
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    return lexical.search(docs, lexical.build_index(docs), _read(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_language_id, op3_packing, op4_exact_dedup, op5_license_scan, op6_chat_formatting, op7_mixing, op8_top_k, op9_sharding, op10_jaccard_join, op11_source_divergence, op12_lexical_search)}
 
 ORACLE_SQL = {
     "op4_exact_dedup": r"""
@@ -126,4 +131,14 @@ ORACLE_SQL = {
         terms AS (SELECT lang, source, 'term' AS part, term AS item, (((p - q) * (p - q)) // q)::BIGINT AS value FROM gp JOIN lq USING (lang, term) WHERE n > 0 AND p > q),
         r AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item))::INTEGER AS rank FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms))
         SELECT lang, source, part, item, value, rank FROM r WHERE part = 'pair' OR rank <= 200""",
+    "op12_lexical_search": r"""
+        WITH t AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+        c AS (SELECT count(*) AS docs, sum(len(w))::BIGINT AS total FROM t WHERE len(w) > 0),
+        tf AS (SELECT doc_id, n, term, count(*) AS tf FROM (SELECT doc_id, len(w) AS n, unnest(w) AS term FROM t) GROUP BY ALL),
+        df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+        q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+        s AS (SELECT item_id, doc_id, sum(floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * df + 1)))::BIGINT * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + ((90 * n * docs) // total)))))::BIGINT AS score
+            FROM q JOIN tf USING (term) JOIN df USING (term), c GROUP BY item_id, doc_id),
+        r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank FROM s WHERE score > 0)
+        SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 10""",
 }
