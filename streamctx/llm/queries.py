@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, dedup, divergence, jaccard, knn, langid, lexical, licenses, mixing, packing, sharding, toxicity
+from . import chat, dedup, divergence, html, jaccard, knn, langid, lexical, licenses, mixing, packing, sharding, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -77,7 +77,11 @@ def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.search(docs, lexical.build_index(docs), _read(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_language_id, op3_packing, op4_exact_dedup, op5_license_scan, op6_chat_formatting, op7_mixing, op8_top_k, op9_sharding, op10_jaccard_join, op11_source_divergence, op12_lexical_search)}
+def op13_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(_read(spark, sf_dir, "pages"))
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_language_id, op3_packing, op4_exact_dedup, op5_license_scan, op6_chat_formatting, op7_mixing, op8_top_k, op9_sharding, op10_jaccard_join, op11_source_divergence, op12_lexical_search, op13_html_extraction)}
 
 ORACLE_SQL = {
     "op4_exact_dedup": r"""
@@ -141,4 +145,11 @@ ORACLE_SQL = {
             FROM q JOIN tf USING (term) JOIN df USING (term), c GROUP BY item_id, doc_id),
         r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank FROM s WHERE score > 0)
         SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 10""",
+    # the article element of these pages, which scoring has to find
+    "op13_html_extraction": r"""
+        WITH a AS (SELECT page_id, url, string_split_regex(regexp_extract(coalesce(html, ''), '<article>(.*?)</article>', 1, 's'), '</?(?:p|h1)>') AS parts FROM pages),
+        b AS (SELECT page_id, url, list_transform(parts, lambda x: regexp_replace(regexp_replace(x, '</?b>', '', 'g'), '<[^>]*>', ' ', 'g')) AS parts FROM a),
+        c AS (SELECT page_id, url, list_transform(parts, lambda x: regexp_replace(replace(replace(replace(replace(replace(x, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&copy;', chr(169)), '&middot;', chr(183)), '&amp;?', '&', 'g')) AS parts FROM b),
+        d AS (SELECT page_id, url, array_to_string(list_filter(list_transform(parts, lambda x: trim(regexp_replace(x, '\s+', ' ', 'g'))), lambda x: x <> ''), chr(10) || chr(10)) AS text FROM c)
+        SELECT page_id, url, text, length(text)::BIGINT AS n_chars FROM d""",
 }
