@@ -11,8 +11,21 @@ from pyspark.sql.window import Window
 
 from ..functions.scalars import epoch_us
 
-#: A side is joined by broadcast only if it has no more rows than this.
-BROADCAST_ROWS = 1_000_000
+#: A side is joined by broadcast only if its rows have no more bytes than this, as JSON text and 16 for each value.
+BROADCAST_BYTES = 32 << 20
+
+
+def _fits(df: DataFrame, most: int) -> bool:
+    text = F.coalesce(F.octet_length(F.to_json(F.struct("*"))), F.lit(0)) if df.columns else F.lit(0)
+    return (df.agg(F.sum(text + 16 * len(df.columns))).first()[0] or 0) <= most
+
+
+def _free(name: str, *frames: DataFrame) -> str:
+    """name, or the first of it with underscores before it that is no column of the frames."""
+    taken = {c.lower() for df in frames for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
 
 
 def _no_nulls(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -47,86 +60,123 @@ def _micros(within: str) -> int:
     return sum(int(n) * unit[u.rstrip("s")] for n, u in zip(words[::2], words[1::2], strict=True))
 
 
+def version_order(df: DataFrame, tiebreak: str | None) -> list[str]:
+    """The columns that order versions of equal time, in every form of the as-of join: `tiebreak` by its own type, then all columns that can be ordered (maps can't). NULL comes first, NaN last."""
+    return [*([tiebreak] if tiebreak in df.columns else []), *[f.name for f in df.schema if _ordered_type(f.dataType)]]
+
+
 def asof_enrich(fact: DataFrame, tables: Mapping[str, tuple[DataFrame, str]], *, on: Sequence[str], ts: str, tiebreak: str | None = None, time_slice: str | None = None) -> DataFrame:
     """fact with, for each table, a struct column of its version that was current at `ts` (the greatest version <= ts; NULL if none).
 
     All tables are joined by one shuffle and one sort: facts and versions are put in one order by key
     and time, versions first at equal times, and each fact takes the last version before it.
-    Facts with a NULL key or time match nothing. Equal versions of a key are ordered by `tiebreak`, then by all columns that can be ordered (maps can't).
+    Facts with a NULL key or time match nothing. Equal versions of a key are ordered by version_order.
     time_slice (such as "1 day"): sorts each key's rows by slices of time, and hands the last versions on
     from slice to slice, so that one hot key is many tasks.
     """
-    names, keys = list(tables), list(on)
-    kinds = {n: df.schema for n, (df, _) in tables.items()}
-    none = {n: F.lit(None).cast(kinds[n]).alias(n) for n in names}
-    whole_fact = F.struct(*[F.col(f"`{c}`") for c in fact.columns])
+    sides, keys = [f"v{i}" for i in range(len(tables))], [f"k{i}" for i in range(len(on))]
+    kinds = [df.schema for df, _ in tables.values()]
+    none = [F.lit(None).cast(kind) for kind in kinds]
     slice_of = (lambda t: F.floor(epoch_us(t) / _micros(time_slice))) if time_slice else (lambda t: F.lit(0))
 
-    def rows(df: DataFrame, time: str, side: int, own: str | None, tie: Column) -> DataFrame:
-        cols = [F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias(n) if n == own else none[n] for n in names]
-        mine = whole_fact if own is None else F.lit(None).cast(fact.schema)
-        return df.select(*keys, slice_of(F.col(time)).alias("_slice"), F.col(time).alias("_t"), F.lit(side).alias("_side"), tie.alias("_tie"), mine.alias("_fact"), *cols)
-
-    known = _no_nulls(fact, [*keys, ts])
-    every = rows(known, ts, 1, None, F.lit(None).cast("string"))
-    for n, (df, version) in tables.items():
-        tie = F.lpad(F.col(tiebreak).cast("string"), 40, "0") if tiebreak and tiebreak in df.columns else F.lit(None).cast("string")
-        every = every.unionByName(rows(_no_nulls(df, [*keys, version]), version, 0, n, tie))
-    # a table whose columns all sort is sorted by its struct, as it is in the row already
-    orders = [F.col(n) if _ordered_type(kinds[n]) else F.struct(F.col(n).isNotNull(), *[F.col(f"{n}.`{f.name}`").alias(f.name) for f in kinds[n].fields if _ordered_type(f.dataType)]) for n in names]
+    def rows(df: DataFrame, time: str, own: int | None) -> DataFrame:
+        whole = F.struct(*[F.col(f"`{c}`") for c in df.columns])
+        cols = [(whole if i == own else none[i]).alias(side) for i, side in enumerate(sides)]
+        mine = whole if own is None else F.lit(None).cast(fact.schema)
+        at = F.col(f"`{time}`")
+        return df.select(*[F.col(f"`{c}`").alias(k) for c, k in zip(on, keys, strict=True)], slice_of(at).alias("slice"), at.alias("t"), F.lit(int(own is None)).alias("side"), mine.alias("fact"), *cols)
+
+    every = rows(_no_nulls(fact, [*on, ts]), ts, None)
+    for i, (df, version) in enumerate(tables.values()):
+        every = every.unionByName(rows(_no_nulls(df, [*on, version]), version, i))
+    # a table whose columns all sort is sorted by its struct, as it is in the row already; the tiebreak goes before it
+    orders = []
+    for side, kind, (df, _) in zip(sides, kinds, tables.values(), strict=True):
+        first = [F.col(f"{side}.`{tiebreak}`")] if tiebreak in df.columns else []
+        rest = F.col(side) if _ordered_type(kind) else F.struct(F.col(side).isNotNull(), *[F.col(f"{side}.`{c}`").alias(c) for c in version_order(df, None)])
+        orders.append([*first, rest])
     if time_slice:
-        last = [F.max_by(F.col(n), F.when(F.col(n).isNotNull(), F.struct("_t", "_tie", o))).alias(n) for n, o in zip(names, orders, strict=True)]
-        past = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-        ends = every.groupBy(*keys, "_slice").agg(*last).select(*keys, "_slice", *[F.last(n, ignorenulls=True).over(past).alias(n) for n in names])
-        handed = ends.select(*keys, "_slice", F.lit(None).cast(every.schema["_t"].dataType).alias("_t"), F.lit(-1).alias("_side"), F.lit(None).cast("string").alias("_tie"), F.lit(None).cast(fact.schema).alias("_fact"), *names)
+        last = [F.max_by(F.col(side), F.when(F.col(side).isNotNull(), F.struct("t", *order))).alias(side) for side, order in zip(sides, orders, strict=True)]
+        past = Window.partitionBy(*keys).orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+        ends = every.groupBy(*keys, "slice").agg(*last).select(*keys, "slice", *[F.last(side, ignorenulls=True).over(past).alias(side) for side in sides])
+        handed = ends.select(*keys, "slice", F.lit(None).cast(every.schema["t"].dataType).alias("t"), F.lit(-1).alias("side"), F.lit(None).cast(fact.schema).alias("fact"), *sides)
         every = every.unionByName(handed)
-    w = Window.partitionBy(*keys, *(["_slice"] if time_slice else [])).orderBy(F.asc_nulls_first("_t"), "_side", "_tie", *orders).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    out = every.select("_fact", *[F.last(n, ignorenulls=True).over(w).alias(n) for n in names]).where("_fact IS NOT NULL").select("_fact.*", *names)
-    lost = fact.where(" OR ".join(f"`{c}` IS NULL" for c in [*keys, ts])).select("*", *none.values())
+    w = Window.partitionBy(*keys, *(["slice"] if time_slice else [])).orderBy(F.asc_nulls_first("t"), "side", *[c for order in orders for c in order]).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    out = every.select("fact", *[F.last(side, ignorenulls=True).over(w).alias(side) for side in sides]).where("fact IS NOT NULL")
+    out = out.select("fact.*", *[F.col(side).alias(n) for side, n in zip(sides, tables, strict=True)])
+    lost = fact.where(" OR ".join(f"`{c}` IS NULL" for c in [*on, ts])).select("*", *[v.alias(n) for v, n in zip(none, tables, strict=True)])
     return out.unionByName(lost)
 
 
 def asof_join(left: DataFrame, right: DataFrame, *, on: Sequence[str], left_ts: str, right_ts: str, how: str = "left", tiebreak: str | None = None, prefix: str = "", broadcast: bool = False, time_slice: str | None = None) -> DataFrame:
     """left with the columns of right's version that was current at left_ts (right's keys left out, its other names prefixed).
 
-    how: left, or inner to drop rows without a version. broadcast: right is thought to be small; if it has at most BROADCAST_ROWS rows (they are counted), it is joined as
-    version ranges without shuffling left.
+    how: left, or inner to drop rows without a version. broadcast: right is thought to be small; if its rows have at most BROADCAST_BYTES (they are summed up), it is joined as
+    version ranges without shuffling left. Both ways give the same rows.
     """
+    if how not in ("left", "inner"):
+        raise ValueError(f"how is left or inner, not {how}")
     others = [c for c in right.columns if c not in on]
-    if broadcast and right.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        order = Window.partitionBy(*on).orderBy(right_ts, *([tiebreak] if tiebreak else []), *[c for c in others if c not in (right_ts, tiebreak)])
-        ranges = _no_nulls(right, [*on, right_ts]).withColumn("_to", F.lead(right_ts).over(order))
-        ranges = ranges.select(*[F.col(k).alias(f"_k_{k}") for k in on], F.col(right_ts).alias("_from"), "_to", *[F.col(c).alias(f"{prefix}{c}") for c in others])
-        match = (F.col(left_ts) >= F.col("_from")) & (F.col("_to").isNull() | (F.col(left_ts) < F.col("_to")))
-        for k in on:
-            match &= F.col(k) == F.col(f"_k_{k}")
-        return left.join(F.broadcast(ranges), match, how).drop("_from", "_to", *[f"_k_{k}" for k in on])
-    out = asof_enrich(left, {"_version": (right, right_ts)}, on=on, ts=left_ts, tiebreak=tiebreak, time_slice=time_slice)
+    if broadcast and _fits(right, BROADCAST_BYTES):
+        order = Window.partitionBy(*on).orderBy(right_ts, *[F.col(f"`{c}`") for c in version_order(right, tiebreak)])
+        keys, from_, to = [_free(f"_k_{k}", left) for k in on], _free("_from", left), _free("_to", left)
+        ranges = _no_nulls(right, [*on, right_ts])
+        ranges = ranges.select(*[F.col(f"`{c}`").alias(k) for c, k in zip(on, keys, strict=True)], F.col(right_ts).alias(from_), F.lead(right_ts).over(order).alias(to), *[F.col(f"`{c}`").alias(f"{prefix}{c}") for c in others])
+        match = (F.col(left_ts) >= F.col(from_)) & (F.col(to).isNull() | (F.col(left_ts) < F.col(to)))
+        for c, k in zip(on, keys, strict=True):
+            match &= F.col(c) == F.col(k)
+        return left.join(F.broadcast(ranges), match, how).drop(from_, to, *keys)
+    name = _free("_version", left)
+    out = asof_enrich(left, {name: (right, right_ts)}, on=on, ts=left_ts, tiebreak=tiebreak, time_slice=time_slice)
     if how == "inner":
-        out = out.where("_version IS NOT NULL")
-    return out.select(*left.columns, *[F.col(f"_version.`{c}`").alias(f"{prefix}{c}") for c in others])
+        out = out.where(F.col(name).isNotNull())
+    return out.select(*[F.col(f"`{c}`") for c in left.columns], *[F.col(f"{name}.`{c}`").alias(f"{prefix}{c}") for c in others])
+
+
+#: Kinds of interval joins by their names.
+_HOW = {"inner": "inner", "left": "left", "leftouter": "left", "right": "right", "rightouter": "right", "full": "full", "outer": "full", "fullouter": "full", "semi": "leftsemi", "leftsemi": "leftsemi", "anti": "leftanti", "leftanti": "leftanti"}
 
 
 def interval_join(left: DataFrame, right: DataFrame, *, on: Sequence[str], left_ts: str, right_ts: str, within: str, how: str = "inner", extra: Column | None = None, bucketed: bool | None = None, prefix: str = "") -> DataFrame:
     """Pairs of equal key whose times differ by `within` at most (both ends count). Works on streams with watermarks too.
 
-    extra: a further condition over left's names and right's prefixed names. bucketed: time buckets join the
-    key, so that a busy key is many small groups, and right's rows go to three buckets; by default in batches, but not on streams.
+    how: inner, left, right, full, semi or anti, as in Spark's joins. extra: a further condition over left's names and right's prefixed names. bucketed: time buckets join the
+    key, so that a busy key is many small groups, and one side's rows go to three buckets (right's; left's in a right join, whose rows must come out once); by default in batches, but not on streams.
     """
+    kind = _HOW.get(how.lower().replace("_", ""))
+    if kind is None:
+        raise ValueError(f"how is inner, left, right, full, semi or anti, not {how}")
     if bucketed is None:
         bucketed = not (left.isStreaming or right.isStreaming)
-    right = right.select(*[F.col(f"`{c}`").alias(f"_k_{c}" if c in on else f"{prefix}{c}") for c in right.columns])
-    right_ts = f"_k_{right_ts}" if right_ts in on else f"{prefix}{right_ts}"
+    named = {c: _free(f"_k_{c}", left, right) if c in on else f"{prefix}{c}" for c in right.columns}
+    right = right.select(*[F.col(f"`{c}`").alias(n) for c, n in named.items()])
+    right_ts, keys = named[right_ts], [named[k] for k in on]
     match = (F.col(right_ts) >= F.col(left_ts) - _interval(within)) & (F.col(right_ts) <= F.col(left_ts) + _interval(within))
-    for k in on:
-        match &= F.col(k) == F.col(f"_k_{k}")
+    for c, k in zip(on, keys, strict=True):
+        match &= F.col(c) == F.col(k)
     if extra is not None:
         match &= extra
+    others = [F.col(f"`{c}`") for c in right.columns if c not in keys]
+
+    def shown(joined: DataFrame, sides: str = kind) -> DataFrame:
+        """Without helpers; rows that only right has carry its keys."""
+        of_left = [F.coalesce(F.col(f"`{c}`"), F.col(named[c])).alias(c) if sides == "right" and c in on else F.col(f"`{c}`") for c in left.columns]
+        return joined.select(*of_left, *([] if sides in ("leftsemi", "leftanti") else others))
+
+    one, three = _free("_bucket", left, right), _free("_near", left, right)
+    single = lambda df, t: df.withColumn(one, bucket_of(F.col(t), within)) if bucketed else df
+    spread = lambda df, t: df.withColumn(three, F.explode(_near(F.col(t), within))) if bucketed else df
     if bucketed:
-        left = left.withColumn("_bucket", bucket_of(F.col(left_ts), within))
-        right = right.withColumn("_near", F.explode(_near(F.col(right_ts), within)))
-        match &= F.col("_bucket") == F.col("_near")
-    return left.join(right, match, how).drop("_bucket", "_near", *[f"_k_{k}" for k in on])
+        match &= F.col(one) == F.col(three)
+    if kind == "right":
+        return shown(spread(left, left_ts).join(single(right, right_ts), match, kind))
+    if kind == "full" and not bucketed:
+        return shown(left.join(right, match, kind), "right")
+    if kind == "full":
+        alone = single(right, right_ts).join(spread(left, left_ts), match, "leftanti")
+        alone = alone.select(*[(F.col(named[f.name]) if f.name in on else F.lit(None)).cast(f.dataType).alias(f.name) for f in left.schema], *others)
+        return shown(single(left, left_ts).join(spread(right, right_ts), match, "left")).unionByName(alone)
+    return shown(single(left, left_ts).join(spread(right, right_ts), match, kind))
 
 
 def band_join(left: DataFrame, right: DataFrame, *, left_ts: str, right_ts: str, within: str, how: str = "left", prefix: str = "") -> DataFrame:
@@ -139,15 +189,16 @@ def correlate(audit: DataFrame, logs: DataFrame, *, keys: Sequence[str] = ("opcr
 
     Rows with a NULL key don't take part in that key's join. `matched_on` names the key. Time buckets join the keys, so that a busy key is many small groups.
     """
-    out = logs.withColumn("_hit", F.lit(None).cast(audit.schema)).withColumn("matched_on", F.lit(None).cast("string"))
+    hit, matched, key, at, new, near = (_free(n, logs) for n in ("_hit", "matched_on", "_key", "_at", "_new", "_near"))
+    out = logs.withColumn(hit, F.lit(None).cast(audit.schema)).withColumn(matched, F.lit(None).cast("string"))
     for k in keys:
-        mine = audit.where(F.col(k).isNotNull()).select(F.col(k).alias("_key"), F.col(audit_ts).alias("_at"), F.struct(*audit.columns).alias("_new"), F.explode(_near(F.col(audit_ts), within)).alias("_near"))
-        near = F.abs(epoch_us(F.col(log_ts)) - epoch_us(F.col("_at"))) <= _micros(within)
+        mine = audit.where(F.col(k).isNotNull()).select(F.col(k).alias(key), F.col(audit_ts).alias(at), F.struct(*[F.col(f"`{c}`") for c in audit.columns]).alias(new), F.explode(_near(F.col(audit_ts), within)).alias(near))
+        close = F.abs(epoch_us(F.col(log_ts)) - epoch_us(F.col(at))) <= _micros(within)
         # rows that are matched already take part with a NULL key
-        out = out.join(mine, (F.when(F.col("_hit").isNull(), F.col(k)) == F.col("_key")) & (bucket_of(F.col(log_ts), within) == F.col("_near")) & near, "left")
-        out = out.withColumn("matched_on", F.coalesce("matched_on", F.when(F.col("_new").isNotNull(), F.lit(k))))
-        out = out.withColumn("_hit", F.coalesce("_hit", "_new")).drop("_key", "_at", "_new", "_near")
-    return out.where("_hit IS NOT NULL").select(*logs.columns, "matched_on", *[F.col(f"_hit.`{c}`").alias(f"{prefix}{c}") for c in audit.columns])
+        out = out.join(mine, (F.when(F.col(hit).isNull(), F.col(k)) == F.col(key)) & (bucket_of(F.col(log_ts), within) == F.col(near)) & close, "left")
+        out = out.withColumn(matched, F.coalesce(matched, F.when(F.col(new).isNotNull(), F.lit(k))))
+        out = out.withColumn(hit, F.coalesce(hit, new)).drop(key, at, new, near)
+    return out.where(F.col(hit).isNotNull()).select(*[F.col(f"`{c}`") for c in logs.columns], F.col(matched).alias("matched_on"), *[F.col(f"{hit}.`{c}`").alias(f"{prefix}{c}") for c in audit.columns])
 
 
 def lookup(view: DataFrame, **key_values: object) -> DataFrame:

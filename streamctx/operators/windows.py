@@ -14,27 +14,28 @@ Part = tuple[str, Column]
 _KINDS = {"sum": (F.sum, F.sum), "count": (F.count, F.sum), "max": (F.max, F.max), "min": (F.min, F.min)}
 
 
-def tumble_agg(df: DataFrame, keys: Sequence[str], size: str, aggs: Sequence[Column], *, ts: str = "event_time", watermark: str | None = None) -> DataFrame:
-    """window_start, window_end, keys and the aggregates of each tumbling window."""
-    return _windowed(df, keys, F.window(ts, size), aggs, ts, watermark)
+def tumble_agg(df: DataFrame, keys: Sequence[str], size: str, aggs: Sequence[Column], *, ts: str = "event_time", watermark: str | None = None, window_col: str | None = None) -> DataFrame:
+    """window_start, window_end, keys and the aggregates of each tumbling window. window_col: also the window itself, which on streams carries the watermark on to a next stateful operator."""
+    return _windowed(df, keys, F.window(ts, size), aggs, ts, watermark, window_col)
 
 
-def _windowed(df: DataFrame, keys: Sequence[str], window: Column, aggs: Sequence[Column], ts: str, watermark: str | None) -> DataFrame:
+def _windowed(df: DataFrame, keys: Sequence[str], window: Column, aggs: Sequence[Column], ts: str, watermark: str | None, window_col: str | None = None) -> DataFrame:
     if watermark and df.isStreaming:
         df = df.withWatermark(ts, watermark)
     out = df.groupBy(window.alias("_w"), *keys).agg(*aggs)
-    return out.select(F.col("_w.start").alias("window_start"), F.col("_w.end").alias("window_end"), *[c for c in out.columns if c != "_w"])
+    whole = [F.col("_w").alias(window_col)] if window_col else []
+    return out.select(F.col("_w.start").alias("window_start"), F.col("_w.end").alias("window_end"), *whole, *[c for c in out.columns if c != "_w"])
 
 
-def hop_agg(df: DataFrame, keys: Sequence[str], size: str, slide: str, aggs: Mapping[str, Part], *, ts: str = "event_time", watermark: str | None = None, panes: bool = False) -> DataFrame:
-    """window_start, window_end, keys and the aggregates of each hopping window.
+def hop_agg(df: DataFrame, keys: Sequence[str], size: str, slide: str, aggs: Mapping[str, Part], *, ts: str = "event_time", watermark: str | None = None, panes: bool = False, window_col: str | None = None) -> DataFrame:
+    """window_start, window_end, keys and the aggregates of each hopping window. window_col (without panes): as in tumble_agg.
 
     panes (batch): rows are first aggregated to panes of `slide`, and panes, not rows, are copied to
     the windows they lie in; size must be a multiple of slide.
     """
     direct = [_KINDS[kind][0](col).alias(name) for name, (kind, col) in aggs.items()]
     if not panes:
-        return _windowed(df, keys, F.window(ts, size, slide), direct, ts, watermark)
+        return _windowed(df, keys, F.window(ts, size, slide), direct, ts, watermark, window_col)
     n, rest = divmod(_micros(size), _micros(slide))
     if rest:
         raise ValueError(f"{size} is not a multiple of {slide}")

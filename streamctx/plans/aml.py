@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.scalars import epoch_ms, stable_id
 from ..operators.joins import asof_enrich
 from ..operators.windows import recent, top_k, tumble_agg
+from ..streaming.stateful import asof_enrich_stream
 
 #: Amounts above this count as high.
 HIGH_VALUE = 10000
@@ -27,6 +28,7 @@ def recent_txn_stats(txns: DataFrame, window: str = "1 hour", ts: str = "event_t
             F.sum(F.when(F.col("amount") > HIGH_VALUE, 1).otherwise(0)).alias("high_value_count_1h"),
         ],
         ts=ts,
+        window_col="window" if txns.isStreaming else None,
     )
     return stats.withColumn("day_bucket_end", epoch_ms(F.col("window_end")))
 
@@ -38,11 +40,20 @@ def base_score(status: Column) -> Column:
     return F.round(score + part(F.col("txn_count_1h") > 2, 0.1), 4)
 
 
-def enriched(txns: DataFrame, customers: DataFrame, kyc: DataFrame, sanctions: DataFrame, *, window: str = "1 hour", ts: str = "event_time", time_slice: str | None = None) -> DataFrame:
-    """Transactions as of customers, the last closed window's stats, KYC results and sanctions: one shuffle for the four."""
-    stats = recent_txn_stats(txns, window, ts)
-    tables = {"c": (customers, ts), "r": (stats, "window_end"), "k": (kyc, ts), "s": (sanctions, ts)}
-    out = asof_enrich(txns, tables, on=["customer_id"], ts=ts, time_slice=time_slice)
+def enriched(txns: DataFrame, customers: DataFrame, kyc: DataFrame, sanctions: DataFrame, *, window: str = "1 hour", ts: str = "event_time", time_slice: str | None = None, watermark: str = "10 seconds") -> DataFrame:
+    """Transactions as of customers, the last closed window's stats, KYC results and sanctions: one shuffle for the four.
+
+    On streams (all four) too: one keyed operator after the windows' aggregate, whose results are a change feed.
+    """
+    if txns.isStreaming:
+        txns, customers, kyc, sanctions = (df.withWatermark(ts, watermark) for df in (txns, customers, kyc, sanctions))
+        stats = recent_txn_stats(txns, window, ts).withColumn("window_at", F.window_time("window")).drop("window")
+        tables = {"c": (customers, ts), "r": (stats, "window_end", "window_at"), "k": (kyc, ts), "s": (sanctions, ts)}
+        out = asof_enrich_stream(txns, tables, on=["customer_id"], ts=ts, watermark=None)
+    else:
+        stats = recent_txn_stats(txns, window, ts)
+        tables = {"c": (customers, ts), "r": (stats, "window_end"), "k": (kyc, ts), "s": (sanctions, ts)}
+        out = asof_enrich(txns, tables, on=["customer_id"], ts=ts, time_slice=time_slice)
     own = [c for c in txns.columns if c != ts]
     renamed = {"event_id": "kyc_event_id", "provider": "kyc_provider", "check_type": "kyc_check_type", "status": "status_from_kyc_provider", "risk_level": "kyc_risk_level", "reasons": "reasons_kyc", "completed_at": "kyc_event_completed_at"}
     of_match = {"match_id": "sanction_match_id", "list_type": "sanction_list_type", "entity_id": "sanction_entity_id", "matched_name": "sanction_matched_name", "match_score": "sanction_match_score", "status": "sanction_status", "reviewed_by": "sanction_reviewed_by", "reviewed_at": "sanction_reviewed_at"}
@@ -55,9 +66,9 @@ def enriched(txns: DataFrame, customers: DataFrame, kyc: DataFrame, sanctions: D
     )
 
 
-def aml_alerts(txns: DataFrame, customers: DataFrame, kyc: DataFrame, sanctions: DataFrame, *, window: str = "1 hour", status_col: str = "kyc_status", ts: str = "event_time", time_slice: str | None = None) -> DataFrame:
+def aml_alerts(txns: DataFrame, customers: DataFrame, kyc: DataFrame, sanctions: DataFrame, *, window: str = "1 hour", status_col: str = "kyc_status", ts: str = "event_time", time_slice: str | None = None, watermark: str = "10 seconds") -> DataFrame:
     """Alerts for transactions that any rule flags. status_col: `sanction_status` tests sanctions, which the rules' values belong to."""
-    rows, status = enriched(txns, customers, kyc, sanctions, window=window, ts=ts, time_slice=time_slice), F.col(status_col)
+    rows, status = enriched(txns, customers, kyc, sanctions, window=window, ts=ts, time_slice=time_slice, watermark=watermark), F.col(status_col)
     flagged = rows.where((F.col("amount") > HIGH_VALUE) | F.col("pep_flag") | (F.col("kyc_risk_level") == "HIGH") | status.isin("POTENTIAL", "CONFIRMED") | (F.col("txn_count_1h") > 2))
     of_txn = {"amount": "transaction_amount", "currency": "transaction_currency", "direction": "transaction_direction", "counterparty_iban": "transaction_counterparty_iban", "counterparty_name": "transaction_counterparty_name", "merchant_category": "transaction_merchant_category", "country_code": "transaction_country_code", "channel": "transaction_channel"}
     of_customer = {"residency_country": "customer_residency_country", "risk_segment": "customer_risk_segment", "pep_flag": "customer_pep_flag"}

@@ -8,30 +8,37 @@ from pyspark.sql import functions as F
 from ..functions.scalars import epoch_ms, prompt
 from ..operators.joins import asof_join
 from ..operators.windows import hop_agg, ordered_lists
+from ..streaming.stateful import asof_stream
 
 
-def weighted_interactions(interactions: DataFrame, content: DataFrame, *, include_play: bool = False, ts: str = "event_time", broadcast: bool = False) -> DataFrame:
-    """Interest events with the metadata that was current, and a score. include_play keeps plays too, which the plain filter leaves out."""
+def weighted_interactions(interactions: DataFrame, content: DataFrame, *, include_play: bool = False, ts: str = "event_time", broadcast: bool = False, time_slice: str | None = None, watermark: str = "10 seconds") -> DataFrame:
+    """Interest events with the metadata that was current, and a score. include_play keeps plays too, which the plain filter leaves out. On streams too."""
     types = ["view_details", "hover", *(["play"] if include_play else [])]
-    joined = asof_join(interactions.where(F.col("event_type").isin(types)), content, on=["content_id"], left_ts=ts, right_ts=ts, how="inner", prefix="cm_", broadcast=broadcast)
+    how = {"on": ["content_id"], "left_ts": ts, "right_ts": ts, "how": "inner", "prefix": "cm_"}
+    wanted = interactions.where(F.col("event_type").isin(types))
+    joined = asof_stream(wanted, content, **how, watermark=watermark) if wanted.isStreaming else asof_join(wanted, content, **how, broadcast=broadcast, time_slice=time_slice)
     score = F.when(F.col("event_type") == "view_details", 3).when(F.col("event_type") == "hover", 1).otherwise(0)
     return joined.withColumnRenamed("cm_title", "title").withColumnRenamed("cm_genres", "genres").withColumn("weighted_interest_score", score)
 
 
-def viewer_interest(interactions: DataFrame, content: DataFrame, *, include_play: bool = False, ts: str = "event_time", size: str = "5 minutes", slide: str = "1 minute", panes: bool = False) -> DataFrame:
-    """Per user, genres and hopping window: interest, abandoned views, whether something was played."""
-    rows = weighted_interactions(interactions, content, include_play=include_play, ts=ts)
+def viewer_interest(interactions: DataFrame, content: DataFrame, *, include_play: bool = False, ts: str = "event_time", size: str = "5 minutes", slide: str = "1 minute", panes: bool = False, time_slice: str | None = None, watermark: str = "10 seconds") -> DataFrame:
+    """Per user, genres and hopping window: interest, abandoned views, whether something was played. On streams also `window`, which carries the watermark to indecisive_viewers."""
+    rows = weighted_interactions(interactions, content, include_play=include_play, ts=ts, time_slice=time_slice, watermark=watermark)
     is_ = lambda kind: F.when(F.col("event_type") == kind, 1).otherwise(0)
     parts = {"weighted_interest_score_sum": ("sum", F.col("weighted_interest_score")), "abandoned_views": ("sum", is_("view_details")), "plays": ("sum", is_("play"))}
-    out = hop_agg(rows, ["user_id", "genres"], size, slide, parts, ts=ts, panes=panes)
+    out = hop_agg(rows, ["user_id", "genres"], size, slide, parts, ts=ts, panes=panes, window_col="window" if rows.isStreaming else None)
     return out.withColumn("has_played_content", F.col("plays") > 0).drop("plays")
 
 
 def indecisive_viewers(interest: DataFrame, min_abandoned: int = 2) -> DataFrame:
     """Per user and window start: genres and their scores in one order, the views, and a prompt, where more than min_abandoned views led to no play."""
-    keys = ["window_start", "window_end", "user_id"]
+    if interest.isStreaming:
+        keys, shown = ["window", "user_id"], {"window_start": F.col("window.start"), "window_end": F.col("window.end")}
+    else:
+        keys, shown = ["window_start", "window_end", "user_id"], {}
     extra = [F.count(F.lit(1)).alias("cnt"), F.sum("abandoned_views").alias("abandoned_views_in_window"), F.sum(F.when(F.col("has_played_content"), 1).otherwise(0)).alias("has_played_content_count")]
     lists = ordered_lists(interest, keys, ["genres"], {"genres_list": "genres", "weighted_interest_score_sum_list": "weighted_interest_score_sum"}, extra=extra)
-    hit = lists.where((F.col("abandoned_views_in_window") > min_abandoned) & (F.col("has_played_content_count") == 0))
+    hit = lists.withColumns(shown) if shown else lists
+    hit = hit.where((F.col("abandoned_views_in_window") > min_abandoned) & (F.col("has_played_content_count") == 0))
     text = prompt("User ", F.col("user_id"), " seems indecisive: after viewing ", F.col("abandoned_views_in_window"), " titles in a few minutes, nothing was played. Suggest one title in two friendly sentences. Genres: [", F.col("genres_list"), "]; interest, in the same order: [", F.col("weighted_interest_score_sum_list"), "]")
     return hit.withColumn("w_start_ux", epoch_ms(F.col("window_start"))).withColumn("llm_prompt", text)

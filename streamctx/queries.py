@@ -558,13 +558,13 @@ def star_enrich(spark, d):
     return out.groupBy(F.col("n_name").alias("nation"), F.col("o_orderpriority").alias("priority")).agg(F.count(F.lit(1)).alias("items"), F.sum((F.col("l_extendedprice") * (1 - F.col("l_discount"))).cast("decimal(18,4)")).cast("double").alias("revenue"))
 
 
-def _replayed(spark, d, build, **how):
-    """A streaming query over events and one far later event of each type, of user -1, which moves the watermark past all others."""
+def _replayed(spark, d, build, closing="user_id <> -1", **how):
+    """A streaming query over events, in several micro-batches in the order of time, and one far later event of each type, of user -1, which moves the watermark past all others and isn't shown."""
     e = ad.events(spark, d).select("event_id", "user_id", "ts", "event_type", "value", "k")
     kinds = F.explode(F.array(*[F.lit(x) for x in ("signup", "error", "click", "view", "purchase")]))
     last = e.agg((F.max("ts") + F.expr("INTERVAL 100 DAYS")).alias("ts")).where("ts IS NOT NULL")
-    closing = last.select(F.lit(-1).cast("bigint").alias("event_id"), F.lit(-1).cast("bigint").alias("user_id"), "ts", kinds.alias("event_type"), F.lit(0.0).alias("value"), F.lit(0).cast("bigint").alias("k"))
-    return replay(e.unionByName(closing), lambda s: build(s.withColumn("ts", F.col("ts").cast("timestamp"))), **how).where("user_id <> -1")
+    ends = last.select(F.lit(-1).cast("bigint").alias("event_id"), F.lit(-1).cast("bigint").alias("user_id"), "ts", kinds.alias("event_type"), F.lit(0.0).alias("value"), F.lit(0).cast("bigint").alias("k"))
+    return replay(e.unionByName(ends), lambda s: build(s.withColumn("ts", F.col("ts").cast("timestamp"))), ts="ts", **how).where(closing)
 
 
 @query(ORACLE_SQL["tumble_stats"].replace(", round(sum(value), 4) AS total", "").replace("count(DISTINCT event_type) AS kinds, ", "count(DISTINCT event_type) AS kinds, "))
@@ -647,3 +647,56 @@ def stream_security_risk(spark, d):
 def stream_latest(spark, d):
     """The latest row of each user, in update mode."""
     return _replayed(spark, d, lambda s: stateful.latest_stream(s, ["user_id"], ["ts", "event_id"]).drop("ts"), keys=["user_id"])
+
+
+@query(ORACLE_SQL["asof_enrich"])
+def stream_asof_enrich(spark, d):
+    """Four change feeds in one keyed operator."""
+
+    def build(s):
+        of = lambda kind: s.where(F.col("event_type") == kind).select("user_id", "ts", "event_id")
+        kinds = ("signup", "view", "error", "click")
+        out = stateful.asof_enrich_stream(of("purchase"), {k: (of(k), "ts") for k in kinds}, on=["user_id"], ts="ts", tiebreak="event_id")
+        return out.select("event_id", *[F.col(f"{k}.event_id").alias(f"{k}_id") for k in kinds])
+
+    return _replayed(spark, d, build, closing="event_id <> -1")
+
+
+@query(ORACLE_SQL["asof_window_feature"])
+def stream_asof_window_feature(spark, d):
+    """The results of a window as a change feed, in one streaming query."""
+
+    def build(s):
+        s = s.withWatermark("ts", "10 seconds")
+        stats = windows.tumble_agg(s, ["user_id"], "1 day", [F.count(F.lit(1)).alias("n")], ts="ts", window_col="window")
+        stats = stats.select("user_id", "window_end", "n", F.window_time("window").alias("at"))
+        facts = s.where("event_type = 'purchase'").select("user_id", "ts", "event_id")
+        out = stateful.asof_stream(facts, stats, on=["user_id"], left_ts="ts", right_ts="window_end", event_time="at", watermark=None)
+        return out.select("event_id", "n", ms("window_end", "w"))
+
+    return _replayed(spark, d, build, closing="event_id <> -1")
+
+
+@query(ORACLE_SQL["aml_alerts"])
+def stream_aml_alerts(spark, d):
+    """The alerts as one stream: a window's results and three change feeds, joined by one keyed operator."""
+
+    def build(s):
+        of = lambda kind: s.where(F.col("event_type") == kind).withColumn("props", F.lit(None).cast("string"))
+        out = aml.aml_alerts(ad.transactions(of("purchase")), ad.customers(of("signup")), ad.kyc_results(of("view")), ad.sanctions(of("error")), window="1 day")
+        return _shown(out)
+
+    return _replayed(spark, d, build, closing="customer_id <> '-1'")
+
+
+@query(ORACLE_SQL["indecisive_viewers"])
+def stream_indecisive_viewers(spark, d):
+    """Three stateful operators one after the other: an as-of join, a hopping window, and ordered lists over its windows."""
+
+    def build(s):
+        seen = ad.feed(s.where("event_type IN ('view', 'click')"), user_id=F.col("user_id"), content_id=F.col("k") % 7, event_type=F.when(F.col("event_type") == "view", "view_details").otherwise("hover"))
+        content = ad.feed(s.where("event_type = 'signup'"), content_id=F.col("k") % 7, title=ad.s("event_id"), genres=F.concat(F.lit("g"), F.col("k") % 3))
+        out = viewer.indecisive_viewers(viewer.viewer_interest(seen, content, size="24 hours", slide="1 hour"))
+        return out.select(ms("window_start"), "user_id", "cnt", "genres_list", "weighted_interest_score_sum_list", "abandoned_views_in_window")
+
+    return _replayed(spark, d, build)

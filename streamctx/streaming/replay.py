@@ -44,15 +44,29 @@ def stream_session(spark: SparkSession, policy: str = "min") -> SparkSession:
     return own
 
 
-def replay(table: DataFrame, build: Callable[[DataFrame], DataFrame], *, policy: str = "min", keys: Sequence[str] = ()) -> DataFrame:
+def write_in_order(table: DataFrame, path: str, ts: str, batches: int) -> None:
+    """table's rows as files, one after the other in the order of `ts`, cut at quantiles. Rows without a time are in the first file."""
+    cuts = table.select(F.percentile_approx(F.unix_micros(F.col(ts).cast("timestamp")), [i / batches for i in range(1, batches)], 1000)).first()[0] or []
+    part = F.lit(0)
+    for cut in sorted(set(cuts)):
+        part = part + F.coalesce((F.unix_micros(F.col(ts).cast("timestamp")) > cut).cast("int"), F.lit(0))
+    for i in range(len(set(cuts)) + 1):
+        table.where(part == i).coalesce(1).write.mode("append").parquet(path)
+
+
+def replay(table: DataFrame, build: Callable[[DataFrame], DataFrame], *, policy: str = "min", keys: Sequence[str] = (), ts: str | None = None, batches: int = 5) -> DataFrame:
     """The result of a streaming query over a table's rows. build: from the stream of the rows, the query.
 
-    The result should hold no timestamps, which sessions show by their zones. keys: of a query in update mode, whose
+    ts: the rows come in so many micro-batches in the order of this column, so that state is carried from batch to batch; else all at once. The result should hold no timestamps, which sessions show by their zones. keys: of a query in update mode, whose
     result is the last row of each key.
     """
     spark, at = table.sparkSession, f"{shared_dir(table.sparkSession)}/replay-{uuid.uuid4().hex}"
-    table.write.parquet(f"{at}/in")
-    out = build(stream_session(spark, policy).readStream.schema(table.schema).parquet(f"{at}/in"))
+    if ts:
+        write_in_order(table, f"{at}/in", ts, batches)
+    else:
+        table.write.parquet(f"{at}/in")
+    reader = stream_session(spark, policy).readStream.schema(table.schema)
+    out = build((reader.option("maxFilesPerTrigger", 1) if ts else reader).parquet(f"{at}/in"))
     if keys:
         save = lambda batch, n: batch.write.mode("overwrite").parquet(f"{at}/out/batch={n}")
         out.writeStream.foreachBatch(save).outputMode("update").option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start().awaitTermination()

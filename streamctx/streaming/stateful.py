@@ -1,70 +1,150 @@
-"""Event-time-exact stateful operators on streams: as-of join and row patterns."""
+"""Event-time-exact stateful operators on streams: as-of joins with any number of tables, and row patterns."""
 
 from __future__ import annotations
 
 import json
-from collections.abc import Callable, Iterator, Sequence
+import math
+from collections.abc import Callable, Iterator, Mapping, Sequence
+from decimal import Decimal
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.types import ArrayType, BinaryType, BooleanType, DataType, DateType, DoubleType, FloatType, NumericType, StructType, TimestampNTZType, TimestampType
 
 from ..functions.scalars import epoch_us
+from ..operators.joins import version_order
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-_ROW = "t long, side int, tie string, row string"
+_ROWS = "rows array<struct<t: long, side: int, feed: int, tie: string, row: string>>"
+#: Waiting rows of a key are kept by slices of this many microseconds.
+SLICE_US = 10_000_000
+
+
+def _texts(col: Column, kind: DataType) -> Column:
+    """A value whose parts are texts, from which _Typed reads them back exactly."""
+    if isinstance(kind, StructType):
+        return F.when(col.isNotNull(), F.struct(*[_texts(col[f.name], f.dataType).alias(f"f{i}") for i, f in enumerate(kind.fields)]))
+    if isinstance(kind, ArrayType):
+        return F.transform(col, lambda x: _texts(x, kind.elementType))
+    if isinstance(kind, BinaryType):
+        return F.hex(col)
+    if isinstance(kind, DoubleType | FloatType):
+        return col.cast("double").cast("string")
+    if isinstance(kind, BooleanType):
+        return col.cast("int").cast("string")
+    if isinstance(kind, DateType):
+        return F.unix_date(col).cast("string")
+    if isinstance(kind, TimestampType | TimestampNTZType):
+        return epoch_us(col).cast("string")
+    return col.cast("string")
+
+
+def _kind(kind: DataType) -> object:
+    """How _value reads what _texts wrote: for structs and arrays by their parts. Intervals are ordered as text."""
+    if isinstance(kind, StructType):
+        return [_kind(f.dataType) for f in kind.fields]
+    if isinstance(kind, ArrayType):
+        return (_kind(kind.elementType),)
+    if isinstance(kind, BinaryType):
+        return "bytes"
+    if isinstance(kind, DoubleType | FloatType):
+        return "float"
+    return "number" if isinstance(kind, NumericType | BooleanType | DateType | TimestampType | TimestampNTZType) else "text"
+
+
+def _value(text: object, kind: object) -> tuple:
+    """A sort key in Spark's order of the type: NULL first, NaN last."""
+    if text is None:
+        return (0,)
+    if isinstance(kind, list):
+        return 1, [_value(v, k) for v, k in zip(text.values(), kind, strict=True)]
+    if isinstance(kind, tuple):
+        return 1, [_value(v, kind[0]) for v in text]
+    if kind == "bytes":
+        return 1, bytes.fromhex(text)
+    if kind == "float":
+        x = float(text)
+        return 1, math.isnan(x), 0.0 if math.isnan(x) else x
+    return 1, Decimal(text) if kind == "number" else text
 
 
-def _in_order(row: tuple) -> tuple:
-    """Sort key of a _ROW tuple: by time and side, then by the values of its tie, a JSON object, NULL first."""
-    values = json.loads(row[2]).values() if row[2] else ()
-    return row[0], row[1], [(v is not None, json.dumps(v) if isinstance(v, dict | list) else v) for v in values]
+class _Ordered(StatefulProcessor):
+    """Holds a key's rows until the watermark has passed them, and hands them on in order.
 
+    Rows wait in a map by time slice and chunk (a slice's rows of one micro-batch), beside an index of the slices. A timer, one a key, reads and
+    deletes the chunks of the slices that are due; of the slice that the watermark is in, the rest is written back. All other slices are left alone.
+    kinds: for each feed how its ties are read.
+    """
 
-class _Ordered(StatefulProcessor):
-    """Holds a key's rows until the watermark has passed them, and hands them on in order. One timer a key: for its earliest waiting row."""
+    def __init__(self, kinds: Sequence[list], slice_us: int = SLICE_US):
+        self.kinds, self.slice_us = list(kinds), slice_us
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", _ROW)
-        self.past = handle.getListState("past", _ROW)
+        self.waiting = handle.getMapState("waiting", "slice long, chunk int", _ROWS)
+        self.index = handle.getValueState("index", "slices array<struct<slice: long, chunks: int, least: long>>")
         self.due = handle.getValueState("due", "ms long")
 
-    def wake(self, us: int) -> None:
-        """Sets the key's timer to when the watermark passes a row of that time, unless it is set to an earlier one."""
-        ms, before = us // 1000 + 1, self.due.get() if self.due.exists() else None
-        if before is not None and before[0] <= ms:
+    def slices(self) -> dict[int, list[int]]:
+        """[chunks, least time] of each slice."""
+        return {s[0]: [s[1], s[2]] for s in self.index.get()[0]} if self.index.exists() else {}
+
+    def keep(self, slices: dict[int, list[int]]) -> None:
+        """Writes the index, and sets the key's timer to when the watermark passes its earliest waiting row."""
+        if slices:
+            self.index.update(([(s, *about) for s, about in slices.items()],))
+        elif self.index.exists():
+            self.index.clear()
+        ms = min((least for _, least in slices.values()), default=None)
+        ms = None if ms is None else ms // 1000 + 1
+        before = self.due.get()[0] if self.due.exists() else None
+        if ms == before:
             return
         if before is not None:
-            self.handle.deleteTimer(before[0])
-        self.handle.registerTimer(ms)
-        self.due.update((ms,))
+            self.handle.deleteTimer(before)
+        if ms is None:
+            self.due.clear()
+        else:
+            self.handle.registerTimer(ms)
+            self.due.update((ms,))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        slices = self.slices()
         for frame in rows:
-            self.waiting.appendList(list(frame[["t", "side", "tie", "row"]].itertuples(index=False, name=None)))
-            self.wake(int(frame["t"].min()))
+            for at, part in frame.groupby(frame["t"] // self.slice_us):
+                about = slices.setdefault(int(at), [0, int(part["t"].min())])
+                self.waiting.updateValue((int(at), about[0]), (list(part[["t", "side", "feed", "tie", "row"]].itertuples(index=False, name=None)),))
+                slices[int(at)] = [about[0] + 1, min(about[1], int(part["t"].min()))]
+        self.keep(slices)
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         self.due.clear()
-        until = timerValues.getCurrentWatermarkInMs() * 1000
-        ready, rest = [], []
-        for r in map(tuple, self.waiting.get()):
-            (ready if r[0] < until else rest).append(r)
-        if rest:
-            self.waiting.put(rest)
-            self.wake(min(r[0] for r in rest))
-        else:
-            self.waiting.clear()
-        out, keep = self.step(key, list(map(tuple, self.past.get())), sorted(ready, key=_in_order))
-        self.past.put(keep) if keep else self.past.clear()
-        if out:
-            yield pd.DataFrame({"out": out})
-
-    def step(self, key, past: list[tuple], ready: list[tuple]) -> tuple[list, list[tuple]]:
-        """Rows to emit, and rows to keep."""
+        until, slices, ready = timerValues.getCurrentWatermarkInMs() * 1000, self.slices(), []
+        for at in sorted(s for s, (_, least) in slices.items() if least < until):
+            chunks, rest = slices.pop(at)[0], []
+            for chunk in range(chunks):
+                for r in self.waiting.getValue((at, chunk))[0]:
+                    (ready if r[0] < until else rest).append(tuple(r))
+                self.waiting.removeKey((at, chunk))
+            if rest:
+                self.waiting.updateValue((at, 0), (rest,))
+                slices[at] = [1, min(r[0] for r in rest)]
+        self.keep(slices)
+        ready.sort(key=self.order)
+        out = self.step(ready)
+        if len(out):
+            yield out
+
+    def order(self, row: tuple) -> tuple:
+        """By time and side; ties by their typed values."""
+        values = json.loads(row[3]).values() if row[3] else ()
+        return row[0], row[1], row[2], [_value(v, kind) for v, kind in zip(values, self.kinds[row[2]], strict=True)]
+
+    def step(self, ready: list[tuple]) -> pd.DataFrame:
+        """Rows to emit for rows in order."""
         raise NotImplementedError
 
     def close(self) -> None:
@@ -72,14 +152,24 @@ class _Ordered(StatefulProcessor):
 
 
 class _AsOf(_Ordered):
-    def step(self, key, past, ready):
-        current, out = (past[-1] if past else None), []
-        for r in ready:
-            if r[1]:
-                out.append((r[3], current[3] if current else None))
+    """Facts (side 1) with the current version of each feed. State: the versions, one a feed, and what waits."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.current = handle.getMapState("current", "feed int", "row string")
+
+    def step(self, ready):
+        current = {n: self.current.getValue((n,))[0] if self.current.containsKey((n,)) else None for n in range(len(self.kinds) - 1)}
+        out, changed = [], set()
+        for t, side, feed, _, row in ready:
+            if side:
+                out.append((pd.Timestamp(t, unit="us", tz="UTC"), row, list(current.values())))
             else:
-                current = r
-        return [f"{f}\x1e{'' if v is None else v}" for f, v in out], [current] if current else []
+                current[feed] = row
+                changed.add(feed)
+        for feed in changed:
+            self.current.updateValue((feed,), (current[feed],))
+        return pd.DataFrame(out, columns=["at", "fact", "versions"])
 
 
 _TIME = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
@@ -89,45 +179,76 @@ def _json(*cols: Column) -> Column:
     return F.to_json(F.struct(*cols), {"ignoreNullFields": "false", **_TIME})
 
 
-def _ordered(df: DataFrame, keys: Sequence[str], ts: str, side: int, tie: Column, watermark: str) -> DataFrame:
-    """The rows of df that have a key and a time, for _Ordered."""
-    whole = df.where(" AND ".join(f"`{c}` IS NOT NULL" for c in [*keys, ts])).withWatermark(ts, watermark)
-    return whole.select(_json(*keys).alias("_key"), F.col(ts).alias("_time"), epoch_us(F.col(ts)).alias("t"), F.lit(side).alias("side"), tie.alias("tie"), _json(*[F.col(f"`{c}`") for c in df.columns]).alias("row"))
+def _ordered(df: DataFrame, keys: Sequence[str], ts: str, side: int, feed: int, tie: Sequence[str], watermark: str | None, event_time: str | None = None, mark: Column | None = None) -> tuple[DataFrame, list]:
+    """The rows of df that have a key and a time, for _Ordered, and how their ties (of columns) are read. event_time: the column that carries df's watermark. mark: a letter before the row."""
+    whole = df.where(" AND ".join(f"`{c}` IS NOT NULL" for c in [*keys, ts]))
+    if watermark:
+        whole = whole.withWatermark(event_time or ts, watermark)
+    ties = _json(*[_texts(F.col(f"`{c}`"), df.schema[c].dataType).alias(f"c{i}") for i, c in enumerate(tie)]) if tie else F.lit("")
+    row = _json(*[F.col(f"`{c}`") for c in df.columns if c != event_time or c == ts])
+    row = row if mark is None else F.concat(mark, row)
+    rows = whole.select(_json(*[F.col(f"`{k}`").alias(f"k{i}") for i, k in enumerate(keys)]).alias("_key"), F.col(event_time or ts).alias("_time"), epoch_us(F.col(ts)).alias("t"), F.lit(side).alias("side"), F.lit(feed).alias("feed"), ties.alias("tie"), row.alias("row"))
+    return rows, [_kind(df.schema[c].dataType) for c in tie]
 
 
-def asof_stream(left: DataFrame, right: DataFrame, *, on: Sequence[str], left_ts: str, right_ts: str, tiebreak: str | None = None, watermark: str = "10 seconds", prefix: str = "") -> DataFrame:
-    """The as-of left join of two streams, exact in event time: a fact waits until the watermark has passed it.
+def asof_enrich_stream(fact: DataFrame, tables: Mapping[str, tuple[DataFrame, str] | tuple[DataFrame, str, str]], *, on: Sequence[str], ts: str, tiebreak: str | None = None, watermark: str | None = "10 seconds", slice_us: int = SLICE_US) -> DataFrame:
+    """asof_enrich on streams: fact with, for each change feed, a struct column of its version that was current at `ts`. One keyed operator for all feeds, exact in event time.
 
-    Both time columns are TIMESTAMP. Versions of equal time are ordered as in asof_join: by `tiebreak`, then by all columns. Facts with a NULL key or time come through at
-    once, without a version. State per key: facts and versions after the watermark, and the one version
-    before it. Sessions need the RocksDB state store (ROCKSDB). Rows later than the watermark may be lost or out of order.
+    tables: (feed, version column), or (feed, version column, event-time column) for the result of another stateful operator, whose event time carries its
+    watermark and isn't part of the version: for windows the version column is the window's end, and the event time F.window_time of the window.
+    A fact waits until the watermark has passed it. Versions of equal time are ordered as in asof_enrich. Facts with a NULL key or time come through at once, without versions.
+    State per key: facts and versions after the watermark, in slices of time, and one version a feed before it. `ts` of the result carries the watermark on, for windows over it.
+    watermark: None if fact and the feeds have theirs. Sessions need the RocksDB state store (ROCKSDB). Rows behind the watermark are dropped: see late_rows.
     """
-    facts = _ordered(left, on, left_ts, 1, F.lit(""), watermark)
-    ties = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate([*([tiebreak] if tiebreak else []), *right.columns])]
-    versions = _ordered(right, on, right_ts, 0, _json(*ties), watermark)
-    joined = facts.unionByName(versions).groupBy("_key").transformWithStateInPandas(_AsOf(), "out string", "append", "eventtime")
-    others = [c for c in right.columns if c not in on]
-    parts = F.split("out", "\x1e")
-    rows = joined.select(F.from_json(parts[0], left.schema, _TIME).alias("l"), F.from_json(F.nullif(parts[1], F.lit("")), right.schema, _TIME).alias("r"))
-    found = rows.select("l.*", *[F.col(f"r.`{c}`").alias(f"{prefix}{c}") for c in others])
-    lost = left.where(" OR ".join(f"`{c}` IS NULL" for c in [*on, left_ts]))
-    return found.union(lost.select(*left.columns, *[F.lit(None).cast(right.schema[c].dataType) for c in others]))
+    every, _ = _ordered(fact, on, ts, 1, len(tables), [], watermark)
+    kinds, schemas = [], []
+    for i, (df, version, *event_time) in enumerate(tables.values()):
+        own = [c for c in df.columns if c not in event_time]
+        rows, kind = _ordered(df, on, version, 0, i, version_order(df.select(*[F.col(f"`{c}`") for c in own]), tiebreak), None if event_time else watermark, *event_time)
+        every = every.unionByName(rows)
+        kinds.append(kind)
+        schemas.append(StructType([f for f in df.schema if f.name in own]))
+    joined = every.groupBy("_key").transformWithStateInPandas(_AsOf([*kinds, []], slice_us), "at timestamp, fact string, versions array<string>", "append", "eventtime", eventTimeColumnName="at")
+    rows = joined.select("at", F.from_json("fact", fact.schema, _TIME).alias("fact"), *[F.from_json(F.get("versions", F.lit(i)), schema, _TIME).alias(f"v{i}") for i, schema in enumerate(schemas)])
+    time = F.col("at") if isinstance(fact.schema[ts].dataType, TimestampType) else F.col(f"fact.`{ts}`")
+    found = rows.select(*[(time if c == ts else F.col(f"fact.`{c}`")).alias(c) for c in fact.columns], *[F.col(f"v{i}").alias(n) for i, n in enumerate(tables)])
+    lost = fact.where(" OR ".join(f"`{c}` IS NULL" for c in [*on, ts]))
+    return found.unionByName(lost.select(*[F.col(f"`{c}`") for c in fact.columns], *[F.lit(None).cast(schema).alias(n) for n, schema in zip(tables, schemas, strict=True)]))
+
+
+def asof_stream(left: DataFrame, right: DataFrame, *, on: Sequence[str], left_ts: str, right_ts: str, how: str = "left", tiebreak: str | None = None, watermark: str | None = "10 seconds", prefix: str = "", event_time: str | None = None, slice_us: int = SLICE_US) -> DataFrame:
+    """asof_join on streams, exact in event time: asof_enrich_stream with one table. event_time: right's event-time column, if it is not the version itself."""
+    if how not in ("left", "inner"):
+        raise ValueError(f"how is left or inner, not {how}")
+    table = (right, right_ts, event_time) if event_time else (right, right_ts)
+    out = asof_enrich_stream(left, {"_version": table}, on=on, ts=left_ts, tiebreak=tiebreak, watermark=watermark, slice_us=slice_us)
+    if how == "inner":
+        out = out.where("_version IS NOT NULL")
+    return out.select(*[F.col(f"`{c}`") for c in left.columns], *[F.col(f"_version.`{c}`").alias(f"{prefix}{c}") for c in right.columns if c not in (*on, event_time)])
 
 
 class _Pattern(_Ordered):
     """A, one or more L, F: of the past only the open run from its A on is kept."""
 
-    def step(self, key, past, ready):
-        run, out = past, []
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.run = handle.getListState("run", "row string")
+
+    def step(self, ready):
+        run, out = [r[0] for r in self.run.get()], []
         for r in ready:
-            symbol = json.loads(r[2])["symbol"]
+            symbol, row = r[4][0], r[4][1:]
             if symbol == "A" or symbol == "L" and run:
-                run = [r] if symbol == "A" else [run[0], r]
+                run = [row] if symbol == "A" else [run[0], row]
             else:
                 if symbol == "F" and len(run) == 2:
-                    out.append(f"{run[1][3]}\x1e{r[3]}")
+                    out.append((run[1], row))
                 run = []
-        return out, run
+        if run:
+            self.run.put([(x,) for x in run])
+        else:
+            self.run.clear()
+        return pd.DataFrame(out, columns=["l", "f"])
 
 
 def match_stream(df: DataFrame, *, by: Sequence[str], ts: str, tiebreak: str, a: Column, l: Column, f: Column, measures: Callable[[Column, Column], Sequence[Column]], watermark: str = "10 seconds") -> DataFrame:  # noqa: E741
@@ -137,10 +258,9 @@ def match_stream(df: DataFrame, *, by: Sequence[str], ts: str, tiebreak: str, a:
     watermark, and the open run's first and last row.
     """
     symbol = F.when(a, "A").when(l, "L").when(f, "F").otherwise("X")
-    rows = _ordered(df, by, ts, 0, _json(F.col(tiebreak).alias("tie"), symbol.alias("symbol")), watermark)
-    found = rows.groupBy("_key").transformWithStateInPandas(_Pattern(), "out string", "append", "eventtime")
-    parts = F.split("out", "\x1e")
-    both = found.select(F.from_json(parts[0], df.schema, _TIME).alias("l"), F.from_json(parts[1], df.schema, _TIME).alias("f"))
+    rows, kind = _ordered(df, by, ts, 0, 0, [tiebreak], watermark, mark=symbol)
+    found = rows.groupBy("_key").transformWithStateInPandas(_Pattern([kind]), "l string, f string", "append", "eventtime")
+    both = found.select(F.from_json("l", df.schema, _TIME).alias("l"), F.from_json("f", df.schema, _TIME).alias("f"))
     return both.select(*measures(F.col("l"), F.col("f")))
 
 
