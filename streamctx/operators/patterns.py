@@ -4,12 +4,18 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Mapping, Sequence
+from dataclasses import dataclass
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StructType
 from pyspark.sql.window import Window
 
+from ..functions.scalars import epoch_us
+from .joins import _micros
+
 
 def match_a_lplus_f(df: DataFrame, *, by: Sequence[str], order: Sequence[str], a: Column, l: Column, f: Column, measures: Mapping[str, Column | tuple[str, Column]]) -> DataFrame:  # noqa: E741
     """One row for each match of A, one or more L, F in unbroken sequence; matches may share rows (skip to the next row).
@@ -33,9 +39,7 @@ def match_sequence(df: DataFrame, *, by: Sequence[str], order: Sequence[str], de
     symbols, the values of the row besides `by`. Rows without a symbol end every match, so Spark cuts a partition's order there, and only runs of rows that
     have symbols go to Python; one such run must fit in one task's memory.
     """
-    symbol = F.lit("_")
-    for name, condition in reversed(defines.items()):
-        symbol = F.when(condition, name).otherwise(symbol)
+    symbol = symbol_of(defines)
     compiled = re.compile("".join(pattern.split()))
 
     def scan(rows: pd.DataFrame) -> pd.DataFrame:
@@ -51,3 +55,146 @@ def match_sequence(df: DataFrame, *, by: Sequence[str], order: Sequence[str], de
     in_order = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rows = df.withColumn("_s", symbol).withColumn("_run", F.count(F.when(F.col("_s") == "_", 1)).over(in_order)).where("_s <> '_'")
     return rows.groupBy(*by, "_run").applyInPandas(scan, out_schema)
+
+
+@dataclass(frozen=True)
+class Automaton:
+    """The deterministic automaton of a pattern of one-letter symbols, each plain or with `+`, `*` or `?`. State 0 begins; a missing step ends the match."""
+
+    steps: tuple[dict[str, int], ...]
+    accepts: tuple[bool, ...]
+
+    @classmethod
+    def of(cls, pattern: str) -> Automaton:
+        text = "".join(pattern.split())
+        if not re.fullmatch(r"(?:[A-Za-z][+*?]?)+", text):
+            raise ValueError(f"no pattern of symbols: {pattern}")
+        units = []
+        for symbol, count in re.findall(r"([A-Za-z])([+*?]?)", text):
+            units += {"": [(symbol, "one")], "?": [(symbol, "opt")], "*": [(symbol, "many")], "+": [(symbol, "one"), (symbol, "many")]}[count]
+
+        def closed(places: set[int]) -> frozenset[int]:
+            out = set()
+            for place in places:
+                out.add(place)
+                while place < len(units) and units[place][1] != "one":
+                    place += 1
+                    out.add(place)
+            return frozenset(out)
+
+        number, steps = {closed({0}): 0}, []
+        for places in (todo := [closed({0})]):
+            of: dict[str, set[int]] = {}
+            for place in places:
+                if place < len(units):
+                    symbol, count = units[place]
+                    of.setdefault(symbol, set()).add(place if count == "many" else place + 1)
+            steps.append({})
+            for symbol, reached in sorted(of.items()):
+                to = closed(reached)
+                if to not in number:
+                    number[to] = len(number)
+                    todo.append(to)
+                steps[-1][symbol] = number[to]
+        return cls(tuple(steps), tuple(len(units) in places for places in number))
+
+    def run(self, symbols: Sequence[str], state: int) -> tuple[int, int]:
+        """From a state over symbols: the state at their end (-1 if the match ended) and the place of the last symbol with which it was whole (-1 if none)."""
+        last = -1
+        for at, symbol in enumerate(symbols):
+            state = self.steps[state].get(symbol, -1)
+            if state < 0:
+                break
+            if self.accepts[state]:
+                last = at
+        return state, last
+
+    def ends(self, symbols: Sequence[str], after: Sequence[int | None]) -> list[int | None]:
+        """For each place the end of the longest match that begins there; from right to left, so each symbol is looked at once a state. after: the ends that lie behind the symbols, for each state at their end."""
+        now, out = list(after), [None] * len(symbols)
+        for at in range(len(symbols) - 1, -1, -1):
+            before = []
+            for step in self.steps:
+                to = step.get(symbols[at])
+                before.append(None if to is None else now[to] if now[to] is not None else at if self.accepts[to] else None)
+            now = before
+            out[at] = now[0]
+        return out
+
+
+def symbol_of(defines: Mapping[str, Column]) -> Column:
+    """The first symbol whose condition holds; `_` if none does."""
+    symbol = F.lit("_")
+    for name, condition in reversed(defines.items()):
+        symbol = F.when(condition, name).otherwise(symbol)
+    return symbol
+
+
+def match_longest(df: DataFrame, *, by: Sequence[str], ts: str, tiebreak: Sequence[str], defines: Mapping[str, Column], pattern: str, time_slice: str = "1 day") -> DataFrame:
+    """by, `first` and `last` (the rows of a match's ends, as structs) and `rows`, for the longest match from each row that a match begins with.
+
+    Rows are ordered by ts and tiebreak, which should be total (NULL first). A key's rows are taken in slices of time, each a task's: first each slice is summed up as what it does to a match that
+    comes in, in any state of the pattern's automaton (where it ends, or in which state it goes on); a key's sums are folded from the last slice to the first; then each
+    slice finds the ends of its own matches, which may lie in later slices. So a run of any length is many tasks; a slice of a key must fit in one. Both passes share one shuffle.
+    """
+    automaton = Automaton.of(pattern)
+    states, keys = range(len(automaton.steps)), [f"k{i}" for i in range(len(by))]
+    slices = F.coalesce(F.floor(epoch_us(F.col(ts)) / _micros(time_slice)), F.lit(-(1 << 62))).alias("slice")
+    rows = df.select(*[F.col(f"`{c}`").alias(k) for c, k in zip(by, keys, strict=True)], slices, symbol_of(defines).alias("symbol"), F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"))
+    order = Window.partitionBy(*keys, "slice").orderBy(F.col(f"row.`{ts}`"), *[F.col(f"row.`{c}`") for c in tiebreak])
+    rows = rows.withColumn("i", F.row_number().over(order)).repartition(*keys, "slice")
+    of_key = StructType([rows.schema[k] for k in keys])
+    summed = StructType([*of_key, *StructType().add("slice", LongType()).add("n", LongType()).add("state", IntegerType()).add("exit", IntegerType()).add("at", LongType()).add("row", df.schema)])
+
+    def sum_up(table: pa.Table) -> pa.Table:
+        table = table.sort_by("i")
+        symbols = table["symbol"].to_pylist()
+        runs = [automaton.run(symbols, q) for q in states]
+        same = table.slice(0, 1).select([*keys, "slice"]).take([0] * len(states))
+        ends = pa.array([at if at >= 0 else None for _, at in runs], pa.int64())
+        for name, value in {"n": pa.array([len(symbols)] * len(states), pa.int64()), "state": pa.array(states, pa.int32()), "exit": pa.array([q for q, _ in runs], pa.int32()), "at": ends, "row": table["row"].combine_chunks().take(ends)}.items():
+            same = same.append_column(name, value)
+        return same
+
+    ahead = StructType([*of_key, *StructType().add("slice", LongType()).add("state", IntegerType()).add("rest", LongType()).add("row", df.schema)])
+
+    def fold(table: pa.Table) -> pa.Table:
+        """For each slice and state, the end (a row of the sums) of a match that leaves the slice in it, and how many rows later."""
+        table = table.sort_by([("slice", "descending"), ("state", "ascending")])
+        exits, ats, ns = (table[c].to_pylist() for c in ("exit", "at", "n"))
+        later: list[tuple[int, int] | None] = [None] * len(states)
+        takes, kept = [], []
+        for first in range(0, len(exits), len(states)):
+            for q in states:
+                if later[q] is not None:
+                    takes.append(later[q])
+                    kept.append(first + q)
+            now = []
+            for q in states:
+                out, at = exits[first + q], ats[first + q]
+                goes_on = later[out] if out >= 0 else None
+                now.append((goes_on[0], goes_on[1] + ns[first]) if goes_on is not None else None if at is None else (first + q, at))
+            later = now
+        out = table.select([*keys, "slice", "state"]).take(pa.array(kept, pa.int64()))
+        return out.append_column("rest", pa.array([rest for _, rest in takes], pa.int64())).append_column("row", table["row"].combine_chunks().take(pa.array([i for i, _ in takes], pa.int64())))
+
+    found = StructType([*of_key, *StructType().add("first", df.schema).add("last", df.schema).add("rows", LongType())])
+
+    def find(table: pa.Table, later: pa.Table) -> pa.Table:
+        table = table.sort_by("i")
+        n, after, source = table.num_rows, [None] * len(states), {}
+        for j, (q, rest) in enumerate(zip(later["state"].to_pylist(), later["rest"].to_pylist(), strict=True)):
+            after[q] = n + rest
+            source[n + rest] = n + j
+        ends = automaton.ends(table["symbol"].to_pylist(), after)
+        hits = [(at, end) for at, end in enumerate(ends) if end is not None]
+        begins = pa.array([at for at, _ in hits], pa.int64())
+        every = pa.concat_tables([table.select(["row"]), later.select(["row"]).cast(table.select(["row"]).schema)]).combine_chunks()["row"]
+        out = table.select(keys).take(begins)
+        out = out.append_column("first", table["row"].combine_chunks().take(begins)).append_column("last", every.take(pa.array([source.get(end, end) for _, end in hits], pa.int64())))
+        return out.append_column("rows", pa.array([end - at + 1 for at, end in hits], pa.int64()))
+
+    sums = rows.groupBy(*keys, "slice").applyInArrow(sum_up, summed)
+    ends = sums.groupBy(*keys).applyInArrow(fold, ahead)
+    out = rows.groupBy(*keys, "slice").cogroup(ends.groupBy(*keys, "slice")).applyInArrow(find, found)
+    return out.select(*[F.col(k).alias(c) for k, c in zip(keys, by, strict=True)], "first", "last", "rows")

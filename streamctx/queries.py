@@ -286,6 +286,23 @@ def pattern_sequence(spark, d):
     return patterns.match_sequence(ad.events(spark, d).select("user_id", "ts", "event_id", "event_type"), by=["user_id"], order=["ts", "event_id"], defines={"A": kind == "view", "L": kind == "click", "F": kind == "purchase"}, pattern="A L+ F", measures=lambda rows, text: {"event_id": rows["event_id"].iloc[-1]}, out_schema="user_id long, event_id long")
 
 
+GENERAL = """WITH {E}, x AS (SELECT *, CASE event_type WHEN 'view' THEN 'A' WHEN 'click' THEN 'L' WHEN 'purchase' THEN 'F' ELSE 'X' END AS s, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM e),
+    y AS (SELECT *, coalesce(first_value(CASE WHEN s <> 'L' THEN CASE WHEN s = 'F' THEN n ELSE n - 1 END END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY n ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), max(n) OVER (PARTITION BY user_id)) AS z FROM x)
+    SELECT y.user_id, y.event_id AS first_id, l.event_id AS last_id, y.z - y.n + 1 AS n FROM y JOIN x AS l ON l.user_id = y.user_id AND l.n = y.z WHERE y.s = 'A'"""
+
+
+def _general(match, e, **how):
+    kind = F.col("event_type")
+    out = match(e, by=["user_id"], ts="ts", tiebreak=["event_id"], defines={"A": kind == "view", "L": kind == "click", "F": kind == "purchase"}, pattern="A L* F?", **how)
+    return out.select("user_id", F.col("first.event_id").alias("first_id"), F.col("last.event_id").alias("last_id"), F.col("rows").alias("n"))
+
+
+@query(GENERAL)
+def pattern_general(spark, d):
+    """The longest match from each view, in slices of ten days."""
+    return _general(patterns.match_longest, ad.events(spark, d).select("user_id", "ts", "event_id", "event_type"), time_slice="10 days")
+
+
 @query("""WITH {E}, x AS (SELECT *, CASE event_type WHEN 'view' THEN 'AIM' WHEN 'click' THEN 'LOCK' WHEN 'purchase' THEN 'FIRE' END AS a FROM e WHERE event_type <> 'signup'),
     h AS (SELECT user_id, ts, k / 100.0 AS rate, event_id FROM e WHERE event_type = 'signup'),
     j AS (SELECT x.*, h.rate, h.event_id AS h_id FROM x ASOF LEFT JOIN h ON x.user_id = h.user_id AND x.ts >= h.ts),
@@ -700,3 +717,17 @@ def stream_indecisive_viewers(spark, d):
         return out.select(ms("window_start"), "user_id", "cnt", "genres_list", "weighted_interest_score_sum_list", "abandoned_views_in_window")
 
     return _replayed(spark, d, build)
+
+
+@query(GENERAL)
+def stream_pattern_general(spark, d):
+    return _replayed(spark, d, lambda s: _general(stateful.match_longest_stream, s.select("user_id", "ts", "event_id", "event_type"), idle="60 days"))
+
+
+@query("""WITH {E}, p AS (SELECT *, date_trunc('day', ts) AS t FROM e WHERE event_type = 'purchase'), s AS (SELECT *, date_trunc('day', ts) AS t FROM e WHERE event_type <> 'purchase'),
+    v AS (SELECT user_id, t, max((k - 50) * 0.25::DOUBLE) AS v FROM s GROUP BY user_id, t) SELECT p.event_id, v.v AS v_v FROM p ASOF LEFT JOIN v ON p.user_id = v.user_id AND p.t >= v.t""")
+def asof_ties(spark, d):
+    """Versions of equal time, ordered by negative and fractional numbers."""
+    e = ad.events(spark, d).withColumn("t", F.date_trunc("day", F.col("ts").cast("timestamp_ntz")).cast("timestamp_ntz"))
+    versions = e.where("event_type <> 'purchase'").select("user_id", F.col("t").alias("vt"), ((F.col("k") - 50) * F.lit(0.25)).alias("v"))
+    return joins.asof_join(e.where("event_type = 'purchase'").select("user_id", "t", "event_id"), versions, on=["user_id"], left_ts="t", right_ts="vt", tiebreak="v", prefix="v_").select("event_id", "v_v")

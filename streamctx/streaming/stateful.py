@@ -14,7 +14,8 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import ArrayType, BinaryType, BooleanType, DataType, DateType, DoubleType, FloatType, NumericType, StructType, TimestampNTZType, TimestampType
 
 from ..functions.scalars import epoch_us
-from ..operators.joins import version_order
+from ..operators.joins import _micros, version_order
+from ..operators.patterns import Automaton, symbol_of
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 _ROWS = "rows array<struct<t: long, side: int, feed: int, tie: string, row: string>>"
@@ -97,8 +98,9 @@ class _Ordered(StatefulProcessor):
             self.index.update(([(s, *about) for s, about in slices.items()],))
         elif self.index.exists():
             self.index.clear()
-        ms = min((least for _, least in slices.values()), default=None)
-        ms = None if ms is None else ms // 1000 + 1
+        due = [least // 1000 + 1 for _, least in slices.values()]
+        end = self.deadline()
+        ms = min([*due, *([end // 1000 + 1] if end is not None else [])], default=None)
         before = self.due.get()[0] if self.due.exists() else None
         if ms == before:
             return
@@ -132,19 +134,23 @@ class _Ordered(StatefulProcessor):
             if rest:
                 self.waiting.updateValue((at, 0), (rest,))
                 slices[at] = [1, min(r[0] for r in rest)]
-        self.keep(slices)
         ready.sort(key=self.order)
-        out = self.step(ready)
+        out = self.step(ready, until)
+        self.keep(slices)
         if len(out):
             yield out
 
+    def deadline(self) -> int | None:
+        """When, in microseconds, the key's state is to be looked at without waiting rows."""
+        return None
+
     def order(self, row: tuple) -> tuple:
         """By time and side; ties by their typed values."""
         values = json.loads(row[3]).values() if row[3] else ()
         return row[0], row[1], row[2], [_value(v, kind) for v, kind in zip(values, self.kinds[row[2]], strict=True)]
 
-    def step(self, ready: list[tuple]) -> pd.DataFrame:
-        """Rows to emit for rows in order."""
+    def step(self, ready: list[tuple], until: int) -> pd.DataFrame:
+        """Rows to emit for rows in order. until: the watermark."""
         raise NotImplementedError
 
     def close(self) -> None:
@@ -158,7 +164,7 @@ class _AsOf(_Ordered):
         super().init(handle)
         self.current = handle.getMapState("current", "feed int", "row string")
 
-    def step(self, ready):
+    def step(self, ready, until):
         current = {n: self.current.getValue((n,))[0] if self.current.containsKey((n,)) else None for n in range(len(self.kinds) - 1)}
         out, changed = [], set()
         for t, side, feed, _, row in ready:
@@ -234,7 +240,7 @@ class _Pattern(_Ordered):
         super().init(handle)
         self.run = handle.getListState("run", "row string")
 
-    def step(self, ready):
+    def step(self, ready, until):
         run, out = [r[0] for r in self.run.get()], []
         for r in ready:
             symbol, row = r[4][0], r[4][1:]
@@ -264,6 +270,82 @@ def match_stream(df: DataFrame, *, by: Sequence[str], ts: str, tiebreak: str, a:
     return both.select(*measures(F.col("l"), F.col("f")))
 
 
+class _Longest(_Ordered):
+    """Longest matches from each row, by an automaton.
+
+    State: open matches in bundles that share the automaton's state and the row with which they were last whole, the number of rows so far, and the last one's time.
+    """
+
+    def __init__(self, kinds: Sequence[list], automaton: Automaton, idle_us: int | None):
+        super().__init__(kinds)
+        self.automaton, self.idle_us = automaton, idle_us
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.open = handle.getListState("open", "state int, last string, at long, starts array<struct<row: string, at: long>>")
+        self.seen = handle.getValueState("seen", "rows long, t long, open boolean")
+
+    def deadline(self):
+        seen = self.seen.get() if self.idle_us is not None and self.seen.exists() else None
+        return seen[1] + self.idle_us if seen and seen[2] else None
+
+    def step(self, ready, until):
+        steps, accepts = self.automaton.steps, self.automaton.accepts
+        seen, t, _ = self.seen.get() if self.seen.exists() else (0, 0, False)
+        bundles = [(b[0], b[1], b[2], [tuple(s) for s in b[3]]) for b in self.open.get()]
+        out = []
+
+        def close(bundle: tuple) -> None:
+            _, last, at, starts = bundle
+            if last is not None:
+                out.extend((row, last, at - begun + 1) for row, begun in starts)
+
+        for r in ready:
+            if self.idle_us is not None and r[0] > t + self.idle_us:
+                for bundle in bundles:
+                    close(bundle)
+                bundles = []
+            symbol, row, t = r[4][0], r[4][1:], r[0]
+            seen += 1
+            whole: dict[int, list] = {}
+            going = []
+            for bundle in [*bundles, (0, None, 0, [(row, seen)])]:
+                to = steps[bundle[0]].get(symbol)
+                if to is None:
+                    close(bundle)
+                elif accepts[to]:
+                    whole.setdefault(to, []).extend(bundle[3])
+                else:
+                    going.append((to, *bundle[1:]))
+            bundles = going + [(to, row, seen, starts) for to, starts in whole.items()]
+            for bundle in [b for b in bundles if not steps[b[0]]]:
+                close(bundle)
+                bundles.remove(bundle)
+        if self.idle_us is not None and until > t + self.idle_us:
+            for bundle in bundles:
+                close(bundle)
+            bundles = []
+        if bundles:
+            self.open.put(bundles)
+        else:
+            self.open.clear()
+        self.seen.update((seen, t, bool(bundles)))
+        return pd.DataFrame(out, columns=["first", "last", "rows"])
+
+
+def match_longest_stream(df: DataFrame, *, by: Sequence[str], ts: str, tiebreak: Sequence[str], defines: Mapping[str, Column], pattern: str, watermark: str = "10 seconds", idle: str | None = None) -> DataFrame:
+    """match_longest on a stream: by, `first`, `last` and `rows` of the longest match from each row, once the watermark has passed the row that ends it.
+
+    A match that more rows could make longer stays open until its key's next row; idle: or until the watermark is so far past the key's last row, which ends it as a row without a symbol would (rows so far apart are then not one match).
+    State per key: rows after the watermark, and the first rows of open matches. Rows without key or time are left out. Sessions need the RocksDB state store.
+    """
+    rows, kind = _ordered(df, by, ts, 0, 0, tiebreak, watermark, mark=symbol_of(defines))
+    processor = _Longest([kind], Automaton.of(pattern), None if idle is None else _micros(idle))
+    found = rows.groupBy("_key").transformWithStateInPandas(processor, "first string, last string, rows long", "append", "eventtime")
+    both = found.select(F.from_json("first", df.schema, _TIME).alias("first"), F.from_json("last", df.schema, _TIME).alias("last"), "rows")
+    return both.select(*[F.col(f"first.`{c}`").alias(c) for c in by], "first", "last", "rows")
+
+
 def snapshot_join(facts: DataFrame, current: DataFrame, *, on: Sequence[str], prefix: str = "") -> DataFrame:
     """A stream (or micro-batch) with the present row of each key of a table: by arrival, not event time.
 

@@ -57,7 +57,7 @@ def test_asof_of_versions_with_maps_and_a_large_broadcast_side(spark, monkeypatc
         assert sorted((r.id, r.m, r.n) for r in got) == [(1, {"a": 2}, 8), (2, {"b": 3}, None)]
     plan = lambda: joins.asof_join(left, right.drop("m"), on=["k"], left_ts="t", right_ts="vt", broadcast=True)._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan() or "BroadcastNestedLoopJoin" in plan()
-    monkeypatch.setattr(joins, "BROADCAST_ROWS", 2)
+    monkeypatch.setattr(joins, "BROADCAST_BYTES", 2)
     assert "Broadcast" not in plan()
 
 
