@@ -9,13 +9,15 @@ to a new bin if none has room: a new bin at every chance costs sequences. Bins
 that end less than `full` filled are emptied, and their pieces are packed again in
 other mixtures, `rounds` times in all.
 
-Null texts count as empty and are one end token. Documents with the same id are
-packed each. An empty table gives an empty result.
+Null texts count as empty and are one end token. Rows with the same id, or none, are
+packed each, whatever their number. Texts are read whole, white space of any length too. Columns besides the id and the text are not read,
+whatever their names. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from collections.abc import Callable
 from functools import cache
@@ -35,6 +37,10 @@ PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
+#: White space of the pattern's `\\s`, in runs too long for tiktoken.
+LONG_WHITE = re.compile("[\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]{2000,}")
+
+
 class Ids:
     """The ids that a tokenizers file gives to texts, as unsigned 32-bit numbers.
 
@@ -54,11 +60,24 @@ class Ids:
             ranks = {bytes(code[c] for c in t): i for t, i in model["vocab"].items() if t not in special}
             self.fast = tiktoken.Encoding("own", pat_str=WORDS, mergeable_ranks=ranks, special_tokens=special)
 
-    def of(self, doc: str) -> np.ndarray:
-        if self.fast:
-            return self.fast.encode_to_numpy(doc, allowed_special="all").astype("<u4", copy=False)
+        self.special = tuple(special)
+
+    def slow(self, doc: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(doc, add_special_tokens=False).ids, "<u4")
 
+    def of(self, doc: str) -> np.ndarray:
+        """The ids of a text of any length. tiktoken's pattern fails on white space of a million characters, so long runs of it go to tokenizers by themselves."""
+        if not self.fast:
+            return self.slow(doc)
+        quick = lambda part: self.fast.encode_to_numpy(part, allowed_special="all").astype("<u4", copy=False)
+        out, at = [], 0
+        for run in LONG_WHITE.finditer(doc):
+            # a run is one word, without its last character if text follows that isn't a special token
+            end = run.end() - (run.end() < len(doc) and not doc.startswith(self.special, run.end()))
+            out += [quick(doc[at : run.start()]), self.slow(doc[run.start() : end])]
+            at = end
+        return np.concatenate([*out, quick(doc[at:])]) if out else quick(doc)
+
 
 def byte_codes() -> dict[str, int]:
     """The byte of each character of byte-level vocabularies: printable Latin-1 as it is, the others from 256 on in order."""
@@ -127,7 +146,7 @@ def packer(step: int, capacity: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
     """Packs the pieces of one deal. Sequence ids have the round in their lowest 2 bits, the bin in the next 30."""
 
     def packed(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["doc_id", "piece", "ids_crc32"], kind="stable")
+        rows = rows.sort_values(["doc_id", "piece", "ids_crc32", "row"], kind="stable")
         number, bins = int(rows.pop("deal").iloc[0]), pack_group(rows["length"].to_numpy(), capacity)
         rows["sequence_id"] = ((number << 30) + bins) * 4 + step
         sums = rows.groupby("sequence_id")["length"]
@@ -140,22 +159,23 @@ def packer(step: int, capacity: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
 def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, *, group: int = 4000, full: float = 0.97, rounds: int = 3, **how: object) -> DataFrame:
     """PIECE columns, sequence_id and offset of each piece of each row of docs."""
     spark = docs.sparkSession
-    todo = staging.stage(pieces(docs, tokenizer, capacity, **how), "pack-pieces")
+    # each piece has a number of its own, so that pieces of one id and text, or of none, are dealt apart
+    todo = staging.stage(pieces(docs, tokenizer, capacity, **how).withColumn("row", F.monotonically_increasing_id()), "pack-pieces")
     done = todo.where(F.col("length") == capacity).withColumn("sequence_id", F.monotonically_increasing_id() * 4 + 3).withColumn("offset", F.lit(0).cast("long"))
     todo = todo.where(F.col("length") < capacity)
-    schema = f"{PIECE}, sequence_id long, offset long, filled long"
+    schema = f"{PIECE}, row long, sequence_id long, offset long, filled long"
     for step in range(rounds):
         last = step == rounds - 1
         n_groups = max(1, round(todo.count() / group))
-        deal = F.pmod(F.xxhash64(F.lit(step), F.col("doc_id"), F.col("piece"), F.col("ids_crc32")), F.lit(n_groups)).alias("deal")
+        deal = F.pmod(F.xxhash64(F.lit(step), F.col("row")), F.lit(n_groups)).alias("deal")
         now = todo.select("*", deal).groupBy("deal").applyInPandas(packer(step, capacity), schema)
         if last:
             done = done.unionByName(now.drop("filled"))
             break
         now = staging.stage(now, f"pack-{step}")
         done = done.unionByName(now.where(F.col("filled") >= full * capacity).drop("filled"))
-        todo = now.where(F.col("filled") < full * capacity).select(*[c.split()[0] for c in PIECE.split(", ")])
+        todo = now.where(F.col("filled") < full * capacity).select(*[c.split()[0] for c in PIECE.split(", ")], "row")
         if n_groups == 1:  # nothing else to mix them with
             done = done.unionByName(now.where(F.col("filled") < full * capacity).drop("filled"))
             break
-    return done
+    return done.drop("row")

@@ -52,7 +52,8 @@ def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(_read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    docs = _read(spark, sf_dir, "documents")
+    return mixing.mix(docs, locator=dedup.place_in_file(docs)).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op8_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -264,6 +264,19 @@ def test_place_follows_the_sum_of_squares():
         gaps[b] = gaps.get(b, capacity) - n
 
 
+@pytest.mark.parametrize("doc", ["x" + " " * 1_100_000 + "y", " " * 1_200_000, "\t" * 1_200_000 + "z", "x" + "\n" * 1_200_000 + "y", "a" + " " * 5000 + "<|endoftext|>b", "a" + "\r\n" * 3000 + "'s", "a" + "\u3000" * 2100 + "1", "a" + " " * 2500 + "b" + "\n" * 2100], ids=lambda d: f"{d[:3]!r} {len(d)}")
+def test_ids_of_long_white_space(doc):
+    ids = packing.ids_of(PATH)
+    assert ids.fast and np.array_equal(ids.of(doc), ids.slow(doc))
+
+
+def test_many_rows_of_one_id_and_text_are_dealt_apart(documents):
+    rows = [(None, "a b c")] * 3000 + [(7, "x " * 300_000)]
+    got = packing.pack(documents(rows), PATH, group=500).toPandas()
+    assert len(got[got.doc_id.isna()]) == 3000 and (got[got.doc_id.isna()].sequence_id.values >> 32).max() >= 4
+    assert (got.groupby("sequence_id")["length"].sum() <= 2048).all() and list(got.columns) == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
+
+
 def test_ids_equal_the_tokenizers():
     tokenizer, ids = packing.Tokenizer.from_file(PATH), packing.Ids(PATH)
     r = random.Random(2)
