@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,7 +15,7 @@ from .plans import adapters as ad
 from .plans import aml, bank, cloudlogs, incidents, signals, soc, viewer
 from .sources import io, schemas
 from .streaming import stateful
-from .streaming.replay import replay
+from .streaming.replay import replay, shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -731,3 +732,23 @@ def asof_ties(spark, d):
     e = ad.events(spark, d).withColumn("t", F.date_trunc("day", F.col("ts").cast("timestamp_ntz")).cast("timestamp_ntz"))
     versions = e.where("event_type <> 'purchase'").select("user_id", F.col("t").alias("vt"), ((F.col("k") - 50) * F.lit(0.25)).alias("v"))
     return joins.asof_join(e.where("event_type = 'purchase'").select("user_id", "t", "event_id"), versions, on=["user_id"], left_ts="t", right_ts="vt", tiebreak="v", prefix="v_").select("event_id", "v_v")
+
+
+@query(ORACLE_SQL["latest_row"])
+def view_current(spark, d):
+    """A keyed view that four batches write to, one after the other, with whole versions between."""
+    path = f"{shared_dir(spark)}/view-{uuid.uuid4().hex}"
+    rows = ad.events(spark, d).select("user_id", "ts", "event_id", "event_type", "value", "k")
+    for part in range(4):
+        io.materialize(rows.where(F.col("event_id") % 4 == part), path, keys=["user_id"], version_col="ts", changes=2, buckets=4)
+    return io.read_view(spark, path).drop("ts")
+
+
+@query("WITH {E} SELECT user_id, event_id, event_type, ms AS at FROM (SELECT *, row_number() OVER (PARTITION BY user_id, ms ORDER BY event_id DESC) AS r FROM e) WHERE r = 1")
+def changelog_from_files(spark, d):
+    """A keyed change feed, written as JSON records and read by its schema: each version of each key once."""
+    path = f"{shared_dir(spark)}/feed-{uuid.uuid4().hex}"
+    rows = ad.events(spark, d).select("user_id", "event_id", "event_type", ms("ts", "at"), F.lit(1).alias("unknown"))
+    io.to_broker(rows).write.text(path)
+    feed = io.read_changelog(spark, path, "user_id long, event_id long, event_type string, at long, missing string", keys=["user_id"], version_col="at", tiebreak="event_id")
+    return feed.select("user_id", "event_id", "event_type", epoch_ms(F.col("event_time")).alias("at"))

@@ -82,8 +82,64 @@ def test_view_of_changes_is_made_whole_from_time_to_time(spark, tmp_path):
             want[k] = max(want.get(k, (t, v)), (t, v))
         io.materialize(spark.createDataFrame(rows, schema), path, keys=["k"], version_col="t", changes=2)
         assert {r.k: (r.t, r.v) for r in io.read_view(spark, path).collect()} == want
-        assert len(io._parts(spark, path)) <= 3
-    assert len(io._view_folders(spark, path)) <= 7
+        state = io._state(spark, path)
+        assert len(state.changes) <= 2
+    assert len(io._numbers(spark, path)) <= 9 and len(io._names(spark, f"{path}/data")) <= 9
+
+
+def test_batch_and_stream_writers_of_one_view_lose_nothing(replay, spark, tmp_path):
+    """Writers take turns on one view; a stream's batch that is run again changes nothing."""
+    path, schema, want = str(tmp_path / "view"), "k string, t long, v int", {}
+    files = [[(f"k{n}", 50 + n, n), ("shared", n, n)] for n in range(6)]
+    s, _ = replay.feed("c", files, schema)
+
+    def note(rows):
+        for k, t, v in rows:
+            want[k] = max(want.get(k, (t, v)), (t, v))
+
+    from streamctx.sources.io import _upsert
+
+    def both(batch, n):
+        """The stream's batch, another writer's batch between, and the stream's batch again."""
+        _upsert(batch, path, ["k"], "t", 3, 4, "stream", n)
+        mine = [("new", 90 + n, n), ("shared", 100 - n, n), (f"b{n}", 1, n)]
+        note(mine)
+        io.materialize(batch.sparkSession.createDataFrame(mine, schema), path, keys=["k"], version_col="t", changes=3, buckets=4)
+        before = io._state(batch.sparkSession, path).number
+        _upsert(batch, path, ["k"], "t", 3, 4, "stream", n)
+        assert io._state(batch.sparkSession, path).number == before
+        note([tuple(r) for r in batch.collect()])
+        assert {r.k: (r.t, r.v) for r in io.read_view(batch.sparkSession, path).collect()} == want
+
+    s.writeStream.foreachBatch(both).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
+    assert len(want) == 14 and {r.k: (r.t, r.v) for r in io.read_view(spark, path).collect()} == want
+
+
+def test_two_writers_cannot_take_one_number(spark, tmp_path):
+    path = str(tmp_path / "view")
+    io.materialize(spark.createDataFrame([("a", 1)], "k string, t long"), path, keys=["k"], version_col="t")
+    assert io._commit(spark, path, 1, {}) is False
+    assert io._numbers(spark, path) == [1] and [n for n in io._names(spark, f"{path}/_log") if not n.endswith((".json", ".crc"))] == []
+
+
+def test_lookups_read_one_bucket_and_unchanged_buckets_stay(spark, tmp_path):
+    path, schema = str(tmp_path / "view"), "k string, t long, v int"
+    io.materialize(spark.createDataFrame([(f"k{i}", 1, i) for i in range(200)], schema), path, keys=["k"], version_col="t", buckets=8)
+    io.compact_view(spark, path)
+    first = io._state(spark, path).whole["parts"]
+    io.materialize(spark.createDataFrame([("k7", 2, 700)], schema), path, keys=["k"], version_col="t")
+    found = io.lookup_view(spark, path, k="k7")
+    assert [tuple(r) for r in found.collect()] == [("k7", 2, 700)]
+    assert 1 <= len({f.rpartition("/_bucket=")[2].partition("/")[0] for f in found.inputFiles()}) == 1 and len(found.inputFiles()) < len(io.read_view(spark, path).inputFiles()) / 3
+    assert "PushedFilters: [EqualNullSafe(k,k7)]" in found._jdf.queryExecution().executedPlan().toString()
+    io.compact_view(spark, path)
+    second = io._state(spark, path).whole["parts"]
+    assert len(first) == 8 and [b for b in first if first[b] != second[b]] == [found.inputFiles()[0].rpartition("/_bucket=")[2].partition("/")[0]]
+    assert io.lookup_view(spark, path, k="none").count() == 0
+    with pytest.raises(ValueError):
+        io.lookup_view(spark, path, v=1)
+    io.materialize(spark.createDataFrame([], schema), path, keys=["k"], version_col="t")
+    assert io.read_view(spark, path).count() == 200
 
 
 def test_match_stream_equals_batch(replay):
