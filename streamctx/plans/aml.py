@@ -14,7 +14,7 @@ from ..streaming.stateful import asof_enrich_stream
 HIGH_VALUE = 10000
 
 
-def recent_txn_stats(txns: DataFrame, window: str = "1 hour", ts: str = "event_time") -> DataFrame:
+def recent_txn_stats(txns: DataFrame, window: str = "1 hour", ts: str = "event_time", window_col: str | None = None) -> DataFrame:
     """Per customer and tumbling window: transactions, their sum, countries, high amounts; day_bucket_end is the window's end in milliseconds."""
     distinct = F.size(F.collect_set("country_code")).cast("long") if txns.isStreaming else F.countDistinct("country_code")
     stats = tumble_agg(
@@ -28,7 +28,7 @@ def recent_txn_stats(txns: DataFrame, window: str = "1 hour", ts: str = "event_t
             F.sum(F.when(F.col("amount") > HIGH_VALUE, 1).otherwise(0)).alias("high_value_count_1h"),
         ],
         ts=ts,
-        window_col="window" if txns.isStreaming else None,
+        window_col=window_col,
     )
     return stats.withColumn("day_bucket_end", epoch_ms(F.col("window_end")))
 
@@ -47,7 +47,7 @@ def enriched(txns: DataFrame, customers: DataFrame, kyc: DataFrame, sanctions: D
     """
     if txns.isStreaming:
         txns, customers, kyc, sanctions = (df.withWatermark(ts, watermark) for df in (txns, customers, kyc, sanctions))
-        stats = recent_txn_stats(txns, window, ts).withColumn("window_at", F.window_time("window")).drop("window")
+        stats = recent_txn_stats(txns, window, ts, "window").withColumn("window_at", F.window_time("window")).drop("window")
         tables = {"c": (customers, ts), "r": (stats, "window_end", "window_at"), "k": (kyc, ts), "s": (sanctions, ts)}
         out = asof_enrich_stream(txns, tables, on=["customer_id"], ts=ts, watermark=None)
     else:

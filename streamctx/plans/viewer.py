@@ -21,12 +21,12 @@ def weighted_interactions(interactions: DataFrame, content: DataFrame, *, includ
     return joined.withColumnRenamed("cm_title", "title").withColumnRenamed("cm_genres", "genres").withColumn("weighted_interest_score", score)
 
 
-def viewer_interest(interactions: DataFrame, content: DataFrame, *, include_play: bool = False, ts: str = "event_time", size: str = "5 minutes", slide: str = "1 minute", panes: bool = False, time_slice: str | None = None, watermark: str = "10 seconds") -> DataFrame:
-    """Per user, genres and hopping window: interest, abandoned views, whether something was played. On streams also `window`, which carries the watermark to indecisive_viewers."""
+def viewer_interest(interactions: DataFrame, content: DataFrame, *, include_play: bool = False, ts: str = "event_time", size: str = "5 minutes", slide: str = "1 minute", panes: bool = False, time_slice: str | None = None, watermark: str = "10 seconds", window_col: str | None = None) -> DataFrame:
+    """Per user, genres and hopping window: interest, abandoned views, whether something was played. window_col: `window` for indecisive_viewers on a stream."""
     rows = weighted_interactions(interactions, content, include_play=include_play, ts=ts, time_slice=time_slice, watermark=watermark)
     is_ = lambda kind: F.when(F.col("event_type") == kind, 1).otherwise(0)
     parts = {"weighted_interest_score_sum": ("sum", F.col("weighted_interest_score")), "abandoned_views": ("sum", is_("view_details")), "plays": ("sum", is_("play"))}
-    out = hop_agg(rows, ["user_id", "genres"], size, slide, parts, ts=ts, panes=panes, window_col="window" if rows.isStreaming else None)
+    out = hop_agg(rows, ["user_id", "genres"], size, slide, parts, ts=ts, panes=panes, window_col=window_col)
     return out.withColumn("has_played_content", F.col("plays") > 0).drop("plays")
 
 

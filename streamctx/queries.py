@@ -714,7 +714,7 @@ def stream_indecisive_viewers(spark, d):
     def build(s):
         seen = ad.feed(s.where("event_type IN ('view', 'click')"), user_id=F.col("user_id"), content_id=F.col("k") % 7, event_type=F.when(F.col("event_type") == "view", "view_details").otherwise("hover"))
         content = ad.feed(s.where("event_type = 'signup'"), content_id=F.col("k") % 7, title=ad.s("event_id"), genres=F.concat(F.lit("g"), F.col("k") % 3))
-        out = viewer.indecisive_viewers(viewer.viewer_interest(seen, content, size="24 hours", slide="1 hour"))
+        out = viewer.indecisive_viewers(viewer.viewer_interest(seen, content, size="24 hours", slide="1 hour", window_col="window"))
         return out.select(ms("window_start"), "user_id", "cnt", "genres_list", "weighted_interest_score_sum_list", "abandoned_views_in_window")
 
     return _replayed(spark, d, build)
