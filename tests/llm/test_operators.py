@@ -324,12 +324,15 @@ def test_licenses_against_every_start():
             if any(ws[k : k + len(p)] == p for k in range(len(ws))):
                 base.add(label)
                 score = 0.5
-        for t, needed in zip(licenses.TEMPLATES, index.needed, strict=True):
+        for t in licenses.TEMPLATES:
             words_, keys = t.words.encode().split(), [k.encode().split() for k in t.keys]
+            rare = sorted(range(len(words_)), key=lambda i: (-index.idf[words_[i]], words_[i], i))[:12]
             for start in range(-len(words_), len(ws)):
-                same = sum(0 <= start + i < len(ws) and ws[start + i] == w for i, w in enumerate(words_))
+                there = [i for i, w in enumerate(words_) if 0 <= start + i < len(ws) and ws[start + i] == w]
+                same = len(there)
                 span = ws[max(0, start - index.slack) : max(0, start + len(words_) + index.slack)]
-                if same >= needed and all(any(span[i : i + len(k)] == k for i in range(len(span))) for k in keys):
+                weight = lambda at, w=words_: index.idf[w[at]]
+                if 2 * sum(weight(i) for i in rare if i in there) >= sum(map(weight, rare)) and all(any(span[i : i + len(k)] == k for i in range(len(span))) for k in keys):
                     labels.add(t.label)
                     score = max(score, same / len(words_))
         got = index.scan(ws)
@@ -340,6 +343,27 @@ def test_licenses_against_every_start():
     assert all({a.label, b.label} <= set(index.scan(f"{a.words} word {b.words}".encode().split())[2]) for a, b in both)
 
 
+def test_licenses_with_thousands_of_templates(documents):
+    """What a file costs follows from the rare words it has, not from the number of templates."""
+    own = [licenses.Template(f"t{i}", f"use of the work number{i} is granted by holder{i} under the terms of the charter{i} license", (f"number{i} is granted", f"charter{i} license")) for i in range(3000)]
+    texts = [f"{words(300, i)} {own[7 * i].words} {words(200, -i)} the license of the terms under the use of" for i in range(20)]
+    rows = [(i, t) for i, t in enumerate(texts)]
+    got = {r.doc_id: r for r in licenses.scan_licenses(documents(rows).withColumn("labels", F.lit("x")), templates=own).collect()}
+    assert all(got[i].labels == f"t{7 * i}" and got[i].score == 1 for i in range(20))
+    index = licenses.Index({w.encode(): 20 for w in "use of the work is granted by under terms license".split()}, 20, own)
+    for t in texts:
+        ws = [w.encode() for w in t.split()]
+        places = {w: [i for i, x in enumerate(ws) if x == w] for w in index.asked.intersection(ws)}
+        assert 1 <= len(index.starts(places)) < 10
+
+
+def test_licenses_null_ids_and_empty_templates(spark):
+    docs = spark.createDataFrame([(None, "released under the mit license"), (None, None)], "doc_id long, text string")
+    got = sorted(map(tuple, licenses.scan_licenses(docs).collect()), key=str)
+    assert got == [(None, 0, 0, None, None, "", "", 0.0), (None, 5, 1, 3, 3, "mit", "mit", 1.0)]
+    assert sorted(r.labels for r in licenses.scan_licenses(docs, templates=()).collect()) == ["", "mit"]
+
+
 def test_licenses_in_one_very_long_text(documents):
     passages = {t.label: t.words for t in licenses.TEMPLATES if t.label in ("bsd", "isc", "mpl-2.0", "unlicense", "cc-by")}
     passages["mit"] = licenses.TEMPLATES[1].words
