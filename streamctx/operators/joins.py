@@ -6,7 +6,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DataType, MapType, StructType, VariantType
+from pyspark.sql.types import ArrayType, DataType, MapType, StructType, TimestampNTZType, TimestampType, VariantType
 from pyspark.sql.window import Window
 
 from ..functions.scalars import epoch_us
@@ -15,6 +15,37 @@ from ..functions.scalars import epoch_us
 BROADCAST_BYTES = 32 << 20
 
 
+#: Rows of one key that are sorted in one run; a key of more is cut into slices of time, HOT_SLICES at most.
+HOT_ROWS, HOT_SLICES = 1_000_000, 1_000
+#: Inputs that are no larger by the optimizer's estimate aren't searched for hot keys.
+SMALL_BYTES = 64 << 20
+
+
+def _estimate(df: DataFrame) -> int:
+    """The bytes of a frame by the optimizer's estimate, which is large where nothing is known."""
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+
+
+def hot_slices(rows: DataFrame, keys: Sequence[str], ts: str, hot_rows: int) -> DataFrame | None:
+    """The keys with over hot_rows rows and `cuts`, the quantiles (epoch microseconds) that cut their rows into slices of about hot_rows; None if no key is hot.
+
+    Two partial aggregations over keys and times alone; the second is of hot keys' rows. There are at most (all rows / hot_rows) hot keys and as many cuts.
+    """
+    hot = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot_rows).persist()
+    most = hot.agg(F.max("_n")).first()[0]
+    if most is None:
+        hot.unpersist()
+        return None
+    n = min(HOT_SLICES, -(-most // hot_rows))
+    small = F.broadcast if _fits(hot, BROADCAST_BYTES) else (lambda df: df)
+    every = F.percentile_approx(F.col("_us"), [i / n for i in range(1, n)], max(10_000, 10 * n)).alias("_every")
+    found = rows.select(*keys, epoch_us(F.col(ts)).alias("_us")).join(small(hot), list(keys)).groupBy(*keys, "_n").agg(every)
+    own = F.least(F.lit(n), F.ceil(F.col("_n") / hot_rows)).cast("int")
+    cuts = F.transform(F.sequence(F.lit(1), own - 1), lambda i: F.element_at("_every", F.ceil(i * n / own).cast("int")))
+    out = found.select(*keys, F.array_distinct(cuts).alias("cuts")).persist()
+    return F.broadcast(out) if _fits(out, BROADCAST_BYTES) else out
+
+
 def _fits(df: DataFrame, most: int) -> bool:
     text = F.coalesce(F.octet_length(F.to_json(F.struct("*"))), F.lit(0)) if df.columns else F.lit(0)
     return (df.agg(F.sum(text + 16 * len(df.columns))).first()[0] or 0) <= most
@@ -65,7 +96,7 @@ def version_order(df: DataFrame, tiebreak: str | None) -> list[str]:
     return [*([tiebreak] if tiebreak in df.columns else []), *[f.name for f in df.schema if _ordered_type(f.dataType)]]
 
 
-def asof_enrich(fact: DataFrame, tables: Mapping[str, tuple[DataFrame, str]], *, on: Sequence[str], ts: str, tiebreak: str | None = None, time_slice: str | None = None) -> DataFrame:
+def asof_enrich(fact: DataFrame, tables: Mapping[str, tuple[DataFrame, str]], *, on: Sequence[str], ts: str, tiebreak: str | None = None, time_slice: str | None = None, hot_rows: int | None = None) -> DataFrame:
     """fact with, for each table, a struct column of its version that was current at `ts` (the greatest version <= ts; NULL if none).
 
     All tables are joined by one shuffle and one sort: facts and versions are put in one order by key
@@ -73,18 +104,19 @@ def asof_enrich(fact: DataFrame, tables: Mapping[str, tuple[DataFrame, str]], *,
     Facts with a NULL key or time match nothing. Equal versions of a key are ordered by version_order.
     time_slice (such as "1 day"): sorts each key's rows by slices of time, and hands the last versions on
     from slice to slice, so that one hot key is many tasks.
+    hot_rows: without time_slice, keys of more rows are found by a count of keys and cut at quantiles of their times; other keys' rows stay whole. By default HOT_ROWS,
+    without a search if the inputs are small; 0: no search. The rows are the same in each case.
     """
     sides, keys = [f"v{i}" for i in range(len(tables))], [f"k{i}" for i in range(len(on))]
     kinds = [df.schema for df, _ in tables.values()]
     none = [F.lit(None).cast(kind) for kind in kinds]
-    slice_of = (lambda t: F.floor(epoch_us(t) / _micros(time_slice))) if time_slice else (lambda t: F.lit(0))
 
     def rows(df: DataFrame, time: str, own: int | None) -> DataFrame:
         whole = F.struct(*[F.col(f"`{c}`") for c in df.columns])
         cols = [(whole if i == own else none[i]).alias(side) for i, side in enumerate(sides)]
         mine = whole if own is None else F.lit(None).cast(fact.schema)
         at = F.col(f"`{time}`")
-        return df.select(*[F.col(f"`{c}`").alias(k) for c, k in zip(on, keys, strict=True)], slice_of(at).alias("slice"), at.alias("t"), F.lit(int(own is None)).alias("side"), mine.alias("fact"), *cols)
+        return df.select(*[F.col(f"`{c}`").alias(k) for c, k in zip(on, keys, strict=True)], at.alias("t"), F.lit(int(own is None)).alias("side"), mine.alias("fact"), *cols)
 
     every = rows(_no_nulls(fact, [*on, ts]), ts, None)
     for i, (df, version) in enumerate(tables.values()):
@@ -95,20 +127,35 @@ def asof_enrich(fact: DataFrame, tables: Mapping[str, tuple[DataFrame, str]], *,
         first = [F.col(f"{side}.`{tiebreak}`")] if tiebreak in df.columns else []
         rest = F.col(side) if _ordered_type(kind) else F.struct(F.col(side).isNotNull(), *[F.col(f"{side}.`{c}`").alias(c) for c in version_order(df, None)])
         orders.append([*first, rest])
-    if time_slice:
+    every, sliced = _in_slices(every, keys, time_slice, hot_rows)
+    if sliced:
         last = [F.max_by(F.col(side), F.when(F.col(side).isNotNull(), F.struct("t", *order))).alias(side) for side, order in zip(sides, orders, strict=True)]
         past = Window.partitionBy(*keys).orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
-        ends = every.groupBy(*keys, "slice").agg(*last).select(*keys, "slice", *[F.last(side, ignorenulls=True).over(past).alias(side) for side in sides])
-        handed = ends.select(*keys, "slice", F.lit(None).cast(every.schema["t"].dataType).alias("t"), F.lit(-1).alias("side"), F.lit(None).cast(fact.schema).alias("fact"), *sides)
+        ends = every.where("slice IS NOT NULL").groupBy(*keys, "slice").agg(*last).select(*keys, "slice", *[F.last(side, ignorenulls=True).over(past).alias(side) for side in sides])
+        handed = ends.select(*keys, F.lit(None).cast(every.schema["t"].dataType).alias("t"), F.lit(-1).alias("side"), F.lit(None).cast(fact.schema).alias("fact"), *sides, "slice")
         every = every.unionByName(handed)
-    w = Window.partitionBy(*keys, *(["slice"] if time_slice else [])).orderBy(F.asc_nulls_first("t"), "side", *[c for order in orders for c in order]).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    w = Window.partitionBy(*keys, *(["slice"] if sliced else [])).orderBy(F.asc_nulls_first("t"), "side", *[c for order in orders for c in order]).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     out = every.select("fact", *[F.last(side, ignorenulls=True).over(w).alias(side) for side in sides]).where("fact IS NOT NULL")
     out = out.select("fact.*", *[F.col(side).alias(n) for side, n in zip(sides, tables, strict=True)])
     lost = fact.where(" OR ".join(f"`{c}` IS NULL" for c in [*on, ts])).select("*", *[v.alias(n) for v, n in zip(none, tables, strict=True)])
     return out.unionByName(lost)
 
 
-def asof_join(left: DataFrame, right: DataFrame, *, on: Sequence[str], left_ts: str, right_ts: str, how: str = "left", tiebreak: str | None = None, prefix: str = "", broadcast: bool = False, time_slice: str | None = None) -> DataFrame:
+def _in_slices(rows: DataFrame, keys: Sequence[str], time_slice: str | None, hot_rows: int | None) -> tuple[DataFrame, bool]:
+    """rows with `slice`, the number of the slice of time (NULL: of a key that stays whole), and whether there are any slices."""
+    if time_slice:
+        return rows.withColumn("slice", F.floor(epoch_us(F.col("t")) / _micros(time_slice))), True
+    timed = isinstance(rows.schema["t"].dataType, TimestampType | TimestampNTZType)
+    if hot_rows == 0 or not timed or not keys or (hot_rows is None and _estimate(rows) <= SMALL_BYTES):
+        return rows, False
+    hot = hot_slices(rows.select(*keys, "t"), keys, "t", hot_rows or HOT_ROWS)
+    if hot is None:
+        return rows, False
+    at = F.when(F.col("cuts").isNotNull(), F.size(F.filter("cuts", lambda cut: cut < epoch_us(F.col("t")))).cast("long"))
+    return rows.join(hot, list(keys), "left").withColumn("slice", at).drop("cuts"), True
+
+
+def asof_join(left: DataFrame, right: DataFrame, *, on: Sequence[str], left_ts: str, right_ts: str, how: str = "left", tiebreak: str | None = None, prefix: str = "", broadcast: bool = False, time_slice: str | None = None, hot_rows: int | None = None) -> DataFrame:
     """left with the columns of right's version that was current at left_ts (right's keys left out, its other names prefixed).
 
     how: left, or inner to drop rows without a version. broadcast: right is thought to be small; if its rows have at most BROADCAST_BYTES (they are summed up), it is joined as
@@ -127,7 +174,7 @@ def asof_join(left: DataFrame, right: DataFrame, *, on: Sequence[str], left_ts:
             match &= F.col(c) == F.col(k)
         return left.join(F.broadcast(ranges), match, how).drop(from_, to, *keys)
     name = _free("_version", left)
-    out = asof_enrich(left, {name: (right, right_ts)}, on=on, ts=left_ts, tiebreak=tiebreak, time_slice=time_slice)
+    out = asof_enrich(left, {name: (right, right_ts)}, on=on, ts=left_ts, tiebreak=tiebreak, time_slice=time_slice, hot_rows=hot_rows)
     if how == "inner":
         out = out.where(F.col(name).isNotNull())
     return out.select(*[F.col(f"`{c}`") for c in left.columns], *[F.col(f"{name}.`{c}`").alias(f"{prefix}{c}") for c in others])

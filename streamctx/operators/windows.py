@@ -2,16 +2,64 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .joins import _micros
 
-#: An aggregate that can be summed over panes: its kind (sum, count, max, min) and its column.
+#: An aggregate of windows, whole or merged from panes: its kind (a name in _KINDS) and its column.
 Part = tuple[str, Column]
-_KINDS = {"sum": (F.sum, F.sum), "count": (F.count, F.sum), "max": (F.max, F.max), "min": (F.min, F.min)}
+
+
+class _Kind(NamedTuple):
+    """direct: over a window's rows; of_pane: what a pane holds; merged: over the panes of a window."""
+
+    direct: Callable[[Column], Column]
+    of_pane: Callable[[Column], Column]
+    merged: Callable[[Column], Column]
+
+
+def _moments(col: Column) -> Column:
+    """Count, mean and sum of squared distances from it."""
+    x = col.cast("double")
+    return F.struct(F.count(x).alias("n"), F.avg(x).alias("mean"), (F.var_pop(x) * F.count(x)).alias("m2"))
+
+
+def _pooled(panes: Column) -> Column:
+    """The moments of several panes' rows: a window has a fixed number of panes. Squares of large means are never subtracted."""
+    none = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0.0).alias("mean"), F.lit(0.0).alias("m2"))
+
+    def add(a: Column, b: Column) -> Column:
+        n, gap = a["n"] + b["n"], b["mean"] - a["mean"]
+        return F.struct(n.alias("n"), (a["mean"] + gap * b["n"] / n).alias("mean"), (a["m2"] + b["m2"] + gap * gap * a["n"] * b["n"] / n).alias("m2"))
+
+    return F.aggregate(F.filter(F.collect_list(panes), lambda p: p["n"] > 0), none, add)
+
+
+def _mean(panes: Column) -> Column:
+    m = _pooled(panes)
+    return F.when(m["n"] > 0, m["mean"])
+
+
+def _stddev(panes: Column) -> Column:
+    m = _pooled(panes)
+    return F.when(m["n"] > 1, F.sqrt(m["m2"] / (m["n"] - 1)))
+
+
+_KINDS = {
+    "sum": _Kind(F.sum, F.sum, F.sum),
+    "count": _Kind(F.count, F.count, F.sum),
+    "max": _Kind(F.max, F.max, F.max),
+    "min": _Kind(F.min, F.min, F.min),
+    "avg": _Kind(lambda c: F.avg(c.cast("double")), _moments, _mean),
+    "stddev": _Kind(lambda c: F.stddev_samp(c.cast("double")), _moments, _stddev),
+    # exact, by sets of values; and by sketches of fixed size
+    "distinct": _Kind(lambda c: F.size(F.collect_set(c)).cast("long"), F.collect_set, lambda sets: F.size(F.array_distinct(F.flatten(F.collect_list(sets)))).cast("long")),
+    "approx_distinct": _Kind(lambda c: F.hll_sketch_estimate(F.hll_sketch_agg(c)), F.hll_sketch_agg, lambda c: F.hll_sketch_estimate(F.hll_union_agg(c))),
+}
 
 
 def tumble_agg(df: DataFrame, keys: Sequence[str], size: str, aggs: Sequence[Column], *, ts: str = "event_time", watermark: str | None = None, window_col: str | None = None) -> DataFrame:
@@ -30,20 +78,20 @@ def _windowed(df: DataFrame, keys: Sequence[str], window: Column, aggs: Sequence
 def hop_agg(df: DataFrame, keys: Sequence[str], size: str, slide: str, aggs: Mapping[str, Part], *, ts: str = "event_time", watermark: str | None = None, panes: bool = False, window_col: str | None = None) -> DataFrame:
     """window_start, window_end, keys and the aggregates of each hopping window. window_col (without panes): as in tumble_agg.
 
-    panes (batch): rows are first aggregated to panes of `slide`, and panes, not rows, are copied to
+    Kinds: sum, count, max, min, avg and stddev (of a sample) as doubles, distinct (exact) and approx_distinct (a sketch). panes (batch): rows are first aggregated to panes of `slide`, and panes, not rows, are copied to
     the windows they lie in; size must be a multiple of slide.
     """
-    direct = [_KINDS[kind][0](col).alias(name) for name, (kind, col) in aggs.items()]
+    direct = [_KINDS[kind].direct(col).alias(name) for name, (kind, col) in aggs.items()]
     if not panes:
         return _windowed(df, keys, F.window(ts, size, slide), direct, ts, watermark, window_col)
     n, rest = divmod(_micros(size), _micros(slide))
     if rest:
         raise ValueError(f"{size} is not a multiple of {slide}")
-    pane = _windowed(df, keys, F.window(ts, slide), direct, ts, None)
+    pane = _windowed(df, keys, F.window(ts, slide), [_KINDS[kind].of_pane(col).alias(name) for name, (kind, col) in aggs.items()], ts, None)
     step = F.expr(f"INTERVAL {slide}")
     starts = F.explode(F.array(*[F.col("window_start") - step * i for i in range(n)]))
     spread = pane.select(starts.alias("window_start"), *keys, *aggs)
-    out = spread.groupBy("window_start", *keys).agg(*[_KINDS[kind][1](name).alias(name) for name, (kind, _) in aggs.items()])
+    out = spread.groupBy("window_start", *keys).agg(*[_KINDS[kind].merged(F.col(name)).alias(name) for name, (kind, _) in aggs.items()])
     return out.select("window_start", (F.col("window_start") + F.expr(f"INTERVAL {size}")).alias("window_end"), *keys, *aggs)
 
 

@@ -126,6 +126,12 @@ def asof_sliced(spark, d):
     return _asof_enrich(spark, d, time_slice="7 days")
 
 
+@query(ORACLE_SQL["asof_enrich"])
+def asof_hot_keys(spark, d):
+    """Keys of over 40 rows are hot and cut at quantiles of their times; the others stay whole."""
+    return _asof_enrich(spark, d, hot_rows=40)
+
+
 @query("""WITH {E}, p AS (SELECT * FROM e WHERE event_type = 'purchase'), s AS (SELECT user_id, date_trunc('day', ts) + INTERVAL 1 DAY AS w, count(*) AS n FROM e GROUP BY ALL)
     SELECT p.event_id, s.n, epoch_ms(s.w) AS w FROM p ASOF LEFT JOIN s ON p.user_id = s.user_id AND p.ts >= s.w""")
 def asof_window_feature(spark, d):

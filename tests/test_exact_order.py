@@ -55,7 +55,7 @@ def test_ties_in_all_forms(spark, tmp_path, kind):
     for seed in range(2):
         rows = [(1, at(20), v) for v in random.Random(seed).sample(values, len(values))]
         versions = spark.createDataFrame(rows, schema)
-        for how in ({}, {"time_slice": "15 seconds"}, {"broadcast": True}):
+        for how in ({}, {"time_slice": "15 seconds"}, {"broadcast": True}, {"hot_rows": 1}):
             (r,) = joins.asof_join(facts, versions, on=["k"], left_ts="t", right_ts="vt", tiebreak="tie", **how).collect()
             assert (tuple(r.tie) if isinstance(want, tuple) else bytes(r.tie) if isinstance(want, bytes) else r.tie) == want
     if kind not in ("double", "decimal(38,4)", "string ", "binary", "array<int>"):  # integers, structs and times: below and in test_streaming
@@ -251,3 +251,31 @@ def test_longest_matches_on_a_stream_equal_the_batch(spark, tmp_path):
         want = patterns.match_longest(spark.createDataFrame(rows, schema), by=["p"], ts="t", tiebreak=["seq"], defines=symbols(), pattern=pattern)
         shown = lambda df: sorted((x.p, x["first"].seq, x["last"].seq, x.rows, x["first"].t) for x in df.collect())
         assert shown(got) == shown(want) and len(shown(want)) > 10
+
+
+def test_hot_keys_are_cut_at_quantiles_and_the_others_stay_whole(spark):
+    r = random.Random(8)
+    facts = [(i, 1 if i % 3 else r.randrange(2, 40), at(r.randrange(4) if i % 2 else r.randrange(10**6))) for i in range(3000)] + [(9000, None, at(1)), (9001, 1, None)]
+    versions = [(1 if r.random() < 0.5 else r.randrange(2, 40), at(r.randrange(10**6)), n) for n in range(1500)] + [(None, at(1), -1), (1, None, -2)]
+    left = spark.createDataFrame(facts, "id long, k long, t timestamp")
+    right = spark.createDataFrame(versions, "k long, vt timestamp, n long")
+    both = left.select("k", "t").union(right.select("k", "vt")).where("k IS NOT NULL AND t IS NOT NULL")
+    (hot,) = joins.hot_slices(both, ["k"], "t", 200).collect()
+    assert hot.k == 1 and 5 < len(hot.cuts) < 15 and hot.cuts == sorted(set(hot.cuts))
+    assert joins.hot_slices(both, ["k"], "t", 10**6) is None
+    join = lambda **how: sorted(joins.asof_join(left, right, on=["k"], left_ts="t", right_ts="vt", tiebreak="n", **how).select("id", "n").collect(), key=str)
+    assert join(hot_rows=200) == join(hot_rows=3) == join(hot_rows=0) == join(broadcast=True)
+    assert join(hot_rows=200) == sorted([(i, max([(t2, n) for k2, t2, n in versions if k2 is not None and k2 == k and t2 and t and t2 <= t], default=(None, None))[1]) for i, k, t in facts], key=str)
+
+
+def test_small_inputs_are_not_searched_for_hot_keys(spark, tmp_path, monkeypatch):
+    spark.createDataFrame([(i, 1, at(i)) for i in range(50)], "id long, k long, t timestamp").write.parquet(str(tmp_path / "f"))
+    f = spark.read.parquet(str(tmp_path / "f"))
+    v = f.select("k", "t", F.col("id").alias("n"))
+    searched = []
+    monkeypatch.setattr(joins, "hot_slices", lambda *a: searched.append(a))
+    joins.asof_join(f, v, on=["k"], left_ts="t", right_ts="t", prefix="v_")
+    assert not searched
+    monkeypatch.setattr(joins, "SMALL_BYTES", 10)
+    joins.asof_join(f, v, on=["k"], left_ts="t", right_ts="t", prefix="v_")
+    assert len(searched) == 1 and searched[0][3] == joins.HOT_ROWS

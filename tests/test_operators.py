@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from streamctx.functions import scalars
-from streamctx.functions.model import enrich_with_model, parse_model_reply
+from streamctx.functions.model import enrich_with_model, parse_model_reply, stored_replies
 from streamctx.operators import joins, patterns, windows
 
 T0 = datetime(2024, 1, 1)
@@ -187,3 +187,46 @@ def test_model_replies(spark):
     assert sorted(((r.prompt, r.model_reply) for r in asked.collect()), key=str) == sorted([("p", "P"), ("p", "P"), ("q", "Q"), (None, None)], key=str)
     text = frame(spark, [(None,)], "x string").select(scalars.prompt("x is ", F.col("x"))).first()[0]
     assert text == "x is unknown"
+
+
+def test_panes_merge_means_deviations_and_distinct_counts(spark):
+    r = random.Random(3)
+    rows = [(r.choice(["a", "b", None]), at(60 * r.randrange(400)), None if r.random() < 0.1 else 1e9 + r.random(), r.randrange(5)) for _ in range(500)] + [("one", at(0), 5.0, 1), ("none", at(0), None, None)]
+    df = frame(spark, rows, "k string, event_time timestamp, x double, y long")
+    aggs = {"mean": ("avg", F.col("x")), "dev": ("stddev", F.col("x")), "n": ("count", F.col("x")), "kinds": ("distinct", F.col("y")), "about": ("approx_distinct", F.col("y"))}
+    plain, panes = (windows.hop_agg(df, ["k"], "60 minutes", "10 minutes", aggs, panes=p).collect() for p in (False, True))
+    key = lambda x: (x.window_start, x.window_end, str(x.k))
+    assert len(plain) == len(panes) > 50
+    for a, b in zip(sorted(plain, key=key), sorted(panes, key=key), strict=True):
+        assert (key(a), a.n, a.kinds, a.about) == (key(b), b.n, b.kinds, b.about) and a.about == a.kinds
+        assert a.mean == b.mean or abs(a.mean - b.mean) < 1e-5
+        assert a.dev == b.dev or abs(a.dev - b.dev) < 1e-5
+
+
+def test_replies_are_stored_and_asked_once(spark, tmp_path):
+    calls, store = tmp_path / "calls", str(tmp_path / "store")
+    calls.mkdir()
+    bad = str(tmp_path / "bad")
+    open(bad, "w").close()
+
+    def client(prompts):
+        import os
+        import uuid
+
+        for p in prompts:
+            open(f"{calls}/{p}-{uuid.uuid4().hex}", "w").close()
+        if "q" in prompts and os.path.exists(bad):
+            raise OSError("no answer")
+        return [p.upper() for p in prompts]
+
+    asked = lambda *ps: sorted(tuple(x) for x in stored_replies(frame(spark, [(p,) for p in ps], "prompt string").coalesce(1), "prompt", client, store=store, retries=2).select("prompt", "model_reply", "model_error").collect())
+    count = lambda p: sum(f.name.startswith(f"{p}-") for f in calls.iterdir())
+    first = asked("p", "p", "q", "r")
+    assert [x[:2] for x in first] == [("p", "P"), ("p", "P"), ("q", None), ("r", "R")] and "no answer" in first[2][2]
+    before = {p: count(p) for p in "pqr"}
+    (tmp_path / "bad").unlink()
+    assert asked("p", "q", "r", "s") == [("p", "P", None), ("q", "Q", None), ("r", "R", None), ("s", "S", None)]
+    assert count("p") == before["p"] and count("r") == before["r"] and count("q") == before["q"] + 1 and count("s") == 1
+    assert asked("p", "q", "s") == [("p", "P", None), ("q", "Q", None), ("s", "S", None)] and count("q") == before["q"] + 1
+    got = stored_replies(frame(spark, [(None,)], "prompt string"), "prompt", client, store=store).collect()
+    assert [(x.prompt, x.model_reply, x.model_error) for x in got] == [(None, None, None)]
