@@ -231,18 +231,24 @@ def band_join(left: DataFrame, right: DataFrame, *, left_ts: str, right_ts: str,
     return interval_join(left, right, on=[], left_ts=left_ts, right_ts=right_ts, within=within, how=how, bucketed=True, prefix=prefix)
 
 
-def correlate(audit: DataFrame, logs: DataFrame, *, keys: Sequence[str] = ("opcrequestid", "besttraceid"), audit_ts: str, log_ts: str, within: str, prefix: str = "audit_") -> DataFrame:
+def correlate(audit: DataFrame, logs: DataFrame, *, keys: Sequence[str] = ("opcrequestid", "besttraceid"), audit_ts: str, log_ts: str, within: str, prefix: str = "audit_", watermark: str = "10 seconds") -> DataFrame:
     """Each log row with the audit rows that share its first key; log rows that match none by it are matched by the next key.
 
-    Rows with a NULL key don't take part in that key's join. `matched_on` names the key. Time buckets join the keys, so that a busy key is many small groups.
+    Rows with a NULL key don't take part in that key's join. `matched_on` names the key. In batches time buckets join the keys, so that a busy key is many small groups.
+    On streams (both sides; each waits for `watermark`) the rows that the first join gives up at the watermark feed the next one.
     """
+    streams = audit.isStreaming and logs.isStreaming
+    if streams:
+        audit, logs = audit.withWatermark(audit_ts, watermark), logs.withWatermark(log_ts, watermark)
     hit, matched, key, at, new, near = (_free(n, logs) for n in ("_hit", "matched_on", "_key", "_at", "_new", "_near"))
     out = logs.withColumn(hit, F.lit(None).cast(audit.schema)).withColumn(matched, F.lit(None).cast("string"))
     for k in keys:
-        mine = audit.where(F.col(k).isNotNull()).select(F.col(k).alias(key), F.col(audit_ts).alias(at), F.struct(*[F.col(f"`{c}`") for c in audit.columns]).alias(new), F.explode(_near(F.col(audit_ts), within)).alias(near))
-        close = F.abs(epoch_us(F.col(log_ts)) - epoch_us(F.col(at))) <= _micros(within)
+        mine = audit.where(F.col(k).isNotNull()).select(F.col(k).alias(key), F.col(audit_ts).alias(at), F.struct(*[F.col(f"`{c}`") for c in audit.columns]).alias(new), (F.lit(None) if streams else F.explode(_near(F.col(audit_ts), within))).alias(near))
+        close = (F.col(at) >= F.col(log_ts) - _interval(within)) & (F.col(at) <= F.col(log_ts) + _interval(within))
+        if not streams:
+            close &= bucket_of(F.col(log_ts), within) == F.col(near)
         # rows that are matched already take part with a NULL key
-        out = out.join(mine, (F.when(F.col(hit).isNull(), F.col(k)) == F.col(key)) & (bucket_of(F.col(log_ts), within) == F.col(near)) & close, "left")
+        out = out.join(mine, (F.when(F.col(hit).isNull(), F.col(k)) == F.col(key)) & close, "left")
         out = out.withColumn(matched, F.coalesce(matched, F.when(F.col(new).isNotNull(), F.lit(k))))
         out = out.withColumn(hit, F.coalesce(hit, new)).drop(key, at, new, near)
     return out.where(F.col(hit).isNotNull()).select(*[F.col(f"`{c}`") for c in logs.columns], F.col(matched).alias("matched_on"), *[F.col(f"{hit}.`{c}`").alias(f"{prefix}{c}") for c in audit.columns])

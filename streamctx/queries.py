@@ -758,3 +758,16 @@ def changelog_from_files(spark, d):
     io.to_broker(rows).write.text(path)
     feed = io.read_changelog(spark, path, "user_id long, event_id long, event_type string, at long, missing string", keys=["user_id"], version_col="at", tiebreak="event_id")
     return feed.select("user_id", "event_id", "event_type", epoch_ms(F.col("event_time")).alias("at"))
+
+
+@query(ORACLE_SQL["correlate"])
+def stream_correlate(spark, d):
+    """The correlation job as one stream: what the join by the first key gives up at the watermark feeds the join by the second."""
+
+    def build(s):
+        s = s.withColumn("props", F.lit("x")).withColumn("k", F.when(F.col("user_id") < 0, 1).otherwise(F.col("k")))  # closing rows pass both filters
+        logs = cloudlogs.normalize_function_logs(ad.function_log_raw(s.where("event_type = 'view'")))
+        audit = cloudlogs.normalize_audit(ad.audit_raw(s.where("event_type <> 'view'")))
+        return cloudlogs.trace_errors_to_actions(logs, audit, "12 hours").select("functionid", "audit_resourceid", "matched_on")
+
+    return _replayed(spark, d, build, closing="functionid <> '-1'")

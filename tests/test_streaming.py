@@ -238,3 +238,42 @@ def test_descriptions(spark):
         assert rows["Comment"] == "who's \\ it"
     finally:
         spark.sql("DROP TABLE described")
+
+
+def test_a_silent_feed_with_heartbeats(replay, spark):
+    """With the `min` policy a silent change feed holds facts back; with heartbeats none waits and no version is lost."""
+    from streamctx.streaming.idle import with_heartbeats
+
+    facts = [[(1, 1, at(5))], [(2, 1, at(300)), (3, None, at(310))], [(4, 5, at(FAR))], [(5, 5, at(2 * FAR))]]
+    fs, fb = replay.feed("f", facts, "id long, k long, t timestamp")
+    vs, vb = replay.feed("v", [[(1, at(0), "a"), (1, at(200), "b")]], "k long, vt timestamp, v string")
+    beats, _ = replay.feed("b", [[(at(10),)], [(at(400),)], [(at(FAR),)], [(at(2 * FAR),)]], "vt timestamp")
+    silent = stateful.asof_stream(fs, vs, on=["k"], left_ts="t", right_ts="vt", watermark="60 seconds")
+    with_beats = stateful.asof_stream(fs.withWatermark("t", "60 seconds"), with_heartbeats(vs, "vt", "60 seconds", beats), on=["k"], left_ts="t", right_ts="vt", watermark=None)
+    held = {r.id for r in replay.result(silent).collect()}
+    other = Replay(spark, replay.folder / "second")
+    got = sorted((r.id, r.v) for r in other.result(with_beats).collect() if r.id < 4)
+    assert got == [(1, "a"), (2, "b"), (3, None)] and not {2, 4} & held
+
+
+def test_an_idle_input_with_the_max_policy(replay, spark):
+    """`max` lets the busy feed alone move the watermark; rows of the slow one behind it are dropped."""
+    from streamctx.streaming.replay import stream_session
+
+    replay.spark = stream_session(spark, "max")
+    ls, _ = replay.feed("l", [[(1, 1, at(0)), (2, 1, at(50))], [(3, 5, at(FAR))], [(4, 5, at(2 * FAR))], [(5, 5, at(3 * FAR))]], "id long, k long, t timestamp")
+    rs, _ = replay.feed("r", [[(1, 1, at(10))]], "rid long, k long, rt timestamp")
+    join = joins.interval_join(ls.withWatermark("t", "10 seconds"), rs.withWatermark("rt", "10 seconds"), on=["k"], left_ts="t", right_ts="rt", within="30 seconds", how="left")
+    got = sorted((r.id, r.rid) for r in replay.result(join.select("id", "rid")).collect() if r.id < 4)
+    assert got == [(1, 1), (2, None), (3, None)]
+
+
+def test_correlation_of_two_streams_with_a_fallback_key(replay):
+    logs = [[(1, "a", "x", at(0)), (2, "b", "x", at(5)), (3, None, "y", at(6)), (4, None, None, at(7))], [(5, "a", "z", at(40)), (6, "c", "y", at(41))], [(7, "far", "far", at(FAR))], [(8, "far", "far", at(2 * FAR))]]
+    audit = [[("p", "a", "z", at(1)), ("q", None, "x", at(3))], [("r", "q", "y", at(30)), ("s", "a", "z", at(45)), ("t", "a", None, at(46))], [("u", "far", "far", at(FAR))], [("w", "far", "far", at(2 * FAR))]]
+    ls, lb = replay.feed("l", logs, "id long, opcrequestid string, besttraceid string, t timestamp")
+    as_, ab = replay.feed("a", audit, "a string, opcrequestid string, besttraceid string, at timestamp")
+    join = lambda a, b: joins.correlate(a, b, audit_ts="at", log_ts="t", within="25 seconds").select("id", "matched_on", "audit_a")
+    rows = lambda df: sorted(tuple(r) for r in df.where("id < 7").collect())
+    want = [(1, "opcrequestid", "p"), (2, "besttraceid", "q"), (3, "besttraceid", "r"), (5, "opcrequestid", "s"), (5, "opcrequestid", "t"), (6, "besttraceid", "r")]
+    assert rows(replay.result(join(as_, ls))) == want == rows(join(ab, lb))
