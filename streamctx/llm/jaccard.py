@@ -274,8 +274,11 @@ def whole_cells(them: Iterator[pa.RecordBatch], rows: int = 20_000, size: int =
         yield pa.Table.from_batches(held)
 
 
-def walk(cells: DataFrame, maps: DataFrame, width: str) -> DataFrame:
-    """(a, b) that may link, of CELLS and the bitmaps, in maps' column `width`, of their sets."""
+def walk(cells: DataFrame, of_docs: DataFrame, width: str) -> DataFrame:
+    """(a, b) that may link, of CELLS and the bitmaps, in column `width` of the staged of_docs, of their sets, staged. Only the bitmaps of the cells' sets are shuffled, once each."""
+    cells = staging.stage(cells, "jaccard-cells")
+    ids = staging.stage(cells.select("set_id").distinct(), "jaccard-ids")
+    maps = of_docs.select("set_id", F.col(width).alias("bitmap")).join(staging.small(ids), "set_id", "left_semi").groupBy("set_id").agg(F.first("bitmap").alias("bitmap"))
 
     def run(them: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_cells(them):
@@ -287,8 +290,10 @@ def walk(cells: DataFrame, maps: DataFrame, width: str) -> DataFrame:
             if both.shape[1]:
                 yield pa.record_batch([pa.array(both[0]), pa.array(both[1])], ["a", "b"])
 
-    rows = cells.join(maps.select("set_id", F.col(width).alias("bitmap")), "set_id").select(*CELLS, "bitmap").repartition("cell").sortWithinPartitions("cell")
-    return rows.mapInArrow(run, "a long, b long").distinct()
+    rows = cells.join(maps, "set_id").select(*CELLS, "bitmap").repartition("cell").sortWithinPartitions("cell")
+    found = staging.stage(rows.mapInArrow(run, "a long, b long").distinct(), "jaccard-left")
+    staging.drop(cells, ids)
+    return found
 
 
 def tokens_of(ids: DataFrame, sets: DataFrame, docs: DataFrame) -> DataFrame:
@@ -363,15 +368,13 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     found = staging.stage(groups(keyed), "jaccard-groups")
     members = staging.stage(found.dropDuplicates(["list", "set_id"]).join(sets.select("set_id", "n", "least"), "set_id").withColumn("comp", F.col("set_id")), "jaccard-members")
     staging.drop(found)
-    own = staging.stage(members.select("set_id").distinct(), "jaccard-ids")
-    maps = staging.stage(of_docs.select("set_id", "bitmap", "wide").join(staging.small(own), "set_id", "left_semi").groupBy("set_id").agg(F.first("bitmap").alias("bitmap"), F.first("wide").alias("wide")), "jaccard-maps")
 
     # 2. small groups whole, large ones against those that share their least shingle
     small, large = members.where(F.col("m").between(2, few)), members.where((F.col("m") < 0) | (F.col("m") > few))
     cells = small.select(F.col("list").alias("cell"), F.lit(-1).alias("side"), "set_id", "n", "comp")
     alike = large.select(F.xxhash64("list", "least").alias("own"), "set_id", "n", "comp")
     reps = staging.stage(alike.groupBy("own").agg(*picked()).where("m > 1"), "jaccard-reps")
-    left = staging.stage(walk(cells.unionByName(stars(alike, "own", reps, block)), maps, "bitmap"), "jaccard-left")
+    left = walk(cells.unionByName(stars(alike, "own", reps, block)), of_docs, "bitmap")
     ids = left.select(F.col("a").alias("set_id")).union(left.select("b")).union(large.select("set_id")).distinct()
     full = tokens_of(staging.stage(ids, "jaccard-ids"), sets, docs)
     found = [linked(left, full)]
@@ -380,24 +383,27 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         comp = classes(reduce(DataFrame.unionByName, found))
         several = large.drop("comp").join(staging.small(comp), "set_id", "left").withColumn("comp", F.coalesce("comp", "set_id"))
         several = staging.stage(several.select("list", "set_id", "n", "comp"), "jaccard-several")
-        by_comp = staging.stage(several.groupBy("list", "comp").agg(*picked(hubs)), "jaccard-by-comp")
+        by_comp = staging.stage(several.groupBy("list", "comp").agg(F.count(F.lit(1)).alias("m")), "jaccard-by-comp")
         most = by_comp.groupBy("list").agg(F.max(F.struct("m", "comp")).alias("most"), F.sum("m").alias("of_all")).where("of_all > most.m")
-        most = staging.stage(most.select("list", F.col("most.comp").alias("comp"), F.col("of_all").alias("m")), "jaccard-most")
+        most = staging.stage(most.select("list", F.col("most.comp").alias("most"), F.col("of_all").alias("m")), "jaccard-most")
+        met = several.join(staging.small(most), "list")
         if last:  # whole groups
-            met = several.join(staging.small(most.withColumnRenamed("comp", "most")), "list").withColumn("major", F.col("comp") == F.col("most"))
+            met = met.withColumn("major", F.col("comp") == F.col("most"))
             cells = met.where(F.col("m") <= block).select(F.col("list").alias("cell"), F.lit(-1).alias("side"), "set_id", "n", "comp")
             deal, read = dealt(met.where(F.col("m") > block).select("list", "set_id", "n", "comp", "major"), block)
             cells = cells.unionByName(deal)
-        else:  # against some of the largest class
-            reps = staging.stage(by_comp.select("list", "comp", "r").join(staging.small(most), ["list", "comp"]).select("list", "r", F.col("m")), "jaccard-reps")
-            cells, read = stars(several, "list", reps, block), [reps]
-        left = staging.stage(walk(cells, maps, "wide"), "jaccard-left")
+        else:  # against some of the largest class, the same for all groups with that class, so that a set meets them once
+            met = staging.stage(met.where("comp <> most").select("most", "set_id", "n", "comp").distinct(), "jaccard-met")
+            some = several.join(staging.small(most.select(F.col("most").alias("comp")).distinct()), "comp", "left_semi").groupBy(F.col("comp").alias("most")).agg(picked(hubs)[0])
+            reps = staging.stage(some.join(met.groupBy("most").agg(F.count(F.lit(1)).alias("m")), "most"), "jaccard-reps")
+            cells, read = stars(met, "most", reps, block), [met, reps]
+        left = walk(cells, of_docs, "wide")
         found.append(linked(left, full))
         staging.drop(comp, several, by_comp, most, left, *read)
 
     # 3. components of sets, and the smallest doc_id of each
     part = staging.stage(cc.components(reduce(DataFrame.unionByName, found)), "jaccard-parts")
-    staging.drop(members, own, maps, full, *found)
+    staging.drop(members, full, *found)
     least = part.join(sets.select(F.col("set_id").alias("node"), "first"), "node").groupBy("component").agg(F.min("first").alias("least"))
     least = staging.stage(least, "jaccard-least")
     of_set = part.join(least, "component").select(F.col("node").alias("set_id"), "least")
