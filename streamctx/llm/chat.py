@@ -3,6 +3,8 @@
 The nested field paths of a frame (names only, sorted; arrays as []) are hashed. The
 hash selects a declarative mapping, which turns that layout into canonical turns:
 array<struct<role, text>>. A mapping is data: SQL expressions over the layout's columns.
+Further columns, and further fields of nested turns, are left aside: then the mapping that reads all that another one does
+and more is taken, and a layout that fits two mappings of which neither does so is an error, as is one that fits none.
 
 Template: each turn is TURN, the role, MID, the text, END, a line break. Control
 strings (CONTROL) inside a role or text are broken up by an escape, which `unescape`
@@ -10,7 +12,7 @@ takes out again, so every role and text comes back as it was.
 
 Null texts and roles count as empty; rows of one conversation are ordered by turn
 (nulls first), then role, then text; repeated rows stay. An empty table gives an
-empty result. One conversation is one row of the result, so the turns of one
+empty result. Texts are formatted whole, however long. One conversation is one row of the result, so the turns of one
 conversation must fit in one row.
 """
 
@@ -44,14 +46,27 @@ class Mapping:
 
 _PAIR = "transform({list}, m -> named_struct('role', {role}, 'text', {text}))"
 _ROLES = "CASE m.`from` WHEN 'human' THEN 'user' WHEN 'gpt' THEN 'assistant' ELSE m.`from` END"
+_TASK = r"concat_ws('\n', instruction, nullif(input, ''))"
+
+
+def _turns(**texts: str) -> str:
+    """SQL for a turn of each role, in order."""
+    return "array(" + ", ".join(f"named_struct('role', '{role}', 'text', {text})" for role, text in texts.items()) + ")"
+
+
 MAPPINGS = (
     Mapping("turn rows", "conv_id bigint, turn bigint, role string, text string", "named_struct('role', role, 'text', text)", ("conv_id",), ("turn", "role", "text")),
     Mapping("messages", "messages array<struct<role: string, content: string>>", _PAIR.format(list="messages", role="m.role", text="m.content")),
     Mapping("from and value", "conversations array<struct<`from`: string, value: string>>", _PAIR.format(list="conversations", role=_ROLES, text="m.value")),
-    Mapping("prompt and response", "prompt string, response string", "array(named_struct('role', 'user', 'text', prompt), named_struct('role', 'assistant', 'text', response))"),
-    Mapping("prompt and completion", "prompt string, completion string", "array(named_struct('role', 'user', 'text', prompt), named_struct('role', 'assistant', 'text', completion))"),
-    Mapping("instruction", "instruction string, input string, output string", r"array(named_struct('role', 'user', 'text', concat_ws('\n', instruction, nullif(input, ''))), named_struct('role', 'assistant', 'text', output))"),
-    Mapping("system, instruction", "system string, instruction string, output string", "array(named_struct('role', 'system', 'text', system), named_struct('role', 'user', 'text', instruction), named_struct('role', 'assistant', 'text', output))"),
+    Mapping("messages with tool calls", "messages array<struct<role: string, content: string, tool_calls: string>>", _PAIR.format(list="messages", role="m.role", text=r"concat_ws('\n', nullif(m.content, ''), m.tool_calls)")),
+    Mapping("prompt and response", "prompt string, response string", _turns(user="prompt", assistant="response")),
+    Mapping("prompt and completion", "prompt string, completion string", _turns(user="prompt", assistant="completion")),
+    Mapping("preference", "prompt string, chosen string, rejected string", _turns(user="prompt", assistant="chosen")),
+    Mapping("preference of messages", "chosen array<struct<role: string, content: string>>, rejected array<struct<role: string, content: string>>", _PAIR.format(list="chosen", role="m.role", text="m.content")),
+    Mapping("instruction and output", "instruction string, output string", _turns(user="instruction", assistant="output")),
+    Mapping("instruction", "instruction string, input string, output string", _turns(user=_TASK, assistant="output")),
+    Mapping("system, instruction", "system string, instruction string, output string", _turns(system="system", user="instruction", assistant="output")),
+    Mapping("system, instruction, input", "system string, instruction string, input string, output string", _turns(system="system", user=_TASK, assistant="output")),
 )
 
 
@@ -64,33 +79,34 @@ def paths(kind: T.DataType, at: str = "") -> list[str]:
     return [at]
 
 
-def fingerprint(schema: T.StructType) -> int:
+def fingerprint(leaves: list[str]) -> int:
     """A hash of the sorted leaf paths: types and the order of columns don't matter."""
     value = 0xCBF29CE484222325
-    for byte in "\n".join(sorted(paths(schema))).encode():
+    for byte in "\n".join(sorted(leaves)).encode():
         value = (value ^ byte) * 0x100000001B3 % (1 << 64)
     return value
 
 
-def known(mappings: tuple[Mapping, ...] = MAPPINGS) -> dict[int, tuple[Mapping, list[str]]]:
-    """The mappings, and the columns they read, by fingerprint."""
+def known(mappings: tuple[Mapping, ...] = MAPPINGS) -> dict[int, tuple[Mapping, set[str]]]:
+    """The mappings, and the leaf paths they read, by fingerprint."""
     out = {}
     for m in mappings:
-        schema = T.StructType.fromDDL(m.ddl)
-        out[fingerprint(schema)] = (m, schema.fieldNames())
+        leaves = paths(T.StructType.fromDDL(m.ddl))
+        out[fingerprint(leaves)] = (m, set(leaves))
     return out
 
 
 def select_mapping(df: DataFrame, mappings: tuple[Mapping, ...] = MAPPINGS) -> Mapping:
-    """The mapping of df's fingerprint; with other columns besides, that of the most columns which is contained in df."""
-    by_print = known(mappings)
-    if (own := fingerprint(df.schema)) in by_print:
-        return by_print[own][0]
-    part = lambda names: T.StructType([f for f in df.schema.fields if f.name in names])
-    fits = [(len(names), m) for code, (m, names) in by_print.items() if fingerprint(part(names)) == code]
-    if not fits:
-        raise ValueError(f"no mapping for the layout {sorted(paths(df.schema))}")
-    return max(fits, key=lambda x: x[0])[1]
+    """The mapping of df's fingerprint; with other leaves besides, the one contained in df that reads all that the others contained do."""
+    by_print, own = known(mappings), paths(df.schema)
+    if (code := fingerprint(own)) in by_print:
+        return by_print[code][0]
+    fits = [(m, read) for code, (m, read) in by_print.items() if fingerprint([p for p in own if p in read]) == code]
+    most = [m for m, read in fits if not any(read < other for _, other in fits)]
+    if len(most) != 1:
+        found = f"mappings {[m.name for m in most]} all fit" if most else "no mapping for"
+        raise ValueError(f"{found} the layout {sorted(own)}")
+    return most[0]
 
 
 def to_turns(df: DataFrame, mappings: tuple[Mapping, ...] = MAPPINGS, keep: tuple[str, ...] = ()) -> DataFrame:

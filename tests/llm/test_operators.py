@@ -207,10 +207,35 @@ def test_chat_layouts(spark):
         assert [(t.role, t.text) for t in r.turns] == [("user", "u"), ("assistant", "a")]
     with pytest.raises(ValueError):
         chat.to_turns(spark.createDataFrame([(1,)], "x int"))
-    prints = [chat.fingerprint(df.schema) for df in frames]
+    prints = [chat.fingerprint(chat.paths(df.schema)) for df in frames]
     assert len(set(prints)) == len(prints)
 
 
+def test_chat_more_layouts(spark):
+    user, reply = ("user", "q"), ("assistant", "a")
+    pair = "array<struct<role: string, content: string>>"
+    for rows, schema, turns in [
+        ([("q", "a")], "instruction string, output string", [user, reply]),
+        ([("q", None, "a")], "instruction string, input string, output string", [user, reply]),
+        ([("s", "q", "x", "a")], "system string, instruction string, input string, output string", [("system", "s"), ("user", "q\nx"), reply]),
+        ([("q", "a", "b")], "prompt string, chosen string, rejected string", [user, reply]),
+        ([("q", [user, reply], [user])], f"prompt string, chosen {pair}, rejected {pair}", [user, reply]),
+        ([([("user", "q", 1), ("assistant", "a", None)],)], "messages array<struct<role: string, content: string, weight: int>>", [user, reply]),
+        ([([("assistant", None, "f(1)"), ("tool", "1", None), ("assistant", "a", "g()")], 7)], "messages array<struct<role: string, content: string, tool_calls: string>>, x int", [("assistant", "f(1)"), ("tool", "1"), ("assistant", "a\ng()")]),
+        ([("q", "a", 3)], "prompt string, response string, turns int", [user, reply]),
+    ]:
+        (r,) = chat.to_turns(spark.createDataFrame(rows, schema)).collect()
+        assert [tuple(t) for t in r["turns"]] == turns, schema
+
+
+def test_chat_ambiguous_layouts(spark):
+    for schema in ("prompt string, response string, completion string", "prompt string, response string, instruction string, output string"):
+        with pytest.raises(ValueError, match="all fit"):
+            chat.select_mapping(spark.createDataFrame([], schema))
+    with pytest.raises(ValueError, match="no mapping"):
+        chat.select_mapping(spark.createDataFrame([], "messages array<struct<content: string>>"))
+
+
 def test_chat_ties_and_empty(spark):
     schema = "conv_id long, turn long, role string, text string"
     rows = [(1, 0, "user", "b"), (1, 0, "user", "a"), (1, None, "user", "n"), (1, 0, "user", "a")]
