@@ -7,7 +7,9 @@ therefore handles at most 2 * parcels items, whatever the size of the input.
 Where one group is larger than a shard's share, its shard is too.
 
 Null texts count as empty and are one group with empty texts; an empty table
-gives an empty result; repeated rows get slots of their own.
+gives an empty result; repeated rows get slots of their own. Rows are told apart by numbers they get when they are read, so that
+rows that share an id, or have none, are numbered in many tasks; a shard's slots follow these numbers, its rows do not.
+Texts are read whole, however long; other columns aren't read, whatever they are called.
 """
 
 from __future__ import annotations
@@ -59,7 +61,7 @@ def shard_rows(docs: DataFrame, n_shards: int = 40, *, id_col: str = "doc_id", t
     cells: the parts of a shard whose rows are numbered apart, so that no task numbers a whole shard.
     """
     spark, text = docs.sparkSession, F.coalesce(F.col(text_col), F.lit(""))
-    rows = staging.stage(docs.select(F.col(id_col).cast("long").alias("doc_id"), (F.octet_length(text) + ROW_BYTES).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.xxhash64(text).alias("key")), "shard-rows")
+    rows = staging.stage(docs.select(F.col(id_col).cast("long").alias("doc_id"), (F.octet_length(text) + ROW_BYTES).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.xxhash64(text).alias("key"), F.monotonically_increasing_id().alias("at")), "shard-rows")
     groups = staging.stage(rows.groupBy("key").agg(F.sum("size").alias("bytes")), "shard-groups")
     unit = (groups.agg(F.sum("bytes")).first()[0] or 0) / parcels
     big = [(r["key"], r["bytes"]) for r in groups.where(F.col("bytes") > unit).collect()]  # under `parcels` rows
@@ -74,11 +76,11 @@ def shard_rows(docs: DataFrame, n_shards: int = 40, *, id_col: str = "doc_id", t
         rows.withColumn("parcel", F.pmod("key", F.lit(parcels)).cast("int"))
         .join(F.broadcast(of_key), "key", "left")
         .join(F.broadcast(of_parcel), "parcel", "left")
-        .select("doc_id", "size", "text_crc32", F.coalesce("own_shard", "lot_shard").alias("shard"), F.pmod(F.xxhash64("doc_id"), F.lit(cells)).cast("int").alias("cell"))
+        .select("doc_id", "size", "text_crc32", F.coalesce("own_shard", "lot_shard").alias("shard"), "at", F.pmod(F.xxhash64("at"), F.lit(cells)).cast("int").alias("cell"))
     )
     in_order = Window.partitionBy("shard").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
     starts = placed.groupBy("shard", "cell").agg(F.count(F.lit(1)).alias("n")).select("shard", "cell", F.coalesce(F.sum("n").over(in_order), F.lit(0)).alias("before"))
-    within = Window.partitionBy("shard", "cell").orderBy("doc_id", "text_crc32", "size")
+    within = Window.partitionBy("shard", "cell").orderBy("doc_id", "text_crc32", "size", "at")
     return (
         placed.withColumn("rank", F.row_number().over(within))
         .join(F.broadcast(starts), ["shard", "cell"])

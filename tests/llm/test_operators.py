@@ -135,6 +135,18 @@ def test_shards_of_few_parcels(documents):
     assert sharding.shard_rows(documents([]), 4).count() == 0
 
 
+def test_sharding_rows_without_ids_are_numbered_apart(spark):
+    rows = spark.range(4000).select(F.lit(None).cast("long").alias("doc_id"), F.when(F.col("id") % 2 == 0, "same text").otherwise(F.concat(F.lit("t"), F.col("id"))).alias("text"), F.lit(1).alias("at"), F.lit(2).alias("cell"))
+    got = sharding.shard_rows(rows, 4, parcels=64, cells=16)
+    by_shard = {}
+    for r in got.collect():
+        by_shard.setdefault(r["shard"], []).append(r["slot"])
+    assert sum(map(len, by_shard.values())) == 4000
+    assert all(sorted(slots) == list(range(len(slots))) for slots in by_shard.values())
+    same = {r["shard"] for r in got.where("size = 25").collect()}
+    assert len(same) == 1
+
+
 # --- mixing
 
 
