@@ -38,20 +38,32 @@ def stream_session(spark: SparkSession, policy: str = "min") -> SparkSession:
         "spark.sql.shuffle.partitions": spark.conf.get("spark.sql.shuffle.partitions"),
         "spark.sql.streaming.stateStore.providerClass": ROCKSDB,
         "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+        # without it each write first reads its key, only to count rows
+        "spark.sql.streaming.stateStore.rocksdb.trackTotalNumberOfRows": "false",
         "spark.sql.streaming.multipleWatermarkPolicy": policy,
     }.items():
         own.conf.set(key, value)
     return own
 
 
-def write_in_order(table: DataFrame, path: str, ts: str, batches: int) -> None:
-    """table's rows as files, one after the other in the order of `ts`, cut at quantiles. Rows without a time are in the first file."""
-    cuts = table.select(F.percentile_approx(F.unix_micros(F.col(ts).cast("timestamp")), [i / batches for i in range(1, batches)], 1000)).first()[0] or []
+#: Rows of a micro-batch's file; a micro-batch of more is several files, up to FILES.
+FILE_ROWS, FILES = 50_000, 64
+
+
+def write_in_order(table: DataFrame, path: str, ts: str, batches: int) -> int:
+    """table's rows as files, one micro-batch's after the other's in the order of `ts`, cut at quantiles; the number of files of each micro-batch. Rows without a time are in the first."""
+    us = F.unix_micros(F.col(ts).cast("timestamp"))
+    cuts, rows = table.select(F.percentile_approx(us, [i / batches for i in range(1, batches)], 1000), F.count(F.lit(1))).first()
     part = F.lit(0)
-    for cut in sorted(set(cuts)):
-        part = part + F.coalesce((F.unix_micros(F.col(ts).cast("timestamp")) > cut).cast("int"), F.lit(0))
-    for i in range(len(set(cuts)) + 1):
-        table.where(part == i).coalesce(1).write.mode("append").parquet(path)
+    for cut in sorted(set(cuts or [])):
+        part = part + F.coalesce((us > cut).cast("int"), F.lit(0))
+    least = table.groupBy(part.alias("part")).count().agg(F.min("count"), F.count(F.lit(1))).first() if rows > FILE_ROWS * batches else (0, 0)
+    # a file must hold a row, or it isn't written: rows are dealt in turn, and the smallest micro-batch has far more of them than files
+    files = max(1, min(FILES, least[0] // FILE_ROWS)) if least[1] == len(set(cuts or [])) + 1 else 1
+    for i in range(len(set(cuts or [])) + 1):
+        rows_of = table.where(part == i)
+        (rows_of.coalesce(1) if files == 1 else rows_of.repartition(files)).write.mode("append").parquet(path)
+    return files
 
 
 def replay(table: DataFrame, build: Callable[[DataFrame], DataFrame], *, policy: str = "min", keys: Sequence[str] = (), ts: str | None = None, batches: int = 5) -> DataFrame:
@@ -62,11 +74,11 @@ def replay(table: DataFrame, build: Callable[[DataFrame], DataFrame], *, policy:
     """
     spark, at = table.sparkSession, f"{shared_dir(table.sparkSession)}/replay-{uuid.uuid4().hex}"
     if ts:
-        write_in_order(table, f"{at}/in", ts, batches)
+        files = write_in_order(table, f"{at}/in", ts, batches)
     else:
         table.write.parquet(f"{at}/in")
     reader = stream_session(spark, policy).readStream.schema(table.schema)
-    out = build((reader.option("maxFilesPerTrigger", 1) if ts else reader).parquet(f"{at}/in"))
+    out = build((reader.option("maxFilesPerTrigger", files) if ts else reader).parquet(f"{at}/in"))
     if keys:
         save = lambda batch, n: batch.write.mode("overwrite").parquet(f"{at}/out/batch={n}")
         out.writeStream.foreachBatch(save).outputMode("update").option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start().awaitTermination()

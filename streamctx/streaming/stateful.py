@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import json
 import math
+import zlib
 from collections.abc import Callable, Iterator, Mapping, Sequence
 from decimal import Decimal
+from itertools import groupby
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, GroupedData
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import ArrayType, BinaryType, BooleanType, DataType, DateType, DoubleType, FloatType, NumericType, StructType, TimestampNTZType, TimestampType
@@ -18,9 +20,12 @@ from ..operators.joins import _micros, version_order
 from ..operators.patterns import Automaton, symbol_of
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-_ROWS = "rows array<struct<t: long, side: int, feed: int, tie: string, row: string>>"
-#: Waiting rows of a key are kept by slices of this many microseconds.
-SLICE_US = 10_000_000
+#: A waiting row is the JSON text of its time, side, feed, ties, row and key.
+_ROWS = "rows array<string>"
+#: Keys are put into this many buckets by their hash: a stream's operator handles a bucket, not a key, at a time.
+BUCKETS = 128
+#: Rows that a slice of waiting rows should have; keys that a cell of a bucket's state should have.
+SLICE_ROWS, CELL_KEYS = 2_000, 1_000
 
 
 def _texts(col: Column, kind: DataType) -> Column:
@@ -72,14 +77,14 @@ def _value(text: object, kind: object) -> tuple:
 
 
 class _Ordered(StatefulProcessor):
-    """Holds a key's rows until the watermark has passed them, and hands them on in order.
+    """Holds a bucket's rows until the watermark has passed them, and hands them on by key in order.
 
-    Rows wait in a map by time slice and chunk (a slice's rows of one micro-batch), beside an index of the slices. A timer, one a key, reads and
+    Rows wait in a map by time slice and chunk (a slice's rows of one micro-batch), beside an index of the slices. A timer, one a bucket, reads and
     deletes the chunks of the slices that are due; of the slice that the watermark is in, the rest is written back. All other slices are left alone.
-    kinds: for each feed how its ties are read.
+    kinds: for each feed how its ties are read. slice_us: the length of slices; by default a power of two, for each chunk as many microseconds as give slices of about SLICE_ROWS rows.
     """
 
-    def __init__(self, kinds: Sequence[list], slice_us: int = SLICE_US):
+    def __init__(self, kinds: Sequence[list], slice_us: int | None = None):
         self.kinds, self.slice_us = list(kinds), slice_us
 
     def init(self, handle: StatefulProcessorHandle) -> None:
@@ -92,15 +97,31 @@ class _Ordered(StatefulProcessor):
         """[chunks, least time] of each slice."""
         return {s[0]: [s[1], s[2]] for s in self.index.get()[0]} if self.index.exists() else {}
 
+    def wait(self, slices: dict[int, list[int]], rows: Sequence[tuple]) -> None:
+        """Writes rows (time first) to their slices."""
+        if self.slice_us:
+            number = lambda t: t // self.slice_us
+        else:
+            times = sorted(r[0] for r in rows)
+            middle = times[len(times) * 9 // 10] - times[len(times) // 10]
+            level = min(62, max(20, (middle * SLICE_ROWS // len(times)).bit_length()))
+            number = lambda t: (t >> level) * 64 + level
+        of: dict[int, list[tuple]] = {}
+        for r in rows:
+            of.setdefault(number(r[0]), []).append(r)
+        for at, part in of.items():
+            least = min(r[0] for r in part)
+            about = slices.setdefault(at, [0, least])
+            self.waiting.updateValue((at, about[0]), ([json.dumps(r) for r in part],))
+            slices[at] = [about[0] + 1, min(about[1], least)]
+
     def keep(self, slices: dict[int, list[int]]) -> None:
-        """Writes the index, and sets the key's timer to when the watermark passes its earliest waiting row."""
+        """Writes the index, and sets the bucket's timer to when the watermark passes its earliest waiting row."""
         if slices:
             self.index.update(([(s, *about) for s, about in slices.items()],))
         elif self.index.exists():
             self.index.clear()
-        due = [least // 1000 + 1 for _, least in slices.values()]
-        end = self.deadline()
-        ms = min([*due, *([end // 1000 + 1] if end is not None else [])], default=None)
+        ms = min((least // 1000 + 1 for _, least in slices.values()), default=None)
         before = self.due.get()[0] if self.due.exists() else None
         if ms == before:
             return
@@ -115,67 +136,114 @@ class _Ordered(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         slices = self.slices()
         for frame in rows:
-            for at, part in frame.groupby(frame["t"] // self.slice_us):
-                about = slices.setdefault(int(at), [0, int(part["t"].min())])
-                self.waiting.updateValue((int(at), about[0]), (list(part[["t", "side", "feed", "tie", "row"]].itertuples(index=False, name=None)),))
-                slices[int(at)] = [about[0] + 1, min(about[1], int(part["t"].min()))]
+            if len(frame):
+                cols = [frame[c].tolist() for c in ("t", "side", "feed", "tie", "row")]
+                self.wait(slices, list(zip(*cols, frame["key"].tolist() if "key" in frame else [""] * len(frame), strict=True)))
         self.keep(slices)
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         self.due.clear()
-        until, slices, ready = timerValues.getCurrentWatermarkInMs() * 1000, self.slices(), []
-        for at in sorted(s for s, (_, least) in slices.items() if least < until):
-            chunks, rest = slices.pop(at)[0], []
-            for chunk in range(chunks):
-                for r in self.waiting.getValue((at, chunk))[0]:
+        until, slices, ready, rest = timerValues.getCurrentWatermarkInMs() * 1000, self.slices(), [], []
+        for at in [s for s, (_, least) in slices.items() if least < until]:
+            for chunk in range(slices.pop(at)[0]):
+                for r in map(json.loads, self.waiting.getValue((at, chunk))[0]):
                     (ready if r[0] < until else rest).append(tuple(r))
                 self.waiting.removeKey((at, chunk))
-            if rest:
-                self.waiting.updateValue((at, 0), (rest,))
-                slices[at] = [1, min(r[0] for r in rest)]
-        ready.sort(key=self.order)
-        out = self.step(ready, until)
+        self.later: list[tuple] = []
+        out = self.step(self.sorted(ready), until)
+        if rest or self.later:
+            self.wait(slices, rest + self.later)
         self.keep(slices)
         if len(out):
             yield out
 
-    def deadline(self) -> int | None:
-        """When, in microseconds, the key's state is to be looked at without waiting rows."""
-        return None
+    def sorted(self, rows: list[tuple]) -> list[tuple]:
+        """rows by key, time and side; ties by their typed values, which are read only where there are any."""
+        before = lambda r: (r[5], r[0], r[1], r[2])
+        out: list[tuple] = []
+        for _, same in groupby(sorted(rows, key=before), key=before):
+            tied = list(same)
+            out.extend(sorted(tied, key=self.tie) if len(tied) > 1 else tied)
+        return out
 
-    def order(self, row: tuple) -> tuple:
-        """By time and side; ties by their typed values."""
+    def tie(self, row: tuple) -> list:
         values = json.loads(row[3]).values() if row[3] else ()
-        return row[0], row[1], row[2], [_value(v, kind) for v, kind in zip(values, self.kinds[row[2]], strict=True)]
+        return [_value(v, kind) for v, kind in zip(values, self.kinds[row[2]], strict=True)]
 
     def step(self, ready: list[tuple], until: int) -> pd.DataFrame:
-        """Rows to emit for rows in order. until: the watermark."""
+        """Rows to emit for rows in order. until: the watermark. Rows that are put to self.later wait in their turn."""
         raise NotImplementedError
 
     def close(self) -> None:
         pass
 
 
+class _Cells:
+    """A bucket's values by key, as JSON texts of cells of some CELL_KEYS keys each; only the cells of the keys in use are read, and those of changed keys written."""
+
+    def __init__(self, handle: StatefulProcessorHandle, name: str):
+        self.cells = handle.getMapState(name, "cell int", "held string")
+        self.size = handle.getValueState(f"{name}_size", "cells int, keys long")
+
+    def open(self, keys: Iterable[str]) -> dict[str, object]:
+        """The values of those of the keys that have any."""
+        self.n, self.keys = self.size.get() if self.size.exists() else (1, 0)
+        self.held = {cell: self.read(cell) for cell in {self.cell(k) for k in keys}}
+        return {k: held[k] for k in keys if k in (held := self.held[self.cell(k)])}
+
+    def cell(self, key: str) -> int:
+        return zlib.crc32(key.encode()) % self.n
+
+    def read(self, cell: int) -> dict[str, object]:
+        return json.loads(self.cells.getValue((cell,))[0]) if self.cells.containsKey((cell,)) else {}
+
+    def write(self, changed: Mapping[str, object]) -> None:
+        """Writes values of keys that were opened; None takes a key away."""
+        before = self.keys
+        for key, value in changed.items():
+            held = self.held[self.cell(key)]
+            self.keys += (value is not None) - (key in held)
+            if value is not None:
+                held[key] = value
+            elif key in held:
+                del held[key]
+        touched = {self.cell(k) for k in changed}
+        if self.keys > CELL_KEYS * self.n:
+            every = [item for cell in range(self.n) for item in (self.held[cell] if cell in self.held else self.read(cell)).items()]
+            self.n *= 1 << (self.keys // (CELL_KEYS * self.n)).bit_length()
+            self.held, touched, before = {cell: {} for cell in range(self.n)}, set(range(self.n)), None
+            for key, value in every:
+                self.held[self.cell(key)][key] = value
+        for cell in touched:
+            if self.held[cell]:
+                self.cells.updateValue((cell,), (json.dumps(self.held[cell]),))
+            elif self.cells.containsKey((cell,)):
+                self.cells.removeKey((cell,))
+        if self.keys != before:
+            self.size.update((self.n, self.keys))
+
+
 class _AsOf(_Ordered):
-    """Facts (side 1) with the current version of each feed. State: the versions, one a feed, and what waits."""
+    """Facts (side 1) with the current version of each feed. State: by key the versions, one a feed, and what waits."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         super().init(handle)
-        self.current = handle.getMapState("current", "feed int", "row string")
+        self.current = _Cells(handle, "current")
 
     def step(self, ready, until):
-        current = {n: self.current.getValue((n,))[0] if self.current.containsKey((n,)) else None for n in range(len(self.kinds) - 1)}
-        out, changed = [], set()
-        for t, side, feed, _, row in ready:
+        current = self.current.open({r[5] for r in ready})
+        none, times, facts, versions, changed = [None] * (len(self.kinds) - 1), [], [], [], {}
+        for t, side, feed, _, row, key in ready:
+            now = current.get(key, none)
             if side:
-                out.append((pd.Timestamp(t, unit="us", tz="UTC"), row, list(current.values())))
+                times.append(t)
+                facts.append(row)
+                versions.append(now)
             else:
-                current[feed] = row
-                changed.add(feed)
-        for feed in changed:
-            self.current.updateValue((feed,), (current[feed],))
-        return pd.DataFrame(out, columns=["at", "fact", "versions"])
+                current[key] = changed[key] = [*now[:feed], row, *now[feed + 1 :]]
+        self.current.write(changed)
+        return pd.DataFrame({"at": pd.to_datetime(times, unit="us", utc=True), "fact": facts, "versions": versions})
 
 
 _TIME = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
@@ -193,18 +261,23 @@ def _ordered(df: DataFrame, keys: Sequence[str], ts: str, side: int, feed: int,
     ties = _json(*[_texts(F.col(f"`{c}`"), df.schema[c].dataType).alias(f"c{i}") for i, c in enumerate(tie)]) if tie else F.lit("")
     row = _json(*[F.col(f"`{c}`") for c in df.columns if c != event_time or c == ts])
     row = row if mark is None else F.concat(mark, row)
-    rows = whole.select(_json(*[F.col(f"`{k}`").alias(f"k{i}") for i, k in enumerate(keys)]).alias("_key"), F.col(event_time or ts).alias("_time"), epoch_us(F.col(ts)).alias("t"), F.lit(side).alias("side"), F.lit(feed).alias("feed"), ties.alias("tie"), row.alias("row"))
+    rows = whole.select(_json(*[F.col(f"`{k}`").alias(f"k{i}") for i, k in enumerate(keys)]).alias("key"), F.col(event_time or ts).alias("_time"), epoch_us(F.col(ts)).alias("t"), F.lit(side).alias("side"), F.lit(feed).alias("feed"), ties.alias("tie"), row.alias("row"))
     return rows, [_kind(df.schema[c].dataType) for c in tie]
 
 
-def asof_enrich_stream(fact: DataFrame, tables: Mapping[str, tuple[DataFrame, str] | tuple[DataFrame, str, str]], *, on: Sequence[str], ts: str, tiebreak: str | None = None, watermark: str | None = "10 seconds", slice_us: int = SLICE_US) -> DataFrame:
+def _by_bucket(rows: DataFrame, buckets: int) -> GroupedData:
+    """rows of _ordered by buckets of keys. A call of state costs far more than a row, so keys share them."""
+    return rows.withColumn("_bucket", F.pmod(F.xxhash64("key"), F.lit(buckets))).groupBy("_bucket")
+
+
+def asof_enrich_stream(fact: DataFrame, tables: Mapping[str, tuple[DataFrame, str] | tuple[DataFrame, str, str]], *, on: Sequence[str], ts: str, tiebreak: str | None = None, watermark: str | None = "10 seconds", slice_us: int | None = None, buckets: int = BUCKETS) -> DataFrame:
     """asof_enrich on streams: fact with, for each change feed, a struct column of its version that was current at `ts`. One keyed operator for all feeds, exact in event time.
 
     tables: (feed, version column), or (feed, version column, event-time column) for the result of another stateful operator, whose event time carries its
     watermark and isn't part of the version: for windows the version column is the window's end, and the event time F.window_time of the window.
     A fact waits until the watermark has passed it. Versions of equal time are ordered as in asof_enrich. Facts with a NULL key or time come through at once, without versions.
     State per key: facts and versions after the watermark, in slices of time, and one version a feed before it. `ts` of the result carries the watermark on, for windows over it.
-    watermark: None if fact and the feeds have theirs. Sessions need the RocksDB state store (ROCKSDB). Rows behind the watermark are dropped: see late_rows.
+    watermark: None if fact and the feeds have theirs. buckets: of keys, fixed for a checkpoint; a bucket's rows of one micro-batch must fit in a task. Sessions need the RocksDB state store (ROCKSDB). Rows behind the watermark are dropped: see late_rows.
     """
     every, _ = _ordered(fact, on, ts, 1, len(tables), [], watermark)
     kinds, schemas = [], []
@@ -214,7 +287,7 @@ def asof_enrich_stream(fact: DataFrame, tables: Mapping[str, tuple[DataFrame, st
         every = every.unionByName(rows)
         kinds.append(kind)
         schemas.append(StructType([f for f in df.schema if f.name in own]))
-    joined = every.groupBy("_key").transformWithStateInPandas(_AsOf([*kinds, []], slice_us), "at timestamp, fact string, versions array<string>", "append", "eventtime", eventTimeColumnName="at")
+    joined = _by_bucket(every, buckets).transformWithStateInPandas(_AsOf([*kinds, []], slice_us), "at timestamp, fact string, versions array<string>", "append", "eventtime", eventTimeColumnName="at")
     rows = joined.select("at", F.from_json("fact", fact.schema, _TIME).alias("fact"), *[F.from_json(F.get("versions", F.lit(i)), schema, _TIME).alias(f"v{i}") for i, schema in enumerate(schemas)])
     time = F.col("at") if isinstance(fact.schema[ts].dataType, TimestampType) else F.col(f"fact.`{ts}`")
     found = rows.select(*[(time if c == ts else F.col(f"fact.`{c}`")).alias(c) for c in fact.columns], *[F.col(f"v{i}").alias(n) for i, n in enumerate(tables)])
@@ -222,42 +295,43 @@ def asof_enrich_stream(fact: DataFrame, tables: Mapping[str, tuple[DataFrame, st
     return found.unionByName(lost.select(*[F.col(f"`{c}`") for c in fact.columns], *[F.lit(None).cast(schema).alias(n) for n, schema in zip(tables, schemas, strict=True)]))
 
 
-def asof_stream(left: DataFrame, right: DataFrame, *, on: Sequence[str], left_ts: str, right_ts: str, how: str = "left", tiebreak: str | None = None, watermark: str | None = "10 seconds", prefix: str = "", event_time: str | None = None, slice_us: int = SLICE_US) -> DataFrame:
+def asof_stream(left: DataFrame, right: DataFrame, *, on: Sequence[str], left_ts: str, right_ts: str, how: str = "left", tiebreak: str | None = None, watermark: str | None = "10 seconds", prefix: str = "", event_time: str | None = None, slice_us: int | None = None, buckets: int = BUCKETS) -> DataFrame:
     """asof_join on streams, exact in event time: asof_enrich_stream with one table. event_time: right's event-time column, if it is not the version itself."""
     if how not in ("left", "inner"):
         raise ValueError(f"how is left or inner, not {how}")
     table = (right, right_ts, event_time) if event_time else (right, right_ts)
-    out = asof_enrich_stream(left, {"_version": table}, on=on, ts=left_ts, tiebreak=tiebreak, watermark=watermark, slice_us=slice_us)
+    out = asof_enrich_stream(left, {"_version": table}, on=on, ts=left_ts, tiebreak=tiebreak, watermark=watermark, slice_us=slice_us, buckets=buckets)
     if how == "inner":
         out = out.where("_version IS NOT NULL")
     return out.select(*[F.col(f"`{c}`") for c in left.columns], *[F.col(f"_version.`{c}`").alias(f"{prefix}{c}") for c in right.columns if c not in (*on, event_time)])
 
 
 class _Pattern(_Ordered):
-    """A, one or more L, F: of the past only the open run from its A on is kept."""
+    """A, one or more L, F: of a key's past only the open run from its A on is kept."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         super().init(handle)
-        self.run = handle.getListState("run", "row string")
+        self.runs = _Cells(handle, "runs")
 
     def step(self, ready, until):
-        run, out = [r[0] for r in self.run.get()], []
-        for r in ready:
-            symbol, row = r[4][0], r[4][1:]
-            if symbol == "A" or symbol == "L" and run:
-                run = [row] if symbol == "A" else [run[0], row]
-            else:
-                if symbol == "F" and len(run) == 2:
-                    out.append((run[1], row))
-                run = []
-        if run:
-            self.run.put([(x,) for x in run])
-        else:
-            self.run.clear()
+        runs, out, changed = self.runs.open({r[5] for r in ready}), [], {}
+        for key, own in groupby(ready, key=lambda r: r[5]):
+            run = runs.get(key, [])
+            for r in own:
+                symbol, row = r[4][0], r[4][1:]
+                if symbol == "A" or symbol == "L" and run:
+                    run = [row] if symbol == "A" else [run[0], row]
+                else:
+                    if symbol == "F" and len(run) == 2:
+                        out.append((run[1], row))
+                    run = []
+            if run or key in runs:
+                changed[key] = run or None
+        self.runs.write(changed)
         return pd.DataFrame(out, columns=["l", "f"])
 
 
-def match_stream(df: DataFrame, *, by: Sequence[str], ts: str, tiebreak: str, a: Column, l: Column, f: Column, measures: Callable[[Column, Column], Sequence[Column]], watermark: str = "10 seconds") -> DataFrame:  # noqa: E741
+def match_stream(df: DataFrame, *, by: Sequence[str], ts: str, tiebreak: str, a: Column, l: Column, f: Column, measures: Callable[[Column, Column], Sequence[Column]], watermark: str = "10 seconds", buckets: int = BUCKETS) -> DataFrame:  # noqa: E741
     """match_a_lplus_f on a stream: a match is emitted once the watermark has passed its F row.
 
     measures: from the structs of the last L row and the F row, the columns of a match. State per key: rows after the
@@ -265,7 +339,7 @@ def match_stream(df: DataFrame, *, by: Sequence[str], ts: str, tiebreak: str, a:
     """
     symbol = F.when(a, "A").when(l, "L").when(f, "F").otherwise("X")
     rows, kind = _ordered(df, by, ts, 0, 0, [tiebreak], watermark, mark=symbol)
-    found = rows.groupBy("_key").transformWithStateInPandas(_Pattern([kind]), "l string, f string", "append", "eventtime")
+    found = _by_bucket(rows, buckets).transformWithStateInPandas(_Pattern([kind]), "l string, f string", "append", "eventtime")
     both = found.select(F.from_json("l", df.schema, _TIME).alias("l"), F.from_json("f", df.schema, _TIME).alias("f"))
     return both.select(*measures(F.col("l"), F.col("f")))
 
@@ -273,7 +347,8 @@ def match_stream(df: DataFrame, *, by: Sequence[str], ts: str, tiebreak: str, a:
 class _Longest(_Ordered):
     """Longest matches from each row, by an automaton.
 
-    State: open matches in bundles that share the automaton's state and the row with which they were last whole, the number of rows so far, and the last one's time.
+    State by key: the number of rows so far, the last one's time, whether a reminder (side 2) waits for the time when the key is idle, and open matches in bundles that
+    share the automaton's state and the row with which they were last whole.
     """
 
     def __init__(self, kinds: Sequence[list], automaton: Automaton, idle_us: int | None):
@@ -282,58 +357,59 @@ class _Longest(_Ordered):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         super().init(handle)
-        self.open = handle.getListState("open", "state int, last string, at long, starts array<struct<row: string, at: long>>")
-        self.seen = handle.getValueState("seen", "rows long, t long, open boolean")
-
-    def deadline(self):
-        seen = self.seen.get() if self.idle_us is not None and self.seen.exists() else None
-        return seen[1] + self.idle_us if seen and seen[2] else None
+        self.open = _Cells(handle, "open")
 
     def step(self, ready, until):
+        state, out = self.open.open({r[5] for r in ready}), []
+        self.open.write({key: self.follow(key, list(own), until, state.get(key, [0, 0, False, []]), out) for key, own in groupby(ready, key=lambda r: r[5])})
+        return pd.DataFrame(out, columns=["first", "last", "rows"])
+
+    def follow(self, key: str, rows: list[tuple], until: int, state: list, out: list[tuple]) -> list:
+        """A key's state after its rows."""
         steps, accepts = self.automaton.steps, self.automaton.accepts
-        seen, t, _ = self.seen.get() if self.seen.exists() else (0, 0, False)
-        bundles = [(b[0], b[1], b[2], [tuple(s) for s in b[3]]) for b in self.open.get()]
-        out = []
+        seen, t, reminded, bundles = state
 
-        def close(bundle: tuple) -> None:
+        def close(bundle: list) -> None:
             _, last, at, starts = bundle
             if last is not None:
                 out.extend((row, last, at - begun + 1) for row, begun in starts)
 
-        for r in ready:
+        def close_all() -> list:
+            for bundle in bundles:
+                close(bundle)
+            return []
+
+        for r in rows:
+            if r[1] == 2:
+                reminded = False
+                continue
             if self.idle_us is not None and r[0] > t + self.idle_us:
-                for bundle in bundles:
-                    close(bundle)
-                bundles = []
+                bundles = close_all()
             symbol, row, t = r[4][0], r[4][1:], r[0]
             seen += 1
             whole: dict[int, list] = {}
             going = []
-            for bundle in [*bundles, (0, None, 0, [(row, seen)])]:
+            for bundle in [*bundles, [0, None, 0, [(row, seen)]]]:
                 to = steps[bundle[0]].get(symbol)
                 if to is None:
                     close(bundle)
                 elif accepts[to]:
                     whole.setdefault(to, []).extend(bundle[3])
                 else:
-                    going.append((to, *bundle[1:]))
-            bundles = going + [(to, row, seen, starts) for to, starts in whole.items()]
+                    going.append([to, *bundle[1:]])
+            bundles = going + [[to, row, seen, starts] for to, starts in whole.items()]
             for bundle in [b for b in bundles if not steps[b[0]]]:
                 close(bundle)
                 bundles.remove(bundle)
         if self.idle_us is not None and until > t + self.idle_us:
-            for bundle in bundles:
-                close(bundle)
-            bundles = []
-        if bundles:
-            self.open.put(bundles)
-        else:
-            self.open.clear()
-        self.seen.update((seen, t, bool(bundles)))
-        return pd.DataFrame(out, columns=["first", "last", "rows"])
+            bundles = close_all()
+        if self.idle_us is not None and bundles and not reminded:
+            self.later.append((t + self.idle_us, 2, 0, "", "", key))
+            reminded = True
+        return [seen, t, reminded, bundles]
 
 
-def match_longest_stream(df: DataFrame, *, by: Sequence[str], ts: str, tiebreak: Sequence[str], defines: Mapping[str, Column], pattern: str, watermark: str = "10 seconds", idle: str | None = None) -> DataFrame:
+def match_longest_stream(df: DataFrame, *, by: Sequence[str], ts: str, tiebreak: Sequence[str], defines: Mapping[str, Column], pattern: str, watermark: str = "10 seconds", idle: str | None = None, buckets: int = BUCKETS) -> DataFrame:
     """match_longest on a stream: by, `first`, `last` and `rows` of the longest match from each row, once the watermark has passed the row that ends it.
 
     A match that more rows could make longer stays open until its key's next row; idle: or until the watermark is so far past the key's last row, which ends it as a row without a symbol would (rows so far apart are then not one match).
@@ -341,7 +417,7 @@ def match_longest_stream(df: DataFrame, *, by: Sequence[str], ts: str, tiebreak:
     """
     rows, kind = _ordered(df, by, ts, 0, 0, tiebreak, watermark, mark=symbol_of(defines))
     processor = _Longest([kind], Automaton.of(pattern), None if idle is None else _micros(idle))
-    found = rows.groupBy("_key").transformWithStateInPandas(processor, "first string, last string, rows long", "append", "eventtime")
+    found = _by_bucket(rows, buckets).transformWithStateInPandas(processor, "first string, last string, rows long", "append", "eventtime")
     both = found.select(F.from_json("first", df.schema, _TIME).alias("first"), F.from_json("last", df.schema, _TIME).alias("last"), "rows")
     return both.select(*[F.col(f"first.`{c}`").alias(c) for c in by], "first", "last", "rows")
 
