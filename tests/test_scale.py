@@ -77,3 +77,27 @@ def test_a_large_micro_batch_is_several_files_and_stays_one_micro_batch(spark, t
     files = write_in_order(table, str(tmp_path / "in"), "t", 5)
     read = spark.read.parquet(str(tmp_path / "in"))
     assert files > 1 and read.count() == 3000 and len(read.inputFiles()) == 5 * files
+
+
+def test_risk_is_counted_without_making_pairs(spark):
+    """40 logins, flows and alerts of one address within each other's reach: 64,000 pairs are counted, and no join is in the plan."""
+    from streamctx.plans import soc
+
+    r = random.Random(4)
+    auth = [(at(r.randrange(60)), f"u{i % 3}", r.choice(["a", "b", None]), "x", "x", r.choice(["FAIL", "OK", None]), r.choice([True, False, None])) for i in range(40)]
+    auth += auth[:3]
+    flows = [(at(r.randrange(90)), r.choice(["a", "b"]), "d", 1, "p", r.choice([None, 10**7, 5])) for _ in range(40)]
+    alerts = [(at(r.randrange(90)), "a", r.choice(["s", None]), r.choice(["HIGH", "LOW"])) for _ in range(40)]
+    feeds = (
+        spark.createDataFrame(auth, "event_time timestamp, user_id string, src_ip string, location string, device_id string, outcome string, mfa_used boolean"),
+        spark.createDataFrame(flows, "event_time timestamp, src_ip string, dest_ip string, dest_port int, protocol string, bytes_sent bigint"),
+        spark.createDataFrame(alerts, "event_time timestamp, src_ip string, signature string, severity string"),
+    )
+    got = soc.security_risk_context(*feeds, within="30 seconds")
+    want = soc.risk_windows(soc.security_events(*feeds, within="30 seconds", bucketed=True))
+    shown = lambda df: sorted(map(tuple, df.select(*want.columns).collect()), key=str)
+    assert shown(got) == shown(want) and len(shown(got)) > 20
+    assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
+    late = soc.recent_security_events(*feeds, "20 seconds", within="30 seconds")
+    every = soc.recent_correlated_events(soc.security_events(*feeds, within="30 seconds", bucketed=True), "20 seconds")
+    assert sorted(map(tuple, late.collect()), key=str) == sorted(map(tuple, every.collect()), key=str) and every.count() > 10
