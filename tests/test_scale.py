@@ -101,3 +101,15 @@ def test_risk_is_counted_without_making_pairs(spark):
     late = soc.recent_security_events(*feeds, "20 seconds", within="30 seconds")
     every = soc.recent_correlated_events(soc.security_events(*feeds, within="30 seconds", bucketed=True), "20 seconds")
     assert sorted(map(tuple, late.collect()), key=str) == sorted(map(tuple, every.collect()), key=str) and every.count() > 10
+
+
+def test_loans_meet_only_payments_of_near_blocks(spark):
+    """One borrower's 20,000 loans and payments of a day: 4e8 pairs by address and day, 20,000 by blocks too."""
+    from streamctx.plans import incidents
+
+    ids = spark.range(40_000)
+    pool = F.col("id") % 2 == 0
+    txs = ids.select(F.timestamp_seconds(F.col("id") + 1_700_000_000).alias("event_time"), F.when(pool, "pool").otherwise("u").alias("from_address"), F.when(pool, "u").otherwise("pool").alias("to_address"), F.lit("T").alias("tx_token"), F.lit(20.0).alias("tx_amount"), (F.col("id") - 50).alias("block_number"))
+    out = incidents.flash_loan_attacks(txs, "pool", 10, 2, "24 hours")
+    assert "blocks#" in out._jdf.queryExecution().executedPlan().toString()
+    assert out.count() == 20_000 and out.select("block_number").distinct().count() == 20_000
