@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass
+from itertools import chain
 
 import pandas as pd
 import pyarrow as pa
@@ -42,19 +43,49 @@ def match_sequence(df: DataFrame, *, by: Sequence[str], order: Sequence[str], de
     symbol = symbol_of(defines)
     compiled = re.compile("".join(pattern.split()))
 
-    def scan(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(list(order), kind="stable").reset_index(drop=True)
+    def scan(rows: pd.DataFrame) -> list[dict]:
+        """The matches of a run, whose rows are in order."""
         text, out = "".join(rows["_s"]), []
         for at in range(len(text)):
             m = compiled.match(text, at)
             if m and m.end() > at:
                 part = rows.iloc[at : m.end()]
                 out.append({**{k: part[k].iloc[0] for k in by}, **measures(part, m.group())})
-        return pd.DataFrame(out, columns=[c.split()[0] for c in out_schema.split(",")])
+        return out
+
+    def scan_all(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """The matches of sorted runs: many to a frame, and a frame's last one may go on in the next."""
+        open_run: list[pd.DataFrame] = []
+        names = [c.split()[0] for c in out_schema.split(",")]
+        for frame in chain(frames, [None]):
+            out: list[dict] = []
+            if frame is None:
+                if open_run:
+                    out += scan(pd.concat(open_run, ignore_index=True))
+            elif len(frame):
+                frame = frame.reset_index(drop=True)
+                begins = [i for i, first in enumerate(frame["_first"].tolist()) if first]
+                until = begins[0] if begins else len(frame)
+                if until:
+                    open_run.append(frame.iloc[:until])
+                if begins:
+                    if open_run:
+                        out += scan(pd.concat(open_run, ignore_index=True))
+                    text = "".join(frame["_s"])
+                    for a, b in zip(begins, begins[1:]):
+                        # most runs hold no match: only those that do are cut out
+                        if compiled.search(text[a:b]):
+                            out += scan(frame.iloc[a:b])
+                    open_run = [frame.iloc[begins[-1] :]]
+            if out:
+                yield pd.DataFrame(out, columns=names)
 
     in_order = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rows = df.withColumn("_s", symbol).withColumn("_run", F.count(F.when(F.col("_s") == "_", 1)).over(in_order)).where("_s <> '_'")
-    return rows.groupBy(*by, "_run").applyInPandas(scan, out_schema)
+    # runs begin where the one before ended; the window leaves each key's rows together and in order
+    runs = Window.partitionBy(*by).orderBy(*order)
+    first = F.lag("_run").over(runs)
+    return rows.withColumn("_first", first.isNull() | (first != F.col("_run"))).mapInPandas(scan_all, out_schema)
 
 
 @dataclass(frozen=True)

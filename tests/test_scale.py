@@ -1,6 +1,7 @@
 """Work that must not grow faster than its input."""
 
 import random
+import re
 from datetime import datetime, timedelta
 from types import SimpleNamespace
 
@@ -113,3 +114,18 @@ def test_loans_meet_only_payments_of_near_blocks(spark):
     out = incidents.flash_loan_attacks(txs, "pool", 10, 2, "24 hours")
     assert "blocks#" in out._jdf.queryExecution().executedPlan().toString()
     assert out.count() == 20_000 and out.select("block_number").distinct().count() == 20_000
+
+
+def test_runs_of_symbols_share_a_call_of_python(spark):
+    from streamctx.operators import patterns
+
+    r = random.Random(6)
+    rows = [(p, i, r.choice("ALLFX")) for p in range(50) for i in range(200)]
+    df = spark.createDataFrame(rows, "p long, i long, s string")
+    out = patterns.match_sequence(df, by=["p"], order=["i"], defines={s: F.col("s") == s for s in "ALF"}, pattern="A L+ F", measures=lambda part, text: {"last": int(part["i"].iloc[-1]), "n": len(text)}, out_schema="p long, last long, n long")
+    want = []
+    for p in range(50):
+        text = "".join(s for q, _, s in rows if q == p)
+        want += [(p, m.end() - 1, m.end() - m.start()) for m in re.finditer("AL+F", text)]
+    assert sorted(map(tuple, out.collect())) == sorted(want) and len(want) > 100
+    assert "FlatMapGroupsInPandas" not in out._jdf.queryExecution().optimizedPlan().toString()
