@@ -259,24 +259,40 @@ def band_join(left: DataFrame, right: DataFrame, *, left_ts: str, right_ts: str,
 def correlate(audit: DataFrame, logs: DataFrame, *, keys: Sequence[str] = ("opcrequestid", "besttraceid"), audit_ts: str, log_ts: str, within: str, prefix: str = "audit_", watermark: str = "10 seconds") -> DataFrame:
     """Each log row with the audit rows that share its first key; log rows that match none by it are matched by the next key.
 
-    Rows with a NULL key don't take part in that key's join. `matched_on` names the key. In batches time buckets join the keys, so that a busy key is many small groups.
-    On streams (both sides; each waits for `watermark`) the rows that the first join gives up at the watermark feed the next one.
+    Rows with a NULL key don't take part in that key's join. `matched_on` names the key. Time buckets join the keys, so that a busy key is many small groups.
+    On streams (both sides; each waits for `watermark`) the rows that the first join gives up at the watermark feed the next one. There the audit rows of a key and bucket, which must fit in a row, are first put into lists, so that
+    a log row meets three entries of state and not each row near it.
     """
     streams = audit.isStreaming and logs.isStreaming
     if streams:
         audit, logs = audit.withWatermark(audit_ts, watermark), logs.withWatermark(log_ts, watermark)
-    hit, matched, key, at, new, near = (_free(n, logs) for n in ("_hit", "matched_on", "_key", "_at", "_new", "_near"))
-    out = logs.withColumn(hit, F.lit(None).cast(audit.schema)).withColumn(matched, F.lit(None).cast("string"))
+    matched, key, at, near, window, times, place = (_free(n, logs) for n in ("matched_on", "_key", "_at", "_near", "_window", "_times", "_place"))
+    # a column each, not one struct: what isn't read after the join goes through none of its shuffles, states and pairs
+    new, hit = ([_free(f"_{n}{i}", logs) for i in range(len(audit.columns))] for n in ("new", "hit"))
+    # in a struct a time doesn't carry the watermark of its feed on
+    whole = [F.struct(F.col(f"`{c}`").alias("v")) if c == audit_ts else F.col(f"`{c}`") for c in audit.columns]
+    out = logs.withColumn(matched, F.lit(None).cast("string"))
+    near_by = lambda t: (t >= F.col(log_ts) - _interval(within)) & (t <= F.col(log_ts) + _interval(within))
     for k in keys:
-        mine = audit.where(F.col(k).isNotNull()).select(F.col(k).alias(key), F.col(audit_ts).alias(at), F.struct(*[F.col(f"`{c}`") for c in audit.columns]).alias(new), (F.lit(None) if streams else F.explode(_near(F.col(audit_ts), within))).alias(near))
-        close = (F.col(at) >= F.col(log_ts) - _interval(within)) & (F.col(at) <= F.col(log_ts) + _interval(within))
-        if not streams:
-            close &= bucket_of(F.col(log_ts), within) == F.col(near)
+        mine = audit.where(F.col(k).isNotNull())
+        if streams:
+            lists = mine.groupBy(F.window(audit_ts, within).alias(window), F.col(k).alias(key)).agg(F.collect_list(audit_ts).alias(times), *[F.collect_list(F.struct(v.alias("v"))).alias(n) for v, n in zip(whole, new, strict=True)])
+            mine = lists.select(key, F.window_time(window).alias(at), F.explode(_near(F.col(f"{window}.start"), within)).alias(near), times, *new)
+            # the end of a window lies up to `within` after its rows; a log row waits for it, and as long again
+            close = (F.col(at) >= F.col(log_ts) - _interval(within)) & (F.col(at) <= F.col(log_ts) + _interval(f"{3 * _micros(within)} microseconds")) & F.exists(times, near_by)
+        else:
+            mine = mine.select(F.col(k).alias(key), F.col(audit_ts).alias(at), F.explode(_near(F.col(audit_ts), within)).alias(near), *[v.alias(n) for v, n in zip(whole, new, strict=True)])
+            close = near_by(F.col(at))
         # rows that are matched already take part with a NULL key
-        out = out.join(mine, (F.when(F.col(hit).isNull(), F.col(k)) == F.col(key)) & close, "left")
-        out = out.withColumn(matched, F.coalesce(matched, F.when(F.col(new).isNotNull(), F.lit(k))))
-        out = out.withColumn(hit, F.coalesce(hit, new)).drop(key, at, new, near)
-    return out.where(F.col(hit).isNotNull()).select(*[F.col(f"`{c}`") for c in logs.columns], F.col(matched).alias("matched_on"), *[F.col(f"{hit}.`{c}`").alias(f"{prefix}{c}") for c in audit.columns])
+        out = out.join(mine, (F.when(F.col(matched).isNull(), F.col(k)) == F.col(key)) & close & (bucket_of(F.col(log_ts), within) == F.col(near)), "left")
+        if streams:
+            places = F.filter(F.transform(times, lambda t, i: F.when(near_by(t), i)), lambda i: i.isNotNull())
+            rest = [c for c in out.columns if c not in (*new, times)]
+            out = out.select("*", F.explode_outer(places).alias(place)).select(*[F.col(f"`{c}`") for c in rest], *[F.get(n, F.col(place))["v"].alias(n) for n in new])
+        before = [F.coalesce(h, n).alias(h) if h in out.columns else F.col(n).alias(h) for h, n in zip(hit, new, strict=True)]
+        out = out.select(*[F.col(f"`{c}`") for c in logs.columns], F.coalesce(matched, F.when(F.col(key).isNotNull(), F.lit(k))).alias(matched), *before)
+    found = [F.col(f"{h}.v" if c == audit_ts else h).alias(f"{prefix}{c}") for c, h in zip(audit.columns, hit, strict=True)]
+    return out.where(F.col(matched).isNotNull()).select(*[F.col(f"`{c}`") for c in logs.columns], F.col(matched).alias("matched_on"), *found)
 
 
 def lookup(view: DataFrame, **key_values: object) -> DataFrame:

@@ -40,6 +40,9 @@ def stream_session(spark: SparkSession, policy: str = "min") -> SparkSession:
         "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
         # without it each write first reads its key, only to count rows
         "spark.sql.streaming.stateStore.rocksdb.trackTotalNumberOfRows": "false",
+        # joins keep their four states in one store; commits write what changed, not the store's files
+        "spark.sql.streaming.join.stateFormatVersion": "3",
+        "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
         "spark.sql.streaming.multipleWatermarkPolicy": policy,
     }.items():
         own.conf.set(key, value)

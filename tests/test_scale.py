@@ -8,8 +8,9 @@ from types import SimpleNamespace
 import pandas as pd
 from pyspark.sql import functions as F
 
+from streamctx.operators.joins import correlate
 from streamctx.streaming import stateful
-from streamctx.streaming.replay import write_in_order
+from streamctx.streaming.replay import replay, write_in_order
 
 T0 = datetime(2024, 1, 1)
 at = lambda s: T0 + timedelta(seconds=s)
@@ -98,7 +99,7 @@ def test_risk_is_counted_without_making_pairs(spark):
     want = soc.risk_windows(soc.security_events(*feeds, within="30 seconds", bucketed=True))
     shown = lambda df: sorted(map(tuple, df.select(*want.columns).collect()), key=str)
     assert shown(got) == shown(want) and len(shown(got)) > 20
-    assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in got._jdf.queryExecution().analyzed().toString()
     late = soc.recent_security_events(*feeds, "20 seconds", within="30 seconds")
     every = soc.recent_correlated_events(soc.security_events(*feeds, within="30 seconds", bucketed=True), "20 seconds")
     assert sorted(map(tuple, late.collect()), key=str) == sorted(map(tuple, every.collect()), key=str) and every.count() > 10
@@ -128,4 +129,23 @@ def test_runs_of_symbols_share_a_call_of_python(spark):
         text = "".join(s for q, _, s in rows if q == p)
         want += [(p, m.end() - 1, m.end() - m.start()) for m in re.finditer("AL+F", text)]
     assert sorted(map(tuple, out.collect())) == sorted(want) and len(want) > 100
-    assert "FlatMapGroupsInPandas" not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapGroupsInPandas" not in out._jdf.queryExecution().analyzed().toString()
+
+
+def test_a_log_row_meets_lists_of_audit_rows_on_streams(spark, tmp_path):
+    """Audit rows of a key and bucket are one entry of state; a list that ends long after a log row, in a later micro-batch, still reaches it."""
+    hours = lambda h: f"timestamp_seconds(cast({h} * 3600 as bigint) + 1704067200)"
+    rows = spark.range(400).select("id", F.expr(hours("id * 0.3")).alias("ts"), F.expr("id % 2 = 0").alias("log"), F.expr("CASE WHEN id % 3 > 0 THEN 'a' ELSE concat('b', id) END").alias("a"), F.expr("CASE WHEN id % 5 > 0 THEN 'hot' END").alias("b"))
+    rows = rows.unionByName(spark.createDataFrame([(-1, True, "x", "x"), (-1, False, "x", "x")], "id long, log boolean, a string, b string").withColumn("ts", F.expr(hours(5000))))
+
+    def found(df):
+        logs, audit = df.where("log").select("id", "ts", "a", "b"), df.where("NOT log").select("id", F.col("ts").alias("at"), "a", "b")
+        out = correlate(audit, logs, keys=("a", "b"), audit_ts="at", log_ts="ts", within="12 hours")
+        plans.append(out._jdf.queryExecution().analyzed().toString())
+        return out.select("id", "audit_id", "matched_on")
+
+    plans: list[str] = []
+    got = sorted(tuple(r) for r in replay(rows, found, ts="ts").where("id >= 0").collect())
+    want = sorted(tuple(r) for r in found(rows).where("id >= 0").collect())
+    assert got == want and len({r[2] for r in got}) == 2
+    assert plans[0].count("collect_list") and not plans[1].count("collect_list")
