@@ -149,3 +149,26 @@ def test_a_log_row_meets_lists_of_audit_rows_on_streams(spark, tmp_path):
     want = sorted(tuple(r) for r in found(rows).where("id >= 0").collect())
     assert got == want and len({r[2] for r in got}) == 2
     assert plans[0].count("collect_list") and not plans[1].count("collect_list")
+
+
+def test_risk_is_counted_without_making_pairs_on_streams(spark, tmp_path):
+    """Of 600 logins of one address with 600 flows and 600 alerts each near them no pair is made: a login meets one list."""
+    from streamctx.plans import soc
+
+    kinds = ("auth", "flow", "alert")
+    far = spark.createDataFrame([(-i, x, 900_000_000) for i, x in enumerate(kinds, 1)], "id long, kind string, ms long")
+    rows = spark.range(1800).select("id", F.expr("element_at(array('auth', 'flow', 'alert'), cast(id % 3 + 1 as int))").alias("kind"), (F.col("id") * 37 % 90_000).alias("ms")).unionByName(far)
+    rows = rows.withColumn("event_time", F.expr("timestamp_millis(1704067200000 + ms)"))
+
+    def found(df, **how):
+        of = lambda kind, **c: df.where(F.col("kind") == kind).select("event_time", F.when(F.col("id") < 0, "far").otherwise("ip").alias("src_ip"), *[F.expr(v).alias(n) for n, v in c.items()])
+        auth = of("auth", user_id="concat('u', id % 2)", outcome="if(id % 5 = 0, 'FAIL', 'OK')", mfa_used="id % 7 = 0")
+        out = soc.security_risk_context(auth, of("flow", bytes_sent="if(id % 4 > 0, id, NULL)"), of("alert", signature="if(id % 11 > 0, 's', NULL)", severity="if(id % 2 = 0, 'HIGH', 'LOW')"), within="20 seconds", **how)
+        plans.append(out._jdf.queryExecution().analyzed().toString())
+        return out.withColumn("window_start", F.unix_millis("window_start")).drop("window_end")
+
+    plans: list[str] = []
+    got = replay(rows, lambda s: found(s, watermark="1 second"), ts="event_time").where("src_ip <> 'far'").collect()
+    want = found(rows).where("src_ip <> 'far'").collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and len(want) > 20
+    assert plans[0].count("Join ") == 1 and "collect_list" in plans[0]
