@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass
 from itertools import chain
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -166,66 +167,112 @@ def match_longest(df: DataFrame, *, by: Sequence[str], ts: str, tiebreak: Sequen
 
     Rows are ordered by ts and tiebreak, which should be total (NULL first). A key's rows are taken in slices of time, each a task's: first each slice is summed up as what it does to a match that
     comes in, in any state of the pattern's automaton (where it ends, or in which state it goes on); a key's sums are folded from the last slice to the first; then each
-    slice finds the ends of its own matches, which may lie in later slices. So a run of any length is many tasks; a slice of a key must fit in one. Both passes share one shuffle.
+    slice finds the ends of its own matches, which may lie in later slices. So a run of any length is many tasks; a slice of a key must fit in one. Many slices share a call of Python.
     """
     automaton = Automaton.of(pattern)
     states, keys = range(len(automaton.steps)), [f"k{i}" for i in range(len(by))]
     slices = F.coalesce(F.floor(epoch_us(F.col(ts)) / _micros(time_slice)), F.lit(-(1 << 62))).alias("slice")
     rows = df.select(*[F.col(f"`{c}`").alias(k) for c, k in zip(by, keys, strict=True)], slices, symbol_of(defines).alias("symbol"), F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"))
-    order = Window.partitionBy(*keys, "slice").orderBy(F.col(f"row.`{ts}`"), *[F.col(f"row.`{c}`") for c in tiebreak])
-    rows = rows.withColumn("i", F.row_number().over(order)).repartition(*keys, "slice")
+    in_time = [F.col(f"row.`{ts}`"), *[F.col(f"row.`{c}`") for c in tiebreak]]
+    of_slice = Window.partitionBy(*keys, "slice")
     of_key = StructType([rows.schema[k] for k in keys])
     summed = StructType([*of_key, *StructType().add("slice", LongType()).add("n", LongType()).add("state", IntegerType()).add("exit", IntegerType()).add("at", LongType()).add("row", df.schema)])
 
-    def sum_up(table: pa.Table) -> pa.Table:
-        table = table.sort_by("i")
-        symbols = table["symbol"].to_pylist()
-        runs = [automaton.run(symbols, q) for q in states]
-        same = table.slice(0, 1).select([*keys, "slice"]).take([0] * len(states))
-        ends = pa.array([at if at >= 0 else None for _, at in runs], pa.int64())
-        for name, value in {"n": pa.array([len(symbols)] * len(states), pa.int64()), "state": pa.array(states, pa.int32()), "exit": pa.array([q for q, _ in runs], pa.int32()), "at": ends, "row": table["row"].combine_chunks().take(ends)}.items():
+    def sum_up(table: pa.Table, groups: list[tuple[int, int]]) -> pa.Table:
+        symbols, firsts, ns, exits, ats, ends = table["symbol"].to_pylist(), [], [], [], [], []
+        for a, b in groups:
+            own = symbols[a:b]
+            for q in states:
+                out, at = automaton.run(own, q)
+                firsts.append(a)
+                ns.append(b - a)
+                exits.append(out)
+                ats.append(at if at >= 0 else None)
+                ends.append(a + at if at >= 0 else None)
+        same = _taken(table, [*keys, "slice"], firsts)
+        columns = {"n": pa.array(ns, pa.int64()), "state": pa.array([*states] * len(groups), pa.int32()), "exit": pa.array(exits, pa.int32()), "at": pa.array(ats, pa.int64()), "row": table["row"].combine_chunks().take(pa.array(ends, pa.int64()))}
+        for name, value in columns.items():
             same = same.append_column(name, value)
         return same
 
     ahead = StructType([*of_key, *StructType().add("slice", LongType()).add("state", IntegerType()).add("rest", LongType()).add("row", df.schema)])
 
-    def fold(table: pa.Table) -> pa.Table:
+    def fold(table: pa.Table, groups: list[tuple[int, int]]) -> pa.Table:
         """For each slice and state, the end (a row of the sums) of a match that leaves the slice in it, and how many rows later."""
-        table = table.sort_by([("slice", "descending"), ("state", "ascending")])
         exits, ats, ns = (table[c].to_pylist() for c in ("exit", "at", "n"))
-        later: list[tuple[int, int] | None] = [None] * len(states)
         takes, kept = [], []
-        for first in range(0, len(exits), len(states)):
-            for q in states:
-                if later[q] is not None:
-                    takes.append(later[q])
-                    kept.append(first + q)
-            now = []
-            for q in states:
-                out, at = exits[first + q], ats[first + q]
-                goes_on = later[out] if out >= 0 else None
-                now.append((goes_on[0], goes_on[1] + ns[first]) if goes_on is not None else None if at is None else (first + q, at))
-            later = now
-        out = table.select([*keys, "slice", "state"]).take(pa.array(kept, pa.int64()))
+        for a, b in groups:
+            later: list[tuple[int, int] | None] = [None] * len(states)
+            for first in range(a, b, len(states)):
+                for q in states:
+                    if later[q] is not None:
+                        takes.append(later[q])
+                        kept.append(first + q)
+                now = []
+                for q in states:
+                    out, at = exits[first + q], ats[first + q]
+                    goes_on = later[out] if out >= 0 else None
+                    now.append((goes_on[0], goes_on[1] + ns[first]) if goes_on is not None else None if at is None else (first + q, at))
+                later = now
+        out = _taken(table, [*keys, "slice", "state"], kept)
         return out.append_column("rest", pa.array([rest for _, rest in takes], pa.int64())).append_column("row", table["row"].combine_chunks().take(pa.array([i for i, _ in takes], pa.int64())))
 
     found = StructType([*of_key, *StructType().add("first", df.schema).add("last", df.schema).add("rows", LongType())])
 
-    def find(table: pa.Table, later: pa.Table) -> pa.Table:
-        table = table.sort_by("i")
-        n, after, source = table.num_rows, [None] * len(states), {}
-        for j, (q, rest) in enumerate(zip(later["state"].to_pylist(), later["rest"].to_pylist(), strict=True)):
-            after[q] = n + rest
-            source[n + rest] = n + j
-        ends = automaton.ends(table["symbol"].to_pylist(), after)
-        hits = [(at, end) for at, end in enumerate(ends) if end is not None]
-        begins = pa.array([at for at, _ in hits], pa.int64())
-        every = pa.concat_tables([table.select(["row"]), later.select(["row"]).cast(table.select(["row"]).schema)]).combine_chunks()["row"]
-        out = table.select(keys).take(begins)
-        out = out.append_column("first", table["row"].combine_chunks().take(begins)).append_column("last", every.take(pa.array([source.get(end, end) for _, end in hits], pa.int64())))
-        return out.append_column("rows", pa.array([end - at + 1 for at, end in hits], pa.int64()))
-
-    sums = rows.groupBy(*keys, "slice").applyInArrow(sum_up, summed)
-    ends = sums.groupBy(*keys).applyInArrow(fold, ahead)
-    out = rows.groupBy(*keys, "slice").cogroup(ends.groupBy(*keys, "slice")).applyInArrow(find, found)
+    def find(table: pa.Table, groups: list[tuple[int, int]]) -> pa.Table:
+        """A slice's first rows are the ends that lie behind it, with their states."""
+        symbols, qs, rests = (table[c].to_pylist() for c in ("symbol", "state", "rest"))
+        begins, lasts, lengths = [], [], []
+        for a, b in groups:
+            own = next((i for i in range(a, b) if qs[i] is None), b)
+            n, after, source = b - own, [None] * len(states), {}
+            for i in range(a, own):
+                after[qs[i]] = n + rests[i]
+                source[n + rests[i]] = i
+            for at, end in enumerate(automaton.ends(symbols[own:b], after)):
+                if end is not None:
+                    begins.append(own + at)
+                    lasts.append(source.get(end, own + end))
+                    lengths.append(end - at + 1)
+        out, every = _taken(table, keys, begins), table["row"].combine_chunks()
+        for name, value in {"first": every.take(pa.array(begins, pa.int64())), "last": every.take(pa.array(lasts, pa.int64())), "rows": pa.array(lengths, pa.int64())}.items():
+            out = out.append_column(name, value)
+        return out
+
+    sums = rows.withColumn("i", F.row_number().over(of_slice.orderBy(*in_time))).mapInArrow(_of_groups(sum_up), summed)
+    ends = sums.withColumn("i", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("slice"), "state"))).mapInArrow(_of_groups(fold), ahead)
+    none = lambda kind: F.lit(None).cast(kind)
+    both = rows.select("*", none("int").alias("state"), none("long").alias("rest")).unionByName(ends.withColumn("symbol", none("string")))
+    out = both.withColumn("i", F.row_number().over(of_slice.orderBy(F.asc_nulls_last("state"), *in_time))).mapInArrow(_of_groups(find), found)
     return out.select(*[F.col(k).alias(c) for k, c in zip(keys, by, strict=True)], "first", "last", "rows")
+
+
+def _taken(table: pa.Table, names: Sequence[str], at: Sequence[int]) -> pa.Table:
+    return table.select(names).combine_chunks().take(pa.array(at, pa.int64()))
+
+
+def _of_groups(work: Callable[[pa.Table, list[tuple[int, int]]], pa.Table], rows: int = 20_000) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """For mapInArrow: work on whole groups of sorted rows, some `rows` at a time (more only if one group has them), with the places where each begins and ends. Column i numbers a group's rows from 1."""
+
+    def groups(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        begins = np.flatnonzero(table["i"].to_numpy() == 1).tolist()
+        yield from work(table, list(zip(begins, [*begins[1:], table.num_rows], strict=True))).to_batches()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        n, enough = 0, rows
+        for batch in batches:
+            held.append(batch)
+            n += batch.num_rows
+            if n < enough:
+                continue
+            table = pa.Table.from_batches(held)
+            cut = int(np.flatnonzero(table["i"].to_numpy() == 1)[-1])
+            if cut:
+                yield from groups(table.slice(0, cut))
+                held, n = table.slice(cut).to_batches(), n - cut
+            enough = max(rows, 2 * n)
+        if n:
+            yield from groups(pa.Table.from_batches(held))
+
+    return run

@@ -8,6 +8,7 @@ from types import SimpleNamespace
 import pandas as pd
 from pyspark.sql import functions as F
 
+from streamctx.operators import patterns
 from streamctx.operators.joins import correlate
 from streamctx.streaming import stateful
 from streamctx.streaming.replay import replay, write_in_order
@@ -172,3 +173,23 @@ def test_risk_is_counted_without_making_pairs_on_streams(spark, tmp_path):
     want = found(rows).where("src_ip <> 'far'").collect()
     assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and len(want) > 20
     assert plans[0].count("Join ") == 1 and "collect_list" in plans[0]
+
+
+def test_slices_share_calls_of_python_for_longest_matches(spark):
+    """Whole slices go to Python many at a time, and a slice of more rows than a call should have stays whole."""
+    import pyarrow as pa
+
+    calls: list[list[int]] = []
+
+    def work(table, groups):
+        calls.append([b - a for a, b in groups])
+        return table
+
+    numbers = [i for size in (3, 2, 50, *[1] * 30, 4) for i in range(1, size + 1)]
+    batches = [pa.record_batch([pa.array(numbers[k : k + 5], pa.int32())], ["i"]) for k in range(0, len(numbers), 5)]
+    out = [x for b in patterns._of_groups(work, rows=20)(iter(batches)) for x in b.column("i").to_pylist()]
+    assert out == numbers and [n for c in calls for n in c] == [3, 2, 50, *[1] * 30, 4] and len(calls) < 8
+    df = spark.range(300).select((F.col("id") % 40).alias("k"), F.timestamp_seconds(F.col("id") * 7 % 1000).alias("t"), "id", F.expr("element_at(array('a', 'l', 'l', 'f'), cast(id % 4 + 1 as int))").alias("s"))
+    found = patterns.match_longest(df, by=["k"], ts="t", tiebreak=["id"], defines={x.upper(): F.col("s") == x for x in "alf"}, pattern="A L* F?", time_slice="100 seconds")
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapGroups" not in plan and "FlatMapCoGroups" not in plan and plan.count("MapInArrow") == 3
