@@ -111,12 +111,12 @@ class Sample:
         return out
 
 
-def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, *, steps: int = 60, rate: float = 0.1, penalty: float = 3.0, ridge: float = 1e-4) -> np.ndarray:
+def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, *, steps: int = 200, rate: float = 0.1, penalty: float = 3.0, ridge: float = 1e-4) -> np.ndarray:
     """The weights of all hashed features, the bias last.
 
     First a weight's absolute value is penalised by `penalty` times the standard deviation that its slope has where the
     feature says nothing, so that features stay at 0 if they go with either side by chance only. Then the others
-    are fitted without that penalty, which makes scores too small.
+    are fitted without that penalty, which makes scores too small. Both run to where the risk is about still: with 60 steps, samples of full size were left in the middle.
     """
     sample = Sample(apart(positive), apart(unlabelled), prior)
     shrink = penalty * prior * np.sqrt(sample.share * (1 - sample.share) / sample.n_p)

@@ -687,6 +687,18 @@ def test_the_risk_is_corrected_by_the_prior():
     assert w[1] + w[2] + w[-1] > 0 > w[-1]
 
 
+def test_toxicity_is_fitted_to_its_end():
+    """Twice the steps change nothing much: the fit isn't stopped on its way."""
+    r = np.random.default_rng(5)
+    sample = lambda toxic: np.unique(np.concatenate([r.integers(1000, 9000, 150), r.integers(0, 60, 4) if toxic else []])).astype(np.int32)
+    pos, rest = [sample(True) for _ in range(600)], [sample(i % 10 == 0) for i in range(1800)]
+    cost = lambda w, s: (lambda a, b: a + max(0, b))(*s.risk(np.append(w[:-1][s.seen], w[-1]))[:2])
+    whole = toxicity.Sample(pos, rest, 0.1)
+    once, twice = (cost(toxicity.fit(pos, rest, 0.1, **how), whole) for how in ({}, {"steps": 400}))
+    short = cost(toxicity.fit(pos, rest, 0.1, steps=60), whole)
+    assert once < 1.6 * twice + 0.002 and once < short
+
+
 def test_toxicity_of_the_given_tables(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     fold = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) != 0
