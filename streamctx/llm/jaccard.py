@@ -258,6 +258,20 @@ def dealt(rows: DataFrame, block: int) -> tuple[DataFrame, list[DataFrame]]:
     return met.select(number.alias("cell"), F.when(one, -1).when(first, 0).otherwise(1).alias("side"), "set_id", "n", "comp"), [rows, sizes, partners]
 
 
+def together(met: DataFrame, most: DataFrame, block: int) -> tuple[DataFrame, list[DataFrame]]:
+    """The rows(list, set_id, n, comp, most, m), with each set once, of the groups that have the same largest class, and the staged tables that they are read from.
+
+    Such groups share most of their sets, so apart they give a pair and its bitmaps many times. most: (list, most, m) of each group. Those that would have more rows together, in cells of `block`, stay apart.
+    """
+    rows = lambda m: m * F.ceil(m / block)
+    union = staging.stage(met.select("most", "set_id", "n", "comp").distinct(), "jaccard-union")
+    sizes = union.groupBy("most").agg(F.count(F.lit(1)).alias("of_union")).join(most.groupBy("most").agg(F.sum(rows(F.col("m"))).alias("apart")), "most")
+    sizes = staging.stage(sizes.select("most", "of_union", (rows(F.col("of_union")) <= F.col("apart")).alias("one")), "jaccard-unions")
+    ones = union.join(staging.small(sizes.where("one").select("most", F.col("of_union").alias("m"))), "most").withColumn("list", F.xxhash64("most"))
+    apart = met.join(staging.small(sizes.where("NOT one").select("most")), "most", "left_semi")
+    return ones.unionByName(apart), [union, sizes]
+
+
 def whole_cells(them: Iterator[pa.RecordBatch], rows: int = 20_000, size: int = 1 << 24) -> Iterator[pa.Table]:
     """The rows of batches in order of cells, some whole cells at a time."""
     held: list[pa.RecordBatch] = []
@@ -388,10 +402,11 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         most = staging.stage(most.select("list", F.col("most.comp").alias("most"), F.col("of_all").alias("m")), "jaccard-most")
         met = several.join(staging.small(most), "list")
         if last:  # whole groups
+            met, unions = together(met, most, block)
             met = met.withColumn("major", F.col("comp") == F.col("most"))
             cells = met.where(F.col("m") <= block).select(F.col("list").alias("cell"), F.lit(-1).alias("side"), "set_id", "n", "comp")
             deal, read = dealt(met.where(F.col("m") > block).select("list", "set_id", "n", "comp", "major"), block)
-            cells = cells.unionByName(deal)
+            cells, read = cells.unionByName(deal), [*unions, *read]
         else:  # against some of the largest class, the same for all groups with that class, so that a set meets them once
             met = staging.stage(met.where("comp <> most").select("most", "set_id", "n", "comp").distinct(), "jaccard-met")
             some = several.join(staging.small(most.select(F.col("most").alias("comp")).distinct()), "comp", "left_semi").groupBy(F.col("comp").alias("most")).agg(picked(hubs)[0])

@@ -553,6 +553,20 @@ def test_jaccard_template_with_one_word_varied(documents, monkeypatch):
     assert made["jaccard-members"] < 2 * len(rows) and made["jaccard-left"] < len(rows)
 
 
+def test_jaccard_overlapping_groups_are_walked_together(spark):
+    # nine groups with class 1 (sets 0 to 5), which share most sets; and two with class 2 (set 100) that share no other set
+    groups = {g: (1, [*range(6), *range(10, 18 + g % 2)]) for g in range(9)} | {20: (2, [100, *range(101, 108)]), 21: (2, [100, *range(108, 115)])}
+    rows = [(g, s, 5, 1 if s < 6 else 2 if s == 100 else s, most, len(sets)) for g, (most, sets) in groups.items() for s in sets]
+    met = jaccard.staging.stage(spark.createDataFrame(rows, "list long, set_id long, n long, comp long, most long, m long"), "met")
+    out, read = jaccard.together(met, met.select("list", "most", "m").distinct(), 8)
+    got = out.collect()
+    jaccard.staging.drop(met, *read)
+    assert sorted(r["set_id"] for r in got if r["most"] == 1) == [*range(6), *range(10, 19)]
+    assert {(r["most"], r["m"]) for r in got} == {(1, 15), (2, 8)} and len({r["list"] for r in got}) == 3
+    met_in = {frozenset((a["set_id"], b["set_id"])) for a in got for b in got if a["list"] == b["list"]}
+    assert {frozenset((a, b)) for _, sets in groups.values() for a in sets for b in sets} <= met_in
+
+
 @pytest.mark.parametrize("hot", [3, 12])
 def test_jaccard_hot_groups(documents, hot):
     passage = words(40, 99)
