@@ -20,6 +20,7 @@ import math
 from collections.abc import Sequence
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -112,7 +113,9 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), *, share: float =
     for sid, ((_, size), target) in enumerate(zip(sizes, wanted, strict=True)):
         epochs = min(most, math.floor(target / size + 1e-12)) if size else 0
         plan[sid] = (epochs, max(0, round(target - epochs * size)) if epochs < most else 0)
-    sources = F.broadcast(spark.createDataFrame([(sid, name, size, target, plan[sid][0]) for sid, ((name, size), target) in enumerate(zip(sizes, wanted, strict=True))], "sid int, name string, source_size long, target double, epochs int"))
+    # from Arrow, so that the rows are in the plan: those of a list come from Python workers of another kind, which stay beside SQL's own
+    columns = {"sid": pa.array(range(len(sizes)), pa.int32()), "name": pa.array([name for name, _ in sizes], pa.string()), "source_size": pa.array([size for _, size in sizes], pa.int64()), "target": pa.array(wanted, pa.float64()), "epochs": pa.array([plan[sid][0] for sid in range(len(sizes))], pa.int32())}
+    sources = F.broadcast(spark.createDataFrame(pa.table(columns)))
     rows = rows.join(sources, rows["source"].eqNullSafe(sources["name"])).withColumn("cell", F.pmod("h", F.lit(cells)).cast("int"))
 
     def choose(counts: pd.DataFrame) -> pd.DataFrame:

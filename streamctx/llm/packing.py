@@ -20,7 +20,8 @@ import json
 import re
 import zlib
 from collections.abc import Callable
-from functools import cache
+from functools import cache, cached_property
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
@@ -45,16 +46,17 @@ class Ids:
     """The ids that a tokenizers file gives to texts, as unsigned 32-bit numbers.
 
     A byte-level BPE vocabulary whose ids are in the order of its merges is handed to tiktoken, which gives
-    the same ids several times faster; any other stays with tokenizers.
+    the same ids several times faster; any other stays with tokenizers. Workers keep this, so tokenizers' own tables are
+    made only when a text needs them.
     """
 
     def __init__(self, path: str):
-        self.tokenizer, self.fast = Tokenizer.from_file(path), None
-        j = json.loads(self.tokenizer.to_str())
-        model, before = j["model"], j["pre_tokenizer"] or {}
-        special = {t["content"]: t["id"] for t in j["added_tokens"]}
-        plain = before.get("type") == "ByteLevel" and not before["add_prefix_space"] and before["use_regex"] and not j["normalizer"] and model["type"] == "BPE"
-        plain = plain and all(t["special"] and not (t["lstrip"] or t["rstrip"] or t["single_word"]) for t in j["added_tokens"])
+        self.path, self.fast = path, None
+        j = json.loads(Path(path).read_bytes())
+        model, before = j["model"], j.get("pre_tokenizer") or {}
+        special = {t["content"]: t["id"] for t in j.get("added_tokens") or []}
+        plain = before.get("type") == "ByteLevel" and not before["add_prefix_space"] and before.get("use_regex", True) and not j.get("normalizer") and model.get("type") == "BPE"
+        plain = plain and all(t["special"] and not (t["lstrip"] or t["rstrip"] or t["single_word"]) for t in j.get("added_tokens") or [])
         if plain and all(model["vocab"].get("".join(m)) == 256 + i for i, m in enumerate(m.split(" ") if isinstance(m, str) else m for m in model["merges"])):
             code = byte_codes()
             ranks = {bytes(code[c] for c in t): i for t, i in model["vocab"].items() if t not in special}
@@ -62,6 +64,10 @@ class Ids:
 
         self.special = tuple(special)
 
+    @cached_property
+    def tokenizer(self) -> Tokenizer:
+        return Tokenizer.from_file(self.path)
+
     def slow(self, doc: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(doc, add_special_tokens=False).ids, "<u4")
 

@@ -177,8 +177,8 @@ def score(docs: DataFrame, weights: np.ndarray | None, held_out: Column) -> Data
 def scorer(weights: np.ndarray) -> Callable[[pa.Array], np.ndarray]:
     """The scores of a column of texts; it remembers words."""
     mask = (1 << BITS) - 1
-    word = text.Memo(lambda x: float(weights[zlib.crc32(x) & mask]), 100_000)
-    start = text.Memo(lambda x: float(weights[zlib.crc32(b"^" + x) & mask]), 100_000)
+    word = text.Memo(lambda x: float(weights[zlib.crc32(x) & mask]), 50_000)
+    start = text.Memo(lambda x: float(weights[zlib.crc32(b"^" + x) & mask]), 50_000)
 
     def rate(column: pa.Array) -> np.ndarray:
         g = np.full(len(column), float(weights[-1]))

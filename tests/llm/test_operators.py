@@ -12,7 +12,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from streamctx.llm import chat, components, dedup, jaccard, knn, langid, licenses, mixing, packing, sharding, sigtree, text, toxicity
+from streamctx.llm import chat, components, dedup, jaccard, knn, langid, licenses, mixing, packing, sharding, sigtree, staging, text, toxicity
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 PATH = public_tokenizers.path("byte_bpe_50k.json")
@@ -321,6 +321,25 @@ def test_ids_equal_the_tokenizers():
         assert ids.of(t).tolist() == tokenizer.encode(t, add_special_tokens=False).ids
 
 
+def test_workers_keep_no_second_tokenizer():
+    ids = packing.Ids(PATH)
+    assert len(ids.of("a b")) and "tokenizer" not in vars(ids)
+    ids.of("x" + " " * 5000 + "y")
+    assert "tokenizer" in vars(ids)
+
+
+def test_mix_needs_no_python_rdd(documents):
+    # workers of RDDs stay beside those of SQL, with the memory of both
+    mixed = mixing.mix(documents([(1, "a b", "en", "s0"), (2, "c", "en", None)]))
+    assert "ExistingRDD" not in mixed._jdf.queryExecution().toString() and mixed.count() == 2
+
+
+def test_staged_batches_are_narrow(spark):
+    sizes = text.batches(lambda b: pa.record_batch([pa.array([b.nbytes])], ["n"]))
+    rows = spark.range(8000, numPartitions=1).select(F.repeat(F.lit("x"), 2000).alias("text"))
+    assert max(r.n for r in staging.stage(rows.mapInArrow(sizes, "n long"), "test").collect()) < 5 << 20
+
+
 # --- licences
 
 
