@@ -8,7 +8,7 @@ from types import SimpleNamespace
 import pandas as pd
 from pyspark.sql import functions as F
 
-from streamctx.operators import patterns
+from streamctx.operators import joins, patterns
 from streamctx.operators.joins import correlate
 from streamctx.streaming import stateful
 from streamctx.streaming.replay import replay, write_in_order
@@ -193,3 +193,51 @@ def test_slices_share_calls_of_python_for_longest_matches(spark):
     found = patterns.match_longest(df, by=["k"], ts="t", tiebreak=["id"], defines={x.upper(): F.col("s") == x for x in "alf"}, pattern="A L* F?", time_slice="100 seconds")
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "FlatMapGroups" not in plan and "FlatMapCoGroups" not in plan and plan.count("MapInArrow") == 3
+
+
+def _feeds(spark):
+    r = random.Random(9)
+    key = lambda: r.choice(["a", "b", None])
+    some = lambda n: [(i, key(), key(), at(r.randrange(300))) for i in range(n)]
+    return spark.createDataFrame(some(80), "id long, k string, k2 string, t timestamp"), spark.createDataFrame(some(90), "r long, k string, k2 string, rt timestamp")
+
+
+def _condition(df):
+    """The join conditions of a plan."""
+    return "".join(line for line in df._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join " in line)
+
+
+def _rows(df):
+    return sorted(map(str, df.collect()))
+
+
+def test_pairs_add_no_intervals_and_large_sides_are_dealt(spark, monkeypatch):
+    """The ends of a row's interval are columns; sides that aren't small go to as many tasks as shuffles have, with the same rows."""
+    left, right = (df.drop("k2") for df in _feeds(spark))
+    for how in ("inner", "left", "right", "full", "semi", "anti"):
+        join = lambda how=how, **kw: joins.interval_join(left, right, on=["k"], left_ts="t", right_ts="rt", within="30 seconds", how=how, **kw)
+        small, plain = join(), join(bucketed=False)
+        assert "INTERVAL" not in _condition(small) and "REPARTITION_BY_NUM" not in small._jdf.queryExecution().executedPlan().toString()
+        monkeypatch.setattr(joins, "SMALL_BYTES", 0)
+        dealt = join()
+        monkeypatch.undo()
+        assert "REPARTITION_BY_NUM" in dealt._jdf.queryExecution().executedPlan().toString()
+        assert _rows(dealt) == _rows(small) == _rows(plain) and dealt.columns == small.columns
+
+
+def test_the_second_join_of_security_events_shuffles_no_pairs(spark):
+    """Three feeds, three shuffles; before, pairs of logins and flows were a fourth."""
+    from streamctx.plans import soc
+
+    left, right = _feeds(spark)
+    auth = left.select(F.col("t").alias("event_time"), F.col("id").cast("string").alias("user_id"), F.col("k").alias("src_ip"), *[F.lit("x").alias(c) for c in ("location", "device_id", "outcome")], F.lit(True).alias("mfa_used"))
+    flows = right.select(F.col("rt").alias("event_time"), F.col("k").alias("src_ip"), F.lit("x").alias("dest_ip"), F.lit(1).alias("dest_port"), F.lit("x").alias("protocol"), F.col("r").alias("bytes_sent"))
+    alerts = right.select(F.col("rt").alias("event_time"), F.col("k2").alias("src_ip"), F.col("r").cast("string").alias("signature"), F.lit("LOW").alias("severity"))
+    monkey = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = soc.security_events(auth, flows, alerts, within="20 seconds")
+        assert got._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 3
+        assert _rows(got) == _rows(soc.security_events(auth, flows, alerts, within="20 seconds", bucketed=False)) and got.count() > 100
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", monkey)
