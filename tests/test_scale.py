@@ -216,6 +216,7 @@ def test_pairs_add_no_intervals_and_large_sides_are_dealt(spark, monkeypatch):
     left, right = (df.drop("k2") for df in _feeds(spark))
     for how in ("inner", "left", "right", "full", "semi", "anti"):
         join = lambda how=how, **kw: joins.interval_join(left, right, on=["k"], left_ts="t", right_ts="rt", within="30 seconds", how=how, **kw)
+        monkeypatch.setattr(joins, "SMALL_BYTES", 1 << 200)
         small, plain = join(), join(bucketed=False)
         assert "INTERVAL" not in _condition(small) and "REPARTITION_BY_NUM" not in small._jdf.queryExecution().executedPlan().toString()
         monkeypatch.setattr(joins, "SMALL_BYTES", 0)
@@ -241,3 +242,16 @@ def test_the_second_join_of_security_events_shuffles_no_pairs(spark):
         assert _rows(got) == _rows(soc.security_events(auth, flows, alerts, within="20 seconds", bucketed=False)) and got.count() > 100
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", monkey)
+
+
+def test_correlated_pairs_add_no_intervals_and_large_sides_are_dealt(spark, monkeypatch):
+    logs, audit = _feeds(spark)
+    find = lambda: correlate(audit, logs, keys=("k", "k2"), audit_ts="rt", log_ts="t", within="20 seconds")
+    monkeypatch.setattr(joins, "SMALL_BYTES", 1 << 200)
+    small = find()
+    assert "INTERVAL" not in _condition(small) and "REPARTITION_BY_NUM" not in small._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(joins, "SMALL_BYTES", 0)
+    dealt = find()
+    monkeypatch.undo()
+    assert dealt._jdf.queryExecution().executedPlan().toString().count("REPARTITION_BY_NUM") == 4
+    assert _rows(dealt) == _rows(small) and {r.matched_on for r in small.collect()} == {"k", "k2"} and dealt.columns == small.columns
