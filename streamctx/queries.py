@@ -714,12 +714,12 @@ def stream_aml_alerts(spark, d):
 
 @query(ORACLE_SQL["indecisive_viewers"])
 def stream_indecisive_viewers(spark, d):
-    """Three stateful operators one after the other: an as-of join, a hopping window, and ordered lists over its windows."""
+    """Three stateful operators one after the other: an as-of join, sums of panes, and lists of panes from which hopping windows are read."""
 
     def build(s):
         seen = ad.feed(s.where("event_type IN ('view', 'click')"), user_id=F.col("user_id"), content_id=F.col("k") % 7, event_type=F.when(F.col("event_type") == "view", "view_details").otherwise("hover"))
         content = ad.feed(s.where("event_type = 'signup'"), content_id=F.col("k") % 7, title=ad.s("event_id"), genres=F.concat(F.lit("g"), F.col("k") % 3))
-        out = viewer.indecisive_viewers(viewer.viewer_interest(seen, content, size="24 hours", slide="1 hour", window_col="window"))
+        out = viewer.indecisive_viewers_stream(seen, content, size="24 hours", slide="1 hour")
         return out.select(ms("window_start"), "user_id", "cnt", "genres_list", "weighted_interest_score_sum_list", "abandoned_views_in_window")
 
     return _replayed(spark, d, build)

@@ -43,6 +43,8 @@ def stream_session(spark: SparkSession, policy: str = "min") -> SparkSession:
         # joins keep their four states in one store; commits write what changed, not the store's files
         "spark.sql.streaming.join.stateFormatVersion": "3",
         "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+        # all stores of an executor share 500 MB for what they write and cache; else each has up to 128 MB for itself
+        "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
         "spark.sql.streaming.multipleWatermarkPolicy": policy,
     }.items():
         own.conf.set(key, value)

@@ -26,6 +26,8 @@ _ROWS = "rows array<string>"
 BUCKETS = 128
 #: Rows that a slice of waiting rows should have; keys that a cell of a bucket's state should have.
 SLICE_ROWS, CELL_KEYS = 2_000, 1_000
+#: Rows of a bucket that are held at a time, where they come in and where they are due.
+HELD_ROWS = 40_000
 
 
 def _texts(col: Column, kind: DataType) -> Column:
@@ -79,8 +81,9 @@ def _value(text: object, kind: object) -> tuple:
 class _Ordered(StatefulProcessor):
     """Holds a bucket's rows until the watermark has passed them, and hands them on by key in order.
 
-    Rows wait in a map by time slice and chunk (a slice's rows of one micro-batch), beside an index of the slices. A timer, one a bucket, reads and
+    Rows wait in a map by time slice and chunk (a slice's rows of up to HELD_ROWS that came in), beside an index of the slices. A timer, one a bucket, reads and
     deletes the chunks of the slices that are due; of the slice that the watermark is in, the rest is written back. All other slices are left alone.
+    Slices are read by their least times, and handed on to `step` some HELD_ROWS at a time, so that a bucket of many rows isn't held whole.
     kinds: for each feed how its ties are read. slice_us: the length of slices; by default a power of two, for each chunk as many microseconds as give slices of about SLICE_ROWS rows.
     """
 
@@ -97,14 +100,15 @@ class _Ordered(StatefulProcessor):
         """[chunks, least time] of each slice."""
         return {s[0]: [s[1], s[2]] for s in self.index.get()[0]} if self.index.exists() else {}
 
-    def wait(self, slices: dict[int, list[int]], rows: Sequence[tuple]) -> None:
-        """Writes rows (time first) to their slices."""
+    def wait(self, slices: dict[int, list[int]], rows: Sequence[tuple], seen: int = 0) -> None:
+        """Writes rows (time first) to their slices. seen: how many rows of the bucket came in with them; slices are the shorter, to 1/20."""
         if self.slice_us:
             number = lambda t: t // self.slice_us
         else:
             times = sorted(r[0] for r in rows)
             middle = times[len(times) * 9 // 10] - times[len(times) // 10]
-            level = min(62, max(20, (middle * SLICE_ROWS // len(times)).bit_length()))
+            many = max(len(times), min(seen, 20 * len(times)))
+            level = min(62, max(20, (middle * SLICE_ROWS // many).bit_length()))
             number = lambda t: (t >> level) * 64 + level
         of: dict[int, list[tuple]] = {}
         for r in rows:
@@ -134,29 +138,41 @@ class _Ordered(StatefulProcessor):
             self.due.update((ms,))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        slices = self.slices()
+        slices, held, seen = self.slices(), [], 0
         for frame in rows:
-            if len(frame):
-                cols = [frame[c].tolist() for c in ("t", "side", "feed", "tie", "row")]
-                self.wait(slices, list(zip(*cols, frame["key"].tolist() if "key" in frame else [""] * len(frame), strict=True)))
+            cols = [frame[c].tolist() for c in ("t", "side", "feed", "tie", "row")]
+            held.extend(zip(*cols, frame["key"].tolist() if "key" in frame else [""] * len(frame), strict=True))
+            seen += len(frame)
+            if len(held) >= HELD_ROWS:
+                self.wait(slices, held, seen)
+                held = []
+        if held:
+            self.wait(slices, held, seen)
         self.keep(slices)
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         self.due.clear()
-        until, slices, ready, rest = timerValues.getCurrentWatermarkInMs() * 1000, self.slices(), [], []
-        for at in [s for s, (_, least) in slices.items() if least < until]:
+        until, slices = timerValues.getCurrentWatermarkInMs() * 1000, self.slices()
+        due = sorted((least, at) for at, (_, least) in slices.items() if least < until)
+        rest, self.later, most = [], [], HELD_ROWS
+        for i, (_, at) in enumerate(due):
             for chunk in range(slices.pop(at)[0]):
-                for r in map(json.loads, self.waiting.getValue((at, chunk))[0]):
-                    (ready if r[0] < until else rest).append(tuple(r))
+                rest.extend(tuple(json.loads(r)) for r in self.waiting.getValue((at, chunk))[0])
                 self.waiting.removeKey((at, chunk))
-        self.later: list[tuple] = []
-        out = self.step(self.sorted(ready), until)
-        if rest or self.later:
-            self.wait(slices, rest + self.later)
+            last = i + 1 == len(due)
+            if last or len(rest) >= most:
+                # all rows before the next slice's least time are read: for them it is as if the watermark were there
+                to = until if last else min(until, due[i + 1][0])
+                rest, ready = [r for r in rest if r[0] >= to], [r for r in rest if r[0] < to]
+                out = self.step(self.sorted(ready), to)
+                rest, self.later = rest + self.later, []
+                most = max(HELD_ROWS, 2 * len(rest))
+                if len(out):
+                    yield out
+        if rest:
+            self.wait(slices, rest)
         self.keep(slices)
-        if len(out):
-            yield out
 
     def sorted(self, rows: list[tuple]) -> list[tuple]:
         """rows by key, time and side; ties by their typed values, which are read only where there are any."""

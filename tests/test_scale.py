@@ -255,3 +255,69 @@ def test_correlated_pairs_add_no_intervals_and_large_sides_are_dealt(spark, monk
     monkeypatch.undo()
     assert dealt._jdf.queryExecution().executedPlan().toString().count("REPARTITION_BY_NUM") == 4
     assert _rows(dealt) == _rows(small) and {r.matched_on for r in small.collect()} == {"k", "k2"} and dealt.columns == small.columns
+
+
+def _through(op, rows, until, frame=1000):
+    """A bucket's rows of one micro-batch, then its timer."""
+    op.init(Counted())
+    frames = [pd.DataFrame(rows[i : i + frame], columns=["t", "side", "feed", "tie", "row", "key"]) for i in range(0, len(rows), frame)]
+    list(op.handleInputRows(None, iter(frames), None))
+    outs = op.handleExpiredTimer(None, SimpleNamespace(getCurrentWatermarkInMs=lambda: until), None)
+    return sorted(map(str, (tuple(r) for out in outs for r in out.itertuples(index=False))))
+
+
+def test_a_bucket_of_many_rows_is_never_held_whole(monkeypatch):
+    """30,000 rows of one key go through in parts, with the rows of one part; matches that an idle time ends too."""
+    r = random.Random(3)
+    rows = [(t * 10**6, int(r.random() < 0.5), 0, "", str(t), "k") for t in range(30_000)]
+    gaps = [(t, 0, 0, "", r.choice("AALX") + str(i), r.choice("kl")) for i, t in enumerate(sorted(r.randrange(10**11) for _ in range(20_000)))]
+    r.shuffle(rows)
+    r.shuffle(gaps)
+    sizes: list[int] = []
+    step = stateful._AsOf.step
+    monkeypatch.setattr(stateful._AsOf, "step", lambda self, ready, until: sizes.append(len(ready)) or step(self, ready, until))
+    longest = lambda: stateful._Longest([[]], patterns.Automaton.of("A L*"), 20_000_000)
+    found = []
+    for held in (10**9, 1_000):
+        monkeypatch.setattr(stateful, "HELD_ROWS", held)
+        monkeypatch.setattr(stateful, "SLICE_ROWS", 100)
+        sizes.clear()
+        found.append((_through(stateful._AsOf([[], []]), rows, 10**8), _through(longest(), gaps, 10**9), max(sizes)))
+    assert found[0][:2] == found[1][:2] and len(found[0][1]) > 1_000
+    assert found[0][2] == 30_000 and found[1][2] < 5_000
+
+
+def test_stores_of_an_executor_share_their_memory(spark):
+    from streamctx.streaming.replay import stream_session
+
+    assert stream_session(spark).conf.get("spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage") == "true"
+
+
+def test_viewers_on_streams_keep_no_row_for_each_window(spark):
+    """Windows are read from lists of panes: 24 windows an event before, a pane and two lists now, with the rows of the batch job."""
+    from streamctx.plans import viewer
+
+    r = random.Random(8)
+    rows = [(at(r.randrange(86400 * 5)), r.choice(["u", "v", "w"]), r.randrange(4), r.choice(["view_details", "view_details", "hover", "play"]), "seen") for _ in range(300)]
+    rows += [(at(r.randrange(86400 * 2)), None, c, None, "content") for c in range(3) for _ in range(4)]
+    rows += [(at(86400 * 100), "end", 0, kind, of) for of, kind in (("seen", "view_details"), ("content", None))]
+    df = spark.createDataFrame(rows, "event_time timestamp, user_id string, content_id long, event_type string, of string")
+    shown = ("user_id", "genres_list", "weighted_interest_score_sum_list", "cnt", "abandoned_views_in_window", "has_played_content_count", "w_start_ux", "llm_prompt")
+    plans: list[str] = []
+
+    def feeds(s):
+        content = s.where("of = 'content'").select("event_time", "content_id", F.lit("t").alias("title"), F.expr("CASE WHEN content_id > 0 THEN concat('g', content_id) END").alias("genres"))
+        return s.where("of = 'seen'").select("event_time", "user_id", "content_id", "event_type"), content
+
+    for play in (False, True):
+        how = {"include_play": play, "size": "6 hours", "slide": "1 hour"}
+
+        def build(s, how=how):
+            out = viewer.indecisive_viewers_stream(*feeds(s), min_abandoned=1, **how)
+            plans.append(out._jdf.queryExecution().analyzed().toString())
+            return out.select(*shown)
+
+        got = replay(df, build, ts="event_time", batches=3).where("user_id <> 'end'")
+        want = viewer.indecisive_viewers(viewer.viewer_interest(*feeds(df), **how), min_abandoned=1).where("user_id <> 'end'").select(*shown)
+        assert _rows(got) == _rows(want) and want.count() > 50
+    assert all("collect_list(struct(at" in p for p in plans)
