@@ -293,7 +293,7 @@ def asof_enrich_stream(fact: DataFrame, tables: Mapping[str, tuple[DataFrame, st
     watermark and isn't part of the version: for windows the version column is the window's end, and the event time F.window_time of the window.
     A fact waits until the watermark has passed it. Versions of equal time are ordered as in asof_enrich. Facts with a NULL key or time come through at once, without versions.
     State per key: facts and versions after the watermark, in slices of time, and one version a feed before it. `ts` of the result carries the watermark on, for windows over it.
-    watermark: None if fact and the feeds have theirs. buckets: of keys, fixed for a checkpoint; a bucket's rows of one micro-batch must fit in a task. Sessions need the RocksDB state store (ROCKSDB). Rows behind the watermark are dropped: see late_rows.
+    watermark: None if fact and the feeds have theirs. buckets: of keys, fixed for a checkpoint; a bucket's rows go through some HELD_ROWS at a time. Sessions need the RocksDB state store (ROCKSDB). Rows behind the watermark are dropped: see late_rows.
     """
     every, _ = _ordered(fact, on, ts, 1, len(tables), [], watermark)
     kinds, schemas = [], []
